@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import line_dedup, mixing
+from vitrine.llm import licences, line_dedup, mixing, quality, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,9 +43,86 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdicts = quality.judged(_table(spark, sf_dir, "documents"))
+    return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _op2_sql() -> str:
+    """Metrics, sketches, fences and verdicts in DuckDB's SQL."""
+    ratios, spreads = list(quality.SPREADS), quality.SPREADS
+    space = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    spread = "CASE ratio " + " ".join(f"WHEN '{r}' THEN {spreads[r]}" for r in ratios) + " END"
+    level = lambda name, keys, least: f"""{name} AS (
+      SELECT {keys}{"," if keys else ""} {", ".join(f"max(CASE WHEN ratio = '{r}' THEN q3 + 3 * greatest(q3 - q1, {spread}) END) AS {r}" for r in ratios)},
+             max(CASE WHEN ratio = 'word_length' THEN q1 - 3 * greatest(q3 - q1, {spread}) END) AS least_length
+      FROM (SELECT {keys}{"," if keys else ""} ratio, max(n_all) AS docs, min(CASE WHEN upto * 4 >= n_all THEN bucket END) AS q1, min(CASE WHEN upto * 4 >= n_all * 3 THEN bucket END) AS q3
+            FROM (SELECT *, sum(n) OVER (PARTITION BY {keys}{"," if keys else ""} ratio ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys}{"," if keys else ""} ratio) AS n_all
+                  FROM (SELECT {keys}{"," if keys else ""} ratio, bucket, sum(n) AS n FROM fine GROUP BY ALL)) GROUP BY {keys}{"," if keys else ""} ratio)
+      WHERE docs >= {least} {f"GROUP BY {keys}" if keys else ""})"""
+    return f"""
+    WITH t AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT *, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+                 list_filter(string_split(text, chr(10)), lambda x: trim(x, {space}) <> '') AS ls FROM t),
+    tri AS (SELECT r, unnest(range(1, len(w) - 1)) AS p, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) AS g FROM w WHERE len(w) >= 3),
+    rep AS (SELECT r, count(DISTINCT c) AS n FROM (SELECT r, unnest([p, p + 1, p + 2]) AS c FROM (SELECT *, count(*) OVER (PARTITION BY r, g) AS k FROM tri) WHERE k > 1) GROUP BY r),
+    m AS (SELECT w.r, doc_id, lang, source, len(w) AS n_words, length(translate(text, {space}, '')) AS word_chars,
+                 length(text) - length(translate(text, '{quality.SYMBOLS}', '')) AS n_symbols, length(text) - length(translate(text, '{quality.UPPER}', '')) AS n_upper,
+                 len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM w LEFT JOIN rep USING (r)),
+    b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols * 1000 // greatest(word_chars, 1) AS symbols, n_dup_lines * 1000 // greatest(n_lines, 1) AS dup_lines,
+                 n_repeat_words * 1000 // greatest(n_words, 1) AS repeats, n_upper * 1000 // greatest(word_chars, 1) AS upper, word_chars * 10 // greatest(n_words, 1) AS word_length FROM m),
+    long AS ({" UNION ALL ".join(f"SELECT lang, source, '{r}' AS ratio, {r} AS v FROM b WHERE NOT base_failed" for r in ratios)}),
+    fine AS (SELECT lang, source, ratio, CASE WHEN v < 32 THEN v ELSE (v >> (length(bin(v)) - 5)) << (length(bin(v)) - 5) END AS bucket, count(*) AS n FROM long GROUP BY ALL),
+    {level("fg", "lang, source", 100)}, {level("fl", "lang", 100)}, {level("fa", "", 0)},
+    pick AS (SELECT b.*, {", ".join(f"coalesce(fg.{x}, fl.{x}, fa.{x}) AS f_{x}" for x in [*ratios, "least_length"])}
+             FROM b LEFT JOIN fg ON fg.lang IS NOT DISTINCT FROM b.lang AND fg.source IS NOT DISTINCT FROM b.source LEFT JOIN fl ON fl.lang IS NOT DISTINCT FROM b.lang LEFT JOIN fa ON true)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT base_failed AND coalesce({" AND ".join(f"{r} <= f_{r}" for r in ratios)} AND word_length >= f_least_length, true) AS kept
+    FROM pick"""
+
+
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
+def _op4_sql() -> str:
+    quoted = ", ".join(f"('{name}', '{sentence}')" for name, sentence in licences.SENTENCES.items())
+    rules = ", ".join(f"('{rule}', '{licence}', ',{','.join(seq)},')" for rule, licence, seq in licences.RULES)
+    return f"""
+    WITH known(name, sentence) AS (VALUES {quoted}), rules(rule, licence, seq) AS (VALUES {rules}),
+    cut AS (SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(lower(regexp_replace(coalesce(text, ''), '([.!?;])[ \t\r]+', '\1' || chr(10), 'g')), '[^a-z0-9\n]+', ' ', 'g'), chr(10)) AS s FROM documents),
+    one AS (SELECT r, doc_id, unnest(range(len(s))) AS i, trim(unnest(s)) AS sentence FROM cut),
+    ids AS (SELECT r, doc_id, string_agg(name, ',' ORDER BY i) AS sentence_ids FROM one JOIN known USING (sentence) GROUP BY r, doc_id)
+    SELECT doc_id, licence, rule, sentence_ids FROM ids JOIN rules ON contains(',' || sentence_ids || ',', seq)"""
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are inserted; a take-down batch deletes those labelled toxic, and is sent twice."""
+    documents = _table(spark, sf_dir, "documents")
+    toxic = _table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    rollup = token_counts.Rollup(spark)
+    rollup.commit("0001-insert", token_counts.deltas(documents))
+    taken_down = token_counts.deltas(documents.join(toxic, "doc_id", "left_semi"), -1)
+    rollup.commit("0002-take-down", taken_down)
+    rollup.commit("0002-take-down", taken_down)
+    return rollup.totals()
+
+
+OP8_SQL = r"""
+WITH c AS (SELECT source, lang, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 0 ELSE 1 END AS n,
+  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words, len(regexp_extract_all(coalesce(text, ''), '[\pL\pN]+|[^\pL\pN\x20\x09-\x0D]')) AS pieces FROM documents)
+SELECT source, lang, 'words-1' AS tokenizer, sum(n)::BIGINT AS docs, sum(n * words)::BIGINT AS tokens FROM c GROUP BY ALL
+UNION ALL
+SELECT source, lang, 'pieces-1' AS tokenizer, sum(n)::BIGINT AS docs, sum(n * pieces)::BIGINT AS tokens FROM c GROUP BY ALL
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_mix_sources": op1_mix_sources, "op9_line_dedup": op9_line_dedup}
+    return {
+        "op1_mix_sources": op1_mix_sources, "op2_quality_rules": op2_quality_rules, "op4_licence_scan": op4_licence_scan, "op8_token_counts": op8_token_counts,
+        "op9_line_dedup": op9_line_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": OP9_SQL}
+    return {"op2_quality_rules": _op2_sql(), "op4_licence_scan": _op4_sql(), "op8_token_counts": OP8_SQL, "op9_line_dedup": OP9_SQL}
