@@ -29,7 +29,7 @@ SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: ratio name -> least spread of a fence, in the ratio's unit (thousandths; tenths of a character for word_length)
-SPREADS = {"symbols": 20, "dup_lines": 60, "repeats": 60, "upper": 60, "word_length": 10}
+SPREADS = {"symbols": 20, "dup_lines": 170, "repeats": 100, "upper": 60, "word_length": 10}
 
 
 def _without(text: Column, chars: str) -> Column:

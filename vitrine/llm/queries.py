@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import licences, line_dedup, mixing, quality, token_counts
+from vitrine.llm import licences, line_dedup, mixing, quality, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -96,6 +96,14 @@ def _op4_sql() -> str:
     SELECT doc_id, licence, rule, sentence_ids FROM ids JOIN rules ON contains(',' || sentence_ids || ',', seq)"""
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    out = toxicity.held_out(F.col("doc_id"), 3, 1)
+    model = toxicity.fit(documents, labels, ~out)
+    found = toxicity.scored(documents.select("doc_id", "text"), model)
+    return found.select("doc_id", out.alias("held_out"), F.col("tox_score").alias("score"), F.col("tox_predicted").alias("predicted"), F.size("tox_spans").alias("n_passages"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents are inserted; a take-down batch deletes those labelled toxic, and is sent twice."""
     documents = _table(spark, sf_dir, "documents")
@@ -119,7 +127,8 @@ SELECT source, lang, 'pieces-1' AS tokenizer, sum(n)::BIGINT AS docs, sum(n * pi
 
 def queries() -> dict[str, Query]:
     return {
-        "op1_mix_sources": op1_mix_sources, "op2_quality_rules": op2_quality_rules, "op4_licence_scan": op4_licence_scan, "op8_token_counts": op8_token_counts,
+        "op1_mix_sources": op1_mix_sources, "op2_quality_rules": op2_quality_rules, "op4_licence_scan": op4_licence_scan, "op6_toxicity": op6_toxicity,
+        "op8_token_counts": op8_token_counts,
         "op9_line_dedup": op9_line_dedup,
     }
 
