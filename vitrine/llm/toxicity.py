@@ -1,9 +1,10 @@
 """Toxicity by maximum-scoring segments over token log-odds.
 
-Fit: tokens of labelled documents are counted by class in Spark. A token's score is its log-odds
-between the classes with an informative Dirichlet prior (the pooled counts, scaled to
-``prior_words``); tokens whose log-odds are less than ``min_z`` standard deviations from 0, and all
-others, share a small negative drift so that a clean text's expected score is negative.
+Fit: words of labelled documents and their first ``PREFIXES`` characters (stems) are counted by
+class in Spark, once a document. The score of a word or stem is its log-odds between the classes with
+an informative Dirichlet prior (``prior_share`` of the pooled counts), if that is ``min_z`` standard
+deviations or more from 0. A token scores as its word or else as its longest listed stem; all other
+tokens share one negative score, the drift, so that a clean text's expected score is negative.
 
 Scan: one linear pass finds every maximal-scoring segment of a text (Ruzzo and Tompa's all-maximal
 scheme). Under the clean model segment scores have an extreme-value tail, ``P(max >= s) =
@@ -37,6 +38,10 @@ from vitrine.llm.common import small_batches
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+#: Stem lengths in characters; a stem ends in "*", which no token holds.
+PREFIXES = range(3, 9)
+
+
 def tokens(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
@@ -58,10 +63,31 @@ class Model:
         self.scores, self.drift = scores, drift
         self.decay, self.log_k, self.max_expected = 1.0, 0.0, 1e-3
         self.curve: tuple[float, float] | None = None
+        self._known: dict[bytes, float | None] = {}
+
+    def token_score(self, token: bytes) -> float | None:
+        """Score of a token by its word or longest listed stem; None for the drift."""
+        known = self._known
+        if token in known:
+            return known[token]
+        found = self.scores.get(token)
+        if found is None:
+            letters = token.decode("utf-8", "replace")
+            for n in range(min(len(letters), PREFIXES[-1]), PREFIXES[0] - 1, -1):
+                found = self.scores.get(f"{letters[:n]}*".encode())
+                if found is not None:
+                    break
+        if len(known) >= 500_000:
+            known.clear()
+        known[token] = found
+        return found
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_known": {}}
 
     def segments(self, words: list[bytes]) -> list[tuple[int, int, float]]:
         """All maximal-scoring segments (start, end, score) of a token list, in linear time."""
-        get = self.scores.get
+        get = self.token_score
         marked = [(i, s) for i, w in enumerate(words) if (s := get(w)) is not None]
         if not any(s > 0 for _, s in marked):
             return []
@@ -103,18 +129,19 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(a * np.log1p(evidence) + b, -30, 30))))
 
 
-def token_scores(counts: DataFrame, prior_words: float, min_z: float, max_tokens: int) -> DataFrame:
+def token_scores(counts: DataFrame, prior_share: float, min_z: float, max_tokens: int) -> DataFrame:
     """(token, score) of (token, toxic, clean) counts."""
     sums = counts.agg(F.sum("toxic").alias("n1"), F.sum("clean").alias("n0"))
     x = counts.crossJoin(F.broadcast(sums))  # sums is one row
-    prior = (F.col("toxic") + F.col("clean")) / (F.col("n1") + F.col("n0")) * prior_words
-    odds = lambda y, n: F.log((F.col(y) + prior) / (F.col(n) + prior_words - F.col(y) - prior))
+    prior = (F.col("toxic") + F.col("clean")) * prior_share
+    weight = (F.col("n1") + F.col("n0")) * prior_share
+    odds = lambda y, n: F.log((F.col(y) + prior) / (F.col(n) + weight - F.col(y) - prior))
     z = F.col("score") / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
     scored = x.withColumn("score", odds("toxic", "n1") - odds("clean", "n0")).withColumn("z", z)
     return scored.where(F.abs("z") >= min_z).orderBy(F.abs("z").desc(), "token").limit(max_tokens).select("token", "score")
 
 
-def fit(documents: DataFrame, labels: DataFrame, training: Column | None = None, max_labelled: int = 20_000, max_tokens: int = 20_000, prior_words: float = 2_000.0, min_z: float = 4.0, drift: float = -0.05) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, training: Column | None = None, max_labelled: int = 20_000, max_tokens: int = 20_000, prior_share: float = 0.05, min_z: float = 4.5) -> Model:
     """A model from the rows of ``labels`` (doc_id, toxic) for which ``training`` holds."""
     spark = documents.sparkSession
     rows = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -123,9 +150,11 @@ def fit(documents: DataFrame, labels: DataFrame, training: Column | None = None,
     sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).select("doc_id", (F.col("toxic") > 0).cast("int").alias("__toxic"))
     # at most max_labelled rows of two numbers
     texts = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "__toxic", token_column(F.col("text")).alias("tokens"))
-    counts = texts.select("__toxic", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("__toxic").alias("toxic"), F.sum(1 - F.col("__toxic")).alias("clean"))
-    table = token_scores(counts, prior_words, min_z, max_tokens).toPandas()  # at most max_tokens rows
-    model = Model({t.encode(): float(np.clip(s, -3, 8)) for t, s in zip(table["token"], table["score"])}, drift)
+    units = F.flatten(F.transform("tokens", lambda t: F.concat(F.array(t), F.transform(
+        F.filter(F.array(*map(F.lit, PREFIXES)), lambda n: n <= F.length(t)), lambda n: F.concat(F.substring(t, F.lit(1), n), F.lit("*"))))))
+    counts = texts.select("__toxic", F.explode(F.array_distinct(units)).alias("token")).groupBy("token").agg(F.sum("__toxic").alias("toxic"), F.sum(1 - F.col("__toxic")).alias("clean"))
+    table = token_scores(counts, prior_share, min_z, max_tokens).toPandas()  # at most max_tokens rows
+    model = Model({t.encode(): float(np.clip(s, -3, 8)) for t, s in zip(table["token"], table["score"])}, -0.05)
     if not model.scores:
         return model
 
@@ -139,7 +168,7 @@ def fit(documents: DataFrame, labels: DataFrame, training: Column | None = None,
             for toxic, words in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 own = tokens(words or b"")
                 segs = m.segments(own)
-                out.append((len(own), max((s for *_, s in segs), default=0.0), toxic, [m.scores[w] for w in own if w in m.scores]))
+                out.append((len(own), max((s for *_, s in segs), default=0.0), toxic, [s for w in own if (s := m.token_score(w)) is not None]))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.float64(), pa.int32(), pa.list_(pa.float64())))], names=names)
 
     plain = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("__toxic", "text")
@@ -147,8 +176,12 @@ def fit(documents: DataFrame, labels: DataFrame, training: Column | None = None,
     clean = seen[seen["toxic"] == 0]
     if clean.empty or len(clean) == len(seen):
         return model
+    share = [sum(map(len, x["rises"])) / max(1, int(x["n"].sum())) for x in (clean, seen[seen["toxic"] > 0])]
+    # the log-odds of all other tokens, taken together; at least so low that a clean text's mean is negative
     scored = np.array([s for x in clean["rises"] for s in x])
-    model.decay = _decay(scored, max(1, int(clean["n"].sum()) - len(scored)), drift)
+    n_other = max(1, int(clean["n"].sum()) - len(scored))
+    model.drift = float(min(np.log(max(1e-9, 1 - share[1]) / max(1e-9, 1 - share[0])), -1.5 * max(0.0, scored.sum()) / n_other, -0.02))
+    model.decay = _decay(scored, n_other, model.drift)
     # K from the clean documents' mean best score: E[max] = (log(K n) + Euler's constant) / decay
     model.log_k = float(np.clip(np.mean(model.decay * clean["best"] - np.log(np.maximum(1, clean["n"]))) - 0.5772, -30, 0))
     values = []
