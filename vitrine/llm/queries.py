@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import licences, line_dedup, mixing, quality, token_counts, toxicity
+from vitrine.llm import decontamination, licences, line_dedup, mixing, quality, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,6 +81,10 @@ def _op2_sql() -> str:
     FROM pick"""
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_table(spark, sf_dir, "documents"))
 
@@ -127,7 +131,7 @@ SELECT source, lang, 'pieces-1' AS tokenizer, sum(n)::BIGINT AS docs, sum(n * pi
 
 def queries() -> dict[str, Query]:
     return {
-        "op1_mix_sources": op1_mix_sources, "op2_quality_rules": op2_quality_rules, "op4_licence_scan": op4_licence_scan, "op6_toxicity": op6_toxicity,
+        "op1_mix_sources": op1_mix_sources, "op2_quality_rules": op2_quality_rules, "op3_decontamination": op3_decontamination, "op4_licence_scan": op4_licence_scan, "op6_toxicity": op6_toxicity,
         "op8_token_counts": op8_token_counts,
         "op9_line_dedup": op9_line_dedup,
     }
