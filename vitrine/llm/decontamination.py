@@ -130,26 +130,32 @@ class Index:
             at, where = at[ok], where[ok]
             reps = self.count[where]
             hits = np.repeat(self.first[where] + reps - np.cumsum(reps), reps) + np.arange(reps.sum())
-            found += self._regions(codes, self.owner[hits], np.repeat(at, reps) - self.place[hits])
+            found += self._regions(codes, self.owner[hits], self.place[hits], np.repeat(at, reps))
         for item_id, pattern in self.short:
             found += [(item_id, p, p + len(pattern), 0) for p in _find(codes, pattern)]
         return found
 
-    def _regions(self, codes: np.ndarray, owner: np.ndarray, diagonal: np.ndarray) -> list[tuple[int, int, int, int]]:
+    def _regions(self, codes: np.ndarray, owner: np.ndarray, place: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
         if not len(owner):
             return []
         step, bound = (np.array([x[k] for x in self.items]) for k in (2, 3))
         step = step + 1
         span = (len(codes) + 2 * max(len(x[1]) for x in self.items)) + 2
-        key = owner * span + np.floor_divide(diagonal, step[owner]) + span // 2 - len(codes) // 2
-        steps, n = np.unique(key, return_counts=True)
+        key = owner * span + np.floor_divide(at - place, step[owner]) + span // 2 - len(codes) // 2
+        order = np.argsort(key, kind="stable")
+        steps, begin, n = np.unique(key[order], return_index=True, return_counts=True)
         # band b holds the diagonals of steps b and b + 1
         pos = np.minimum(np.searchsorted(steps, steps + 1), len(steps) - 1)
-        both = n + np.where(steps[pos] == steps + 1, n[pos], 0)
+        more = np.where(steps[pos] == steps + 1, n[pos], 0)
+        both = n + more
         item = steps // span
         out = []
         for j in np.flatnonzero(both >= bound[item]):
-            item_id, pattern, budget, _ = self.items[item[j]]
+            item_id, pattern, budget, least = self.items[item[j]]
+            # each q-gram of the item and of the text counts once
+            own = order[begin[j] : begin[j] + both[j]]
+            if min(len(np.unique(place[own])), len(np.unique(at[own]))) < least:
+                continue
             first = int(steps[j] % span - span // 2 + len(codes) // 2) * (budget + 1)
             start, end = max(0, first), min(len(codes), first + 2 * (budget + 1) + len(pattern) + budget)
             hit = banded(pattern, codes[start:end], budget)
