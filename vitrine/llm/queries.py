@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import decontamination, licences, line_dedup, mixing, quality, token_counts, toxicity
+from vitrine.llm import decontamination, licences, line_dedup, mixing, quality, substring_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -108,6 +108,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), F.col("tox_score").alias("score"), F.col("tox_predicted").alias("predicted"), F.size("tox_spans").alias("n_passages"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents are inserted; a take-down batch deletes those labelled toxic, and is sent twice."""
     documents = _table(spark, sf_dir, "documents")
@@ -132,7 +136,7 @@ SELECT source, lang, 'pieces-1' AS tokenizer, sum(n)::BIGINT AS docs, sum(n * pi
 def queries() -> dict[str, Query]:
     return {
         "op1_mix_sources": op1_mix_sources, "op2_quality_rules": op2_quality_rules, "op3_decontamination": op3_decontamination, "op4_licence_scan": op4_licence_scan, "op6_toxicity": op6_toxicity,
-        "op8_token_counts": op8_token_counts,
+        "op7_substring_dedup": op7_substring_dedup, "op8_token_counts": op8_token_counts,
         "op9_line_dedup": op9_line_dedup,
     }
 
