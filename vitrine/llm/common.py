@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 from urllib.parse import unquote, urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,3 +77,48 @@ def doc_slices(batches: Iterator[pa.RecordBatch], max_bytes: int, text: str = "t
             size += n
         if batch.num_rows > start:
             yield batch.slice(start)
+
+
+# ---- words of a stretch of text, hashed without a loop over words --------------------------------
+
+_IS_SPACE = np.zeros(256, dtype=bool)
+_IS_SPACE[[32, *range(9, 14)]] = True
+_VALUES = np.random.Generator(np.random.PCG64(2021)).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+_VALUES[65:91] = _VALUES[97:123]  # A-Z count as a-z
+_VALUES[_IS_SPACE] = 0
+_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_powers = np.ones(1, dtype=np.uint64)
+
+
+def _power_table(n: int) -> np.ndarray:
+    global _powers
+    if len(_powers) < n:
+        _powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 1024) - 1, _BASE, dtype=np.uint64)]), dtype=np.uint64)
+    return _powers
+
+
+def mixed_bits(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit over all others."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (A-Z lower-cased), one text after another, and the number of words of each text."""
+    line = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    space = _IS_SPACE[line]
+    begins = ~space
+    begins[1:] &= space[:-1]
+    starts = np.flatnonzero(begins)
+    offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    counts = np.diff(np.searchsorted(starts, offsets))
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64), counts
+    word = np.cumsum(begins, dtype=np.int32)
+    word -= 1
+    place = np.arange(len(line), dtype=np.int32) - starts.astype(np.int32)[np.maximum(word, 0)]
+    place[space] = 0
+    place[: starts[0]] = 0
+    values = _VALUES[line] * _power_table(int(place.max()) + 1)[place]
+    return mixed_bits(np.add.reduceat(values, starts)), counts

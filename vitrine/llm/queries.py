@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import decontamination, licences, line_dedup, mixing, quality, substring_dedup, token_counts, toxicity
+from vitrine.llm import decontamination, jaccard_join, licences, line_dedup, mixing, quality, substring_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.col("__sha256").alias("kept_sha256"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(_table(spark, sf_dir, "documents"))
+
+
 OP9_SQL = r"""
 WITH lines AS (
   SELECT doc_id, i, l, lower_key FROM (
@@ -137,7 +141,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_mix_sources": op1_mix_sources, "op2_quality_rules": op2_quality_rules, "op3_decontamination": op3_decontamination, "op4_licence_scan": op4_licence_scan, "op6_toxicity": op6_toxicity,
         "op7_substring_dedup": op7_substring_dedup, "op8_token_counts": op8_token_counts,
-        "op9_line_dedup": op9_line_dedup,
+        "op9_line_dedup": op9_line_dedup, "op10_jaccard_join": op10_jaccard_join,
     }
 
 
