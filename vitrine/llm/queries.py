@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import decontamination, jaccard_join, licences, line_dedup, mixing, quality, substring_dedup, token_counts, toxicity
+from vitrine.llm import decontamination, jaccard_join, licences, line_dedup, mixing, ngram_lm, quality, substring_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -104,6 +104,14 @@ def _op4_sql() -> str:
     SELECT doc_id, licence, rule, sentence_ids FROM ids JOIN rules ON contains(',' || sentence_ids || ',', seq)"""
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    out = toxicity.held_out(F.col("doc_id"), 7, 2)
+    model = ngram_lm.train(documents.where(~out))
+    found = ngram_lm.scored(documents, model)
+    return found.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(model.words.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     out = toxicity.held_out(F.col("doc_id"), 3, 1)
@@ -139,7 +147,7 @@ SELECT source, lang, 'pieces-1' AS tokenizer, sum(n)::BIGINT AS docs, sum(n * pi
 
 def queries() -> dict[str, Query]:
     return {
-        "op1_mix_sources": op1_mix_sources, "op2_quality_rules": op2_quality_rules, "op3_decontamination": op3_decontamination, "op4_licence_scan": op4_licence_scan, "op6_toxicity": op6_toxicity,
+        "op1_mix_sources": op1_mix_sources, "op2_quality_rules": op2_quality_rules, "op3_decontamination": op3_decontamination, "op4_licence_scan": op4_licence_scan, "op5_lm_scoring": op5_lm_scoring, "op6_toxicity": op6_toxicity,
         "op7_substring_dedup": op7_substring_dedup, "op8_token_counts": op8_token_counts,
         "op9_line_dedup": op9_line_dedup, "op10_jaccard_join": op10_jaccard_join,
     }
