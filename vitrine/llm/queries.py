@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.llm import decontamination, jaccard_join, licences, line_dedup, mixing, ngram_lm, quality, substring_dedup, token_counts, toxicity
+from vitrine.llm.common import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -126,7 +127,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents are inserted; a take-down batch deletes those labelled toxic, and is sent twice."""
-    documents = _table(spark, sf_dir, "documents")
+    documents = staged(token_counts.counted(_table(spark, sf_dir, "documents")), "counted")
     toxic = _table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
     rollup = token_counts.Rollup(spark)
     rollup.commit("0001-insert", token_counts.deltas(documents))

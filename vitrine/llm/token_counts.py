@@ -56,15 +56,20 @@ def bpe(path: str, pattern: str) -> Callable[[Column], Column]:
     return count
 
 
-def deltas(documents: DataFrame, sign: int = 1, tokenizers: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
-    """A signed row for each document and tokenizer: source, lang, tokenizer, docs, tokens."""
+def counted(documents: DataFrame, tokenizers: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """doc_id, source, lang and an array of token counts by tokenizer: rows without text, to be joined with what is known of the documents."""
     counts = F.array(*[F.struct(F.lit(name).alias("tokenizer"), count(F.col("text")).alias("tokens")) for name, count in (tokenizers or TOKENIZERS).items()])
-    return documents.select("source", "lang", F.explode(counts).alias("t")).select("source", "lang", "t.tokenizer", F.lit(sign).cast("long").alias("docs"), (F.col("t.tokens") * sign).alias("tokens"))
+    return documents.select("doc_id", "source", "lang", counts.alias("counts"))
 
 
-def revised(old: DataFrame, new: DataFrame, tokenizers: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
-    """The deltas that replace the counts of ``old`` texts by those of ``new`` ones."""
-    return deltas(old, -1, tokenizers).unionByName(deltas(new, 1, tokenizers))
+def deltas(rows: DataFrame, sign: int = 1) -> DataFrame:
+    """A signed row for each counted document and tokenizer: source, lang, tokenizer, docs, tokens."""
+    return rows.select("source", "lang", F.explode("counts").alias("t")).select("source", "lang", "t.tokenizer", F.lit(sign).cast("long").alias("docs"), (F.col("t.tokens") * sign).alias("tokens"))
+
+
+def revised(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The deltas that replace the ``old`` counts of documents by ``new`` ones."""
+    return deltas(old, -1).unionByName(deltas(new, 1))
 
 
 class Rollup:
