@@ -30,6 +30,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 OP9_SQL = r"""
 WITH lines AS (
   SELECT doc_id, i, l, lower_key FROM (
@@ -150,7 +156,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_mix_sources": op1_mix_sources, "op2_quality_rules": op2_quality_rules, "op3_decontamination": op3_decontamination, "op4_licence_scan": op4_licence_scan, "op5_lm_scoring": op5_lm_scoring, "op6_toxicity": op6_toxicity,
         "op7_substring_dedup": op7_substring_dedup, "op8_token_counts": op8_token_counts,
-        "op9_line_dedup": op9_line_dedup, "op10_jaccard_join": op10_jaccard_join,
+        "op9_line_dedup": op9_line_dedup, "op10_jaccard_join": op10_jaccard_join, "pipeline": pipeline,
     }
 
 
