@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # ---- fixed values ------------------------------------------------------------------------------
 
@@ -145,7 +146,7 @@ def slug(c: Column, sep: str = "-") -> Column:
     return slug_ascii(to_ascii(c), sep)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def slug_unicode(values: pd.Series) -> pd.Series:
     """Slug by Unicode decomposition, for scripts beyond the table of :func:`to_ascii`."""
     import re
