@@ -67,7 +67,7 @@ def within_quota(rows: DataFrame, keys: list[str], order: str, accepted: Column,
         out = out.withColumn("__batch", F.floor(F.col("__pos") / batch))
         out = out.where(F.col("__batch") < batches) if batches else out
         before = Window.partitionBy(*keys).orderBy("__batch").rangeBetween(Window.unboundedPreceding, -1)
-        out = out.where(F.coalesce(F.sum("__ok").over(before), F.lit(0)) < needed).drop("__batch")
+        out = out.withColumn("__before", F.coalesce(F.sum("__ok").over(before), F.lit(0))).where(F.col("__before") < needed).drop("__batch", "__before")
     running = F.sum("__ok").over(Window.partitionBy(*keys).orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0))
     return out.withColumn("__run", running).where((F.col("__ok") == 1) & (F.col("__run") <= needed)).drop("__pos", "__ok", "__run")
 
