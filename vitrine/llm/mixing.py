@@ -129,9 +129,10 @@ def mix_plan(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budge
     ordered = ordered.withColumn("p_last", last)
     before = F.coalesce(F.sum("words").over(own.orderBy("p_last").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     part = F.greatest(F.lit(0.0), F.least(F.col("words").cast("double"), F.col("rest") - F.col("before")))
-    cut = staged(ordered.withColumn("before", before).withColumn("part", part), "blocks")
+    # blocks of the last pass are the first ones of its order, those without a word among them
+    cut = staged(ordered.withColumn("before", before).withColumns({"part": part, "last": F.col("before") < F.col("rest")}), "blocks")
 
-    per_source = cut.groupBy("rank").agg((F.first("passes") * F.first("n_blocks") + F.sum(F.when(F.col("part") > 0, 1).otherwise(0))).alias("quota"))
+    per_source = cut.groupBy("rank").agg((F.first("passes") * F.first("n_blocks") + F.count_if("last")).alias("quota"))
     leaves = splitting_tree(per_source, shards, seed)
     stretch = leaves.withColumn("end", F.sum("quota").over(Window.partitionBy("rank").orderBy("shard"))).where("quota > 0")
     dealt = stretch.select("rank", "shard", F.explode(F.sequence(F.col("end") - F.col("quota"), F.col("end") - 1)).alias("draw"))
@@ -141,18 +142,18 @@ def mix_plan(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budge
         F.explode(F.concat(
             F.when(F.col("passes") >= 1, F.array(F.struct(F.lit(0).alias("copy"), F.col("p0").cast("long").alias("draw")))).otherwise(F.array()),
             F.when(F.col("passes") >= 2, F.array(F.struct(F.lit(1).alias("copy"), (F.col("n_blocks") + F.col("p1")).alias("draw")))).otherwise(F.array()),
-            F.when(F.col("part") > 0, F.array(F.struct(F.lit(2).alias("copy"), (F.col("passes") * F.col("n_blocks") + F.col("p_last")).alias("draw")))).otherwise(F.array()),
+            F.when(F.col("last"), F.array(F.struct(F.lit(2).alias("copy"), (F.col("passes") * F.col("n_blocks") + F.col("p_last")).alias("draw")))).otherwise(F.array()),
         )).alias("d"),
     ).select("rank", "block", "d.copy", "d.draw")
     placed = drawn.join(dealt, ["rank", "draw"]).groupBy("rank", "block").agg(F.array_sort(F.collect_list(F.struct("copy", "shard"))).alias("copies"))
-    per_block = cut.select("source", "block", "source_size", "target", "rank", "passes", "words", "part").join(placed, ["rank", "block"], "left")
+    per_block = cut.select("source", "block", "source_size", "target", "rank", "passes", "words", "part", "last").join(placed, ["rank", "block"], "left")
 
     joined = docs.join(per_block, docs["source"].eqNullSafe(per_block["source"]) & (docs["block"] == per_block["block"])).drop(per_block["block"]).drop(per_block["source"])
     # documents of a partly taken block, in hash order: one is taken if its middle lies below the cut
-    partial = (F.col("part") > 0) & (F.col("part") < F.col("words"))
+    partial = F.col("last") & (F.col("part") < F.col("words"))
     inside = Window.partitionBy("rank", "block").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     cutting = joined.where(partial).withColumn("extra", F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("size") / 2 <= F.col("part"))
-    plain = joined.where(~partial).withColumn("extra", F.col("part") > 0)
+    plain = joined.where(~partial).withColumn("extra", F.col("last"))
     every = plain.unionByName(cutting)
     copies = F.filter(F.coalesce("copies", F.array().cast("array<struct<copy:int,shard:int>>")), lambda c: (c["copy"] < 2) | F.col("extra"))
     taken = F.col("size") * (F.col("passes") + F.when(F.col("extra"), 1).otherwise(0))
