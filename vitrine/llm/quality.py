@@ -112,13 +112,12 @@ def judged(documents: DataFrame, min_docs: int = 100, reach: int = 3, min_words:
         reachable = F.greatest(F.col("q3") - F.col("q1"), spread.cast("long")) * reach
         upper, lower = F.col("q3") + reachable, F.col("q1") - reachable
         pick = lambda c, r: F.max(F.when(F.col("ratio") == r, c))
-        wide[k] = fences[k].groupBy(*keys).agg(F.struct(*[pick(upper, r).alias(r) for r in names], pick(lower, "word_length").alias("least_length")).alias(f"fence_{k}"))
+        wide[k] = fences[k].groupBy(*[F.col(x).alias(f"{k}_{x}") for x in keys]).agg(F.struct(*[pick(upper, r).alias(r) for r in names], pick(lower, "word_length").alias("least_length")).alias(f"fence_{k}"))
     groups = fine.select("lang", "source").distinct()
-    same = lambda a, b, *keys: [a[k].eqNullSafe(b[k]) for k in keys]
-    g = groups.join(wide["g"], same(groups, wide["g"], "lang", "source"), "left").select(groups["lang"], groups["source"], "fence_g")
-    gl = g.join(wide["l"], same(g, wide["l"], "lang"), "left").select(g["lang"], g["source"], "fence_g", "fence_l")
-    chosen = gl.crossJoin(F.broadcast(wide["a"])).select("lang", "source", F.coalesce("fence_g", "fence_l", "fence_a").alias("fence"))  # wide["a"] is one row
-    joined = rows.join(chosen, same(rows, chosen, "lang", "source"), "left").drop(chosen["lang"]).drop(chosen["source"])
+    same = lambda side, *keys: [F.col(k).eqNullSafe(F.col(f"{side}_{k}")) for k in keys]
+    chosen = groups.join(wide["g"], same("g", "lang", "source"), "left").join(wide["l"], same("l", "lang"), "left").crossJoin(F.broadcast(wide["a"]))  # wide["a"] is one row
+    chosen = chosen.select(F.col("lang").alias("c_lang"), F.col("source").alias("c_source"), F.coalesce("fence_g", "fence_l", "fence_a").alias("fence"))
+    joined = rows.join(chosen, same("c", "lang", "source"), "left").drop("c_lang", "c_source")
     beyond = F.concat(
         *[F.when(F.col(r) > F.col(f"fence.{r}"), F.array(F.lit(r))).otherwise(F.array().cast("array<string>")) for r in names],
         F.when(F.col("word_length") < F.col("fence.least_length"), F.array(F.lit("short_words"))).otherwise(F.array().cast("array<string>")),
