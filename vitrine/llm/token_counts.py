@@ -19,9 +19,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 
 from vitrine.llm.common import n_words, shared_dir
 
@@ -40,8 +41,6 @@ TOKENIZERS: dict[str, Callable[[Column], Column]] = {"words-1": n_words, "pieces
 
 def bpe(path: str, pattern: str) -> Callable[[Column], Column]:
     """A tokenizer from a byte-pair vocabulary file (base64 token and rank a line), run on Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("long")
     def count(text: pd.Series) -> pd.Series:
         import base64
