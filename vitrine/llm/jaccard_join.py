@@ -5,8 +5,9 @@ shingle). Documents with equal sets form a class and are joined once. Each class
 minimum hashes; a run starts by splitting all classes by one position of it. A bucket of more than
 ``bucket`` classes is split again by a position its path chooses, in a quarter of the cases by two
 (1.25 = 1 / 0.8 on average, so a pair at the threshold is expected to stay together), up to
-``depth`` times; what is still larger is compared block by block, every block pair a task of its
-own. Small buckets are brute-forced: exact intersections by a matrix product. ``runs`` repetitions
+``depth`` times, unless its signatures agree so far that it is one group of near copies; what
+stays larger is compared block by block, every block pair a task of its own, leaving out what
+another large bucket compares. Small buckets are brute-forced: exact intersections by a matrix product. ``runs`` repetitions
 make the recall: a pair at similarity s is missed by a share of about (1 - s ** d) ** runs when it
 splits d times, below one in a million at 0.8 for buckets that split once.
 
@@ -97,7 +98,20 @@ def _position(i: Column) -> Column:
     return F.element_at("sig", i.cast("int") + 1)
 
 
-def leaves(nodes: DataFrame, bucket: int, depth: int, runs: int) -> DataFrame:
+def _dense(large: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Paths whose classes agree with one of them in a share of ``least`` of the signature, on average: splitting would not part them.
+
+    About 64 classes of a path, chosen by hash, stand for it; the answer decides how the path is
+    worked on, not what is found.
+    """
+    chosen = large.where(F.pmod(F.xxhash64("path", "node"), F.greatest(F.lit(1).cast("long"), F.floor(F.col("size") / 64))) == 0)
+    signed = chosen.select("path", "node").join(nodes.select("node", "sig"), "node")
+    pivots = signed.groupBy("path").agg(F.min_by("sig", "node").alias("pivot"))
+    agree = F.size(F.filter(F.zip_with("sig", "pivot", lambda a, b: a == b), lambda x: x)) / POSITIONS
+    return signed.join(pivots, "path").groupBy("path").agg(F.avg(agree).alias("agree")).where(F.col("agree") >= least).select("path")
+
+
+def leaves(nodes: DataFrame, bucket: int, depth: int, runs: int, dense: float = 0.5) -> DataFrame:
     """(path, node, size): the buckets that the chosen paths end in."""
     first = nodes.select("node", F.posexplode(F.slice("sig", 1, runs)).alias("run", "v")).select(F.xxhash64("run", "v").alias("path"), "node")
     level = staged(_counted(first), "paths")
@@ -106,6 +120,9 @@ def leaves(nodes: DataFrame, bucket: int, depth: int, runs: int) -> DataFrame:
         large = level.where(F.col("size") > bucket)
         if large.isEmpty():
             return done
+        whole = staged(_dense(large, nodes, dense), f"dense_{step}")
+        done = done.unionByName(large.join(whole, "path", "left_semi").select(*done.columns))
+        large = large.join(whole, "path", "left_anti")
         one = F.pmod(F.xxhash64("path", F.lit(1)), F.lit(POSITIONS))
         two = F.pmod(F.xxhash64("path", F.lit(2)), F.lit(POSITIONS))
         chosen = F.when(F.pmod(F.xxhash64("path", F.lit(3)), F.lit(4)) == 0, F.array_distinct(F.array(one, two))).otherwise(F.array(one))
@@ -115,6 +132,24 @@ def leaves(nodes: DataFrame, bucket: int, depth: int, runs: int) -> DataFrame:
     return done
 
 
+def _blocked(large: DataFrame, block: int) -> DataFrame:
+    """(path, node, fresh, blocks, block): large buckets cut into blocks that are compared pair by pair.
+
+    Members whose lowest large path is one and the same other path have been compared there; the
+    most frequent such group of a bucket gets blocks of its own, numbered from ``fresh`` on, which
+    are compared with the first ``fresh`` blocks only.
+    """
+    own = large.groupBy("node").agg(F.min("path").alias("lowest"))
+    marked = large.select("path", "node").join(own, "node")
+    most = marked.where("lowest < path").groupBy("path", "lowest").agg(F.count(F.lit(1)).alias("n")).groupBy("path").agg(F.max_by("lowest", F.struct("n", "lowest")).alias("most"))
+    known = marked.join(most, "path", "left").withColumn("old", F.coalesce(F.col("lowest") == F.col("most"), F.lit(False)))
+    sizes = known.groupBy("path").agg(F.count_if(~F.col("old")).alias("n_new"), F.count_if("old").alias("n_old"))
+    sizes = sizes.select("path", F.ceil(F.col("n_new") / block).cast("int").alias("fresh"), F.ceil(F.col("n_old") / block).cast("int").alias("settled"))
+    h = F.xxhash64("node", F.lit(11))
+    number = F.when(F.col("old"), F.col("fresh") + F.pmod(h, F.greatest(F.col("settled"), F.lit(1)))).otherwise(F.pmod(h, F.greatest(F.col("fresh"), F.lit(1))))
+    return known.join(sizes, "path").where("fresh > 0").select("path", "node", "fresh", (F.col("fresh") + F.col("settled")).alias("blocks"), number.cast("int").alias("block"))
+
+
 def _links(sets: list[np.ndarray], lists: list[np.ndarray], here: int, rate: tuple[int, int], cross: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Matrices of linked pairs, and of those whose first shared bucket is ``here``.
 
@@ -174,11 +209,9 @@ def links(documents: DataFrame, nodes: DataFrame, paths: DataFrame, n: int, rate
     small, large = paths.where(F.col("size") <= bucket), paths.where(F.col("size") > bucket)
     groups = small.groupBy("path").agg(F.sort_array(F.collect_list("node")).alias("members"))  # at most ``bucket`` members
     kept = groups.groupBy(F.xxhash64("members").alias("h"), F.size("members").alias("s"), F.col("members")[0].alias("m")).agg(F.min_by("members", "path").alias("members"), F.min("path").alias("path"))
-    blocks = F.ceil(F.col("size") / bucket).cast("int")
-    block = F.pmod(F.xxhash64("node", F.lit(11)), blocks).cast("int")
-    parts = large.select("path", "node", blocks.alias("blocks"), block.alias("block"))
-    tasks = kept.select("path", F.explode("members").alias("node"), F.lit(1).alias("blocks"), F.lit(0).alias("block")).unionByName(parts)
-    lists = staged(tasks.groupBy("node").agg(F.collect_list(F.struct("path", "blocks", "block")).alias("on")), "lists")
+    alone = [F.lit(1).alias("fresh"), F.lit(1).alias("blocks"), F.lit(0).alias("block")]
+    tasks = kept.select("path", F.explode("members").alias("node"), *alone).unionByName(_blocked(large, 2 * bucket))
+    lists = staged(tasks.groupBy("node").agg(F.collect_list(F.struct("path", "fresh", "blocks", "block")).alias("on")), "lists")
     wanted = lists.join(nodes.select("node", "rep", "copies"), "node").select(F.col("rep").alias("doc_id"), "node", "copies", "on")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
 
@@ -193,7 +226,8 @@ def links(documents: DataFrame, nodes: DataFrame, paths: DataFrame, n: int, rate
                 held = np.array(sorted({x["path"] for x in on}), dtype="<i8").tobytes()
                 data = shingles.tobytes()
                 for x in on:
-                    for other in range(x["blocks"]):
+                    # settled blocks have been compared with each other elsewhere
+                    for other in range(x["blocks"] if x["block"] < x["fresh"] else x["fresh"]):
                         a, b = sorted((x["block"], other))
                         rows.append((x["path"], a, b, int(x["block"] != a), node, copies, held, data))
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
