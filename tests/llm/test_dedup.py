@@ -153,3 +153,26 @@ def test_join_odd_documents(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [1, 2, 3, 4, 5, 6, None, 8, 9]))
     assert jaccard_join.classes(no_documents(spark)).count() == 0
     assert F is not None
+
+
+def test_a_passage_inside_other_sentences_is_found(spark):
+    rnd = random.Random(5)
+    prose = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8))) for _ in range(n))
+    shared = prose(60)
+    rows = [(i, f"{prose(40)} {shared if i % 3 else prose(60)} {prose(40)}") for i in range(30)]
+    found = {r.doc_id: r for r in substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sorted(found) == [i for i in range(30) if i % 3 and i != 1]
+    for i, row in found.items():
+        cut = rows[i][1][row.start : row.end]
+        assert cut in shared and len(cut.split()) == row.n_words >= 30
+
+
+def test_long_units_are_cut_and_short_ones_are_not():
+    import numpy as np
+
+    hashes = np.full(70, 1, dtype=np.uint64)
+    hard = np.zeros(70, dtype=bool)
+    hard[69] = True
+    assert substring_dedup.units(hashes, hard, 4, 32, 8) == [(0, 32), (32, 64), (64, 70)]
+    hashes[[1, 40]] = 8
+    assert substring_dedup.units(hashes, hard, 4, 32, 8) == [(0, 32), (32, 41), (41, 70)]

@@ -104,6 +104,13 @@ def mixed_bits(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts as one line of bytes, a line end after each, and where every word of it starts and ends."""
+    line = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    edges = np.diff(_IS_SPACE[line].astype(np.int8), prepend=np.int8(1))
+    return line, np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words (A-Z lower-cased), one text after another, and the number of words of each text."""
     line = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)

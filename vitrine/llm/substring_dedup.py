@@ -1,11 +1,14 @@
 """Substring dedup by hashing units of text.
 
-Units are sentences within lines: a text is cut at line ends and after ``.``, ``!`` or ``?`` before
-white space. A unit is normalised (ASCII white space squeezed, A-Z lower-cased) and hashed to 128
-bits; digests are grouped over all documents and the earliest occurrence, by (doc_id, place), is
-kept. A unit of fewer than ``min_unit_words`` words is too common to mean anything and takes the
-verdict of its surroundings. Later occurrences that stand one after another form a passage;
-passages of ``min_words`` words or more are removed, with their offsets in the original text.
+Units are pieces of lines: a text is cut at line ends, after a word that ends in ``.``, ``!`` or
+``?``, after ``least`` words or more at a word whose hash is a multiple of ``every``, and after
+``most`` words at the latest. The third rule depends on the words alone, so a passage that was
+pasted into the middle of a sentence is cut alike in every document, but for its edges. A unit is
+normalised (ASCII white space squeezed, A-Z lower-cased) and hashed to 128 bits; digests are grouped
+over all documents and the earliest occurrence, by (doc_id, place), is kept. A unit of fewer than
+``least`` words is too common to mean anything and takes the verdict of its surroundings. Later
+occurrences that stand one after another form a passage; passages of ``min_words`` words or more are
+removed, with their offsets in the original text.
 
 Of each digest only a count and the first place travel to its group, pre-aggregated before the
 shuffle; units whose digest is unique end there. The join that marks later occurrences is a plain
@@ -19,7 +22,6 @@ columns are not read by ``repeats`` and pass through ``without_repeats``.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,60 +30,72 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import small_batches
+from vitrine.llm.common import doc_slices, small_batches, word_hashes, word_places
 
-_UNIT = re.compile(rb"[^\n]+?(?:[.!?]+(?=[\x20\x09\x0B-\x0D])|(?=\n)|\Z)")
+SLICE = 2_000_000
 
 
-def units(text: bytes) -> list[tuple[int, int, list[bytes]]]:
-    """(start, end, normalised words) of every unit, in bytes."""
-    return [(m.start(), m.end(), w) for m in _UNIT.finditer(text) if (w := m.group().lower().split())]
+def units(hashes: np.ndarray, hard: np.ndarray, least: int, most: int, every: int) -> list[tuple[int, int]]:
+    """(first word, end) of all units of a run of words; ``hard`` marks words that end one in any case."""
+    ends = np.flatnonzero(hard | (hashes % np.uint64(every) == 0))
+    out, begin = [], 0
+    for last, ends_here in zip(ends.tolist(), hard[ends].tolist()):
+        while last + 1 - begin > most:
+            out.append((begin, begin + most))
+            begin += most
+        if ends_here or last + 1 - begin >= least:
+            out.append((begin, last + 1))
+            begin = last + 1
+    return out
 
 
-def unit_table(documents: DataFrame, min_unit_words: int) -> DataFrame:
-    """(doc_id, place, start, end, words, h1, h2): the hashed units; ``place`` counts them within the document."""
+def unit_table(documents: DataFrame, least: int = 4, most: int = 32, every: int = 8) -> DataFrame:
+    """(doc_id, place, start, end, word, words, h1, h2): the hashed units; ``place`` counts them within the document, ``word`` is the first word's number."""
     small_batches(documents.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, places, starts, ends, sizes, digests = [], [], [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                if not text or doc_id is None:
-                    continue
-                plain = text.isascii()
-                # code point offset of a byte: how many bytes before it begin a character
-                before = None if plain else np.concatenate([[0], np.cumsum((np.frombuffer(text, dtype=np.uint8) & 0xC0) != 0x80)])
-                place = 0
-                for start, end, w in units(text):
-                    if len(w) < min_unit_words:
-                        continue
-                    docs.append(doc_id)
-                    places.append(place)
-                    starts.append(start if plain else int(before[start]))
-                    ends.append(end if plain else int(before[end]))
-                    sizes.append(len(w))
-                    digests.append(xxhash.xxh3_128_digest(b" ".join(w)))
-                    place += 1
-            halves = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+        for batch in doc_slices(batches, SLICE):
+            ids = np.array(batch.column(0).to_pylist(), dtype=np.int64)
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            hashes, counts = word_hashes(texts)
+            if not len(hashes):
+                continue
+            line, starts, ends = word_places(texts)
+            breaks = np.cumsum(line == 10)
+            hard = np.isin(line[ends - 1], (33, 46, 63))  # ! . ?
+            hard[:-1] |= breaks[starts[1:] - 1] > breaks[ends[:-1] - 1]
+            hard[-1] = True
+            found = np.array([(a, b) for a, b in units(hashes, hard, least, most, every) if b - a >= least], dtype=np.int64).reshape(-1, 2)
+            first, end = found[:, 0], found[:, 1]
+            firsts = np.concatenate([[0], np.cumsum(counts)])  # each text's first word
+            owner = np.searchsorted(firsts, first, "right") - 1
+            place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            # code points before a byte, counted from the start of its text
+            before = np.concatenate([[0], np.cumsum((line & 0xC0) != 0x80)])
+            offset = before[np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])][owner]
+            raw = hashes.tobytes()
+            halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in found.tolist()), dtype="<i8").reshape(-1, 2)
+            columns = (place, before[starts[first]] - offset, before[ends[end - 1]] - offset, first - firsts[owner], end - first)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), *[pa.array(x, pa.int32()) for x in (places, starts, ends, sizes)], pa.array(halves[:, 0]), pa.array(halves[:, 1])],
-                names=["doc_id", "place", "start", "end", "words", "h1", "h2"],
+                [pa.array(ids[owner]), *[pa.array(x.astype(np.int32)) for x in columns], pa.array(halves[:, 0]), pa.array(halves[:, 1])],
+                names=["doc_id", "place", "start", "end", "word", "words", "h1", "h2"],
             )
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, place int, start int, end int, words int, h1 long, h2 long")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+    return texts.mapInArrow(cut, "doc_id long, place int, start int, end int, word int, words int, h1 long, h2 long")
 
 
-def repeats(documents: DataFrame, min_words: int = 30, min_unit_words: int = 4) -> DataFrame:
+def repeats(documents: DataFrame, min_words: int = 30, **cuts: int) -> DataFrame:
     """(doc_id, start, end, n_words, first_doc): every repeated passage to remove, in code point offsets.
 
     ``first_doc`` is the lowest document that keeps one of the passage's units.
     """
-    table = unit_table(documents, min_unit_words)
+    table = unit_table(documents, **cuts)
     first = table.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "place")).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "kept")
     later = table.join(first, ["h1", "h2"]).where((F.col("kept.doc_id") != F.col("doc_id")) | (F.col("kept.place") != F.col("place")))
     own = Window.partitionBy("doc_id").orderBy("place")
     runs = later.withColumn("run", F.col("place") - F.row_number().over(own))
-    passages = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.min("kept.doc_id").alias("first_doc"))
+    passages = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max(F.col("word") + F.col("words")) - F.min("word")).cast("long").alias("n_words"), F.min("kept.doc_id").alias("first_doc"))
     return passages.where(F.col("n_words") >= min_words).select("doc_id", "start", "end", "n_words", "first_doc")
 
 
