@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import small_batches
+from vitrine.llm.common import small_batches, staged
 
 #: bytes kept in tokens: letters and digits of ASCII and everything beyond; A-Z are lower-cased, the rest parts tokens.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -131,13 +131,12 @@ class Model:
 
 def token_scores(counts: DataFrame, prior_share: float, min_z: float, max_tokens: int) -> DataFrame:
     """(token, score) of (token, toxic, clean) counts."""
-    sums = counts.agg(F.sum("toxic").alias("n1"), F.sum("clean").alias("n0"))
-    x = counts.crossJoin(F.broadcast(sums))  # sums is one row
+    n1, n0 = (F.lit(n or 0) for n in counts.agg(F.sum("toxic"), F.sum("clean")).first())
     prior = (F.col("toxic") + F.col("clean")) * prior_share
-    weight = (F.col("n1") + F.col("n0")) * prior_share
-    odds = lambda y, n: F.log((F.col(y) + prior) / (F.col(n) + weight - F.col(y) - prior))
+    weight = (n1 + n0) * prior_share
+    odds = lambda y, n: F.log((F.col(y) + prior) / (n + weight - F.col(y) - prior))
     z = F.col("score") / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
-    scored = x.withColumn("score", odds("toxic", "n1") - odds("clean", "n0")).withColumn("z", z)
+    scored = counts.withColumn("score", odds("toxic", n1) - odds("clean", n0)).withColumn("z", z)
     return scored.where(F.abs("z") >= min_z).orderBy(F.abs("z").desc(), "token").limit(max_tokens).select("token", "score")
 
 
@@ -153,7 +152,7 @@ def fit(documents: DataFrame, labels: DataFrame, training: Column | None = None,
     units = F.flatten(F.transform("tokens", lambda t: F.concat(F.array(t), F.transform(
         F.filter(F.array(*map(F.lit, PREFIXES)), lambda n: n <= F.length(t)), lambda n: F.concat(F.substring(t, F.lit(1), n), F.lit("*"))))))
     counts = texts.select("__toxic", F.explode(F.array_distinct(units)).alias("token")).groupBy("token").agg(F.sum("__toxic").alias("toxic"), F.sum(1 - F.col("__toxic")).alias("clean"))
-    table = token_scores(counts, prior_share, min_z, max_tokens).toPandas()  # at most max_tokens rows
+    table = token_scores(staged(counts, "token_counts"), prior_share, min_z, max_tokens).toPandas()  # at most max_tokens rows
     model = Model({t.encode(): float(np.clip(s, -3, 8)) for t, s in zip(table["token"], table["score"])}, -0.05)
     if not model.scores:
         return model
@@ -172,16 +171,18 @@ def fit(documents: DataFrame, labels: DataFrame, training: Column | None = None,
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.float64(), pa.int32(), pa.list_(pa.float64())))], names=names)
 
     plain = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("__toxic", "text")
-    seen = plain.mapInArrow(measure, "n long, best double, toxic int, rises array<double>").toPandas()  # at most max_labelled rows
+    measured = staged(plain.mapInArrow(measure, "n long, best double, toxic int, rises array<double>"), "measured")
+    seen = measured.select("n", "best", "toxic", F.size("rises").alias("marked")).toPandas()  # at most max_labelled rows of four numbers
     clean = seen[seen["toxic"] == 0]
     if clean.empty or len(clean) == len(seen):
         return model
-    share = [sum(map(len, x["rises"])) / max(1, int(x["n"].sum())) for x in (clean, seen[seen["toxic"] > 0])]
+    share = [int(x["marked"].sum()) / max(1, int(x["n"].sum())) for x in (clean, seen[seen["toxic"] > 0])]
     # the log-odds of all other tokens, taken together; at least so low that a clean text's mean is negative
-    scored = np.array([s for x in clean["rises"] for s in x])
-    n_other = max(1, int(clean["n"].sum()) - len(scored))
-    model.drift = float(min(np.log(max(1e-9, 1 - share[1]) / max(1e-9, 1 - share[0])), -1.5 * max(0.0, scored.sum()) / n_other, -0.02))
-    model.decay = _decay(scored, n_other, model.drift)
+    rises = measured.where("toxic = 0").select(F.explode("rises").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("times")).orderBy("s").toPandas()  # at most max_tokens scores
+    scored, times = rises["s"].to_numpy(dtype=float), rises["times"].to_numpy(dtype=np.int64)
+    n_other = max(1, int(clean["n"].sum() - times.sum()))
+    model.drift = float(min(np.log(max(1e-9, 1 - share[1]) / max(1e-9, 1 - share[0])), -1.5 * max(0.0, float(scored @ times)) / n_other, -0.02))
+    model.decay = _decay(scored, times, n_other, model.drift)
     # K from the clean documents' mean best score: E[max] = (log(K n) + Euler's constant) / decay
     model.log_k = float(np.clip(np.mean(model.decay * clean["best"] - np.log(np.maximum(1, clean["n"]))) - 0.5772, -30, 0))
     values = []
@@ -198,10 +199,10 @@ def fit(documents: DataFrame, labels: DataFrame, training: Column | None = None,
     return model
 
 
-def _decay(scored: np.ndarray, n_drift: int, drift: float) -> float:
+def _decay(scored: np.ndarray, times: np.ndarray, n_drift: int, drift: float) -> float:
     """The positive root of E[exp(x * score)] = 1 for a clean text's tokens."""
-    total = len(scored) + n_drift
-    f = lambda x: (np.exp(np.minimum(700, x * scored)).sum() + n_drift * np.exp(x * drift)) / total - 1
+    total = times.sum() + n_drift
+    f = lambda x: (np.exp(np.minimum(700, x * scored)) @ times + n_drift * np.exp(x * drift)) / total - 1
     low, high = 1e-4, 1e-4
     if f(low) >= 0:
         return 0.05  # the drift is too weak for these counts: a slow tail is assumed
@@ -229,7 +230,11 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def scored(documents: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """``documents`` with ``tox_score``, ``tox_predicted`` and ``tox_spans``: token ranges and scores of the significant passages."""
+    """``documents`` with ``tox_score``, ``tox_predicted`` and ``tox_spans``: token ranges and scores of the significant passages.
+
+    Columns that already have one of these names are replaced.
+    """
+    documents = documents.drop("tox_score", "tox_predicted", "tox_spans")
     small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
