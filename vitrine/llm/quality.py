@@ -115,8 +115,10 @@ def judged(documents: DataFrame, min_docs: int = 100, reach: int = 3, min_words:
         wide[k] = fences[k].groupBy(*[F.col(x).alias(f"{k}_{x}") for x in keys]).agg(F.struct(*[pick(upper, r).alias(r) for r in names], pick(lower, "word_length").alias("least_length")).alias(f"fence_{k}"))
     groups = fine.select("lang", "source").distinct()
     same = lambda side, *keys: [F.col(k).eqNullSafe(F.col(f"{side}_{k}")) for k in keys]
-    chosen = groups.join(wide["g"], same("g", "lang", "source"), "left").join(wide["l"], same("l", "lang"), "left").crossJoin(F.broadcast(wide["a"]))  # wide["a"] is one row
-    chosen = chosen.select(F.col("lang").alias("c_lang"), F.col("source").alias("c_source"), F.coalesce("fence_g", "fence_l", "fence_a").alias("fence"))
+    chosen = groups.join(wide["g"], same("g", "lang", "source"), "left").join(wide["l"], same("l", "lang"), "left")
+    overall = wide["a"].first()["fence_a"]  # one row
+    fence_a = F.struct(*[F.lit(overall[r]).cast("long").alias(r) for r in [*names, "least_length"]])
+    chosen = chosen.select(F.col("lang").alias("c_lang"), F.col("source").alias("c_source"), F.coalesce("fence_g", "fence_l", fence_a).alias("fence"))
     joined = rows.join(chosen, same("c", "lang", "source"), "left").drop("c_lang", "c_source")
     beyond = F.concat(
         *[F.when(F.col(r) > F.col(f"fence.{r}"), F.array(F.lit(r))).otherwise(F.array().cast("array<string>")) for r in names],
