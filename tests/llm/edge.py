@@ -1,6 +1,6 @@
 """Odd documents that every operator must handle."""
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, block string, path string, node string, h1 double, words string, tokens string, toxic string, target string, rank string, run string, kept string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, block string, path string, node string, h1 double, words string, tokens string, toxic string, target string, rank string, run string, kept string, mix_shard string, tox_score string, word string, place string"
 
 
 def odd_documents(spark):
@@ -9,7 +9,7 @@ def odd_documents(spark):
         (1, None, None, None, None), (2, "", "en", "a", 0), (3, " \n\t\n ", "en", None, 5), (4, "word " * 60_000, "en", "a", 300_000), (5, "x" * 200_000, None, "a", 200_000), (6, "Same line here\nother", "de", "b", 20),
         (7, "Same line here\nother", "de", "b", 20), (7, "Same line here\nother", "de", "b", 20), (None, "no id but words", "en", "b", 15), (8, "é ü 漢字 😀 ​\n\n#", "fr", "", 12), (9, "a b c", "en", "a", 5), (10, "A B C", "en", "a", 5),
     ]
-    return spark.createDataFrame([(*r, *[None if i % 2 else x for i, x in enumerate((5, "b", "p", "n", 0.5, "w", "t", "t", "g", "r", "u", "k"))]) for r in rows], SCHEMA)
+    return spark.createDataFrame([(*r, *[None if i % 2 else x for i, x in enumerate((5, "b", "p", "n", 0.5, "w", "t", "t", "g", "r", "u", "k", "m", "x", "v", "c"))]) for r in rows], SCHEMA)
 
 
 def no_documents(spark):

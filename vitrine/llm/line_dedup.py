@@ -13,7 +13,7 @@ only makes more suspects. The confirmed keys are broadcast while they are below
 Cases: a null or empty text is one empty line (kept); the empty key counts only if ``min_chars`` is
 0; a key repeated within one document counts once; an empty table gives an empty result; repeated
 rows (same ``doc_id``) are documents of their own; other columns pass through untouched, whatever
-their names.
+their names, but columns named as the results are replaced.
 """
 
 from __future__ import annotations
@@ -142,7 +142,7 @@ def repeated_keys(documents: DataFrame, min_docs: int = 10, min_chars: int = 1,
 
 def _rewritten(documents: DataFrame, drops: Iterator, keep_first: bool, extra: str) -> DataFrame:
     """``documents`` with new text and counts; ``drops(batch)`` gives a test of digests for each of its rows."""
-    kept = [f for f in documents.schema.fields if f.name not in ("text", "__drop")]
+    kept = [f for f in documents.schema.fields if f.name not in ("text", "__drop", "__text", "__n_lines", "__n_dropped", "__sha256")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

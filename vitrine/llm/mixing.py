@@ -163,8 +163,10 @@ def mix_plan(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budge
 def mixed(documents: DataFrame, shards: int = 16, seed: int = 20, **options) -> DataFrame:
     """The mix itself: a row for each copy of a document with ``mix_copy``, ``mix_shard`` and ``mix_order``, its hash order within the shard.
 
-    Documents are found by ``doc_id``; rows of one ``doc_id`` share a plan.
+    Documents are found by ``doc_id``; rows of one ``doc_id`` share a plan. Columns that already have
+    one of the three names are replaced.
     """
+    documents = documents.drop("mix_copy", "mix_shard", "mix_order", "__shards")
     plan = mix_plan(documents, shards=shards, seed=seed, **options).groupBy("doc_id").agg(F.first("shards").alias("__shards"))
     rows = documents.join(plan, documents["doc_id"].eqNullSafe(plan["doc_id"])).drop(plan["doc_id"])
     out = rows.select("*", F.posexplode("__shards").alias("mix_copy", "mix_shard")).drop("__shards")
