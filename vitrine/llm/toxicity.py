@@ -25,6 +25,7 @@ result; repeated rows are scored alike; ties between segments go to the earlier
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -158,28 +159,34 @@ def fit(documents: DataFrame, labels: DataFrame, training: Column | None = None,
         return model
 
     shared = spark.sparkContext.broadcast(model)
-    names = ["n", "best", "toxic", "rises"]
+    kinds = {"n": pa.int64(), "best": pa.float64(), "toxic": pa.int32(), "marked": pa.int64(), "scores": pa.list_(pa.float64()), "times": pa.list_(pa.int64())}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        """A row for each document and, without ``n``, one for the token scores of the task's clean documents."""
+        m, clean = shared.value, Counter()
+        as_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(kinds.values())], names=list(kinds))
         for batch in batches:
             out = []
             for toxic, words in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 own = tokens(words or b"")
-                segs = m.segments(own)
-                out.append((len(own), max((s for *_, s in segs), default=0.0), toxic, [s for w in own if (s := m.token_score(w)) is not None]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.float64(), pa.int32(), pa.list_(pa.float64())))], names=names)
+                rises = Counter(s for w in own if (s := m.token_score(w)) is not None)
+                if not toxic:
+                    clean.update(rises)
+                out.append((len(own), max((s for *_, s in m.segments(own)), default=0.0), toxic, rises.total(), None, None))
+            yield as_batch(out)
+        if clean:
+            yield as_batch([(None, None, None, None, list(clean), list(clean.values()))])
 
     plain = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("__toxic", "text")
-    measured = staged(plain.mapInArrow(measure, "n long, best double, toxic int, rises array<double>"), "measured")
-    seen = measured.select("n", "best", "toxic", F.size("rises").alias("marked")).toPandas()  # at most max_labelled rows of four numbers
+    measured = staged(plain.mapInArrow(measure, "n long, best double, toxic int, marked long, scores array<double>, times array<long>"), "measured")
+    seen = measured.where("n IS NOT NULL").select("n", "best", "toxic", "marked").toPandas()  # at most max_labelled rows of four numbers
     clean = seen[seen["toxic"] == 0]
     if clean.empty or len(clean) == len(seen):
         return model
     share = [int(x["marked"].sum()) / max(1, int(x["n"].sum())) for x in (clean, seen[seen["toxic"] > 0])]
     # the log-odds of all other tokens, taken together; at least so low that a clean text's mean is negative
-    rises = measured.where("toxic = 0").select(F.explode("rises").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("times")).orderBy("s").toPandas()  # at most max_tokens scores
-    scored, times = rises["s"].to_numpy(dtype=float), rises["times"].to_numpy(dtype=np.int64)
+    rises = measured.select(F.explode(F.arrays_zip("scores", "times")).alias("x")).groupBy("x.scores").agg(F.sum("x.times").alias("times")).orderBy("scores").toPandas()  # at most max_tokens scores
+    scored, times = rises["scores"].to_numpy(dtype=float), rises["times"].to_numpy(dtype=np.int64)
     n_other = max(1, int(clean["n"].sum() - times.sum()))
     model.drift = float(min(np.log(max(1e-9, 1 - share[1]) / max(1e-9, 1 - share[0])), -1.5 * max(0.0, float(scored @ times)) / n_other, -0.02))
     model.decay = _decay(scored, times, n_other, model.drift)
