@@ -170,9 +170,14 @@ def test_a_passage_inside_other_sentences_is_found(spark):
 def test_long_units_are_cut_and_short_ones_are_not():
     import numpy as np
 
-    hashes = np.full(70, 1, dtype=np.uint64)
-    hard = np.zeros(70, dtype=bool)
-    hard[69] = True
-    assert substring_dedup.units(hashes, hard, 4, 32, 8) == [(0, 32), (32, 64), (64, 70)]
-    hashes[[1, 40]] = 8
-    assert substring_dedup.units(hashes, hard, 4, 32, 8) == [(0, 32), (32, 41), (41, 70)]
+    chosen, sentence, line = (np.zeros(70, dtype=bool) for _ in range(3))
+    line[69] = True
+    assert substring_dedup.units(chosen, sentence, line, 4, 32) == [(0, 32), (32, 64), (64, 70)]
+    chosen[[1, 40]] = True
+    assert substring_dedup.units(chosen, sentence, line, 4, 32) == [(0, 32), (32, 41), (41, 70)]
+    sentence[[2, 42]] = True  # a tiny sentence, and one that ends soon after a cut
+    assert substring_dedup.units(chosen, sentence, line, 4, 32) == [(0, 3), (3, 35), (35, 41), (41, 43), (43, 70)]
+    sentence[:12] = True  # of tiny sentences in a row, all but the first join
+    assert substring_dedup.units(chosen, sentence, line, 4, 32)[:5] == [(0, 1), (1, 5), (5, 6), (6, 10), (10, 11)]
+    line[1] = True
+    assert substring_dedup.units(chosen, sentence, line, 4, 32)[:2] == [(0, 1), (1, 2)]

@@ -1,9 +1,10 @@
 """Substring dedup by hashing units of text.
 
 Units are pieces of lines: a text is cut at line ends, after a word that ends in ``.``, ``!`` or
-``?``, after ``least`` words or more at a word whose hash is a multiple of ``every``, and after
-``most`` words at the latest. The third rule depends on the words alone, so a passage that was
-pasted into the middle of a sentence is cut alike in every document, but for its edges. A unit is
+``?`` (of several sentences of fewer than ``least`` words in a row all but the first join), after ``least``
+words or more at a word whose hash is a multiple of ``every``, and after ``most`` words at the
+latest. The last two rules depend on the words alone, so a passage that was pasted into the middle
+of a sentence is cut alike in every document, but for its edges. A unit is
 normalised (ASCII white space squeezed, A-Z lower-cased) and hashed to 128 bits; digests are grouped
 over all documents and the earliest occurrence, by (doc_id, place), is kept. A unit of fewer than
 ``least`` words is too common to mean anything and takes the verdict of its surroundings. Later
@@ -35,21 +36,23 @@ from vitrine.llm.common import doc_slices, small_batches, word_hashes, word_plac
 SLICE = 2_000_000
 
 
-def units(hashes: np.ndarray, hard: np.ndarray, least: int, most: int, every: int) -> list[tuple[int, int]]:
-    """(first word, end) of all units of a run of words; ``hard`` marks words that end one in any case."""
-    ends = np.flatnonzero(hard | (hashes % np.uint64(every) == 0))
-    out, begin = [], 0
-    for last, ends_here in zip(ends.tolist(), hard[ends].tolist()):
+def units(chosen: np.ndarray, sentence: np.ndarray, line: np.ndarray, least: int, most: int) -> list[tuple[int, int]]:
+    """(first word, end) of all units of a run of words; the marks say which words are chosen by hash, end a sentence, end a line."""
+    marked = np.flatnonzero(chosen | sentence | line)
+    out, begin, inside, tiny = [], 0, False, False  # inside: the last cut was within a sentence; tiny: it ended a tiny sentence
+    for last, ends_sentence, ends_line in zip(marked.tolist(), sentence[marked].tolist(), line[marked].tolist()):
         while last + 1 - begin > most:
             out.append((begin, begin + most))
-            begin += most
-        if ends_here or last + 1 - begin >= least:
+            begin, inside, tiny = begin + most, True, False
+        short = last + 1 - begin < least
+        if ends_line or not short or (ends_sentence and (inside or not tiny)):
             out.append((begin, last + 1))
-            begin = last + 1
+            tiny = short and not inside and not ends_line
+            begin, inside = last + 1, not (ends_sentence or ends_line)
     return out
 
 
-def unit_table(documents: DataFrame, least: int = 4, most: int = 32, every: int = 8) -> DataFrame:
+def unit_table(documents: DataFrame, least: int = 4, most: int = 24, every: int = 8) -> DataFrame:
     """(doc_id, place, start, end, word, words, h1, h2): the hashed units; ``place`` counts them within the document, ``word`` is the first word's number."""
     small_batches(documents.sparkSession)
 
@@ -62,10 +65,10 @@ def unit_table(documents: DataFrame, least: int = 4, most: int = 32, every: int
                 continue
             line, starts, ends = word_places(texts)
             breaks = np.cumsum(line == 10)
-            hard = np.isin(line[ends - 1], (33, 46, 63))  # ! . ?
-            hard[:-1] |= breaks[starts[1:] - 1] > breaks[ends[:-1] - 1]
-            hard[-1] = True
-            found = np.array([(a, b) for a, b in units(hashes, hard, least, most, every) if b - a >= least], dtype=np.int64).reshape(-1, 2)
+            last_in_line = np.ones(len(hashes), dtype=bool)
+            last_in_line[:-1] = breaks[starts[1:] - 1] > breaks[ends[:-1] - 1]
+            marks = (hashes % np.uint64(every) == 0, np.isin(line[ends - 1], (33, 46, 63)), last_in_line)  # ! . ?
+            found = np.array([(a, b) for a, b in units(*marks, least, most) if b - a >= least], dtype=np.int64).reshape(-1, 2)
             first, end = found[:, 0], found[:, 1]
             firsts = np.concatenate([[0], np.cumsum(counts)])  # each text's first word
             owner = np.searchsorted(firsts, first, "right") - 1
