@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import doc_slices, small_batches, word_hashes, word_places
+from vitrine.llm.common import doc_slices, small_batches, staged, word_hashes, word_places
 
 SLICE = 2_000_000
 
@@ -95,6 +95,7 @@ def repeats(documents: DataFrame, min_words: int = 30, **cuts: int) -> DataFrame
     """
     table = unit_table(documents, **cuts)
     first = table.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "place")).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "kept")
+    first = staged(first, "first_places")  # else the join runs in the stage of the grouping, where hot partitions can't be split
     later = table.join(first, ["h1", "h2"]).where((F.col("kept.doc_id") != F.col("doc_id")) | (F.col("kept.place") != F.col("place")))
     own = Window.partitionBy("doc_id").orderBy("place")
     runs = later.withColumn("run", F.col("place") - F.row_number().over(own))
