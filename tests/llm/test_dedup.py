@@ -181,3 +181,19 @@ def test_long_units_are_cut_and_short_ones_are_not():
     assert substring_dedup.units(chosen, sentence, line, 4, 32)[:5] == [(0, 1), (1, 5), (5, 6), (6, 10), (10, 11)]
     line[1] = True
     assert substring_dedup.units(chosen, sentence, line, 4, 32)[:2] == [(0, 1), (1, 2)]
+
+
+def spans_of(spark, texts):
+    rows = substring_dedup.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(r.n_words == len(texts[r.doc_id][r.start : r.end].split()) for r in rows)
+    return sorted((r.doc_id, texts[r.doc_id][r.start : r.end]) for r in rows)
+
+
+def test_unique_lines_between_repeated_ones_stay(spark):
+    header, footer = "please fill in this form completely", "return it signed before next friday"
+    texts = ["\n".join([header, *(f"{k}name{i} {k}value{i}" for k in range(20)), footer]) for i in range(4)]
+    assert spans_of(spark, texts) == []
+    passage = "\n".join(f"line {k} of a passage that is shared" for k in range(10))
+    texts = [f"{passage}\n{k} own\nlines {k}\n{k} here\n{passage.upper()}" for k in "abc"]
+    assert all(" own" not in cut and "lines" not in cut and " here" not in cut for _, cut in spans_of(spark, texts))
+    assert [i for i, _ in spans_of(spark, texts)] == [0, 1, 1, 2, 2]

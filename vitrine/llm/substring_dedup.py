@@ -1,22 +1,28 @@
 """Substring dedup by hashing units of text.
 
-Units are pieces of lines: a text is cut at line ends, after a word that ends in ``.``, ``!`` or
-``?`` (of several sentences of fewer than ``least`` words in a row all but the first join), after ``least``
-words or more at a word whose hash is a multiple of ``every``, and after ``most`` words at the
-latest. The last two rules depend on the words alone, so a passage that was pasted into the middle
-of a sentence is cut alike in every document, but for its edges. A unit is
-normalised (ASCII white space squeezed, A-Z lower-cased) and hashed to 128 bits; digests are grouped
-over all documents and the earliest occurrence, by (doc_id, place), is kept. A unit of fewer than
-``least`` words is too common to mean anything and takes the verdict of its surroundings. Later
-occurrences that stand one after another form a passage; passages of ``min_words`` words or more are
-removed, with their offsets in the original text.
+A unit is ``unit`` words in a row; white space, line ends and sentences play no part, and A-Z count
+as a-z. Of each ``min_words - unit + 1`` units that begin one after another the one with the least
+hash is taken (winnowing), so which units are taken depends on the words alone, and a passage of
+``min_words`` words shares a unit with each of its other occurrences wherever it stands, in prose as in
+lists of short lines. Taken units are hashed to 128 bits; digests are grouped over all documents and
+the earliest occurrence, by (doc_id, first word), is kept.
+
+Later occurrences that overlap or touch form a run, so every word of a run stands in a unit that
+occurs earlier, and no unique text lies within. A run stops up to ``min_words - unit`` words short of
+its passage at each end; there it is extended word by word along the first occurrence of its outermost unit.
+Runs that touch now join, and those of ``min_words`` words or more are removed, with their exact
+offsets in the original text. At the defaults a passage of 50 words or more is found for certain, as
+its run has 30 words before it is extended; the extension is short where the outermost unit's first occurrence
+is another one than the passage's.
 
 Of each digest only a count and the first place travel to its group, pre-aggregated before the
 shuffle; units whose digest is unique end there. The join that marks later occurrences is a plain
-equi-join whose hot partitions adaptive execution splits.
+equi-join whose hot partitions adaptive execution splits. Texts are joined once to the places where
+runs end, for the words around them.
 
-Cases: null and empty texts have no units; a passage within one document that repeats there is a
-repeat too; equal documents keep the first whole; repeated rows (same doc_id) share their places, so
+Cases: null and empty texts have no units; documents without a doc_id are neither searched nor cut; a
+passage within one document that repeats there is a repeat too, its first occurrence staying whole where the two
+overlap; equal documents keep the first whole; repeated rows (same doc_id) share their places, so
 one of them is kept only as a whole with the other; an empty table gives an empty result; other
 columns are not read by ``repeats`` and pass through ``without_repeats``.
 """
@@ -31,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import doc_slices, small_batches, staged, word_hashes, word_places
+from vitrine.llm.common import doc_slices, mixed_bits, small_batches, staged, word_hashes, word_places
 
 SLICE = 2_000_000
 
@@ -52,54 +58,127 @@ def units(chosen: np.ndarray, sentence: np.ndarray, line: np.ndarray, least: int
     return out
 
 
-def unit_table(documents: DataFrame, least: int = 4, most: int = 24, every: int = 8) -> DataFrame:
-    """(doc_id, place, start, end, word, words, h1, h2): the hashed units; ``place`` counts them within the document, ``word`` is the first word's number."""
+def winnowed(hashes: np.ndarray, counts: np.ndarray, unit: int, window: int) -> np.ndarray:
+    """First words of the units taken: of each ``window`` units in a row within a text the one with the least hash."""
+    n = len(hashes) - unit + 1
+    if n < window:
+        return np.zeros(0, dtype=np.int64)
+    mixed = np.zeros(n, dtype=np.uint64)
+    for i in range(unit):
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + n]
+    least = np.lib.stride_tricks.sliding_window_view(mixed_bits(mixed), window).argmin(axis=1)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    begins = np.flatnonzero(owner[: len(least)] == owner[unit + window - 2 :])
+    return np.unique(begins + least[begins])
+
+
+def unit_table(documents: DataFrame, unit: int = 20, window: int = 11) -> DataFrame:
+    """(doc_id, word, h1, h2): the hashed units; ``word`` is the first word's number."""
     small_batches(documents.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in doc_slices(batches, SLICE):
             ids = np.array(batch.column(0).to_pylist(), dtype=np.int64)
+            hashes, counts = word_hashes([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])
+            first = winnowed(hashes, counts, unit, window)
+            firsts = np.concatenate([[0], np.cumsum(counts)])  # each text's first word
+            owner = np.searchsorted(firsts, first, "right") - 1
+            raw = hashes.tobytes()
+            halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[8 * a : 8 * (a + unit)]) for a in first.tolist()), dtype="<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[owner]), pa.array((first - firsts[owner]).astype(np.int32)), pa.array(halves[:, 0]), pa.array(halves[:, 1])],
+                names=["doc_id", "word", "h1", "h2"],
+            )
+
+    return _texts(documents).mapInArrow(cut, "doc_id long, word int, h1 long, h2 long")
+
+
+def _texts(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+
+
+def surroundings(documents: DataFrame, places: DataFrame, reach: int) -> DataFrame:
+    """(doc_id, place, around, offsets) of ``places`` (doc_id, place): the hashes of up to ``reach`` words, and the code point offsets of the place moved by 0, 1, ... of them.
+
+    A place is twice the number of a word, for the words before it from right to left and where they
+    start; or that and one, for the words from it on and where they end.
+    """
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in doc_slices(batches, SLICE):
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             hashes, counts = word_hashes(texts)
             if not len(hashes):
                 continue
             line, starts, ends = word_places(texts)
-            breaks = np.cumsum(line == 10)
-            last_in_line = np.ones(len(hashes), dtype=bool)
-            last_in_line[:-1] = breaks[starts[1:] - 1] > breaks[ends[:-1] - 1]
-            marks = (hashes % np.uint64(every) == 0, np.isin(line[ends - 1], (33, 46, 63)), last_in_line)  # ! . ?
-            found = np.array([(a, b) for a, b in units(*marks, least, most) if b - a >= least], dtype=np.int64).reshape(-1, 2)
-            first, end = found[:, 0], found[:, 1]
-            firsts = np.concatenate([[0], np.cumsum(counts)])  # each text's first word
-            owner = np.searchsorted(firsts, first, "right") - 1
-            place = np.arange(len(owner)) - np.searchsorted(owner, owner)
-            # code points before a byte, counted from the start of its text
+            asked = batch.column(2)
+            owner = np.repeat(np.arange(len(texts)), asked.value_lengths().to_numpy(zero_copy_only=False))
+            place = asked.flatten().to_numpy(zero_copy_only=False)
+            firsts = np.concatenate([[0], np.cumsum(counts)])
+            inside = place // 2 <= counts[owner]  # always, but for other rows with this doc_id
+            owner, place = owner[inside], place[inside]
+            word, ahead = firsts[owner] + place // 2, place % 2 == 1
+            n = np.minimum(np.where(ahead, firsts[owner + 1] - word, word - firsts[owner]), reach)
+            step = np.where(ahead, 1, -1)[:, None]
+            moved = np.where(ahead, word - 1, word)[:, None] + step * np.arange(reach + 1)  # the outermost word of the moved place
+            used = np.arange(reach + 1) <= n[:, None]
+            moved = np.clip(moved, 0, len(starts) - 1)
             before = np.concatenate([[0], np.cumsum((line & 0xC0) != 0x80)])
-            offset = before[np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])][owner]
-            raw = hashes.tobytes()
-            halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in found.tolist()), dtype="<i8").reshape(-1, 2)
-            columns = (place, before[starts[first]] - offset, before[ends[end - 1]] - offset, first - firsts[owner], end - first)
+            origin = before[np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])][owner]
+            offsets = (np.where(ahead[:, None], before[ends[moved]], before[starts[moved]]) - origin[:, None]).astype(np.int32)
+            ids = np.array(batch.column(0).to_pylist(), dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[owner]), *[pa.array(x.astype(np.int32)) for x in columns], pa.array(halves[:, 0]), pa.array(halves[:, 1])],
-                names=["doc_id", "place", "start", "end", "word", "words", "h1", "h2"],
+                [
+                    pa.array(ids[owner]), pa.array(place.astype(np.int32)),
+                    pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), pa.array(hashes[moved[:, 1:][used[:, 1:]]].view(np.int64))),
+                    pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n + 1)]).astype(np.int32), pa.array(offsets[used])),
+                ],
+                names=["doc_id", "place", "around", "offsets"],
             )
 
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    return texts.mapInArrow(cut, "doc_id long, place int, start int, end int, word int, words int, h1 long, h2 long")
+    small_batches(documents.sparkSession)
+    wanted = places.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    found = _texts(documents).join(wanted, "doc_id").select("doc_id", "text", "places").mapInArrow(look, "doc_id long, place int, around array<long>, offsets array<int>")
+    return found
 
 
-def repeats(documents: DataFrame, min_words: int = 30, **cuts: int) -> DataFrame:
+def repeats(documents: DataFrame, min_words: int = 30, unit: int = 20) -> DataFrame:
     """(doc_id, start, end, n_words, first_doc): every repeated passage to remove, in code point offsets.
 
     ``first_doc`` is the lowest document that keeps one of the passage's units.
     """
-    table = unit_table(documents, **cuts)
-    first = table.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "place")).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "kept")
+    unit = min(unit, min_words)
+    reach = min_words - unit + 1
+    table = unit_table(documents, unit, reach)
+    first = table.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "word")).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "kept")
     first = staged(first, "first_places")  # else the join runs in the stage of the grouping, where hot partitions can't be split
-    later = table.join(first, ["h1", "h2"]).where((F.col("kept.doc_id") != F.col("doc_id")) | (F.col("kept.place") != F.col("place")))
-    own = Window.partitionBy("doc_id").orderBy("place")
-    runs = later.withColumn("run", F.col("place") - F.row_number().over(own))
-    passages = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max(F.col("word") + F.col("words")) - F.min("word")).cast("long").alias("n_words"), F.min("kept.doc_id").alias("first_doc"))
+    later = table.join(first, ["h1", "h2"]).where((F.col("kept.doc_id") != F.col("doc_id")) | (F.col("kept.word") != F.col("word")))
+    # a unit that overlaps its own first occurrence leaves that whole
+    begin = F.when(F.col("kept.doc_id") == F.col("doc_id"), F.greatest("word", F.col("kept.word") + unit)).otherwise(F.col("word"))
+    own = Window.partitionBy("doc_id").orderBy("word")
+    apart = later.select("doc_id", "word", "kept", begin.alias("begin")).withColumn("apart", F.coalesce((F.col("begin") > F.lag("word").over(own) + unit).cast("int"), F.lit(1)))
+    numbered = apart.withColumn("run", F.sum("apart").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = numbered.groupBy("doc_id", "run").agg(F.min("begin").alias("begin"), (F.max("word") + unit).alias("end"), F.min_by("kept", F.struct("begin", "word")).alias("left"), F.max_by("kept", "word").alias("right"), F.min("kept.doc_id").alias("first_doc"))
+    room = F.when(F.col("left.doc_id") == F.col("doc_id"), F.col("begin") - F.col("left.word") - unit).otherwise(F.lit(reach))
+    side = lambda place, kept, kept_place, room: F.struct(place.alias("place"), F.col(f"{kept}.doc_id").alias("kept_doc"), kept_place.alias("kept_place"), room.alias("room"))
+    sides = F.array(side(F.col("begin") * 2, "left", F.col("left.word") * 2, room), side(F.col("end") * 2 + 1, "right", (F.col("right.word") + unit) * 2 + 1, F.lit(reach)))
+    sides = staged(runs.select("doc_id", "run", "first_doc", F.explode(sides).alias("s")).select("doc_id", "run", "first_doc", "s.*"), "run_ends")
+    around = staged(surroundings(documents, sides.select("doc_id", "place").union(sides.select("kept_doc", "kept_place")), reach), "surroundings").dropDuplicates(["doc_id", "place"])
+    kept = around.select(F.col("doc_id").alias("kept_doc"), F.col("place").alias("kept_place"), F.col("around").alias("kept_around"))
+    joined = sides.join(around, ["doc_id", "place"]).join(kept, ["kept_doc", "kept_place"])
+    differs = F.array_position(F.zip_with("around", "kept_around", lambda a, b: a.eqNullSafe(b)), False).cast("int")
+    more = F.least(F.when(differs > 0, differs - 1).otherwise(F.size("around")), F.col("room"))
+    moved = joined.withColumn("more", more).withColumn("at", F.element_at("offsets", F.col("more") + 1))
+    ahead = F.col("place") % 2 == 1
+    word = F.floor(F.col("place") / 2)
+    spans = moved.groupBy("doc_id", "run").agg(
+        F.max(F.when(~ahead, F.col("at"))).alias("start"), F.max(F.when(ahead, F.col("at"))).alias("end"), F.max(F.when(~ahead, word - F.col("more"))).alias("begin"), F.max(F.when(ahead, word + F.col("more"))).alias("until"),
+        F.min("first_doc").alias("first_doc"),
+    )
+    own = Window.partitionBy("doc_id").orderBy("begin", "until")
+    apart = spans.withColumn("apart", F.coalesce((F.col("begin") > F.max("until").over(own.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1)))
+    passages = apart.withColumn("passage", F.sum("apart").over(own.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "passage").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("until") - F.min("begin")).cast("long").alias("n_words"), F.min("first_doc").alias("first_doc"))
     return passages.where(F.col("n_words") >= min_words).select("doc_id", "start", "end", "n_words", "first_doc")
 
 
