@@ -197,3 +197,11 @@ def test_unique_lines_between_repeated_ones_stay(spark):
     texts = [f"{passage}\n{k} own\nlines {k}\n{k} here\n{passage.upper()}" for k in "abc"]
     assert all(" own" not in cut and "lines" not in cut and " here" not in cut for _, cut in spans_of(spark, texts))
     assert [i for i, _ in spans_of(spark, texts)] == [0, 1, 1, 2, 2]
+
+
+def test_passages_of_short_lines_are_found(spark):
+    rnd = random.Random(11)
+    word = lambda: f"w{rnd.randrange(10**7)}"
+    poem = [word() for _ in range(60)]
+    texts = [f"{word()}\n{word()} " + "\n".join(" ".join(poem[i : i + n]) for i in range(0, 60, n)) + f"\n{word()}" for n in (1, 2, 3, 1, 60)]
+    assert [(i, cut.split()) for i, cut in spans_of(spark, texts)] == [(i, poem) for i in (1, 2, 3, 4)]
