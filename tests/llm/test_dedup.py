@@ -205,3 +205,15 @@ def test_passages_of_short_lines_are_found(spark):
     poem = [word() for _ in range(60)]
     texts = [f"{word()}\n{word()} " + "\n".join(" ".join(poem[i : i + n]) for i in range(0, 60, n)) + f"\n{word()}" for n in (1, 2, 3, 1, 60)]
     assert [(i, cut.split()) for i, cut in spans_of(spark, texts)] == [(i, poem) for i in (1, 2, 3, 4)]
+
+
+def test_every_passage_of_fifty_words_is_found_with_its_edges(spark):
+    rnd = random.Random(12)
+    prose = lambda n: " ".join(f"w{rnd.randrange(10**7)}" for _ in range(n))
+    shared = [prose(n) for n in (30, 50, 51, 55, 60) for _ in range(60)]
+    texts = [f"{prose(rnd.randrange(60))} {s} {prose(rnd.randrange(60))}." for _ in range(2) for s in shared]
+    assert spans_of(spark, texts) == [(i + len(shared), s) for i, s in enumerate(shared)]
+
+
+def test_words_repeated_within_a_text_keep_the_first_occurrence(spark):
+    assert spans_of(spark, ["word " * 100, "word " * 100]) == [(0, ("word " * 80).strip()), (1, ("word " * 100).strip())]
