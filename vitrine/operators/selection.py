@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,21 +71,43 @@ def without_near_duplicates(images: DataFrame, key: str, excluded: DataFrame | N
     return lists.select(key, F.explode(kept).alias("__k")).select(key, "__k.*")
 
 
-def near_pairs(hashes: DataFrame, most: int = 6) -> DataFrame:
-    """(a, b, distance) of all hashes (id, high, low) at most ``most`` bits apart.
+def hash_members(hashes: DataFrame) -> DataFrame:
+    """(id, representative, copies) of every row of hashes (id, high, low): the lowest id with the same hash, and how many rows have it.
+
+    Joined to :func:`near_pairs` on both sides, it gives the pairs of all rows; rows with one representative are 0 bits apart.
+    """
+    nodes = hashes.groupBy("high", "low").agg(F.min("id").alias("representative"), F.count(F.lit(1)).alias("copies"))
+    same = [F.col(f"h.{c}").eqNullSafe(F.col(f"n.{c}")) for c in ("high", "low")]
+    return hashes.alias("h").join(nodes.alias("n"), same).select("h.id", "n.representative", "n.copies")
+
+
+def near_pairs(hashes: DataFrame, most: int = 6, block: int = 512) -> DataFrame:
+    """(a, b, distance) of all different hashes (id, high, low) at most ``most`` bits apart, each under its lowest id.
 
     By the pigeonhole principle, two 64-bit hashes within ``most`` bits agree in one of ``most`` + 1
-    chunks; only hashes that share a chunk are compared. Equal hashes are one node, so a group of
-    copies is compared once.
+    chunks, and in two of ``most`` + 2; only hashes that share a chunk, or two where that takes at most 100 keys,
+    are compared. The nodes of a key with more than ``block`` are split into blocks that are compared
+    pair by pair, so no task holds a large key. Equal hashes are one node, so a group of
+    copies is compared once; :func:`hash_members` has its members.
     """
-    chunks = most + 1
+    joint = 2 if (most + 2) * (most + 1) // 2 <= 100 else 1
+    chunks = most + joint
     bits = F.concat(F.lpad(F.bin("high"), 32, "0"), F.lpad(F.bin("low"), 32, "0"))
-    width = -(-64 // chunks)
-    nodes = hashes.groupBy("high", "low").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    keyed = nodes.withColumn("__chunk", F.explode(F.array(*[F.concat(F.lit(f"{i}:"), F.substring(bits, 1 + i * width, width)) for i in range(chunks)])))
-    a, b = keyed.select("__chunk", F.struct("id", "high", "low", "copies").alias("a")), keyed.select("__chunk", F.struct("id", "high", "low", "copies").alias("b"))
+    edges = [i * 64 // chunks for i in range(chunks + 1)]
+    chunk = lambda i: F.substring(bits, 1 + edges[i], edges[i + 1] - edges[i])
+    nodes = hashes.groupBy("high", "low").agg(F.min("id").alias("id"))
+    keyed = nodes.withColumn("__chunk", F.explode(F.array(*[F.concat(F.lit(":".join(map(str, c)) + ":"), *map(chunk, c)) for c in combinations(range(chunks), joint)])))
+    sizes = keyed.groupBy("__chunk").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__blocks"))
+    placed = keyed.join(sizes.where("__blocks > 1"), "__chunk", "left").withColumn("__blocks", F.coalesce("__blocks", F.lit(1)))
+    placed = placed.withColumn("__block", F.pmod(F.xxhash64("id"), F.col("__blocks")).cast("int"))
+    # a node goes to the pairs of its own block with every block of its key
+    celled = placed.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    node = F.struct("id", "high", "low", F.col("__block").alias("block"))
+    cell = [F.least("__block", "__other").alias("__low"), F.greatest("__block", "__other").alias("__high")]
+    a, b = celled.select("__chunk", *cell, node.alias("a")), celled.select("__chunk", *cell, node.alias("b"))
     d = hamming(F.col("a"), F.col("b"))
-    return a.join(b, "__chunk").where(F.col("a.id") < F.col("b.id")).withColumn("distance", d).where(F.col("distance") <= most).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "distance").distinct()
+    once = (F.col("a.block") != F.col("b.block")) | (F.col("__low") == F.col("__high"))
+    return a.join(b, ["__chunk", "__low", "__high"]).where(once & (F.col("a.id") < F.col("b.id"))).withColumn("distance", d).where(F.col("distance") <= most).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "distance").distinct()
 
 
 def candidates_by_asset(dom: DataFrame, candidates: DataFrame, priority: DataFrame, media: DataFrame, key: str) -> DataFrame:
