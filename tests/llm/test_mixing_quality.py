@@ -166,3 +166,17 @@ def test_byte_pair_tokenizer(spark):
     docs = spark.createDataFrame([(1, "hello world", "en", "s"), (2, None, "en", "s")], "doc_id long, text string, lang string, source string")
     rows = token_counts.counted(docs, {"bpe-50k": token_counts.bpe(vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN)}).collect()
     assert {r["doc_id"]: r["counts"][0]["tokens"] for r in rows} == {1: 2, 2: 0}
+
+
+def test_fences_follow_the_spread_of_their_group(spark):
+    """Two languages with quartiles of 0, whose tenth documents have 8 and 200 thousandths of symbols: each has its own cutoff."""
+    letters = "abcdefghij"
+    words = lambda i, marks: " ".join(["#" * 9 + "x"] * marks + [letters[k // 10] + letters[k % 10] + "wxyzvut"[:8] + "q" for k in range(100 - marks)])
+    some = lambda lang, i: {"narrow": 1, "broad": 23}[lang] if i % 6 == 0 else 0
+    rows = [(i, words(i, some("narrow", i)), "narrow", "s") for i in range(300)] + [(1000 + i, words(i, some("broad", i)), "broad", "s") for i in range(300)]
+    rows += [(2000, words(0, 10), "narrow", "s"), (2001, words(0, 10), "broad", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    beyond = {r["doc_id"]: "symbols" in r["beyond"] for r in quality.judged(docs).collect()}
+    assert beyond[2000] and not beyond[2001] and not beyond[0] and not beyond[1000]
+    levels = quality.spread_levels(quality.sketches(spark.createDataFrame([("a", "s", 0 if i % 6 else 8) for i in range(300)], "lang string, source string, x long"), ["x"]), ["x"])
+    assert [(r["spread"], r["fixed"]) for r in levels["g"].collect()] == [(8, False)]

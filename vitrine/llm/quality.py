@@ -7,8 +7,11 @@ by adding counts, so the sketches of a language and of everything are sums of th
 sources. A group with fewer than ``min_docs`` documents uses its language's thresholds, and a
 language with fewer the thresholds of everything.
 
-Fences: ``q3 + reach * max(q3 - q1, spread)`` above and, for the mean word length,
-``q1 - reach * max(q3 - q1, spread)`` below. A document is kept if it passes the base rules and
+Fences: ``q3 + reach * spread`` above and, for the mean word length, ``q1 - reach * spread`` below. The
+spread is measured: the larger of q3 - q1 and q90 - q50 of the group, or where both are 0 the distance of the quartiles of
+its values above 0; where that is 0 the spread of its language, then that of everything, and only where that is 0 too one
+unit of rounding (``UNIT``). Fixed least spreads (``spreads``) are an option,
+``max(q3 - q1, spread)``; the registered query takes them, as its SQL does. A document is kept if it passes the base rules and
 all fences, which are joined to it by language and source.
 
 Main path: DataFrame functions only; the wide text is read once and never shuffled.
@@ -28,8 +31,10 @@ from vitrine.llm.common import SPACE_CHARS, staged, words
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: ratio name -> least spread of a fence, in the ratio's unit (thousandths; tenths of a character for word_length)
+#: ratio name -> fixed least spread of a fence, in the ratio's unit (thousandths; tenths of a character for word_length)
 SPREADS = {"symbols": 20, "dup_lines": 170, "repeats": 100, "upper": 60, "word_length": 10}
+#: the spread where the sketches of a group, its language and everything have none
+UNIT = 1
 
 
 def _without(text: Column, chars: str) -> Column:
@@ -85,16 +90,37 @@ def merge(sketch: DataFrame, *keys: str) -> DataFrame:
 
 
 def quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
-    """First and third quartile and the number of documents of every sketch."""
+    """First and third quartile, the measured spread and the number of documents of every sketch."""
     own = Window.partitionBy(*keys, "ratio")
     placed = sketch.withColumn("upto", F.sum("n").over(own.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(own))
-    at = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("all") * q, F.col("bucket")))
-    return placed.groupBy(*keys, "ratio").agg(F.max("all").alias("docs"), at(1).alias("q1"), at(3).alias("q3"))
+    at = lambda q: F.min(F.when(F.col("upto") * 20 >= F.col("all") * q, F.col("bucket")))
+    placed = placed.withColumn("zero", F.coalesce(F.sum(F.when(F.col("bucket") == 0, F.col("n"))).over(own), F.lit(0)))
+    above = lambda q: F.min(F.when((F.col("bucket") > 0) & ((F.col("upto") - F.col("zero")) * 4 >= (F.col("all") - F.col("zero")) * q), F.col("bucket")))
+    body = F.greatest(at(15) - at(5), at(18) - at(10))
+    spread = F.when(body > 0, body).otherwise(F.coalesce(above(3) - above(1), F.lit(0)))
+    return placed.groupBy(*keys, "ratio").agg(F.max("all").alias("docs"), at(5).alias("q1"), at(15).alias("q3"), spread.alias("spread"))
+
+
+def spread_levels(fine: DataFrame, ratios: list[str], min_docs: int = 100, spreads: dict[str, int] | None = None) -> dict[str, DataFrame]:
+    """Quartiles by language and source (g), by language (l) and of everything (a), with the ``spread`` of the fences and whether a constant gave it (``fixed``)."""
+    levels = {"g": (fine, ["lang", "source"]), "l": (merge(fine, "lang"), ["lang"]), "a": (merge(fine), [])}
+    found = {k: quartiles(s, *keys).where((F.col("docs") >= min_docs) if k != "a" else F.lit(True)) for k, (s, keys) in levels.items()}
+    mapped = lambda m: F.element_at(F.create_map(*[x for r in ratios for x in (F.lit(r), F.lit(m[r]).cast("long"))]), F.col("ratio"))
+    if spreads:
+        within = F.col("q3") - F.col("q1")
+        return {k: q.withColumns({"spread": F.greatest(within, mapped(spreads)), "fixed": mapped(spreads) > within}) for k, q in found.items()}
+    overall = {r["ratio"]: r["spread"] for r in found["a"].select("ratio", "spread").collect()}  # a row for each ratio
+    last = mapped({r: overall.get(r, 0) for r in ratios})
+    own = F.when(F.col("spread") > 0, F.col("spread"))
+    language = found["l"].select(F.col("lang").alias("__lang"), F.col("ratio").alias("__ratio"), own.alias("__spread"))
+    found["g"] = found["g"].join(language, F.col("lang").eqNullSafe(F.col("__lang")) & (F.col("ratio") == F.col("__ratio")), "left")
+    wider = {"g": [own, F.col("__spread"), last], "l": [own, last], "a": [own]}
+    measured = {k: q.withColumn("spread", F.coalesce(*wider[k], F.lit(0))).drop("__lang", "__ratio", "__spread") for k, q in found.items()}
+    return {k: q.withColumns({"spread": F.greatest("spread", F.lit(UNIT)), "fixed": F.col("spread") < UNIT}) for k, q in measured.items()}
 
 
 def judged(documents: DataFrame, min_docs: int = 100, reach: int = 3, min_words: int = 50, spreads: dict[str, int] | None = None) -> DataFrame:
     """The base metrics of every document with ``base_failed``, ``kept`` and the ratios that lie beyond a fence."""
-    spreads = spreads or SPREADS
     metrics = base_metrics(documents)
     rows = metrics.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     rows = rows.withColumns({
@@ -102,15 +128,13 @@ def judged(documents: DataFrame, min_docs: int = 100, reach: int = 3, min_words:
         "repeats": _div(F.col("n_repeat_words") * 1000, F.col("n_words")), "upper": _div(F.col("n_upper") * 1000, F.col("word_chars")), "word_length": _div(F.col("word_chars") * 10, F.col("n_words")),
     })
     rows = staged(rows, "quality")
-    names = list(spreads)
+    names = list(spreads or SPREADS)
     fine = sketches(rows.where("NOT base_failed"), names)
-    levels = {"g": (fine, ["lang", "source"]), "l": (merge(fine, "lang"), ["lang"]), "a": (merge(fine), [])}
-    fences = {k: quartiles(s, *keys).where((F.col("docs") >= min_docs) if k != "a" else F.lit(True)) for k, (s, keys) in levels.items()}
+    keyed = {"g": ["lang", "source"], "l": ["lang"], "a": []}
+    fences = spread_levels(fine, names, min_docs, spreads)
     wide = {}
-    for k, (_, keys) in levels.items():
-        spread = F.element_at(F.create_map(*[x for r in names for x in (F.lit(r), F.lit(spreads[r]))]), F.col("ratio"))
-        reachable = F.greatest(F.col("q3") - F.col("q1"), spread.cast("long")) * reach
-        upper, lower = F.col("q3") + reachable, F.col("q1") - reachable
+    for k, keys in keyed.items():
+        upper, lower = F.col("q3") + F.col("spread") * reach, F.col("q1") - F.col("spread") * reach
         pick = lambda c, r: F.max(F.when(F.col("ratio") == r, c))
         wide[k] = fences[k].groupBy(*[F.col(x).alias(f"{k}_{x}") for x in keys]).agg(F.struct(*[pick(upper, r).alias(r) for r in names], pick(lower, "word_length").alias("least_length")).alias(f"fence_{k}"))
     groups = fine.select("lang", "source").distinct()

@@ -55,7 +55,7 @@ FROM marked GROUP BY doc_id
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    verdicts = quality.judged(_table(spark, sf_dir, "documents"))
+    verdicts = quality.judged(_table(spark, sf_dir, "documents"), spreads=quality.SPREADS)  # the spreads of its SQL
     return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
