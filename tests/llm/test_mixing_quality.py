@@ -107,8 +107,8 @@ def test_sketch_buckets_and_merging(spark):
     data = spark.range(3000).select((F.col("id") % 3).cast("string").alias("lang"), F.lit("s").alias("source"), (F.col("id") % 1000).alias("x"))
     fine = quality.sketches(data, ["x"])
     assert sorted(map(tuple, quality.merge(fine).collect())) == sorted((r["ratio"], r["bucket"], r["n"]) for r in quality.sketches(data.withColumn("lang", F.lit("l")), ["x"]).collect())
-    q = quality.quartiles(quality.merge(fine)).first()
-    assert abs(q["q1"] - 250) <= 250 / 16 and abs(q["q3"] - 750) <= 750 / 16
+    f = quality.fences(quality.merge(fine), [], 1).first()  # quartiles 250 and 750
+    assert abs(f["upper"] - 1250) <= 100 and abs(f["lower"] + 250) <= 100
 
 
 def test_verdicts(spark):
@@ -168,15 +168,29 @@ def test_byte_pair_tokenizer(spark):
     assert {r["doc_id"]: r["counts"][0]["tokens"] for r in rows} == {1: 2, 2: 0}
 
 
-def test_fences_follow_the_spread_of_their_group(spark):
-    """Two languages with quartiles of 0, whose tenth documents have 8 and 200 thousandths of symbols: each has its own cutoff."""
+def test_fences_follow_their_group(spark):
+    """The same text is judged by what is usual in its language and source, and the fences move when a source changes."""
     letters = "abcdefghij"
-    words = lambda i, marks: " ".join(["#" * 9 + "x"] * marks + [letters[k // 10] + letters[k % 10] + "wxyzvut"[:8] + "q" for k in range(100 - marks)])
-    some = lambda lang, i: {"narrow": 1, "broad": 23}[lang] if i % 6 == 0 else 0
-    rows = [(i, words(i, some("narrow", i)), "narrow", "s") for i in range(300)] + [(1000 + i, words(i, some("broad", i)), "broad", "s") for i in range(300)]
-    rows += [(2000, words(0, 10), "narrow", "s"), (2001, words(0, 10), "broad", "s")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    beyond = {r["doc_id"]: "symbols" in r["beyond"] for r in quality.judged(docs).collect()}
+    words = lambda marks: " ".join(["#" * 9 + "x"] * marks + [letters[k // 10] + letters[k % 10] + "wxyzvutq" for k in range(100 - marks)])
+    rows = [(i, words({"narrow": 0, "broad": 20 + i % 9}[lang]), lang, "s") for lang, start in (("narrow", 0), ("broad", 1000)) for i in range(start, start + 400)]
+    rows += [(2000, words(10), "narrow", "s"), (2001, words(10), "broad", "s")]
+    schema = "doc_id long, text string, lang string, source string"
+    beyond = {r["doc_id"]: "symbols" in r["beyond"] for r in quality.judged(spark.createDataFrame(rows, schema)).collect()}
     assert beyond[2000] and not beyond[2001] and not beyond[0] and not beyond[1000]
-    levels = quality.spread_levels(quality.sketches(spark.createDataFrame([("a", "s", 0 if i % 6 else 8) for i in range(300)], "lang string, source string, x long"), ["x"]), ["x"])
-    assert [(r["spread"], r["fixed"]) for r in levels["g"].collect()] == [(8, False)]
+    changed = [(i, words(5 + i % 9) if lang == "narrow" and i < 400 else t, lang, source) for i, t, lang, source in rows]
+    beyond = {r["doc_id"]: "symbols" in r["beyond"] for r in quality.judged(spark.createDataFrame(changed, schema)).collect()}
+    assert not beyond[2000] and not beyond[2001]
+
+
+def test_small_groups_lean_on_their_language(spark):
+    fine = spark.createDataFrame([("a", "big", "x", 10, 900), ("a", "big", "x", 20, 100), ("a", "small", "x", 30, 1), ("b", None, "x", 30, 100_000)], "lang string, source string, ratio string, bucket long, n long")
+    upper = {(r["lang"], r["source"]): r["upper"] for r in quality.group_fences(fine).collect()}
+    assert upper["a", "big"] == 10 + 3 * 10 and upper["b", None] == 30
+    assert upper["a", "small"] == upper["a", "big"]  # one document of its own against a hundred of its language
+
+
+def test_verdicts_keep_one_occurrence_above_a_fence_of_zero(spark):
+    text = lambda lines, extra: "\n".join([f"{a}{b} line of its own" for a in "abcdefghij"[:lines] for b in "klm"] + extra)
+    docs = [(i, text(10, []), "en", "s") for i in range(200)] + [(300, text(10, ["ak line of its own"] * 3), "en", "s"), (301, text(10, ["ak line of its own"] * 4), "en", "s")]
+    beyond = {r["doc_id"]: r["beyond"] for r in quality.judged(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
+    assert "dup_lines" not in beyond[300] and "dup_lines" in beyond[301] and beyond[0] == []

@@ -4,15 +4,17 @@ Base metrics are counted in each document's own row. Five ratios follow from the
 numbers. A sketch of a ratio is a histogram with fixed bucket bounds: exact below 32, then 16
 buckets an octave, so a quantile is off by at most 1/16. Sketches are tables of counts; two merge
 by adding counts, so the sketches of a language and of everything are sums of those of its
-sources. A group with fewer than ``min_docs`` documents uses its language's thresholds, and a
-language with fewer the thresholds of everything.
-
-Fences: ``q3 + reach * spread`` above and, for the mean word length, ``q1 - reach * spread`` below. The
-spread is measured: the larger of q3 - q1 and q90 - q50 of the group, or where both are 0 the distance of the quartiles of
-its values above 0; where that is 0 the spread of its language, then that of everything, and only where that is 0 too one
-unit of rounding (``UNIT``). Fixed least spreads (``spreads``) are an option,
-``max(q3 - q1, spread)``; the registered query takes them, as its SQL does. A document is kept if it passes the base rules and
-all fences, which are joined to it by language and source.
+sources. A small group's sketch says little, so every language's sketch is completed by
+``prior_docs`` documents spread as in the sketch of everything, and every source's by as many
+spread as in its language's: a threshold moves from the language's to the source's own as that
+grows, without a step.
+
+Fences: ``q3 + reach * max(q3 - q1, q90 - q50)`` above and, for the mean word length,
+``q1 - reach * max(q3 - q1, q50 - q10)`` below, with nothing fixed beforehand. A ratio is known no
+finer than by one occurrence of what it counts (``OCCURRENCE``), so a document lies beyond a fence
+if its count exceeds what the fence allows for its length by more than ``reach`` occurrences;
+where the quantiles of a group are all 0 this rounding alone decides. A document is kept if it
+passes the base rules and all fences, which are joined to it by language and source.
 
 Main path: DataFrame functions only; the wide text is read once and never shuffled.
 
@@ -31,10 +33,12 @@ from vitrine.llm.common import SPACE_CHARS, staged, words
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: ratio name -> fixed least spread of a fence, in the ratio's unit (thousandths; tenths of a character for word_length)
-SPREADS = {"symbols": 20, "dup_lines": 170, "repeats": 100, "upper": 60, "word_length": 10}
-#: the spread where the sketches of a group, its language and everything have none
-UNIT = 1
+#: ratio -> (what it counts, what it is measured against)
+RATIOS = {"symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "upper": ("n_upper", "word_chars")}
+#: the mean word length, in tenths of a character
+LENGTH = "word_length"
+#: the least by which a count can change; a three-word window that repeats covers six words
+OCCURRENCE = {"symbols": 1, "dup_lines": 1, "repeats": 6, "upper": 1}
 
 
 def _without(text: Column, chars: str) -> Column:
@@ -55,8 +59,9 @@ def base_metrics(documents: DataFrame) -> DataFrame:
     )
     # three-word windows, as pairs of hash and place; equal hashes stand side by side once sorted
     n = F.size("w")
+    rows = rows.withColumn("hashes", F.transform("w", lambda x: F.xxhash64(x)))
     rows = rows.withColumn("places", F.when(n >= 3, F.sequence(F.lit(1), n - 2)).otherwise(F.array().cast("array<int>")))
-    pairs = F.sort_array(F.transform("places", lambda i: F.struct(F.xxhash64(F.element_at("w", i), F.element_at("w", i + 1), F.element_at("w", i + 2)).alias("h"), i.alias("p"))))
+    pairs = F.sort_array(F.transform("places", lambda i: F.struct(F.xxhash64(F.element_at("hashes", i), F.element_at("hashes", i + 1), F.element_at("hashes", i + 2)).alias("h"), i.alias("p"))))
     rows = rows.withColumn("pairs", pairs)
     m = F.size("pairs")
     twice = F.filter(F.zip_with(F.slice("pairs", 1, m - 1), F.slice("pairs", 2, F.greatest(m, F.lit(1))), lambda a, b: F.when(a["h"] == b["h"], F.struct(a["p"].alias("a"), b["p"].alias("b")))), lambda x: x.isNotNull())
@@ -78,6 +83,11 @@ def bucket(value: Column) -> Column:
     return F.when(value < 32, value).otherwise(F.call_function("shiftleft", F.call_function("shiftright", value, shift), shift))
 
 
+def bucket_top(bound: Column) -> Column:
+    """The highest whole number of the bucket with this lower bound."""
+    return F.when(bound < 32, bound).otherwise(bound + F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(bound)) - 5) - 1)
+
+
 def sketches(rows: DataFrame, ratios: list[str]) -> DataFrame:
     """(lang, source, ratio, bucket, n): a sketch of every ratio for each language and source."""
     long = rows.select("lang", "source", F.explode(F.array(*[F.struct(F.lit(r).alias("ratio"), bucket(F.col(r)).alias("bucket")) for r in ratios])).alias("x"))
@@ -89,63 +99,57 @@ def merge(sketch: DataFrame, *keys: str) -> DataFrame:
     return sketch.groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
-    """First and third quartile, the measured spread and the number of documents of every sketch."""
+def _same(a: str, b: str, keys: list[str]) -> Column:
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
+    return out
+
+
+def completed(sketch: DataFrame, keys: list[str], parent: DataFrame, parent_keys: list[str], prior_docs: int) -> DataFrame:
+    """``sketch`` (keys, ratio, bucket, n) with ``prior_docs`` more documents spread as in ``parent``.
+
+    Counts are multiplied by the parent's total, which keeps them whole numbers.
+    """
+    whole = parent.groupBy(*parent_keys, "ratio").agg(F.sum("n").alias("all"))
+    sizes = sketch.select(*keys, "ratio").distinct()
+    grid = sizes.alias("s").join(parent.alias("p"), _same("s", "p", [*parent_keys, "ratio"])).join(whole.alias("w"), _same("s", "w", [*parent_keys, "ratio"]))
+    grid = grid.select(*[F.col(f"s.{k}") for k in keys], "s.ratio", "p.bucket", F.col("p.n").alias("prior"), "w.all")
+    joined = grid.alias("g").join(sketch.alias("o"), _same("g", "o", [*keys, "ratio"]) & (F.col("g.bucket") == F.col("o.bucket")), "left")
+    n = F.coalesce(F.col("o.n"), F.lit(0)).cast("decimal(38,0)") * F.col("g.all") + F.col("g.prior") * prior_docs
+    return joined.select(*[F.col(f"g.{k}") for k in keys], "g.ratio", "g.bucket", n.cast("decimal(38,0)").alias("n"))
+
+
+def fences(sketch: DataFrame, keys: list[str], reach: int) -> DataFrame:
+    """The fence above and the fence below of every group and ratio of a sketch (keys, ratio, bucket, n)."""
     own = Window.partitionBy(*keys, "ratio")
     placed = sketch.withColumn("upto", F.sum("n").over(own.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(own))
-    at = lambda q: F.min(F.when(F.col("upto") * 20 >= F.col("all") * q, F.col("bucket")))
-    placed = placed.withColumn("zero", F.coalesce(F.sum(F.when(F.col("bucket") == 0, F.col("n"))).over(own), F.lit(0)))
-    above = lambda q: F.min(F.when((F.col("bucket") > 0) & ((F.col("upto") - F.col("zero")) * 4 >= (F.col("all") - F.col("zero")) * q), F.col("bucket")))
-    body = F.greatest(at(15) - at(5), at(18) - at(10))
-    spread = F.when(body > 0, body).otherwise(F.coalesce(above(3) - above(1), F.lit(0)))
-    return placed.groupBy(*keys, "ratio").agg(F.max("all").alias("docs"), at(5).alias("q1"), at(15).alias("q3"), spread.alias("spread"))
-
-
-def spread_levels(fine: DataFrame, ratios: list[str], min_docs: int = 100, spreads: dict[str, int] | None = None) -> dict[str, DataFrame]:
-    """Quartiles by language and source (g), by language (l) and of everything (a), with the ``spread`` of the fences and whether a constant gave it (``fixed``)."""
-    levels = {"g": (fine, ["lang", "source"]), "l": (merge(fine, "lang"), ["lang"]), "a": (merge(fine), [])}
-    found = {k: quartiles(s, *keys).where((F.col("docs") >= min_docs) if k != "a" else F.lit(True)) for k, (s, keys) in levels.items()}
-    mapped = lambda m: F.element_at(F.create_map(*[x for r in ratios for x in (F.lit(r), F.lit(m[r]).cast("long"))]), F.col("ratio"))
-    if spreads:
-        within = F.col("q3") - F.col("q1")
-        return {k: q.withColumns({"spread": F.greatest(within, mapped(spreads)), "fixed": mapped(spreads) > within}) for k, q in found.items()}
-    overall = {r["ratio"]: r["spread"] for r in found["a"].select("ratio", "spread").collect()}  # a row for each ratio
-    last = mapped({r: overall.get(r, 0) for r in ratios})
-    own = F.when(F.col("spread") > 0, F.col("spread"))
-    language = found["l"].select(F.col("lang").alias("__lang"), F.col("ratio").alias("__ratio"), own.alias("__spread"))
-    found["g"] = found["g"].join(language, F.col("lang").eqNullSafe(F.col("__lang")) & (F.col("ratio") == F.col("__ratio")), "left")
-    wider = {"g": [own, F.col("__spread"), last], "l": [own, last], "a": [own]}
-    measured = {k: q.withColumn("spread", F.coalesce(*wider[k], F.lit(0))).drop("__lang", "__ratio", "__spread") for k, q in found.items()}
-    return {k: q.withColumns({"spread": F.greatest("spread", F.lit(UNIT)), "fixed": F.col("spread") < UNIT}) for k, q in measured.items()}
-
-
-def judged(documents: DataFrame, min_docs: int = 100, reach: int = 3, min_words: int = 50, spreads: dict[str, int] | None = None) -> DataFrame:
+    at = {q: F.min(F.when(F.col("upto") * 20 >= F.col("all") * q, F.col("bucket"))) for q in (2, 5, 10, 15, 18)}  # twentieths
+    upper = bucket_top(at[15]) + reach * F.greatest(at[15] - at[5], at[18] - at[10])
+    lower = at[5] - reach * F.greatest(at[15] - at[5], at[10] - at[2])
+    return placed.groupBy(*keys, "ratio").agg(upper.alias("upper"), lower.alias("lower"))
+
+
+def group_fences(fine: DataFrame, prior_docs: int = 100, reach: int = 3) -> DataFrame:
+    """(lang, source, ratio, upper, lower) of the sketches by language and source."""
+    overall, language = merge(fine), merge(fine, "lang")
+    own_language = completed(language, ["lang"], overall, [], prior_docs)
+    return fences(completed(fine, ["lang", "source"], own_language, ["lang"], prior_docs), ["lang", "source"], reach)
+
+
+def judged(documents: DataFrame, prior_docs: int = 100, reach: int = 3, min_words: int = 50) -> DataFrame:
     """The base metrics of every document with ``base_failed``, ``kept`` and the ratios that lie beyond a fence."""
     metrics = base_metrics(documents)
     rows = metrics.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    rows = rows.withColumns({
-        "symbols": _div(F.col("n_symbols") * 1000, F.col("word_chars")), "dup_lines": _div(F.col("n_dup_lines") * 1000, F.col("n_lines")),
-        "repeats": _div(F.col("n_repeat_words") * 1000, F.col("n_words")), "upper": _div(F.col("n_upper") * 1000, F.col("word_chars")), "word_length": _div(F.col("word_chars") * 10, F.col("n_words")),
-    })
+    rows = rows.withColumns({**{r: _div(F.col(count) * 1000, F.col(of)) for r, (count, of) in RATIOS.items()}, LENGTH: _div(F.col("word_chars") * 10, F.col("n_words"))})
     rows = staged(rows, "quality")
-    names = list(spreads or SPREADS)
-    fine = sketches(rows.where("NOT base_failed"), names)
-    keyed = {"g": ["lang", "source"], "l": ["lang"], "a": []}
-    fences = spread_levels(fine, names, min_docs, spreads)
-    wide = {}
-    for k, keys in keyed.items():
-        upper, lower = F.col("q3") + F.col("spread") * reach, F.col("q1") - F.col("spread") * reach
-        pick = lambda c, r: F.max(F.when(F.col("ratio") == r, c))
-        wide[k] = fences[k].groupBy(*[F.col(x).alias(f"{k}_{x}") for x in keys]).agg(F.struct(*[pick(upper, r).alias(r) for r in names], pick(lower, "word_length").alias("least_length")).alias(f"fence_{k}"))
-    groups = fine.select("lang", "source").distinct()
-    same = lambda side, *keys: [F.col(k).eqNullSafe(F.col(f"{side}_{k}")) for k in keys]
-    chosen = groups.join(wide["g"], same("g", "lang", "source"), "left").join(wide["l"], same("l", "lang"), "left")
-    overall = wide["a"].first()["fence_a"]  # one row
-    fence_a = F.struct(*[F.lit(overall[r]).cast("long").alias(r) for r in [*names, "least_length"]])
-    chosen = chosen.select(F.col("lang").alias("c_lang"), F.col("source").alias("c_source"), F.coalesce("fence_g", "fence_l", fence_a).alias("fence"))
-    joined = rows.join(chosen, same("c", "lang", "source"), "left").drop("c_lang", "c_source")
-    beyond = F.concat(
-        *[F.when(F.col(r) > F.col(f"fence.{r}"), F.array(F.lit(r))).otherwise(F.array().cast("array<string>")) for r in names],
-        F.when(F.col("word_length") < F.col("fence.least_length"), F.array(F.lit("short_words"))).otherwise(F.array().cast("array<string>")),
-    )
-    return joined.withColumn("beyond", beyond).withColumn("kept", ~F.col("base_failed") & (F.size("beyond") == 0)).drop("fence")
+    fine = staged(sketches(rows.where("NOT base_failed"), [*RATIOS, LENGTH]), "sketches")
+    found = group_fences(fine, prior_docs, reach)
+    pick = lambda c, r: F.max(F.when(F.col("ratio") == r, F.col(c)))
+    wide = found.groupBy(F.col("lang").alias("f_lang"), F.col("source").alias("f_source")).agg(*[pick("upper", r).alias(f"f_{r}") for r in [*RATIOS, LENGTH]], pick("lower", LENGTH).alias("f_short"))
+    joined = rows.join(wide, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
+    out = {r: (F.col(count) - reach * OCCURRENCE[r]) * 1000 > F.col(f"f_{r}") * F.col(of) for r, (count, of) in RATIOS.items()}
+    out |= {LENGTH: F.col(LENGTH) > F.col(f"f_{LENGTH}"), "short_words": F.col(LENGTH) < F.col("f_short")}
+    beyond = F.filter(F.array(*[F.when(test, F.lit(name)) for name, test in out.items()]), lambda x: x.isNotNull())
+    judged = joined.withColumn("beyond", F.when(F.col("base_failed"), F.array().cast("array<string>")).otherwise(beyond))
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("beyond") == 0)).drop("f_lang", "f_source")

@@ -55,41 +55,45 @@ FROM marked GROUP BY doc_id
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    verdicts = quality.judged(_table(spark, sf_dir, "documents"), spreads=quality.SPREADS)  # the spreads of its SQL
+    verdicts = quality.judged(_table(spark, sf_dir, "documents"))
     return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def _op2_sql() -> str:
-    """Metrics, sketches, fences and verdicts in DuckDB's SQL."""
-    ratios, spreads = list(quality.SPREADS), quality.SPREADS
-    space = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-    spread = "CASE ratio " + " ".join(f"WHEN '{r}' THEN {spreads[r]}" for r in ratios) + " END"
-    level = lambda name, keys, least: f"""{name} AS (
-      SELECT {keys}{"," if keys else ""} {", ".join(f"max(CASE WHEN ratio = '{r}' THEN q3 + 3 * greatest(q3 - q1, {spread}) END) AS {r}" for r in ratios)},
-             max(CASE WHEN ratio = 'word_length' THEN q1 - 3 * greatest(q3 - q1, {spread}) END) AS least_length
-      FROM (SELECT {keys}{"," if keys else ""} ratio, max(n_all) AS docs, min(CASE WHEN upto * 4 >= n_all THEN bucket END) AS q1, min(CASE WHEN upto * 4 >= n_all * 3 THEN bucket END) AS q3
-            FROM (SELECT *, sum(n) OVER (PARTITION BY {keys}{"," if keys else ""} ratio ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys}{"," if keys else ""} ratio) AS n_all
-                  FROM (SELECT {keys}{"," if keys else ""} ratio, bucket, sum(n) AS n FROM fine GROUP BY ALL)) GROUP BY {keys}{"," if keys else ""} ratio)
-      WHERE docs >= {least} {f"GROUP BY {keys}" if keys else ""})"""
-    return f"""
-    WITH t AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
-    w AS (SELECT *, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
-                 list_filter(string_split(text, chr(10)), lambda x: trim(x, {space}) <> '') AS ls FROM t),
-    tri AS (SELECT r, unnest(range(1, len(w) - 1)) AS p, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) AS g FROM w WHERE len(w) >= 3),
-    rep AS (SELECT r, count(DISTINCT c) AS n FROM (SELECT r, unnest([p, p + 1, p + 2]) AS c FROM (SELECT *, count(*) OVER (PARTITION BY r, g) AS k FROM tri) WHERE k > 1) GROUP BY r),
-    m AS (SELECT w.r, doc_id, lang, source, len(w) AS n_words, length(translate(text, {space}, '')) AS word_chars,
-                 length(text) - length(translate(text, '{quality.SYMBOLS}', '')) AS n_symbols, length(text) - length(translate(text, '{quality.UPPER}', '')) AS n_upper,
-                 len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM w LEFT JOIN rep USING (r)),
-    b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols * 1000 // greatest(word_chars, 1) AS symbols, n_dup_lines * 1000 // greatest(n_lines, 1) AS dup_lines,
-                 n_repeat_words * 1000 // greatest(n_words, 1) AS repeats, n_upper * 1000 // greatest(word_chars, 1) AS upper, word_chars * 10 // greatest(n_words, 1) AS word_length FROM m),
-    long AS ({" UNION ALL ".join(f"SELECT lang, source, '{r}' AS ratio, {r} AS v FROM b WHERE NOT base_failed" for r in ratios)}),
-    fine AS (SELECT lang, source, ratio, CASE WHEN v < 32 THEN v ELSE (v >> (length(bin(v)) - 5)) << (length(bin(v)) - 5) END AS bucket, count(*) AS n FROM long GROUP BY ALL),
-    {level("fg", "lang, source", 100)}, {level("fl", "lang", 100)}, {level("fa", "", 0)},
-    pick AS (SELECT b.*, {", ".join(f"coalesce(fg.{x}, fl.{x}, fa.{x}) AS f_{x}" for x in [*ratios, "least_length"])}
-             FROM b LEFT JOIN fg ON fg.lang IS NOT DISTINCT FROM b.lang AND fg.source IS NOT DISTINCT FROM b.source LEFT JOIN fl ON fl.lang IS NOT DISTINCT FROM b.lang LEFT JOIN fa ON true)
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-           NOT base_failed AND coalesce({" AND ".join(f"{r} <= f_{r}" for r in ratios)} AND word_length >= f_least_length, true) AS kept
-    FROM pick"""
+OP2_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
+tri AS (SELECT r, unnest(range(1, len(w) - 1)) AS p, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) AS g FROM w WHERE len(w) >= 3),
+rep AS (SELECT r, count(DISTINCT c) AS n FROM (SELECT r, unnest([p, p + 1, p + 2]) AS c FROM (SELECT *, count(*) OVER (PARTITION BY r, g) AS k FROM tri) WHERE k > 1) GROUP BY r),
+m AS (SELECT w.r, doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+             length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper,
+             len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM w LEFT JOIN rep USING (r)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+long AS (
+  SELECT lang, source, 'symbols' AS ratio, n_symbols * 1000 // greatest(word_chars, 1) AS v FROM b WHERE NOT base_failed
+  UNION ALL SELECT lang, source, 'dup_lines', n_dup_lines * 1000 // greatest(n_lines, 1) FROM b WHERE NOT base_failed
+  UNION ALL SELECT lang, source, 'repeats', n_repeat_words * 1000 // greatest(n_words, 1) FROM b WHERE NOT base_failed
+  UNION ALL SELECT lang, source, 'upper', n_upper * 1000 // greatest(word_chars, 1) FROM b WHERE NOT base_failed
+  UNION ALL SELECT lang, source, 'length', word_chars * 10 // greatest(n_words, 1) FROM b WHERE NOT base_failed),
+fine AS (SELECT lang, source, ratio, CASE WHEN v < 32 THEN v ELSE (v >> (length(bin(v)) - 5)) << (length(bin(v)) - 5) END AS bucket, count(*)::HUGEINT AS n FROM long GROUP BY ALL),
+a AS (SELECT ratio, bucket, sum(n)::HUGEINT AS n, sum(sum(n)) OVER (PARTITION BY ratio)::HUGEINT AS n_all FROM fine GROUP BY ratio, bucket),
+l AS (SELECT g.lang, g.ratio, a.bucket, (SELECT coalesce(sum(n), 0)::HUGEINT FROM fine WHERE lang IS NOT DISTINCT FROM g.lang AND ratio = g.ratio AND bucket = a.bucket) * a.n_all + 100 * a.n AS n
+      FROM (SELECT DISTINCT lang, ratio FROM fine) g JOIN a USING (ratio)),
+la AS (SELECT *, sum(n) OVER (PARTITION BY lang, ratio)::HUGEINT AS n_all FROM l),
+s AS (SELECT g.lang, g.source, g.ratio, la.bucket, coalesce(f.n, 0) * la.n_all + 100 * la.n AS n
+      FROM (SELECT DISTINCT lang, source, ratio FROM fine) g JOIN la ON la.lang IS NOT DISTINCT FROM g.lang AND la.ratio = g.ratio
+      LEFT JOIN fine f ON f.lang IS NOT DISTINCT FROM g.lang AND f.source IS NOT DISTINCT FROM g.source AND f.ratio = g.ratio AND f.bucket = la.bucket),
+c AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, ratio ORDER BY bucket)::HUGEINT AS upto, sum(n) OVER (PARTITION BY lang, source, ratio)::HUGEINT AS n_all FROM s),
+q AS (SELECT lang, source, ratio, min(bucket) FILTER (upto * 10 >= n_all) AS d1, min(bucket) FILTER (upto * 4 >= n_all) AS q1, min(bucket) FILTER (upto * 2 >= n_all) AS q2,
+             min(bucket) FILTER (upto * 4 >= n_all * 3) AS q3, min(bucket) FILTER (upto * 10 >= n_all * 9) AS d9 FROM c GROUP BY lang, source, ratio),
+f AS (SELECT lang, source, max(hi) FILTER (ratio = 'symbols') AS symbols, max(hi) FILTER (ratio = 'dup_lines') AS dup_lines, max(hi) FILTER (ratio = 'repeats') AS repeats,
+             max(hi) FILTER (ratio = 'upper') AS upper, max(hi) FILTER (ratio = 'length') AS longest, max(lo) FILTER (ratio = 'length') AS shortest
+      FROM (SELECT *, CASE WHEN q3 < 32 THEN q3 ELSE q3 + (1 << (length(bin(q3)) - 5)) - 1 END + 3 * greatest(q3 - q1, d9 - q2) AS hi, q1 - 3 * greatest(q3 - q1, q2 - d1) AS lo FROM q) GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND n_symbols * 1000 <= symbols * word_chars + 3000 AND n_dup_lines * 1000 <= dup_lines * n_lines + 3000 AND n_repeat_words * 1000 <= repeats * n_words + 18000
+       AND n_upper * 1000 <= f.upper * word_chars + 3000 AND word_chars * 10 // greatest(n_words, 1) BETWEEN shortest AND longest AS kept
+FROM b LEFT JOIN f ON f.lang IS NOT DISTINCT FROM b.lang AND f.source IS NOT DISTINCT FROM b.source
+"""
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,4 +165,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": _op2_sql(), "op4_licence_scan": _op4_sql(), "op8_token_counts": OP8_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op4_licence_scan": _op4_sql(), "op8_token_counts": OP8_SQL, "op9_line_dedup": OP9_SQL}
