@@ -161,6 +161,21 @@ def test_segments_by_brute_force():
         assert np.allclose([s for *_, s in got], [s for *_, s in want])
 
 
+def test_segments_take_linear_time():
+    """Marked and other tokens in turn once made every step walk back over all segments before it."""
+    import time
+
+    model = toxicity.Model({b"p": 1.0, b"q": 3.0}, -1.01)
+    for pattern in ([b"p", b"o"], [b"o", b"p", b"q", b"o", b"o", b"o"]):
+        seconds = []
+        for n in (50_000, 400_000):
+            words = (pattern * n)[:n]
+            began = time.perf_counter()
+            assert model.segments(words)
+            seconds.append(time.perf_counter() - began)
+        assert seconds[1] < 30 * seconds[0] + 1
+
+
 def test_toxicity_finds_held_out_documents(spark):
     rnd = random.Random(7)
     rows, labels = [], []

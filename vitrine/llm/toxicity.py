@@ -93,7 +93,7 @@ class Model:
         if not any(s > 0 for _, s in marked):
             return []
         # running totals before and after each scored token; the tokens between them drift
-        found: list[list[float]] = []  # start, end, total before, total after
+        found: list[tuple[int, int, float, float, int]] = []  # start, end, total before, total after, the last one that begins lower
         total, at = 0.0, 0
         for i, s in marked:
             total += self.drift * (i - at)
@@ -101,17 +101,17 @@ class Model:
             before, total = total, total + s
             if s <= 0:
                 continue
-            new = [i, i + 1, before, total]
-            while True:
-                j = len(found) - 1
-                while j >= 0 and found[j][2] >= new[2]:
-                    j -= 1
-                if j < 0 or found[j][3] >= new[3]:
-                    break
-                new = [found[j][0], new[1], found[j][2], new[3]]
-                del found[j:]
-            found.append(new)
-        return [(int(a), int(b), r - l) for a, b, l, r in found]
+            # segments between a segment and its ``lower`` one begin no lower than it does, so none of them is looked at again
+            lower = len(found) - 1
+            while lower >= 0 and found[lower][2] >= before:
+                lower = found[lower][4]
+            start = i
+            while lower >= 0 and found[lower][3] < total:
+                start, _, before, _, below = found[lower]
+                del found[lower:]
+                lower = below
+            found.append((start, i + 1, before, total, lower))
+        return [(a, b, r - l) for a, b, l, r, _ in found]
 
     def evidence(self, words: list[bytes]) -> tuple[float, list[tuple[int, int, float]]]:
         """(evidence, significant passages) of a text."""
