@@ -46,6 +46,50 @@ def test_banded_alignment_by_brute_force():
             assert hit[2] == want and edit_distance_inside(p, t[hit[0] : hit[1]]) == want
 
 
+def test_alignment_keeps_to_its_band():
+    """Within a band the result is that of all alignments whose diagonals lie there, and the cells do not grow with the region."""
+    rnd = random.Random(2)
+    code = lambda s: np.array([ord(c) for c in s], dtype=np.uint32)
+    for _ in range(60):
+        p = "".join(rnd.choice("abc") for _ in range(rnd.randrange(8, 40)))
+        k, before = rnd.randrange(4), "".join(rnd.choice("abc") for _ in range(rnd.randrange(12)))
+        t = before + edited(p, rnd.randrange(k + 1), rnd) + "".join(rnd.choice("abc") for _ in range(9))
+        hit = decontamination.banded(code(p), code(t), k, len(before) - k, 2 * k + 1)
+        assert hit and hit[2] <= k and edit_distance_inside(p, t[hit[0] : hit[1]]) == hit[2] >= edit_distance_inside(p, t)
+    import time
+
+    p = "".join(rnd.choice("abcdefgh ") for _ in range(10_000))
+    began = time.perf_counter()
+    assert decontamination.banded(code(p), code(p), 5, -6, 18) == (0, 10_000, 0) and time.perf_counter() - began < 5
+
+
+@pytest.mark.parametrize("edit_rate", [0.1, 0.2])
+def test_short_items_keep_their_budget(spark, edit_rate):
+    rnd = random.Random(21)
+    items = ["".join(rnd.choice("bcdfghjklmnp") for _ in range(n)) for n in (*range(8, 34), 5, 6, 7)]
+    docs, want, k = [], set(), 0
+    for item_id, item in enumerate(items):
+        budget = int(edit_rate * len(item))
+        for edits in {0, budget, budget + 1}:
+            t = list(item)
+            for i in rnd.sample(range(1, len(t) - 1), min(edits, len(t) - 2)):
+                t[i] = "xyz"[rnd.randrange(3)]
+            docs.append((k, f"aaaa oooo {''.join(t)} uuuu iiii"))
+            if edits <= budget:
+                want.add((k, item_id))
+            k += 1
+    rows = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), edit_rate=edit_rate).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == want
+
+
+def test_every_row_has_its_own_verdict(spark):
+    item = "a question that stands in the benchmark and nowhere else"
+    docs = spark.createDataFrame([(None, f"x {item} y", 1), (5, f"x {item} y", 2), (5, "clean", 3), (None, "clean too", 4), (6, None, 5)], "doc_id long, text string, k int")
+    kept = decontamination.decontaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert kept.columns == docs.columns and sorted(r["k"] for r in kept.collect()) == [3, 4, 5]
+    assert "Exchange" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
 def test_items_are_found_with_edits_and_nothing_else(spark):
     rnd = random.Random(9)
     word = lambda: "".join(rnd.choice("etaoinshr") for _ in range(rnd.randrange(2, 9)))

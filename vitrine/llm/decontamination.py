@@ -5,16 +5,19 @@ normalised character keeps its place in the text. An item of length m with an ed
 floor(``edit_rate`` * m) that occurs in a text shares at least ``m + 1 - q (k + 1)`` of its q-grams
 with it, all within k + 1 neighbouring diagonals. Shared q-grams are counted in overlapping bands of
 2 (k + 1) diagonals, one starting every k + 1, so each such stretch lies whole in one band. Bands
-that meet the bound become text regions, which a banded alignment verifies.
+that meet the bound become text regions, which an alignment over the diagonals of the band and the
+k + 1 before them verifies: 3 (k + 1) cells for each character of the item. q is 8, or the largest number that leaves a short
+item with its full budget a positive bound.
 
 The benchmark is the query side. It is broadcast in blocks of at most ``block_chars`` characters, a
-pass over the documents each, so its size has no bound.
-
-Cases: null and empty texts or items match nothing; an item shorter than q characters, or one whose
-bound would not be positive, is taken with the largest budget that leaves a positive bound, and an
-item under q characters is searched as it stands; repeated rows or items give repeated pairs;
-overlapping regions of a pair give its best one (least distance, then first place); other columns
-are not read; an empty table gives an empty result.
+pass over the documents each, so its size has no bound. ``decontaminated`` drops rows within those
+passes: texts are neither shuffled nor joined.
+
+Cases: null and empty texts or items match nothing; an item under q characters without an edit in
+its budget is searched as it stands, between spaces; repeated rows or items give repeated pairs;
+overlapping regions of a pair give its best one (least distance, then first place); rows with a null
+doc_id are searched too, and every row has a verdict of its own, whatever rows share its doc_id;
+other columns are not read, and pass through ``decontaminated``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from vitrine.llm.common import doc_slices, small_batches
 
-#: characters a q-gram: eight bytes fill one 64-bit word.
+#: most characters a q-gram: eight bytes fill one 64-bit word.
 Q = 8
 #: texts are handled in stretches of so many characters
 STRETCH = 2_000_000
@@ -75,62 +78,76 @@ def _bytes(codes: np.ndarray) -> np.ndarray:
     return np.where(codes < 128, codes, 128 + (codes * np.uint32(31) >> np.uint32(2)) % np.uint32(128)).astype(np.uint8)
 
 
-def qgrams(line: np.ndarray) -> np.ndarray:
+def qgrams(line: np.ndarray, q: int = Q) -> np.ndarray:
     """The q-gram at every place of a byte line, as a 64-bit number."""
-    n = len(line) - Q + 1
+    n = len(line) - q + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
+    line = np.concatenate([line, np.zeros(Q - q, dtype=np.uint8)])
     out = np.empty(n, dtype=np.uint64)
     for r in range(min(Q, n)):
         part = line[r : r + (len(line) - r) // Q * Q]
         grams = np.frombuffer(part.tobytes(), dtype="<u8")
         out[r::Q] = grams[: len(out[r::Q])]
-    return out
+    return out & np.uint64(2 ** (8 * q) - 1)
+
+
+class Grams:
+    """The q-grams of the items of one q, sorted, and where they stand."""
+
+    def __init__(self, q: int, items: list[tuple[int, np.ndarray]]) -> None:
+        """``items``: (number in the index, normalised code points)."""
+        self.q = q
+        own = [qgrams(_bytes(codes), q) for _, codes in items]
+        flat = np.concatenate(own)
+        order = np.argsort(flat, kind="stable")
+        self.grams, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
+        self.owner = np.repeat([number for number, _ in items], [len(g) for g in own])[order]
+        self.place = np.concatenate([np.arange(len(g)) for g in own])[order]
+        self.filter = np.zeros(2**20, dtype=bool)
+        self.filter[_slot(self.grams)] = True
+
+    def hits(self, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, place in the item, place in the line) of every q-gram that they share."""
+        grams = qgrams(line, self.q)
+        at = np.flatnonzero(self.filter[_slot(grams)])
+        where = np.minimum(np.searchsorted(self.grams, grams[at]), len(self.grams) - 1)
+        ok = self.grams[where] == grams[at]
+        at, where = at[ok], where[ok]
+        reps = self.count[where]
+        hits = np.repeat(self.first[where] + reps - np.cumsum(reps), reps) + np.arange(reps.sum())
+        return self.owner[hits], self.place[hits], np.repeat(at, reps)
 
 
 class Index:
     """The q-grams of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]], edit_rate: float) -> None:
+        if not 0 <= edit_rate < 1:
+            raise ValueError("edit_rate is a share of an item's characters")
         self.items: list[tuple[int, np.ndarray, int, int]] = []  # id, code points, budget, bound
         self.short: list[tuple[int, np.ndarray]] = []
-        grams, owners, places = [], [], []
+        by_q: dict[int, list[tuple[int, np.ndarray]]] = {}
         for item_id, text in items:
             codes, _, _ = normalised([text or ""])
             m = len(codes)
-            if m == 0:
+            budget = int(edit_rate * m)
+            if not m:
                 continue
-            if m < Q:
+            if m < Q and not budget:
                 self.short.append((item_id, codes))
                 continue
-            budget = int(edit_rate * m)
-            while budget > 0 and m + 1 - Q * (budget + 1) < 1:
-                budget -= 1
-            own = qgrams(_bytes(codes))
-            grams.append(own)
-            owners.append(np.full(len(own), len(self.items)))
-            places.append(np.arange(len(own)))
-            self.items.append((item_id, codes, budget, m + 1 - Q * (budget + 1)))
-        flat = np.concatenate(grams) if grams else np.zeros(0, dtype=np.uint64)
-        order = np.argsort(flat, kind="stable")
-        self.grams, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
-        self.owner = np.concatenate(owners)[order] if grams else np.zeros(0, dtype=np.int64)
-        self.place = np.concatenate(places)[order] if grams else np.zeros(0, dtype=np.int64)
-        self.filter = np.zeros(2**20, dtype=bool)
-        self.filter[_slot(self.grams)] = True
+            q = min(Q, m // (budget + 1))
+            by_q.setdefault(q, []).append((len(self.items), codes))
+            self.items.append((item_id, codes, budget, m + 1 - q * (budget + 1)))
+        self.grams = [Grams(q, own) for q, own in sorted(by_q.items())]
 
     def search(self, codes: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item id, start, end, distance) of the verified regions in normalised texts that stand one after another."""
         found = []
-        if len(self.items):
-            grams = qgrams(_bytes(codes))
-            at = np.flatnonzero(self.filter[_slot(grams)])
-            where = np.minimum(np.searchsorted(self.grams, grams[at]), len(self.grams) - 1)
-            ok = self.grams[where] == grams[at]
-            at, where = at[ok], where[ok]
-            reps = self.count[where]
-            hits = np.repeat(self.first[where] + reps - np.cumsum(reps), reps) + np.arange(reps.sum())
-            found += self._regions(codes, self.owner[hits], self.place[hits], np.repeat(at, reps))
+        line = _bytes(codes)
+        for grams in self.grams:
+            found += self._regions(codes, *grams.hits(line))
         for item_id, pattern in self.short:
             found += [(item_id, p, p + len(pattern), 0) for p in _find(codes, pattern)]
         return found
@@ -146,8 +163,7 @@ class Index:
         steps, begin, n = np.unique(key[order], return_index=True, return_counts=True)
         # band b holds the diagonals of steps b and b + 1
         pos = np.minimum(np.searchsorted(steps, steps + 1), len(steps) - 1)
-        more = np.where(steps[pos] == steps + 1, n[pos], 0)
-        both = n + more
+        both = n + np.where(steps[pos] == steps + 1, n[pos], 0)
         item = steps // span
         out = []
         for j in np.flatnonzero(both >= bound[item]):
@@ -156,9 +172,10 @@ class Index:
             own = order[begin[j] : begin[j] + both[j]]
             if min(len(np.unique(place[own])), len(np.unique(at[own]))) < least:
                 continue
-            first = int(steps[j] % span - span // 2 + len(codes) // 2) * (budget + 1)
-            start, end = max(0, first), min(len(codes), first + 2 * (budget + 1) + len(pattern) + budget)
-            hit = banded(pattern, codes[start:end], budget)
+            # the step before it, if no q-gram lies there, has no band of its own
+            low = int(steps[j] % span - span // 2 + len(codes) // 2 - 1) * (budget + 1)
+            start, end = max(0, low), min(len(codes), low + 3 * (budget + 1) + len(pattern))
+            hit = banded(pattern, codes[start:end], budget, low - start, 3 * (budget + 1)) if start < end else None
             if hit:
                 out.append((item_id, start + hit[0], start + hit[1], hit[2]))
         return out
@@ -179,74 +196,112 @@ def _find(codes: np.ndarray, pattern: np.ndarray) -> list[int]:
     return places
 
 
-def banded(pattern: np.ndarray, region: np.ndarray, budget: int) -> tuple[int, int, int] | None:
+def banded(pattern: np.ndarray, region: np.ndarray, budget: int, low: int | None = None, width: int | None = None) -> tuple[int, int, int] | None:
     """(start, end, distance) of the closest stretch of ``region`` within ``budget`` edits of ``pattern``, or None.
 
-    The region is a few budgets wider than the pattern, so its rows are the band.
+    Only the ``width`` diagonals (place in the region less place in the pattern) from ``low`` on are looked at, all of
+    them if they are not given: a row has ``width`` cells, whatever the lengths.
     """
-    width = len(region)
-    columns = np.arange(width + 1)
-    row = np.zeros(width + 1, dtype=np.int64)  # a match may start anywhere
-    begin = columns.copy()
-    for i, c in enumerate(pattern):
-        down, diagonal = row + 1, row[:-1] + (region != c)
-        new, came = down, begin.copy()
-        better = diagonal < new[1:]
-        new[1:][better], came[1:][better] = diagonal[better], begin[:-1][better]
-        # a step along the row costs one: the least of (value - column) so far
-        least = np.minimum.accumulate(new - columns)
-        source = np.maximum.accumulate(np.where(new - columns == least, columns, 0))
-        row, begin = least + columns, came[source]
+    m, n = len(pattern), len(region)
+    low = -m if low is None else low
+    width = n - low + 1 if width is None else width
+    never = m + n + 1
+    diagonals = low + np.arange(width)
+    row = np.where((diagonals >= 0) & (diagonals <= n), 0, never)  # a match may start anywhere
+    begin = np.clip(diagonals, 0, n)
+    padded = np.concatenate([region.astype(np.int64), [-1]])
+    cells = np.arange(width)
+    for i in range(1, m + 1):
+        column = diagonals + i  # characters of the region used
+        c = padded[np.clip(column - 1, 0, n)]
+        new, came = row + (c != pattern[i - 1]), begin.copy()
+        new[column < 1] = never
+        down = np.append(row[1:] + 1, never)  # a character of the pattern has no partner
+        better = down < new
+        new[better], came[better] = down[better], np.append(begin[1:], 0)[better]
+        new[(column < 0) | (column > n)] = never
+        # a step along the row costs one: the least of (value - cell) so far
+        least = np.minimum.accumulate(new - cells)
+        came = came[np.maximum.accumulate(np.where(new - cells == least, cells, 0))]
+        row, begin = np.where(column > n, never, least + cells), came
+        row[column < 0] = never
         if row.min() > budget:
             return None
     end = int(np.argmin(row))
-    return (int(begin[end]), end, int(row[end])) if row[end] <= budget else None
-
+    return (int(begin[end]), int(diagonals[end] + m), int(row[end])) if row[end] <= budget else None
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, edit_rate: float = 0.1, block_chars: int = 4_000_000) -> DataFrame:
-    """(doc_id, item_id, start, end, distance): a row for every document and item found in it.
 
-    ``start`` and ``end`` are code point offsets in the document's own text.
-    """
+def _blocks(documents: DataFrame, benchmark: DataFrame, edit_rate: float, block_chars: int):
+    """The benchmark as broadcast indexes of about ``block_chars`` characters."""
     spark = documents.sparkSession
     small_batches(spark)
     items = benchmark.where("text IS NOT NULL").select("item_id", "text")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_chars))
-    schema = "doc_id long, item_id long, start long, end long, distance long"
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
         # about block_chars characters
-        index = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").collect()], edit_rate))
-        part = texts.mapInArrow(_searcher(index), schema)
+        yield spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").collect()], edit_rate))
+
+
+def contaminated(documents: DataFrame, benchmark: DataFrame, edit_rate: float = 0.1, block_chars: int = 4_000_000) -> DataFrame:
+    """(doc_id, item_id, start, end, distance): a row for every document and item found in it.
+
+    ``start`` and ``end`` are code point offsets in the document's own text.
+    """
+    schema = "doc_id long, item_id long, start long, end long, distance long"
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def searcher(index):
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, found in _searched(batches, index.value):
+                ids = batch.column(0).to_pylist()
+                rows = [(ids[r], i, a, b, d) for (r, i), (d, a, b) in found.items()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], names=["doc_id", "item_id", "start", "end", "distance"])
+
+        return search
+
+    out = None
+    for index in _blocks(documents, benchmark, edit_rate, block_chars):
+        part = texts.mapInArrow(searcher(index), schema)
         out = part if out is None else out.unionAll(part)
     return out
 
 
-def _searcher(index):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = index.value
-        longest = max([len(c) + 4 * b + Q for _, c, b, _ in ix.items], default=Q)
-        gap = max([b for _, _, b, _ in ix.items], default=0) + 1
-        for batch in doc_slices(batches, 4_000_000):
-            own = [(d, t) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t]
-            best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            if own:
-                codes, places, starts = normalised([t for _, t in own], gap)
-                for start in range(0, max(1, len(codes)), STRETCH):
-                    for item_id, a, b, d in ix.search(codes[start : start + STRETCH + longest]):
-                        first, last = int(places[start + a]), int(places[start + b - 1]) + 1
-                        row = int(np.searchsorted(starts, first, "right")) - 1
-                        new = (d, first - int(starts[row]), last - int(starts[row]))
-                        best[row, item_id] = min(new, best.get((row, item_id), new))
-            rows = [(own[r][0], i, a, b, d) for (r, i), (d, a, b) in best.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], names=["doc_id", "item_id", "start", "end", "distance"])
-
-    return search
+def _searched(batches: Iterator[pa.RecordBatch], ix: Index) -> Iterator[tuple[pa.RecordBatch, dict[tuple[int, int], tuple[int, int, int]]]]:
+    """Slices of the batches, each with (row, item) -> (distance, start, end) of what is found in them."""
+    longest = max([len(c) + 4 * b + Q for _, c, b, _ in ix.items], default=Q)
+    gap = max([b for _, _, b, _ in ix.items], default=0) + 1
+    for batch in doc_slices(batches, 4_000_000):
+        texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+        own = [r for r, t in enumerate(texts) if t]
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        if own:
+            codes, places, starts = normalised([texts[r] for r in own], gap)
+            for start in range(0, max(1, len(codes)), STRETCH):
+                for item_id, a, b, d in ix.search(codes[start : start + STRETCH + longest]):
+                    first, last = int(places[start + a]), int(places[start + b - 1]) + 1
+                    k = int(np.searchsorted(starts, first, "right")) - 1
+                    new = (d, first - int(starts[k]), last - int(starts[k]))
+                    best[own[k], item_id] = min(new, best.get((own[k], item_id), new))
+        yield batch, best
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``documents`` without those in which an item is found."""
-    return documents.join(contaminated(documents, benchmark, **options).select("doc_id").distinct(), "doc_id", "left_anti")
+    """``documents`` without the rows in which an item is found; each row is judged by its own text."""
+    schema = documents.schema
+    options = {"edit_rate": 0.1, "block_chars": 4_000_000, **options}
+
+    def dropper(index):
+        def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, found in _searched(batches, index.value):
+                keep = np.ones(batch.num_rows, dtype=bool)
+                keep[[r for r, _ in found]] = False
+                yield batch.filter(pa.array(keep))
+
+        return drop
+
+    out = documents
+    for index in _blocks(documents, benchmark, **options):
+        out = out.mapInArrow(dropper(index), schema)
+    return out
