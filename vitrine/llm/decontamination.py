@@ -165,19 +165,21 @@ class Index:
         pos = np.minimum(np.searchsorted(steps, steps + 1), len(steps) - 1)
         both = n + np.where(steps[pos] == steps + 1, n[pos], 0)
         item = steps // span
-        out = []
+        lows: dict[int, list[int]] = {}
         for j in np.flatnonzero(both >= bound[item]):
-            item_id, pattern, budget, least = self.items[item[j]]
+            budget, least = self.items[item[j]][2:]
             # each q-gram of the item and of the text counts once
             own = order[begin[j] : begin[j] + both[j]]
-            if min(len(np.unique(place[own])), len(np.unique(at[own]))) < least:
-                continue
-            # the step before it, if no q-gram lies there, has no band of its own
-            low = int(steps[j] % span - span // 2 + len(codes) // 2 - 1) * (budget + 1)
-            start, end = max(0, low), min(len(codes), low + 3 * (budget + 1) + len(pattern))
-            hit = banded(pattern, codes[start:end], budget, low - start, 3 * (budget + 1)) if start < end else None
-            if hit:
-                out.append((item_id, start + hit[0], start + hit[1], hit[2]))
+            if min(len(np.unique(place[own])), len(np.unique(at[own]))) >= least:
+                # the step before it, if no q-gram lies there, has no band of its own
+                lows.setdefault(int(item[j]), []).append(int(steps[j] % span - span // 2 + len(codes) // 2 - 1) * (budget + 1))
+        out = []
+        for number, first in lows.items():
+            item_id, pattern, budget, _ = self.items[number]
+            chunk = max(1, 2**20 // (3 * (budget + 1)))  # cells a row
+            for k in range(0, len(first), chunk):
+                start, end, distance = banded(pattern, codes, np.array(first[k : k + chunk]), 3 * (budget + 1), budget)
+                out += [(item_id, int(a), int(b), int(d)) for a, b, d in zip(start, end, distance) if d <= budget]
         return out
 
 
@@ -196,39 +198,41 @@ def _find(codes: np.ndarray, pattern: np.ndarray) -> list[int]:
     return places
 
 
-def banded(pattern: np.ndarray, region: np.ndarray, budget: int, low: int | None = None, width: int | None = None) -> tuple[int, int, int] | None:
-    """(start, end, distance) of the closest stretch of ``region`` within ``budget`` edits of ``pattern``, or None.
+def banded(pattern: np.ndarray, codes: np.ndarray, lows: np.ndarray, width: int, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, distance) of the stretch closest to ``pattern`` in each of many bands of ``codes``; above ``budget`` it says no more than that.
 
-    Only the ``width`` diagonals (place in the region less place in the pattern) from ``low`` on are looked at, all of
-    them if they are not given: a row has ``width`` cells, whatever the lengths.
+    A band is the ``width`` diagonals (place in the text less place in the pattern) from its number in ``lows`` on, so a
+    row has ``width`` cells, whatever the lengths. Bands whose cells have all passed the budget are left.
     """
-    m, n = len(pattern), len(region)
-    low = -m if low is None else low
-    width = n - low + 1 if width is None else width
-    never = m + n + 1
-    diagonals = low + np.arange(width)
-    row = np.where((diagonals >= 0) & (diagonals <= n), 0, never)  # a match may start anywhere
-    begin = np.clip(diagonals, 0, n)
-    padded = np.concatenate([region.astype(np.int64), [-1]])
+    n, never = len(codes), np.int64(len(pattern) + len(codes) + 1)
     cells = np.arange(width)
-    for i in range(1, m + 1):
-        column = diagonals + i  # characters of the region used
-        c = padded[np.clip(column - 1, 0, n)]
-        new, came = row + (c != pattern[i - 1]), begin.copy()
-        new[column < 1] = never
-        down = np.append(row[1:] + 1, never)  # a character of the pattern has no partner
-        better = down < new
-        new[better], came[better] = down[better], np.append(begin[1:], 0)[better]
+    padded = np.append(codes.astype(np.int64), -1)
+    starts, ends, distances = np.zeros(len(lows), dtype=np.int64), np.zeros(len(lows), dtype=np.int64), np.full(len(lows), never)
+    open_, column = np.arange(len(lows)), np.asarray(lows, dtype=np.int64)[:, None] + cells  # column: characters of the text used
+    row = np.where((column >= 0) & (column <= n), 0, never)  # a match may start anywhere
+    begin = np.clip(column, 0, n)
+    for c in pattern:
+        column = column + 1
+        new = np.where(column >= 1, row + (padded[np.clip(column - 1, 0, n)] != c), never)
+        came = begin.copy()
+        # a character of the pattern without a partner
+        down = row[:, 1:] + 1 < new[:, :-1]
+        new[:, :-1][down], came[:, :-1][down] = row[:, 1:][down] + 1, begin[:, 1:][down]
         new[(column < 0) | (column > n)] = never
         # a step along the row costs one: the least of (value - cell) so far
-        least = np.minimum.accumulate(new - cells)
-        came = came[np.maximum.accumulate(np.where(new - cells == least, cells, 0))]
-        row, begin = np.where(column > n, never, least + cells), came
-        row[column < 0] = never
-        if row.min() > budget:
-            return None
-    end = int(np.argmin(row))
-    return (int(begin[end]), int(diagonals[end] + m), int(row[end])) if row[end] <= budget else None
+        least = np.minimum.accumulate(new - cells, axis=1)
+        source = np.maximum.accumulate(np.where(new - cells == least, cells, 0), axis=1)
+        row = np.where((column < 0) | (column > n), never, least + cells)
+        begin = np.take_along_axis(came, source, axis=1)
+        alive = row.min(axis=1) <= budget
+        if not alive.all():
+            open_, column, row, begin = open_[alive], column[alive], row[alive], begin[alive]
+            if not len(open_):
+                break
+    if len(open_):
+        best, each = row.argmin(axis=1), np.arange(len(open_))
+        starts[open_], ends[open_], distances[open_] = begin[each, best], column[each, best], row[each, best]
+    return starts, ends, distances
 
 
 def _blocks(documents: DataFrame, benchmark: DataFrame, edit_rate: float, block_chars: int):
