@@ -146,10 +146,29 @@ def test_rollup_commits_once_and_revises(spark, tmp_path):
     rollup.commit("3", token_counts.deltas(rows.where("doc_id = 2"), -1))
     totals = {(r["source"], r["tokenizer"]): (r["docs"], r["tokens"]) for r in rollup.totals().collect()}
     assert totals == {("s", "words-1"): (1, 1), ("s", "pieces-1"): (1, 1), (None, "words-1"): (1, 0), (None, "pieces-1"): (1, 0)}
-    # a write that broke off has no mark and is done again
-    (tmp_path / "rollup" / "batch=3" / "_SUCCESS").unlink()
-    assert rollup.commit("3", token_counts.deltas(rows.where("doc_id = 2"), -1))
-    assert {(r["source"], r["tokenizer"]): r["docs"] for r in rollup.totals().collect()}["s", "words-1"] == 1
+    # a write that broke off has no mark: it is neither counted nor in the way of the next try
+    (tmp_path / "rollup" / "batches" / "b-3" / "_SUCCESS").unlink()
+    docs_of = lambda: {(r["source"], r["tokenizer"]): r["docs"] for r in rollup.totals().collect()}["s", "words-1"]
+    assert docs_of() == 2 and rollup.batches() == ["1", "2"]
+    assert rollup.commit("3", token_counts.deltas(rows.where("doc_id = 2"), -1)) and docs_of() == 1
+
+
+def test_compacted_totals_stay_the_same(spark, tmp_path):
+    rows = token_counts.counted(spark.createDataFrame([(1, "a b c", "en", "s"), (2, "d-e", "de", "s")], "doc_id long, text string, lang string, source string"))
+    rollup = token_counts.Rollup(spark, f"{tmp_path}/rollup")
+    assert rollup.totals().count() == 0 and rollup.compact() == 0
+    seen = lambda: sorted(map(tuple, rollup.totals().collect()))
+    rollup.commit("a/b=c %", token_counts.deltas(rows))
+    before = seen()
+    assert rollup.compact() == 1 == rollup.compact() and seen() == before and rollup.batches() == ["a/b=c %"]
+    assert not rollup.commit("a/b=c %", token_counts.deltas(rows)) and seen() == before
+    rollup.commit("2", token_counts.deltas(rows.where("doc_id = 2"), -1))
+    assert rollup.compact() == 2 and {r[1]: r[3:] for r in seen() if r[2] == "words-1"} == {"en": (1, 3), "de": (0, 0)}
+    # a generation whose totals are not whole does not count
+    (tmp_path / "rollup" / "totals" / "2" / "_SUCCESS").unlink()
+    assert {r[1]: r[3:] for r in seen() if r[2] == "words-1"} == {"en": (1, 3), "de": (0, 0)}
+    with pytest.raises(ValueError):
+        rollup.commit("", token_counts.deltas(rows))
 
 
 def test_token_counts_odd_documents(spark):

@@ -136,20 +136,25 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents are inserted; a take-down batch deletes those labelled toxic, and is sent twice."""
-    documents = staged(token_counts.counted(_table(spark, sf_dir, "documents")), "counted")
-    toxic = _table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    """All documents are inserted; those of low quality are revised, their hyphens parting words; those labelled toxic are taken down, in a batch that is sent twice."""
+    documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    counted = staged(token_counts.counted(documents), "counted")
+    low, toxic = (labels.where(rule).select("doc_id").distinct() for rule in ("quality = 0 AND toxic = 0", "toxic = 1"))
     rollup = token_counts.Rollup(spark)
-    rollup.commit("0001-insert", token_counts.deltas(documents))
-    taken_down = token_counts.deltas(documents.join(toxic, "doc_id", "left_semi"), -1)
-    rollup.commit("0002-take-down", taken_down)
-    rollup.commit("0002-take-down", taken_down)
+    rollup.commit("0001-insert", token_counts.deltas(counted))
+    parted = documents.join(low, "doc_id", "left_semi").withColumn("text", F.replace("text", F.lit("-"), F.lit(" ")))
+    rollup.commit("0002-revise", token_counts.revised(counted.join(low, "doc_id", "left_semi"), token_counts.counted(parted)))
+    rollup.compact()
+    taken_down = token_counts.deltas(counted.join(toxic, "doc_id", "left_semi"), -1)
+    rollup.commit("0003-take-down", taken_down)
+    rollup.commit("0003-take-down", taken_down)
     return rollup.totals()
 
 
 OP8_SQL = r"""
-WITH c AS (SELECT source, lang, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 0 ELSE 1 END AS n,
-  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words, len(regexp_extract_all(coalesce(text, ''), '[\pL\pN]+|[^\pL\pN\x20\x09-\x0D]')) AS pieces FROM documents)
+WITH d AS (SELECT source, lang, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 0 ELSE 1 END AS n,
+  CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0 AND toxic = 0) THEN replace(text, '-', ' ') ELSE text END AS text FROM documents),
+c AS (SELECT source, lang, n, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words, len(regexp_extract_all(coalesce(text, ''), '[\pL\pN]+|[^\pL\pN\x20\x09-\x0D]')) AS pieces FROM d)
 SELECT source, lang, 'words-1' AS tokenizer, sum(n)::BIGINT AS docs, sum(n * words)::BIGINT AS tokens FROM c GROUP BY ALL
 UNION ALL
 SELECT source, lang, 'pieces-1' AS tokenizer, sum(n)::BIGINT AS docs, sum(n * pieces)::BIGINT AS tokens FROM c GROUP BY ALL

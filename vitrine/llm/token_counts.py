@@ -2,25 +2,29 @@
 
 The totals of (source, lang, tokenizer) are sums of committed signed deltas: an insert adds a
 document and its tokens, a delete takes them away, a revised count is a delete of the old count
-and an insert of the new one. A batch of deltas is summed per key and written to a folder named
-after the batch; a batch whose folder has been committed is left as it is, so a batch that is sent
+and an insert of the new one. A batch of deltas is summed per key and written to a folder of its
+own; a batch whose folder has been committed is left as it is, so a batch that is sent
 again changes nothing, and a write that broke off is overwritten by the next try (Spark commits
-the folder with ``_SUCCESS`` at the end).
+the folder with ``_SUCCESS`` at the end). ``compact`` folds what has been committed into a new
+generation of the totals, which names the batches it holds; ``totals`` reads the latest whole
+generation and the batches committed since, and nothing that has not been committed.
 
 Tokenizers are column functions with a name and version. ``bpe`` makes one from a byte-pair vocabulary file;
 the path is a parameter.
 
 Cases: a null text has no tokens but is a document; null source or lang is a key of its own; keys
-whose totals return to zero stay as zero rows; an empty batch commits nothing but its folder;
-repeated rows count each time; other columns are not read.
+whose totals return to zero stay as zero rows; an empty batch commits nothing but its folder; a
+rollup without a committed batch has no rows; a batch may have any name but the empty one; repeated
+rows count each time; other columns are not read. One writer at a time: two that send the same batch at once
+write the same rows, two that compact at once make the same generation.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import quote, unquote
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,23 +82,62 @@ class Rollup:
         self.spark, self.path = spark, path or f"{shared_dir(spark)}/rollup"
 
     def _batch(self, batch: str) -> str:
-        return f"{self.path}/batch={batch}"
+        if not batch:
+            raise ValueError("a batch needs a name")
+        return f"{self.path}/batches/b-{quote(batch, safe='')}"
+
+    def _whole(self, folder: str) -> list[str]:
+        """Names of the committed folders below ``folder``."""
+        jvm = self.spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(folder)
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(at):
+            return []
+        return sorted(f.getPath().getName() for f in fs.listStatus(at) if fs.exists(jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS")))
+
+    def batches(self) -> list[str]:
+        """Names of the committed batches."""
+        return [unquote(name[2:]) for name in self._whole(f"{self.path}/batches")]
 
     def committed(self, batch: str) -> bool:
-        try:
-            self.spark.read.format("text").load(f"{self._batch(batch)}/_SUCCESS")
-        except AnalysisException:
-            return False
-        return True
+        return batch in self.batches()
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add ``changes`` as ``batch``; False, and no change, if it has been added before."""
+        folder = self._batch(batch)
         if self.committed(batch):
             return False
-        changes.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.mode("overwrite").parquet(self._batch(batch))
+        self._summed(changes).write.mode("overwrite").parquet(folder)
         return True
 
+    @staticmethod
+    def _summed(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+
+    def _latest(self) -> tuple[int, set[str]]:
+        """Number of the latest generation, and the batches it holds."""
+        whole = [int(name) for name in self._whole(f"{self.path}/totals")]
+        if not whole:
+            return 0, set()
+        held = self.spark.read.schema("batch string").parquet(f"{self.path}/held/{max(whole)}")
+        return max(whole), {r["batch"] for r in held.collect()}  # a name for each batch
+
     def totals(self) -> DataFrame:
         """Documents and tokens of each key over all committed batches."""
-        rows = self.spark.read.schema(f"{SCHEMA}, batch string").parquet(self.path)
-        return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        generation, held = self._latest()
+        folders = [f"{self.path}/totals/{generation}"] if generation else []
+        folders += [self._batch(b) for b in self.batches() if b not in held]
+        rows = self.spark.read.schema(SCHEMA).parquet(*folders) if folders else self.spark.createDataFrame([], SCHEMA)
+        return self._summed(rows)
+
+    def compact(self) -> int:
+        """Fold the committed batches into a new generation of the totals, unless the latest holds them all; its number."""
+        generation, held = self._latest()
+        now = self.batches()
+        if held == set(now):
+            return generation
+        rows = self.totals()
+        # the totals are written last: a generation counts only once they are whole
+        self.spark.createDataFrame([(b,) for b in now], "batch string").write.mode("overwrite").parquet(f"{self.path}/held/{generation + 1}")
+        rows.write.mode("overwrite").parquet(f"{self.path}/totals/{generation + 1}")
+        return generation + 1
