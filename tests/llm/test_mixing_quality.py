@@ -126,16 +126,105 @@ def test_quality_odd_documents(spark):
     assert quality.judged(no_documents(spark)).count() == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2019 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE."""
+
+APACHE = """Copyright 2021 Some Authors
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+
+ENDORSE = """
+3. Neither the name of Some Company nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE."""
+
+GPL = """Frobnicator is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+Frobnicator is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+
+
+def commented(text, mark):
+    return "\n".join(f"{mark}{line}" for line in text.split("\n"))
+
+
 def test_licence_rules(spark):
-    apache = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n"
-    bsd = " ".join(licences.SENTENCES[k].capitalize() + "." for k in ("bsd-redistribution", "bsd-source", "bsd-binary"))
-    texts = ["Text. Licensed under CC BY-NC 4.0. More!", bsd, bsd + "\n" + licences.SENTENCES["bsd-endorse"], "Released under the\nMIT License.", "we released under the mit license yesterday", apache, None]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = {(r["doc_id"], r["rule"]) for r in licences.scan(docs).collect()}
-    assert found == {(0, "cc-by-nc-reference"), (1, "bsd-2-text"), (2, "bsd-2-text"), (2, "bsd-3-text")}
+    cases = [
+        (MIT, {"MIT"}), (APACHE, {"Apache-2.0"}), (BSD, {"BSD-2-Clause"}), (BSD + ENDORSE, {"BSD-2-Clause", "BSD-3-Clause"}), (ISC, {"ISC"}), (GPL, {"GPL-3.0-or-later"}),
+        (GPL.replace("version 3", "version 2"), {"GPL-2.0-or-later"}), (GPL.replace("General", "Lesser General"), {"LGPL-3.0-or-later"}), (GPL.replace("General", "Affero General"), {"AGPL-3.0-or-later"}),
+        ("Text. Licensed under CC BY-NC 4.0. More!", {"CC-BY-NC-4.0"}), ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", {"CC-BY-SA-4.0"}),
+        ("code\nReleased under the\nMIT License.", {"MIT"}), ("// SPDX-License-Identifier: BSD-3-Clause\nint main;", {"BSD-3-Clause"}), ("a b c the permission of the software", set()), ("Licensed under the Apache Licence", set()),
+        (MIT.replace("merge,", ""), set()), ("unlicensed under the MIT license", set()), (None, set()), ("", set()), (MIT + "\n\n" + APACHE, {"MIT", "Apache-2.0"}),
+    ]
+    marks = ["", "# ", "// ", " * ", "-- ", "; "]
+    texts = [(f"{k}-{m}", commented(t, m) if t else t, want) for k, (t, want) in enumerate(cases) for m in marks]
+    found = licences.scan(spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id string, text string")).collect()
+    for key, text, want in texts:
+        assert {r["licence"] for r in found if r["doc_id"] == key} == want, text
     assert licences.scan(odd_documents(spark)).count() == 0 and licences.scan(no_documents(spark)).count() == 0
 
 
+def test_licence_tables_can_be_replaced(spark):
+    docs = spark.createDataFrame([(1, "our copyright line one. And, our\nsecond licence line!"), (2, "our second licence line; our copyright line one")], "doc_id long, text string")
+    known = spark.createDataFrame([("one", "our copyright line one"), ("two", "our second licence line"), ("whole", "our second licence line of all")], "id string, sentence string")
+    rules = spark.createDataFrame([("both", "Own", ["one", "two"])], "rule string, licence string, ids array<string>")
+    assert [tuple(r) for r in licences.scan(docs, known, rules).collect()] == [(1, "Own", "both", "one,two")]
+    with pytest.raises(ValueError):
+        licences.scan(docs, spark.createDataFrame([("one", "no such word")], "id string, sentence string"), rules)
+
+
 def test_rollup_commits_once_and_revises(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b c", "en", "s"), (2, "d-e", "en", "s"), (3, None, None, None)], "doc_id long, text string, lang string, source string")
     rollup = token_counts.Rollup(spark, f"{tmp_path}/rollup")

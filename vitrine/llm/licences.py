@@ -1,11 +1,16 @@
 """Licence scans by sentence rules.
 
-Texts are cut into sentences (at line ends and after ``.``, ``!``, ``?`` or ``;`` before white
-space), normalised to lower-case ASCII letters and digits with single spaces. Known licence
-sentences map to identifiers; the identifiers of a document, in order and without the unknown
-sentences between them, are matched against ordered rules: a rule applies where its identifiers
-stand one after another. The rules are a fixed table, so the whole scan is one pass without a
-shuffle.
+Texts are normalised to lower-case ASCII letters and digits with single spaces, which joins wrapped
+lines and takes away comment marks, quotes and punctuation. Known licence sentences are recognised
+as word sequences, so neither a copyright line nor an address or a project's name beside a
+sentence hides it; each maps to its identifier. The identifiers of a document, in order and without
+what is unknown between them, are matched against ordered rules: a rule applies where its
+identifiers follow one another. Where two known sentences begin at one word, the longer one counts.
+
+The tables of sentences and rules are DataFrames (``sentences_table``, ``rules_table``), of at most
+``MOST`` rows together: they become part of the plan, so the whole scan is one pass without a
+shuffle. Texts that hold none of the ``MARKS``, one of which is in every known sentence, are left
+at once.
 
 Main path: DataFrame functions only.
 
@@ -16,84 +21,184 @@ are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Well-known sentences of public licences, normalised.
+MOST = 10_000
+#: Every known sentence holds one of these.
+MARKS = ("licen", "software", "copyright", "domain", "redistribut", "gpl")
+
+#: Sentences of public licences, or what of them does not change with names and years.
 SENTENCES: dict[str, str] = {
-    "mit-ref": "released under the mit license",
-    "mit-ref2": "licensed under the mit license",
-    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
-    "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "mit-asis": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
-    "apache-ref": "licensed under the apache license version 2 0",
-    "apache-ref2": "licensed under the apache license version 2 0 the license",
-    "apache-may-not": "you may not use this file except in compliance with the license",
-    "apache-copy": "you may obtain a copy of the license at http www apache org licenses license 2 0",
-    "apache-unless": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
-    "gpl3-ref": "this work is licensed under the gnu general public license version 3",
-    "gpl-redistribute3": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "gpl-redistribute2": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
-    "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
-    "lgpl-ref": "this work is licensed under the gnu lesser general public license version 3",
-    "mpl-ref": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "bsd-redistribution": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-    "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "cc-by-ref": "licensed under cc by 4 0",
-    "cc-by-sa-ref": "licensed under cc by sa 4 0",
-    "cc-by-nc-ref": "licensed under cc by nc 4 0",
-    "cc-by-nd-ref": "licensed under cc by nd 4 0",
-    "cc-by-long": "this work is licensed under a creative commons attribution 4 0 international license",
-    "cc0-ref": "this work is dedicated to the public domain under cc0 1 0",
-    "unlicense": "this is free and unencumbered software released into the public domain",
+    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
+    "mit-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+    "mit-asis": "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement",
+    "apache-header": "Licensed under the Apache License, Version 2.0 (the License)",
+    "apache-header-granted": "licenses this file to you under the Apache License, Version 2.0 (the License)",
+    "apache-may-not": "you may not use this file except in compliance with the License",
+    "apache-unless": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an as is basis, without warranties or conditions of any kind, either express or implied",
+    "apache-grant": "each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license",
+    "apache-patents": "each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable (except as stated in this section) patent license",
+    "bsd-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+    "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+    "bsd-advertising": "All advertising materials mentioning features or use of this software must display the following acknowledgement",
+    "bsd-endorse": "contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-grant-and": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "isc-asis": "the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "zlib-asis": "This software is provided as-is, without any express or implied warranty",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "boost-grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software",
+    "gpl-2-later": "is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    "gpl-3-later": "is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "gpl-2-only": "is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+    "gpl-3-only": "is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation",
+    "lgpl-21-later": "is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    "lgpl-3-later": "is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "agpl-3-later": "is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "gpl-received": "You should have received a copy of the GNU General Public License along with",
+    "lgpl-received": "You should have received a copy of the GNU Lesser General Public License along with",
+    "agpl-received": "You should have received a copy of the GNU Affero General Public License along with",
+    "gpl-3-preamble": "The GNU General Public License is a free, copyleft license for software and other kinds of works",
+    "mpl-2-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "epl-2-header": "made available under the terms of the Eclipse Public License 2.0",
+    "epl-2-header-v": "made available under the terms of the Eclipse Public License v2.0",
+    "cc0-dedicated": "dedicated to the public domain under CC0 1.0",
+    "cc0-waived": "has waived all copyright and related or neighboring rights to this work",
+    "unlicense-released": "This is free and unencumbered software released into the public domain",
+    "unlicense-anyone": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
 }
 
 #: (rule, licence, its sentences in order)
 RULES: list[tuple[str, str, list[str]]] = [
-    ("mit-reference", "MIT", ["mit-ref"]),
-    ("mit-reference-2", "MIT", ["mit-ref2"]),
     ("mit-text", "MIT", ["mit-grant", "mit-notice", "mit-asis"]),
-    ("apache-reference", "Apache-2.0", ["apache-ref"]),
-    ("apache-header", "Apache-2.0", ["apache-ref2", "apache-may-not", "apache-copy", "apache-unless"]),
-    ("gpl-3-reference", "GPL-3.0-only", ["gpl3-ref"]),
-    ("gpl-3-header", "GPL-3.0-or-later", ["gpl-redistribute3", "gpl-hope"]),
-    ("gpl-2-header", "GPL-2.0-or-later", ["gpl-redistribute2", "gpl-hope"]),
-    ("lgpl-3-reference", "LGPL-3.0-only", ["lgpl-ref"]),
-    ("mpl-2-header", "MPL-2.0", ["mpl-ref"]),
+    ("apache-2-header", "Apache-2.0", ["apache-header", "apache-may-not", "apache-unless"]),
+    ("apache-2-header-granted", "Apache-2.0", ["apache-header-granted", "apache-may-not", "apache-unless"]),
+    ("apache-2-text", "Apache-2.0", ["apache-grant", "apache-patents"]),
     ("bsd-2-text", "BSD-2-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary"]),
     ("bsd-3-text", "BSD-3-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse"]),
-    ("isc-text", "ISC", ["isc-grant"]),
-    ("cc-by-reference", "CC-BY-4.0", ["cc-by-ref"]),
-    ("cc-by-notice", "CC-BY-4.0", ["cc-by-long"]),
-    ("cc-by-sa-reference", "CC-BY-SA-4.0", ["cc-by-sa-ref"]),
-    ("cc-by-nc-reference", "CC-BY-NC-4.0", ["cc-by-nc-ref"]),
-    ("cc-by-nd-reference", "CC-BY-ND-4.0", ["cc-by-nd-ref"]),
-    ("cc0-reference", "CC0-1.0", ["cc0-ref"]),
-    ("unlicense-text", "Unlicense", ["unlicense"]),
+    ("bsd-4-text", "BSD-4-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-endorse"]),
+    ("isc-text", "ISC", ["isc-grant", "isc-asis"]),
+    ("isc-text-and", "ISC", ["isc-grant-and", "isc-asis"]),
+    ("0bsd-text", "0BSD", ["0bsd-grant", "isc-asis"]),
+    ("zlib-text", "Zlib", ["zlib-asis", "zlib-grant"]),
+    ("boost-1-text", "BSL-1.0", ["boost-grant"]),
+    ("gpl-2-header", "GPL-2.0-or-later", ["gpl-2-later"]),
+    ("gpl-3-header", "GPL-3.0-or-later", ["gpl-3-later"]),
+    ("gpl-2-only-header", "GPL-2.0-only", ["gpl-2-only"]),
+    ("gpl-3-only-header", "GPL-3.0-only", ["gpl-3-only"]),
+    ("lgpl-21-header", "LGPL-2.1-or-later", ["lgpl-21-later"]),
+    ("lgpl-3-header", "LGPL-3.0-or-later", ["lgpl-3-later"]),
+    ("agpl-3-header", "AGPL-3.0-or-later", ["agpl-3-later"]),
+    ("gpl-3-text", "GPL-3.0-only", ["gpl-3-preamble"]),
+    ("mpl-2-header", "MPL-2.0", ["mpl-2-header"]),
+    ("epl-2-header", "EPL-2.0", ["epl-2-header"]),
+    ("epl-2-header-v", "EPL-2.0", ["epl-2-header-v"]),
+    ("cc0-reference", "CC0-1.0", ["cc0-dedicated"]),
+    ("cc0-waiver", "CC0-1.0", ["cc0-waived"]),
+    ("unlicense-text", "Unlicense", ["unlicense-released", "unlicense-anyone"]),
+    ("unlicense-reference", "Unlicense", ["unlicense-released"]),
 ]
 
+#: Licences as sentences call them.
+NAMES: dict[str, list[str]] = {
+    "MIT": ["the MIT License", "an MIT license", "the terms of the MIT license"],
+    "Apache-2.0": ["the Apache License, Version 2.0", "the Apache License 2.0", "the Apache 2.0 License"],
+    "BSD-2-Clause": ["the BSD 2-Clause License", "the 2-Clause BSD License"],
+    "BSD-3-Clause": ["the BSD 3-Clause License", "the 3-Clause BSD License"],
+    "ISC": ["the ISC License"],
+    "BSL-1.0": ["the Boost Software License, Version 1.0"],
+    "GPL-2.0-only": ["the GNU General Public License, version 2", "the GNU GPL v2", "the GPLv2"],
+    "GPL-3.0-only": ["the GNU General Public License, version 3", "the GNU GPL v3", "the GPLv3"],
+    "LGPL-2.1-only": ["the GNU Lesser General Public License, version 2.1", "the LGPLv2.1"],
+    "LGPL-3.0-only": ["the GNU Lesser General Public License, version 3", "the LGPLv3"],
+    "AGPL-3.0-only": ["the GNU Affero General Public License, version 3", "the AGPLv3"],
+    "MPL-2.0": ["the Mozilla Public License 2.0", "the Mozilla Public License, version 2.0"],
+    "EPL-2.0": ["the Eclipse Public License 2.0"],
+}
+#: The parts of Creative Commons licences.
+COMMONS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+VERBS = ("licensed", "released", "distributed", "available")
+
+
+def normal(sentence: str) -> str:
+    """A sentence as texts are normalised."""
+    return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
+
+
+def references() -> tuple[dict[str, str], list[tuple[str, str, list[str]]]]:
+    """Sentences that refer to a licence by a verb and its name, or by its identifier, and a rule for each."""
+    named = {licence: list(names) for licence, names in NAMES.items()}
+    for parts, long in COMMONS.items():
+        for version in ("3.0", "4.0"):
+            named[f"CC-{parts}-{version}"] = [f"CC {parts} {version}", f"a Creative Commons {long} {version} {'International' if version == '4.0' else 'Unported'} License"]
+    sentences, rules = {}, []
+    for licence, names in named.items():
+        texts = [f"{verb} under {name}" for name in names for verb in VERBS if any(m in f"{verb} {name}".lower() for m in MARKS)] + [f"SPDX-License-Identifier: {licence}"]
+        for k, text in enumerate(texts, 1):
+            key = f"{licence.lower()}-reference-{k}"
+            sentences[key] = text
+            rules.append((key, licence, [key]))
+    return sentences, rules
+
+
+def sentences_table(spark: SparkSession) -> DataFrame:
+    """(id, sentence) of the sentences known here."""
+    return spark.createDataFrame(list({**SENTENCES, **references()[0]}.items()), "id string, sentence string")
+
+
+def rules_table(spark: SparkSession) -> DataFrame:
+    """(rule, licence, ids) of the rules known here."""
+    return spark.createDataFrame([*RULES, *references()[1]], "rule string, licence string, ids array<string>")
+
+
+def normalised(text: Column) -> Column:
+    """A text as words of lower-case letters and digits, a space before and after each."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), F.lit(" "))
+
+
+def any_of(sentences: list[str]) -> str:
+    """A regular expression of word sequences; of several that begin at one word the longest."""
+    tree: dict = {}
+    for sentence in sentences:
+        node = tree
+        for word in sentence.split():
+            node = node.setdefault(word, {})
+        node[""] = {}
+
+    def text(node: dict) -> str:
+        """The words that may follow, each with the space before it."""
+        tails = [f" {word}{text(below)}" for word, below in sorted(node.items()) if word]
+        if not tails:
+            return ""
+        joined = tails[0] if len(tails) == 1 else f"(?:{'|'.join(tails)})"
+        return f"(?:{joined})?" if "" in node else joined
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, in order."""
-    cut = F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?;])[ \t\r]+", "$1\n")
-    plain = F.regexp_replace(F.lower(cut), r"[^a-z0-9\n]+", " ")
-    return F.split(plain, " ?\n ?")
+    return f"{text(tree)}(?= )"
 
 
-def scan(documents: DataFrame, known: dict[str, str] | None = None, rules: list[tuple[str, str, list[str]]] | None = None) -> DataFrame:
+def scan(documents: DataFrame, sentences: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
     """(doc_id, licence, rule, sentence_ids): a row for each rule that a document's sentences match.
 
+    ``sentences`` (id, sentence) and ``rules`` (rule, licence, ids) replace the tables known here.
     ``sentence_ids`` are the document's identifiers in order, joined by a comma.
     """
-    known, rules = known or SENTENCES, rules or RULES
-    ids = F.create_map(*[F.lit(x) for name, sentence in known.items() for x in (sentence, name)])
-    all_known = F.array(*map(F.lit, known.values()))
-    found = documents.select("doc_id", F.transform(sentences(F.col("text")), lambda s: F.btrim(s)).alias("s"))
-    found = found.where(F.arrays_overlap("s", all_known))
-    named = found.select("doc_id", F.array_join(F.filter(F.transform("s", lambda s: F.try_element_at(ids, s)), lambda x: x.isNotNull()), ",").alias("sentence_ids"))
-    table = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(licence).alias("licence"), F.lit("," + ",".join(seq) + ",").alias("seq")) for r, licence, seq in rules])
+    spark = documents.sparkSession
+    known = {normal(r["sentence"]): r["id"] for r in (sentences if sentences is not None else sentences_table(spark)).orderBy("id").limit(MOST + 1).collect()}
+    own_rules = (rules if rules is not None else rules_table(spark)).orderBy("rule").limit(MOST + 1).collect()
+    if len(known) + len(own_rules) > MOST:
+        raise ValueError(f"sentences and rules are part of the plan: at most {MOST} of them")
+    unmarked = [s for s in known if not any(m in s for m in MARKS)]
+    if unmarked or not known or not own_rules:
+        raise ValueError(f"sentences without any of {MARKS}: {unmarked}" if unmarked else "no sentences or no rules")
+    ids = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    marked = documents.select("doc_id", "text").where(F.lower("text").rlike("|".join(MARKS)))
+    found = marked.select("doc_id", F.regexp_extract_all(normalised(F.col("text")), F.lit(any_of(list(known))), F.lit(0)).alias("s")).where(F.size("s") > 0)
+    named = found.select("doc_id", F.array_join(F.transform("s", lambda s: F.element_at(ids, F.btrim(s))), ",").alias("sentence_ids"))
+    table = F.array(*[F.struct(F.lit(r["rule"]).alias("rule"), F.lit(r["licence"]).alias("licence"), F.lit(f",{','.join(r['ids'])},").alias("seq")) for r in own_rules])
     hits = F.filter(table, lambda r: F.contains(F.concat(F.lit(","), F.col("sentence_ids"), F.lit(",")), r["seq"]))
     return named.select("doc_id", "sentence_ids", F.explode(hits).alias("r")).select("doc_id", "r.licence", "r.rule", "sentence_ids")

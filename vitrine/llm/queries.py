@@ -105,13 +105,17 @@ def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op4_sql() -> str:
-    quoted = ", ".join(f"('{name}', '{sentence}')" for name, sentence in licences.SENTENCES.items())
-    rules = ", ".join(f"('{rule}', '{licence}', ',{','.join(seq)},')" for rule, licence, seq in licences.RULES)
+    """The same tables searched sentence by sentence: places of each, less those within a longer one."""
+    sentences, rules = licences.references()
+    quoted = ", ".join(f"('{name}', '{licences.normal(text)}')" for name, text in {**licences.SENTENCES, **sentences}.items())
+    listed = ", ".join(f"('{rule}', '{licence}', ',{','.join(seq)},')" for rule, licence, seq in [*licences.RULES, *rules])
     return f"""
-    WITH known(name, sentence) AS (VALUES {quoted}), rules(rule, licence, seq) AS (VALUES {rules}),
-    cut AS (SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(lower(regexp_replace(coalesce(text, ''), '([.!?;])[ \t\r]+', '\1' || chr(10), 'g')), '[^a-z0-9\n]+', ' ', 'g'), chr(10)) AS s FROM documents),
-    one AS (SELECT r, doc_id, unnest(range(len(s))) AS i, trim(unnest(s)) AS sentence FROM cut),
-    ids AS (SELECT r, doc_id, string_agg(name, ',' ORDER BY i) AS sentence_ids FROM one JOIN known USING (sentence) GROUP BY r, doc_id)
+    WITH known AS (SELECT name, ' ' || replace(sentence, ' ', '  ') || ' ' AS sentence FROM (VALUES {quoted}) v(name, sentence)), rules(rule, licence, seq) AS (VALUES {listed}),
+    plain AS (SELECT row_number() OVER () AS r, doc_id, replace(' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ', '  ') AS t FROM documents),
+    parts AS (SELECT r, doc_id, name, length(sentence) AS n, string_split(t, sentence) AS p FROM plain JOIN known ON contains(t, sentence)),
+    hits AS (SELECT r, doc_id, name, n, list_sum(list_transform(p[:i], lambda x: length(x))) + (i - 1) * n AS place FROM (SELECT *, unnest(range(1, len(p))) AS i FROM parts)),
+    own AS (SELECT * FROM hits h WHERE NOT EXISTS (SELECT 1 FROM hits o WHERE o.r = h.r AND o.place <= h.place AND o.place + o.n >= h.place + h.n AND o.n > h.n)),
+    ids AS (SELECT r, doc_id, string_agg(name, ',' ORDER BY place) AS sentence_ids FROM own GROUP BY r, doc_id)
     SELECT doc_id, licence, rule, sentence_ids FROM ids JOIN rules ON contains(',' || sentence_ids || ',', seq)"""
 
 
