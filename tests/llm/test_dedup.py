@@ -86,7 +86,8 @@ def test_offsets_count_code_points(spark):
 
 def test_substrings_odd_documents(spark):
     docs = odd_documents(spark)
-    assert substring_dedup.repeats(docs).count() >= 0
+    assert {(r["doc_id"], r["n_words"]) for r in substring_dedup.repeats(docs).collect()} == {(4, 60_000 - 20)}
+    assert {r["doc_id"] for r in substring_dedup.repeats(docs, min_line_words=1).collect()} == {4, 7, 10}
     out = substring_dedup.without_repeats(docs)
     assert out.count() == 12 and out.columns == docs.columns
     assert substring_dedup.repeats(no_documents(spark)).count() == 0 and substring_dedup.without_repeats(no_documents(spark)).count() == 0
@@ -167,22 +168,6 @@ def test_a_passage_inside_other_sentences_is_found(spark):
         assert cut in shared and len(cut.split()) == row.n_words >= 30
 
 
-def test_long_units_are_cut_and_short_ones_are_not():
-    import numpy as np
-
-    chosen, sentence, line = (np.zeros(70, dtype=bool) for _ in range(3))
-    line[69] = True
-    assert substring_dedup.units(chosen, sentence, line, 4, 32) == [(0, 32), (32, 64), (64, 70)]
-    chosen[[1, 40]] = True
-    assert substring_dedup.units(chosen, sentence, line, 4, 32) == [(0, 32), (32, 41), (41, 70)]
-    sentence[[2, 42]] = True  # a tiny sentence, and one that ends soon after a cut
-    assert substring_dedup.units(chosen, sentence, line, 4, 32) == [(0, 3), (3, 35), (35, 41), (41, 43), (43, 70)]
-    sentence[:12] = True  # of tiny sentences in a row, all but the first join
-    assert substring_dedup.units(chosen, sentence, line, 4, 32)[:5] == [(0, 1), (1, 5), (5, 6), (6, 10), (10, 11)]
-    line[1] = True
-    assert substring_dedup.units(chosen, sentence, line, 4, 32)[:2] == [(0, 1), (1, 2)]
-
-
 def spans_of(spark, texts):
     rows = substring_dedup.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert all(r.n_words == len(texts[r.doc_id][r.start : r.end].split()) for r in rows)
@@ -217,3 +202,70 @@ def test_every_passage_of_fifty_words_is_found_with_its_edges(spark):
 
 def test_words_repeated_within_a_text_keep_the_first_occurrence(spark):
     assert spans_of(spark, ["word " * 100, "word " * 100]) == [(0, ("word " * 80).strip()), (1, ("word " * 100).strip())]
+
+
+def test_repeated_rows_give_whole_passages(spark):
+    text = "\n".join(" ".join(f"w{i}x{k}" for k in range(20)) for i in range(20))
+    rows = substring_dedup.repeats(spark.createDataFrame([(1, text), (2, text), (2, text), (None, text)], "doc_id long, text string")).collect()
+    assert [tuple(r) for r in rows] == [(2, 0, len(text), 400, 1)]
+
+
+def occurrences(texts, n):
+    """Of every window of n words the places (doc, word), in order."""
+    at = defaultdict(list)
+    for doc, text in sorted(texts.items()):
+        w = text.lower().split()
+        for i in range(len(w) - n + 1):
+            at[tuple(w[i : i + n])].append((doc, i))
+    return at
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_units_by_brute_force(spark, seed):
+    """Short lines, long lines and pasted passages: every repeated line goes but its first, and no word goes that is not in a unit found earlier."""
+    rnd = random.Random(seed)
+    word = lambda: f"w{rnd.randrange(40)}" if rnd.random() < 0.4 else f"v{rnd.randrange(10**6)}"
+    pool = [" ".join(word() for _ in range(rnd.randrange(1, 13))) for _ in range(60)]
+    passages = [" ".join(f"p{rnd.randrange(10**6)}" for _ in range(rnd.randrange(10, 25))) for _ in range(6)]
+    texts = {}
+    for doc in range(40):
+        lines = [rnd.choice(pool) if rnd.random() < 0.3 else " ".join(word() for _ in range(rnd.randrange(0, 9))) for _ in range(rnd.randrange(12))]
+        if rnd.random() < 0.4:
+            lines.insert(rnd.randrange(len(lines) + 1), f"{word()} {rnd.choice(passages)} {word()}")
+        texts[doc] = rnd.choice(["\n", "\n\n", " \n\t"]).join(x.upper() if rnd.random() < 0.2 else x for x in lines)
+    texts[40] = texts[7]
+    rows = [*texts.items(), (40, texts[7]), (None, texts[7]), (50, None), (51, "")]
+    unit, least, line_words = 4, 6, 3
+    found = substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string"), min_words=least, unit=unit, min_line_words=line_words).collect()
+    gone = defaultdict(set)
+    for r in found:
+        before, inside = texts[r["doc_id"]][: r["start"]].split(), texts[r["doc_id"]][r["start"] : r["end"]].split()
+        assert len(inside) == r["n_words"] and r["first_doc"] <= r["doc_id"]
+        gone[r["doc_id"]] |= set(range(len(before), len(before) + len(inside)))
+    # lines of line_words or more: (words) -> places
+    at, lines = defaultdict(list), {}
+    for doc, text in sorted(texts.items()):
+        k = 0
+        for line in text.lower().split("\n"):
+            w = tuple(line.split())
+            if len(w) >= line_words:
+                at[w].append((doc, k))
+                lines[doc, k] = w
+            k += len(w)
+    windows = occurrences(texts, unit)
+    first = {w: min([*p, *windows.get(w, [])]) for w, p in at.items()}
+    allowed = defaultdict(set)
+    for (doc, k), w in lines.items():
+        if (doc, k) != first[w]:
+            assert gone[doc] >= set(range(k, k + len(w))) or first[w][0] == doc, (doc, k, w)
+            allowed[doc] |= set(range(k, k + len(w)))
+    pairs = occurrences(texts, 2)  # an extension goes on word by word from a unit, so its words have a neighbour that repeats
+    for n, table in ((unit, windows), (2, pairs)):
+        for places in table.values():
+            for doc, k in places[1:]:
+                allowed[doc] |= set(range(k, k + n))
+    assert all(gone[doc] <= allowed[doc] for doc in gone)
+    # passages of least + unit words are found for certain
+    for places in occurrences(texts, least + unit).values():
+        for doc, k in places[1:]:
+            assert gone[doc] & set(range(k, k + least + unit))

@@ -136,6 +136,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every repeated line of 30 words or more and every repeated passage of as many, with its offsets; shorter repeats stay."""
     return substring_dedup.repeats(_table(spark, sf_dir, "documents"))
 
 

@@ -1,19 +1,22 @@
-"""Substring dedup by hashing units of text.
+"""Substring dedup by hashing lines and word windows.
 
-A unit is ``unit`` words in a row; white space, line ends and sentences play no part, and A-Z count
-as a-z. Of each ``min_words - unit + 1`` units that begin one after another the one with the least
-hash is taken (winnowing), so which units are taken depends on the words alone, and a passage of
-``min_words`` words shares a unit with each of its other occurrences wherever it stands, in prose as in
-lists of short lines. Taken units are hashed to 128 bits; digests are grouped over all documents and
-the earliest occurrence, by (doc_id, first word), is kept.
+A-Z count as a-z and white space does not count beyond parting words and lines. Two kinds of units are hashed to 128 bits:
+
+* every line (a paragraph is a line here) of ``min_line_words`` words or more, whole;
+* windows of ``unit`` words, for passages that begin or end within lines. Of each ``min_words -
+  unit + 1`` windows that begin one after another the one with the least hash is taken (winnowing), so
+  which ones are taken depends on the words alone, and a passage of ``min_words`` words shares a
+  window with each of its other occurrences wherever it stands, in prose as in lists of short lines.
+
+Digests are grouped over all documents and the earliest occurrence, by (doc_id, first word), is kept.
 
 Later occurrences that overlap or touch form a run, so every word of a run stands in a unit that
-occurs earlier, and no unique text lies within. A run stops up to ``min_words - unit`` words short of
+occurs earlier, and no unique text lies within. A run of windows stops up to ``min_words - unit`` words short of
 its passage at each end; there it is extended word by word along the first occurrence of its outermost unit.
-Runs that touch now join, and those of ``min_words`` words or more are removed, with their exact
+Runs that touch now join, and those that hold a repeated line or have ``min_words`` words or more are removed, with their exact
 offsets in the original text. At the defaults a passage of 50 words or more is found for certain, as
 its run has 30 words before it is extended; the extension is short where the outermost unit's first occurrence
-is another one than the passage's.
+is another one than the passage's. What stays: repeated lines under ``min_line_words`` words and repeated passages under ``min_words``.
 
 Of each digest only a count and the first place travel to its group, pre-aggregated before the
 shuffle; units whose digest is unique end there. The join that marks later occurrences is a plain
@@ -42,22 +45,6 @@ from vitrine.llm.common import doc_slices, mixed_bits, small_batches, staged, wo
 SLICE = 2_000_000
 
 
-def units(chosen: np.ndarray, sentence: np.ndarray, line: np.ndarray, least: int, most: int) -> list[tuple[int, int]]:
-    """(first word, end) of all units of a run of words; the marks say which words are chosen by hash, end a sentence, end a line."""
-    marked = np.flatnonzero(chosen | sentence | line)
-    out, begin, inside, tiny = [], 0, False, False  # inside: the last cut was within a sentence; tiny: it ended a tiny sentence
-    for last, ends_sentence, ends_line in zip(marked.tolist(), sentence[marked].tolist(), line[marked].tolist()):
-        while last + 1 - begin > most:
-            out.append((begin, begin + most))
-            begin, inside, tiny = begin + most, True, False
-        short = last + 1 - begin < least
-        if ends_line or not short or (ends_sentence and (inside or not tiny)):
-            out.append((begin, last + 1))
-            tiny = short and not inside and not ends_line
-            begin, inside = last + 1, not (ends_sentence or ends_line)
-    return out
-
-
 def winnowed(hashes: np.ndarray, counts: np.ndarray, unit: int, window: int) -> np.ndarray:
     """First words of the units taken: of each ``window`` units in a row within a text the one with the least hash."""
     n = len(hashes) - unit + 1
@@ -72,25 +59,37 @@ def winnowed(hashes: np.ndarray, counts: np.ndarray, unit: int, window: int) ->
     return np.unique(begins + least[begins])
 
 
-def unit_table(documents: DataFrame, unit: int = 20, window: int = 11) -> DataFrame:
-    """(doc_id, word, h1, h2): the hashed units; ``word`` is the first word's number."""
+def line_units(texts: list[bytes], counts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and number of words of every line of ``least`` words or more; words are numbered over all texts."""
+    line, starts, _ = word_places(texts)
+    ends = np.flatnonzero(line == 10)  # of a line or a text
+    edges = np.unique(np.concatenate([[0], np.searchsorted(starts, ends)]))
+    first, n = edges[:-1], np.diff(edges)
+    return first[n >= least], n[n >= least]
+
+
+def unit_table(documents: DataFrame, unit: int = 20, window: int = 11, min_line_words: int = 30) -> DataFrame:
+    """(doc_id, word, n, line, h1, h2): the hashed units; ``word`` is the first word's number and ``n`` how many there are."""
     small_batches(documents.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in doc_slices(batches, SLICE):
             ids = np.array(batch.column(0).to_pylist(), dtype=np.int64)
-            hashes, counts = word_hashes([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])
-            first = winnowed(hashes, counts, unit, window)
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            hashes, counts = word_hashes(texts)
+            windows = winnowed(hashes, counts, unit, window)
+            lines, lengths = line_units(texts, counts, min_line_words)
+            first, n = np.concatenate([windows, lines]), np.concatenate([np.full(len(windows), unit), lengths])
             firsts = np.concatenate([[0], np.cumsum(counts)])  # each text's first word
             owner = np.searchsorted(firsts, first, "right") - 1
             raw = hashes.tobytes()
-            halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[8 * a : 8 * (a + unit)]) for a in first.tolist()), dtype="<i8").reshape(-1, 2)
+            halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[8 * a : 8 * (a + k)]) for a, k in zip(first.tolist(), n.tolist())), dtype="<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[owner]), pa.array((first - firsts[owner]).astype(np.int32)), pa.array(halves[:, 0]), pa.array(halves[:, 1])],
-                names=["doc_id", "word", "h1", "h2"],
+                [pa.array(ids[owner]), pa.array((first - firsts[owner]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(np.arange(len(first)) >= len(windows)), pa.array(halves[:, 0]), pa.array(halves[:, 1])],
+                names=["doc_id", "word", "n", "line", "h1", "h2"],
             )
 
-    return _texts(documents).mapInArrow(cut, "doc_id long, word int, h1 long, h2 long")
+    return _texts(documents).mapInArrow(cut, "doc_id long, word int, n int, line boolean, h1 long, h2 long")
 
 
 def _texts(documents: DataFrame) -> DataFrame:
@@ -142,27 +141,33 @@ def surroundings(documents: DataFrame, places: DataFrame, reach: int) -> DataFra
     return found
 
 
-def repeats(documents: DataFrame, min_words: int = 30, unit: int = 20) -> DataFrame:
+def repeats(documents: DataFrame, min_words: int = 30, unit: int = 20, min_line_words: int | None = None) -> DataFrame:
     """(doc_id, start, end, n_words, first_doc): every repeated passage to remove, in code point offsets.
 
-    ``first_doc`` is the lowest document that keeps one of the passage's units.
+    ``first_doc`` is the lowest document that keeps one of the passage's units. ``min_line_words`` is ``min_words`` unless given.
     """
     unit = min(unit, min_words)
     reach = min_words - unit + 1
-    table = unit_table(documents, unit, reach)
-    first = table.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "word")).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "kept")
+    table = unit_table(documents, unit, reach, max(1, min_line_words or min_words))
+    first = table.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "word")).alias("kept"), F.count(F.lit(1)).alias("found")).where("found > 1").select("h1", "h2", "kept")
     first = staged(first, "first_places")  # else the join runs in the stage of the grouping, where hot partitions can't be split
     later = table.join(first, ["h1", "h2"]).where((F.col("kept.doc_id") != F.col("doc_id")) | (F.col("kept.word") != F.col("word")))
     # a unit that overlaps its own first occurrence leaves that whole
-    begin = F.when(F.col("kept.doc_id") == F.col("doc_id"), F.greatest("word", F.col("kept.word") + unit)).otherwise(F.col("word"))
-    own = Window.partitionBy("doc_id").orderBy("word")
-    apart = later.select("doc_id", "word", "kept", begin.alias("begin")).withColumn("apart", F.coalesce((F.col("begin") > F.lag("word").over(own) + unit).cast("int"), F.lit(1)))
+    begin = F.when(F.col("kept.doc_id") == F.col("doc_id"), F.greatest("word", F.col("kept.word") + F.col("n"))).otherwise(F.col("word"))
+    kept = F.struct("kept.doc_id", "kept.word", "n").alias("kept")
+    own = Window.partitionBy("doc_id").orderBy("begin", "end")
+    apart = later.select("doc_id", "line", kept, begin.alias("begin"), (F.col("word") + F.col("n")).alias("end"))
+    apart = apart.withColumn("apart", F.coalesce((F.col("begin") > F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1)))
     numbered = apart.withColumn("run", F.sum("apart").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = numbered.groupBy("doc_id", "run").agg(F.min("begin").alias("begin"), (F.max("word") + unit).alias("end"), F.min_by("kept", F.struct("begin", "word")).alias("left"), F.max_by("kept", "word").alias("right"), F.min("kept.doc_id").alias("first_doc"))
-    room = F.when(F.col("left.doc_id") == F.col("doc_id"), F.col("begin") - F.col("left.word") - unit).otherwise(F.lit(reach))
+    runs = numbered.groupBy("doc_id", "run").agg(
+        F.min("begin").alias("begin"), F.max("end").alias("end"), F.min_by("kept", F.struct("begin", "end")).alias("left"), F.max_by("kept", F.struct("end", "begin")).alias("right"),
+        F.min("kept.doc_id").alias("first_doc"), F.bool_or("line").alias("line"), F.bool_and("line").alias("lines_alone"))
+    room = F.when(F.col("lines_alone"), F.lit(0)).when(F.col("left.doc_id") == F.col("doc_id"), F.col("begin") - F.col("left.word") - F.col("left.n")).otherwise(F.lit(reach))
     side = lambda place, kept, kept_place, room: F.struct(place.alias("place"), F.col(f"{kept}.doc_id").alias("kept_doc"), kept_place.alias("kept_place"), room.alias("room"))
-    sides = F.array(side(F.col("begin") * 2, "left", F.col("left.word") * 2, room), side(F.col("end") * 2 + 1, "right", (F.col("right.word") + unit) * 2 + 1, F.lit(reach)))
-    sides = staged(runs.select("doc_id", "run", "first_doc", F.explode(sides).alias("s")).select("doc_id", "run", "first_doc", "s.*"), "run_ends")
+    sides = F.array(
+        side(F.col("begin") * 2, "left", F.col("left.word") * 2, room),
+        side(F.col("end") * 2 + 1, "right", (F.col("right.word") + F.col("right.n")) * 2 + 1, F.when(F.col("lines_alone"), F.lit(0)).otherwise(F.lit(reach))))
+    sides = staged(runs.select("doc_id", "run", "first_doc", "line", F.explode(sides).alias("s")).select("doc_id", "run", "first_doc", "line", "s.*"), "run_ends")
     around = staged(surroundings(documents, sides.select("doc_id", "place").union(sides.select("kept_doc", "kept_place")), reach), "surroundings").dropDuplicates(["doc_id", "place"])
     kept = around.select(F.col("doc_id").alias("kept_doc"), F.col("place").alias("kept_place"), F.col("around").alias("kept_around"))
     joined = sides.join(around, ["doc_id", "place"]).join(kept, ["kept_doc", "kept_place"])
@@ -173,13 +178,13 @@ def repeats(documents: DataFrame, min_words: int = 30, unit: int = 20) -> DataFr
     word = F.floor(F.col("place") / 2)
     spans = moved.groupBy("doc_id", "run").agg(
         F.max(F.when(~ahead, F.col("at"))).alias("start"), F.max(F.when(ahead, F.col("at"))).alias("end"), F.max(F.when(~ahead, word - F.col("more"))).alias("begin"), F.max(F.when(ahead, word + F.col("more"))).alias("until"),
-        F.min("first_doc").alias("first_doc"),
+        F.min("first_doc").alias("first_doc"), F.bool_or("line").alias("line"),
     )
     own = Window.partitionBy("doc_id").orderBy("begin", "until")
     apart = spans.withColumn("apart", F.coalesce((F.col("begin") > F.max("until").over(own.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1)))
     passages = apart.withColumn("passage", F.sum("apart").over(own.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "passage").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("until") - F.min("begin")).cast("long").alias("n_words"), F.min("first_doc").alias("first_doc"))
-    return passages.where(F.col("n_words") >= min_words).select("doc_id", "start", "end", "n_words", "first_doc")
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("until") - F.min("begin")).cast("long").alias("n_words"), F.min("first_doc").alias("first_doc"), F.bool_or("line").alias("line"))
+    return passages.where((F.col("n_words") >= min_words) | F.col("line")).select("doc_id", "start", "end", "n_words", "first_doc")
 
 
 def without_repeats(documents: DataFrame, **options) -> DataFrame:
