@@ -82,6 +82,35 @@ def test_mix_rows(spark):
     assert out.count() == sum(map(len, plan.values())) and set(out.columns) == {*docs.columns, "mix_copy", "mix_shard", "mix_order"}
 
 
+@pytest.mark.parametrize("rows", [[(7, "w " * 10, "a")] * 400, [(None, "w " * (i % 20), "a") for i in range(400)], [(i % 3, "w " * 10, "ab"[i % 2]) for i in range(400)], [(i, None, None) for i in range(5)]])
+def test_mix_of_repeated_rows_and_ids(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    planned = mixing.mix_plan(docs).collect()
+    assert len(planned) == len(rows) and all(r["taken"] == r["size"] * len(r["shards"]) for r in planned)
+    taken, copies = sum(r["taken"] for r in planned), mixing.mixed(docs).collect()
+    size = sum(len((t or "").split()) for _, t, _ in rows)
+    assert abs(taken - 1.5 * size) <= 20 * len({s for *_, s in rows}) and sum(len((r["text"] or "").split()) for r in copies) == taken
+    assert Counter((r["doc_id"], r["source"], r["text"], r["mix_shard"]) for r in copies) == Counter((r["doc_id"], r["source"], r["text"], r["mix_shard"]) for r in mixing.mixed(docs.repartition(2)).collect())
+
+
+def test_mix_does_not_move_texts(spark, tmp_path):
+    corpus(spark, {"a": (300, 30), "b": (90, 30)}).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    mix = mixing.mixed(docs, shards=4)
+    mix.collect()
+    assert "text" not in "".join(x for x in mix._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x and "Broadcast" not in x)
+    mixing.write_shards(mix, f"{tmp_path}/shards")
+    shard = spark.read.parquet(f"{tmp_path}/shards/mix_shard=2").count()
+    assert shard == mix.where("mix_shard = 2").count() > 0
+
+
+def test_tree_of_many_sources(spark):
+    quotas = spark.range(5000).select(F.col("id").cast("int").alias("rank"), (F.col("id") % 4).alias("quota"))
+    leaves = mixing.splitting_tree(quotas, 4, 3)
+    assert leaves.groupBy("rank").agg(F.sum("quota").alias("n")).where("n <> rank % 4").count() == 0
+    assert {r["n"] for r in leaves.groupBy("shard").agg(F.sum("quota").alias("n")).collect()} == {1875}
+
+
 def test_mix_odd_documents(spark):
     rows = {(r["doc_id"], r["size"]) for r in mixing.mix_plan(odd_documents(spark)).collect()}
     assert (4, 60_000) in rows and (1, 0) in rows and (None, 4) in rows
