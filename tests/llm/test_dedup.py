@@ -1,11 +1,11 @@
 """Line dedup, substring dedup and the n-gram Jaccard join against brute force."""
 
 import hashlib
+import os
 import random
 from collections import Counter, defaultdict
 
 import pytest
-from pyspark.sql import functions as F
 
 from tests.llm.edge import no_documents, odd_documents
 from vitrine.llm import jaccard_join, line_dedup, substring_dedup
@@ -148,12 +148,44 @@ def test_components_of_chains_and_stars(spark):
 
 def test_join_odd_documents(spark):
     rows = jaccard_join.classes(odd_documents(spark)).collect()
-    assert len(rows) == 11 and {r["doc_id"]: r["n_links"] for r in rows}[6] == 2 and {r["doc_id"]: r["class_id"] for r in rows}[10] == 9
+    assert len(rows) == 12 and {r["doc_id"]: r["n_links"] for r in rows}[6] == 2 and {r["doc_id"]: r["class_id"] for r in rows}[10] == 9
     kept = jaccard_join.one_of_each(odd_documents(spark))
     assert kept.columns == odd_documents(spark).columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [1, 2, 3, 4, 5, 6, None, 8, 9]))
     assert jaccard_join.classes(no_documents(spark)).count() == 0
-    assert F is not None
+
+
+def test_rows_without_ids_and_repeated_ids_are_joined(spark):
+    """Verdicts follow the text of each row, not its doc_id; one row of each class stays."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a, 1), (None, a, 2), (5, b, 3), (9, a + " more", 4), (None, c, 5), (None, c, 6), (5, a, 7), (7, "", 8), (7, "", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k int")
+    found = Counter((r["doc_id"], r["class_id"], r["n_links"], r["copy_of"]) for r in jaccard_join.classes(docs).collect())
+    assert found == Counter({(5, 5, 3, 5): 2, (None, 5, 3, 5): 1, (5, 5, 0, 5): 1, (9, 5, 3, 9): 1, (None, None, 1, None): 2, (7, 7, 0, 7): 2})
+    kept = [r["k"] for r in jaccard_join.one_of_each(docs).collect()]
+    assert len(kept) == 5 and {3, 8, 9} <= set(kept) and len({1, 7} & set(kept)) == 1 and len({5, 6} & set(kept)) == 1
+
+
+def test_runs_follow_the_target_recall():
+    runs = jaccard_join.runs_for
+    assert runs(0.9, (4, 5), 1) == 2 and runs(0.995, (4, 5), 4) == 13 and runs(0.9, (4, 5), 4) < runs(0.99, (4, 5), 4)
+    with pytest.raises(ValueError):
+        runs(0.999999, (1, 2), 4)
+
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_recall_on_the_test_tables(spark):
+    """Documents whose id is divisible by 20 against all, small buckets so that they split."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    words = {d: (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).split() for d, t in texts.items()}
+    sets = {d: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set() for d, w in words.items()}
+    found = {r["doc_id"]: r["n_links"] for r in jaccard_join.classes(docs, bucket=16).collect()}
+    wanted = {a: sum(b != a and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0 for b in sets) for a in sets if a % 20 == 0}
+    assert all(found[a] <= n for a, n in wanted.items()) and sum(found[a] for a in wanted) >= 0.9 * sum(wanted.values()) > 0
 
 
 def test_a_passage_inside_other_sentences_is_found(spark):

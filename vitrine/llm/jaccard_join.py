@@ -7,9 +7,10 @@ minimum hashes; a run starts by splitting all classes by one position of it. A b
 (1.25 = 1 / 0.8 on average, so a pair at the threshold is expected to stay together), up to
 ``depth`` times, unless its signatures agree so far that it is one group of near copies; what
 stays larger is compared block by block, every block pair a task of its own, leaving out what
-another large bucket compares. Small buckets are brute-forced: exact intersections by a matrix product. ``runs`` repetitions
-make the recall: a pair at similarity s is missed by a share of about (1 - s ** d) ** runs when it
-splits d times, below one in a million at 0.8 for buckets that split once.
+another large bucket compares. Small buckets are brute-forced: exact intersections by a matrix product. Runs are
+repeated until ``target_recall``: a pair at similarity s that meets d positions on its way is missed by a share of
+about (1 - s ** d) ** runs, and ``runs_for`` gives the runs that hold this at the threshold for pairs whose buckets
+split ``depth`` times, the most there are. Pairs whose buckets split once are missed in one of a million cases.
 
 A pair may meet in several buckets. Every class carries the list of its buckets, and a pair counts
 in the first one it shares; so no table of pairs is ever written, and dense groups cost comparisons
@@ -19,12 +20,14 @@ and its number of linked documents. Components over buckets come from star contr
 Node ids are 64-bit hashes of shingle sets.
 
 Cases: null or empty text (no word) has no links and is its own class; equal sets (also of repeated
-rows) link each with each; ties do not arise, as class ids are the lowest doc_id; a null doc_id is
-not joined; other columns are not read by ``classes``; an empty table gives an empty result.
+rows) link each with each; ties do not arise, as class ids are the lowest doc_id; a row without a doc_id is joined as all
+others, and a class of such rows alone has a null class id; rows of one doc_id with different texts are documents
+of their own; other columns are not read by ``classes``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,17 +78,31 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def keyed(documents: DataFrame) -> DataFrame:
+    """doc_id, th (a hash of the text) and text: together the first two tell rows apart as far as need be."""
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+
+
 def signatures(documents: DataFrame, n: int = 5) -> DataFrame:
-    """(doc_id, node, sig) of every document; ``node`` and ``sig`` are null without a word."""
+    """(doc_id, th, node, sig) of every document; ``node`` and ``sig`` are null without a word."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in doc_slices(batches, 2_000_000):
-            sets = shingle_sets([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()], n)
+            sets = shingle_sets([t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()], n)
             nodes = [set_id(s) if len(s) else None for s in sets]
             sigs = [signature(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sigs, pa.list_(pa.int32()))], names=["doc_id", "node", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sigs, pa.list_(pa.int32()))], names=["doc_id", "th", "node", "sig"])
+
+    return keyed(documents).mapInArrow(sign, "doc_id long, th long, node long, sig array<int>")
+
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").mapInArrow(sign, "doc_id long, node long, sig array<int>")
+def runs_for(target_recall: float, threshold: tuple[int, int], depth: int) -> int:
+    """The runs after which a pair at the threshold, its buckets split ``depth`` times, has met in one with probability ``target_recall``."""
+    together = (threshold[0] / threshold[1]) ** (1 + 1.25 * (depth - 1))
+    runs = max(1, math.ceil(math.log(1 - target_recall) / math.log(1 - together)))
+    if runs > POSITIONS:
+        raise ValueError(f"a recall of {target_recall} takes {runs} runs; there are {POSITIONS} positions to begin one")
+    return runs
 
 
 def _counted(paths: DataFrame) -> DataFrame:
@@ -212,17 +229,19 @@ def links(documents: DataFrame, nodes: DataFrame, paths: DataFrame, n: int, rate
     alone = [F.lit(1).alias("fresh"), F.lit(1).alias("blocks"), F.lit(0).alias("block")]
     tasks = kept.select("path", F.explode("members").alias("node"), *alone).unionByName(_blocked(large, 2 * bucket))
     lists = staged(tasks.groupBy("node").agg(F.collect_list(F.struct("path", "fresh", "blocks", "block")).alias("on")), "lists")
-    wanted = lists.join(nodes.select("node", "rep", "copies"), "node").select(F.col("rep").alias("doc_id"), "node", "copies", "on")
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
+    wanted = lists.join(nodes.select("node", "rep", "copies"), "node").select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th"), "node", "copies", "on")
+    texts = keyed(documents).join(wanted, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th"))).select("text", "node", "copies", "on")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealt: set[int] = set()  # repeated rows come more than once
         for batch in doc_slices(batches, 1_000_000):
             rows: list[tuple] = []
             names = batch.schema.names
             sets = shingle_sets([t or b"" for t in batch.column(names.index("text")).cast(pa.binary()).to_pylist()], n)
             for shingles, node, copies, on in zip(sets, *(batch.column(names.index(c)).to_pylist() for c in ("node", "copies", "on"))):
-                if not len(shingles) or set_id(shingles) != node:
-                    continue  # another text under the same doc_id
+                if node in dealt:
+                    continue
+                dealt.add(node)
                 held = np.array(sorted({x["path"] for x in on}), dtype="<i8").tobytes()
                 data = shingles.tobytes()
                 for x in on:
@@ -294,29 +313,49 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def classes(documents: DataFrame, threshold: tuple[int, int] = (4, 5), n: int = 5, bucket: int = 512, depth: int = 4, runs: int = 12) -> DataFrame:
-    """(doc_id, class_id, n_links, copy_of) of every document.
-
-    ``class_id`` is the lowest doc_id of the component of linked documents, ``n_links`` the number
-    of documents at similarity ``threshold`` or more, ``copy_of`` the lowest doc_id with the same set.
-    """
+def _placed(documents: DataFrame, threshold: tuple[int, int] = (4, 5), n: int = 5, bucket: int = 512, depth: int = 4, target_recall: float = 0.995, runs: int | None = None) -> DataFrame:
+    """(doc_id, th, class, class_rep, n_links, copy_rep) of every document: the class's node (null without a word), and of the class and of the set the first (none, doc_id, th)."""
     small_batches(documents.sparkSession)
     signed = staged(signatures(documents, n), "signatures")
-    nodes = staged(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")), "nodes")
-    found = staged(links(documents, nodes, leaves(nodes, bucket, depth, runs), n, threshold, bucket), "links")
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
+    nodes = staged(signed.where("node IS NOT NULL").groupBy("node").agg(rep.alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")), "nodes")
+    found = staged(links(documents, nodes, leaves(nodes, bucket, depth, runs or runs_for(target_recall, threshold, depth)), n, threshold, bucket), "links")
     roots = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    lowest = roots.join(nodes.select("node", "rep"), "node").unionByName(roots.select(F.col("root").alias("node"), "root").distinct().join(nodes.select("node", "rep"), "node")).groupBy("root").agg(F.min("rep").alias("class_id"))
-    placed = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(lowest, "root").select("node", "class_id")
+    every = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    lowest = every.join(nodes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("class_rep"))
+    placed = every.join(lowest, "root").select("node", "root", "class_rep")
     weights = found.groupBy("node").agg(F.sum("weight").alias("weight"))
     table = nodes.select("node", "rep", "copies").join(placed, "node", "left").join(weights, "node", "left")
-    table = table.select("node", F.col("rep").alias("copy_of"), F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("weight", F.lit(0))).alias("n_links"))
-    out = signed.select("doc_id", "node").join(table, "node", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("copy_of", "doc_id").alias("copy_of"))
+    table = table.select("node", F.coalesce("root", "node").alias("class"), F.coalesce("class_rep", "rep").alias("class_rep"), F.col("rep").alias("copy_rep"), (F.col("copies") - 1 + F.coalesce("weight", F.lit(0))).alias("n_links"))
+    return signed.select("doc_id", "th", "node").join(table, "node", "left").select("doc_id", "th", "class", "class_rep", "n_links", "copy_rep")
+
+
+def classes(documents: DataFrame, **options) -> DataFrame:
+    """(doc_id, class_id, n_links, copy_of) of every document.
+
+    ``class_id`` is the lowest doc_id of the component of linked documents, ``n_links`` the number
+    of documents at similarity ``threshold`` or more, ``copy_of`` the lowest doc_id with the same set. Options are
+    ``threshold`` (a fraction), ``n`` (words a shingle), ``bucket``, ``depth``, ``target_recall`` and ``runs`` in its place.
+    """
+    alone = F.col("class").isNull()
+    return _placed(documents, **options).select(
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_rep.doc_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.when(alone, F.col("doc_id")).otherwise(F.col("copy_rep.doc_id")).alias("copy_of"))
 
 
 def one_of_each(documents: DataFrame, **options) -> DataFrame:
-    """``documents`` without those of a class but its lowest doc_id; rows without doc_id stay."""
-    found = classes(documents, **options)
-    gone = found.where("class_id <> doc_id").select("doc_id").distinct()
-    kept = documents.join(gone, "doc_id", "left_anti")
-    return kept.select(*documents.columns)
+    """``documents`` with one row of each class, one with the lowest doc_id (rows without one come last); rows without a word all stay."""
+    found = _placed(documents, **options).where("class IS NOT NULL")
+    first = (F.col("doc_id").eqNullSafe(F.col("class_rep.doc_id"))) & (F.col("th") == F.col("class_rep.th"))
+    rows = staged(found.select("doc_id", "th", first.alias("first")), "verdicts")
+    key = [F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__th")]
+    same = F.col("__id").eqNullSafe(F.col("doc_id_")) & (F.col("__th") == F.col("th_"))
+    table = lambda df: df.select(F.col("doc_id").alias("doc_id_"), F.col("th").alias("th_")).distinct()
+    held = documents.select(F.struct(*documents.columns).alias("__row"), *key)
+    kept = held.join(table(rows.where(~F.col("first"))), same, "left_anti")
+    # rows that a class repeats as a whole
+    twice = staged(table(rows.where("first").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("k")).where("k > 1")), "repeated_rows")
+    if not twice.isEmpty():
+        one = kept.join(twice, same, "left_semi").groupBy("__id", "__th").agg(F.first("__row").alias("__row"))
+        kept = kept.join(twice, same, "left_anti").unionByName(one)
+    return kept.select("__row.*")
