@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from vitrine.operators import catalog, merge, usage
 from vitrine.operators import selection as X
 from vitrine.operators import windows as W
 from vitrine.sources import readers, sinks
@@ -69,3 +70,65 @@ def test_search_results_and_greedy_duplicates(spark):
     banned = spark.createDataFrame([(1, 0, 1)], "owner int, high long, low long")
     assert sorted(r["pos"] for r in X.without_near_duplicates(images, "owner", banned).collect()) == [2, 3]
     assert F is not None
+
+
+def test_polled_values_are_kept_when_they_change(spark, tmp_path):
+    source, schema = f"{tmp_path}/asked", "name string, value string, at long"
+    ask = lambda rows: spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+
+    def poll():
+        intake.polled(spark.readStream.schema(schema).parquet(source), str(tmp_path), "tunnel", interval=None).awaitTermination()
+        return sorted((r["name"], str(r["value"]), r["at"]) for r in spark.read.parquet(f"{tmp_path}/tunnel").collect())
+
+    ask([("a", "x", 1), ("a", "x", 2), ("b", None, 1)])
+    assert poll() == [("a", "x", 1), ("b", "None", 1)]
+    ask([("a", "x", 3), ("a", "y", 4), ("b", None, 3), ("c", "z", 3)])
+    changed = [("a", "x", 1), ("a", "y", 4), ("b", "None", 1), ("c", "z", 3)]
+    assert poll() == changed and poll() == changed
+    ask([("a", "x", 5), ("b", "w", 5)])
+    assert poll() == sorted([*changed, ("a", "x", 5), ("b", "w", 5)])
+
+
+def test_streams_go_on_where_they_ended(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a")], "id long, idempotency_key string")
+    updates = lambda: spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    count = lambda: intake.available_now(updates().groupBy("idempotency_key").count(), "n", "complete", f"{tmp_path}/out").collect()
+    rows.write.parquet(f"{tmp_path}/in")
+    assert [tuple(r) for r in count()] == [("a", 1)]
+    rows.write.mode("append").parquet(f"{tmp_path}/in")
+    assert [tuple(r) for r in count()] == [("a", 2)]
+    assert intake.available_now(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/none*"), "e", "append", f"{tmp_path}/e").count() == 0
+
+
+def test_cooldown_by_brute_force(spark):
+    rnd = random.Random(3)
+    events = [(k, float(t)) for k in "ab" for t in sorted(rnd.sample(range(10_000), 400))]
+    want = []
+    for key in "ab":
+        last = None
+        for k, t in events:
+            if k == key and (last is None or t - last >= 37):
+                want.append((k, t))
+                last = t
+    assert sorted(map(tuple, W.with_cooldown(spark.createDataFrame(events, "k string, at double"), "k", "at", 37).collect())) == want
+
+
+def test_batches_jobs_reports_and_rejections(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "voice", 0, None, 5, 5), (2, "media", 0, None, 5, 5)], "id long, queue string, attempts int, reserved_at long, available_at long, created_at long")
+    for batch in (0, 0, 1):
+        sinks.append_batch(rows, f"{tmp_path}/batches", batch)
+    assert spark.read.parquet(f"{tmp_path}/batches").count() == 4
+    rows.write.parquet(f"{tmp_path}/jobs")
+    voice = readers.queued_jobs(spark, f"{tmp_path}/jobs").where("queue = 'voice'")
+    assert [r["id"] for r in intake.available_now(voice, "voice", "append", f"{tmp_path}/v").collect()] == [1]
+    models = spark.createDataFrame([("p", "a", True), ("p", "b", True), ("q", "a", False)], "provider string, model string, is_available boolean")
+    assert tuple(usage.sync_report(models).first()) == (2, 1)
+    drafts = spark.createDataFrame([(1, "pending_review"), (2, "approved"), (3, "pending_review")], "id long, status string")
+    done = merge.rejected(drafts, spark.createDataFrame([(1,), (2,)], "id long"))
+    assert sorted(map(tuple, done.collect())) == [(1, "rejected"), (2, "approved"), (3, "pending_review")]
+
+
+def test_two_trees_in_one_session(spark):
+    nodes = lambda name: spark.createDataFrame([(1, None, name), (2, 1, "leaf")], "id long, parent_id long, name string")
+    one, two = catalog.tree_depths(spark, nodes("one")), catalog.tree_depths(spark, nodes("two"))
+    assert sorted(r["path"] for r in one.collect()) == ["one", "one / leaf"] and sorted(r["path"] for r in two.collect()) == ["two", "two / leaf"]

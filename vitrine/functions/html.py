@@ -152,8 +152,7 @@ def gallery(pages: DataFrame, key: str = "url", body: str = "body", most: int =
             yield from enumerate(page_candidates(page))
 
     spark.udtf.register("page_candidates", F.udtf(Candidates, returnType="pos: int, candidate: string"))
-    pages.select(F.col(key).alias("__key"), F.col(body).alias("__body")).createOrReplaceTempView("__gallery_pages")
-    rows = spark.sql("SELECT p.__key, c.pos, c.candidate FROM __gallery_pages p, LATERAL page_candidates(p.__body) c")
+    rows = spark.sql("SELECT p.__key, c.pos, c.candidate FROM {pages} p, LATERAL page_candidates(p.__body) c", pages=pages.select(F.col(key).alias("__key"), F.col(body).alias("__body")))
     good = rows.withColumn("image", U.image_candidate(F.col("candidate"), F.col("__key"))).where("image IS NOT NULL").groupBy("__key", "image").agg(F.min("pos").alias("pos"))
     from pyspark.sql import Window
 
@@ -163,11 +162,11 @@ def gallery(pages: DataFrame, key: str = "url", body: str = "body", most: int =
 
 def structured_images(spark: SparkSession, documents: DataFrame, key: str, body: str) -> DataFrame:
     """(key, image) of JSON documents walked as variants to three levels, natively: image keys that hold an address or a list or object of them."""
-    documents.select(F.col(key).alias("k"), F.try_parse_json(F.col(body)).alias("v")).where("v IS NOT NULL").createOrReplaceTempView("__structured")
+    parsed = documents.select(F.col(key).alias("k"), F.try_parse_json(F.col(body)).alias("v")).where("v IS NOT NULL")
     return spark.sql("""
-        WITH one AS (SELECT k, lower(e.key) AS name, e.value AS v FROM __structured, LATERAL variant_explode(v) e),
+        WITH one AS (SELECT k, lower(e.key) AS name, e.value AS v FROM {parsed}, LATERAL variant_explode(v) e),
              two AS (SELECT k, one.name AS parent, coalesce(lower(e.key), one.name) AS name, e.value AS v FROM one, LATERAL variant_explode(one.v) e),
              three AS (SELECT k, two.name AS parent, coalesce(lower(e.key), two.name) AS name, e.value AS v FROM two, LATERAL variant_explode(two.v) e),
              every AS (SELECT k, CAST(NULL AS string) AS parent, name, v FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three)
         SELECT k, try_cast(v AS string) AS image FROM every
-        WHERE schema_of_variant(v) = 'STRING' AND (name IN ('image', 'contenturl', 'thumbnailurl') OR (parent = 'image' AND name IN ('url', 'src')))""").withColumnRenamed("k", key)
+        WHERE schema_of_variant(v) = 'STRING' AND (name IN ('image', 'contenturl', 'thumbnailurl') OR (parent = 'image' AND name IN ('url', 'src')))""", parsed=parsed).withColumnRenamed("k", key)

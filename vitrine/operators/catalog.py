@@ -288,12 +288,11 @@ def with_parent(nodes: DataFrame, name: str = "name") -> DataFrame:
 
 def tree_depths(spark, nodes: DataFrame) -> DataFrame:
     """(id, depth, path) of every node below a root, by a recursive query."""
-    nodes.createOrReplaceTempView("__tree_nodes")
     return spark.sql("""
         WITH RECURSIVE tree(id, depth, path) AS (
-          SELECT id, 0, name FROM __tree_nodes WHERE parent_id IS NULL
-          UNION ALL SELECT n.id, t.depth + 1, concat(t.path, ' / ', n.name) FROM __tree_nodes n JOIN tree t ON n.parent_id = t.id)
-        SELECT id, depth, path FROM tree""")
+          SELECT id, 0, name FROM {nodes} WHERE parent_id IS NULL
+          UNION ALL SELECT n.id, t.depth + 1, concat(t.path, ' / ', n.name) FROM {nodes} n JOIN tree t ON n.parent_id = t.id)
+        SELECT id, depth, path FROM tree""", nodes=nodes)
 
 
 def through_bridge(left: DataFrame, bridge: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,18 +119,24 @@ def changes(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFra
 def with_cooldown(events: DataFrame, key: str, seconds: str, cooldown: float) -> DataFrame:
     """Events of each key that are let through: the first, then the first after ``cooldown`` seconds from the last let through.
 
-    Which event passes depends on those before it, so each key's ordered times are folded once; the
-    array of a key holds its times, not its rows. A key may hold many events but a cooldown is meant
-    for sparse ones (alerts, edits); dense keys go through the streaming form.
+    Which event passes depends on those before it, so each key's ordered times are stepped through once, by a
+    binary search from one that passes to the next; the array of a key holds its times, not its rows. Keys with more
+    events than an array holds go through the streaming form.
     """
-    times = events.groupBy(key).agg(F.array_sort(F.collect_set(seconds)).alias("__t"))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("out"))
-    fold = F.aggregate(
-        F.transform("__t", lambda t: t.cast("double")), start,
-        lambda a, t: F.when(a["last"].isNull() | (t - a["last"] >= cooldown), F.struct(t.alias("last"), F.concat(a["out"], F.array(t)).alias("out"))).otherwise(a),
-        lambda a: a["out"],
-    )
-    return times.select(key, F.explode(fold).alias("seconds"))
+
+    @F.pandas_udf("array<double>")
+    def passing(times: pd.Series) -> pd.Series:
+        def step(t: np.ndarray) -> list[float]:
+            out, at = [], 0
+            while at < len(t):
+                out.append(float(t[at]))
+                at = max(at + 1, int(np.searchsorted(t, t[at] + cooldown)))
+            return out
+
+        return times.map(step)
+
+    times = events.groupBy(key).agg(F.array_sort(F.collect_set(F.col(seconds).cast("double"))).alias("__t"))
+    return times.select(key, F.explode(passing("__t")).alias("seconds"))
 
 
 def queue_alerts(checks: DataFrame, key: str, threshold: int = 180, cooldown: int = 900) -> DataFrame:

@@ -15,7 +15,7 @@ from vitrine.operators import windows as W
 from vitrine.plans.binding import bound, with_bound
 from vitrine.registry import query
 from vitrine.schemas import TABLES
-from vitrine.session import table
+from vitrine.session import shared_dir, table
 from vitrine.sources import readers
 from vitrine.streaming import intake, state
 
@@ -345,14 +345,17 @@ def stream_executed_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.groupBy("idempotency_key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.count_if("repeated").alias("repeated"))
 
 
-@query("stream_pushed_updates")
+@query("stream_pushed_updates", """SELECT CASE kind WHEN 'voice' THEN 'voice' ELSE 'assistant' END AS queue, kind, count(*) AS n, sum(length(text)) AS chars, count(DISTINCT chat_id) AS chats
+    FROM (SELECT DISTINCT conv_id * 1000 + turn AS update_id, CAST(conv_id AS VARCHAR) AS chat_id, CASE WHEN turn % 5 = 3 THEN 'voice' WHEN turn % 5 = 4 THEN 'callback' ELSE 'text' END AS kind, CASE WHEN turn % 5 = 3 THEN NULL ELSE text END AS text FROM conversations) GROUP BY kind""")
 def stream_pushed_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as pushed updates, read from a drop folder and routed to queues (rows only: it writes a folder)."""
-    import tempfile
-
-    folder = tempfile.mkdtemp(prefix="vitrine-updates-") if not spark.conf.get("spark.checkpoint.dir", None) else f"{spark.conf.get('spark.checkpoint.dir')}/updates-{abs(hash(sf_dir))}"
-    message = F.struct(F.struct(F.col("conv_id").alias("id")).alias("from"), F.struct(F.col("conv_id").alias("id")).alias("chat"), F.col("turn").alias("message_id"), F.col("text").alias("text"), F.lit(1_700_000_000).alias("date"))
-    rows = table(spark, sf_dir, "conversations").select(F.to_json(F.struct((F.col("conv_id") * 1000 + F.col("turn")).alias("update_id"), message.alias("message"))).alias("value"))
-    rows.write.mode("overwrite").text(folder)
-    updates = intake.routed(intake.once(readers.pushed_updates(spark, folder)))
-    return intake.available_now(updates, "stream_updates", "append").groupBy("queue", "kind").agg(F.count(F.lit(1)).alias("n"))
+    """Conversations as pushed updates (texts, voice messages, pressed buttons), each delivered twice, read from a drop folder and routed to queues."""
+    folder = shared_dir(spark)
+    turn, chat = F.col("turn") % 5, F.struct(F.col("conv_id").alias("id"))
+    voice = F.when(turn == 3, F.struct(F.lit("file").alias("file_id")))
+    message = F.struct(chat.alias("from"), chat.alias("chat"), F.col("turn").alias("message_id"), F.when(turn != 3, F.col("text")).alias("text"), voice.alias("voice"), F.lit(1_700_000_000).alias("date"))
+    pressed = F.struct(F.concat_ws("-", "conv_id", "turn").alias("id"), chat.alias("from"), F.struct(chat.alias("chat"), F.col("turn").alias("message_id"), F.lit(1_700_000_000).alias("date")).alias("message"), F.col("text").alias("data"))
+    update = F.struct((F.col("conv_id") * 1000 + F.col("turn")).alias("update_id"), F.when(turn != 4, message).alias("message"), F.when(turn == 4, pressed).alias("callback_query"))
+    rows = table(spark, sf_dir, "conversations").select(F.to_json(update).alias("value"))
+    rows.unionAll(rows).unionAll(spark.createDataFrame([("no update",), ("{}",)], "value string")).write.text(folder)
+    updates = intake.available_now(intake.routed(intake.once(readers.pushed_updates(spark, folder))), "stream_updates", "append")
+    return updates.groupBy("queue", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.countDistinct("chat_id").alias("chats"))

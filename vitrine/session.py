@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+_own_dirs: dict[str, str] = {}
+
 
 def session(app: str = "vitrine", master: str | None = None, **conf: str) -> SparkSession:
     """A UTC session with adaptive execution on; ``conf`` keys use ``__`` for dots."""
@@ -18,3 +25,20 @@ def session(app: str = "vitrine", master: str | None = None, **conf: str) -> Spa
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; any path Spark's readers accept works as ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; only where that is unset (tests) a temporary one is made."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        app = spark.sparkContext.applicationId
+        if app not in _own_dirs:
+            _own_dirs[app] = tempfile.mkdtemp(prefix="vitrine-")
+            atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
+        base = f"file://{_own_dirs[app]}"
+    return f"{base.rstrip('/')}/vitrine-{uuid.uuid4().hex}"
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

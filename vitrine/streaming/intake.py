@@ -6,11 +6,11 @@ decision of this library: rows later than it are dropped by windows and forgotte
 
 from __future__ import annotations
 
-import os
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from vitrine.session import folder_exists, shared_dir
 
 DELAY = "1 day"
 
@@ -42,17 +42,54 @@ def sessions(events: DataFrame, key: str, at: str = "ts", gap: str = "12 minutes
     return events.withWatermark(at, delay).groupBy(key, F.session_window(at, gap)).agg(F.count(F.lit(1)).alias("n"))
 
 
-def available_now(stream: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """All that is there now, worked through once into a table in memory: for tests and reports, not for large results."""
+def available_now(stream: DataFrame, name: str, mode: str, folder: str | None = None) -> DataFrame:
+    """All that is there now, worked through once: the rows written by an append stream, or the last state of a complete or update one.
+
+    Results and checkpoint are files below ``folder``, a new one in the shared folder unless given; with the same folder a
+    later call goes on where the last one ended. Nothing gathers on the driver. An update stream gives what changed last.
+    """
     spark = stream.sparkSession
-    folder = checkpoint or tempfile.mkdtemp(prefix="vitrine-stream-")
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", os.path.join(folder, name)).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    folder = folder or shared_dir(spark)
+    path, checkpoint = f"{folder}/{name}", f"{folder}/{name}-checkpoint"
+    if mode == "append":
+        to_parquet(stream, path, checkpoint).awaitTermination()
+    else:
+        latest = lambda rows, _: rows.write.mode("overwrite").parquet(path)  # noqa: E731  a batch that runs again writes the same state
+        stream.writeStream.foreachBatch(latest).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path) if folder_exists(spark, path) else spark.createDataFrame([], stream.schema)
+
+
+def to_parquet(stream: DataFrame, path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
+    """An append-only stream into files, exactly once by the checkpoint; ``interval``, such as the two minutes of a polling source, keeps it running."""
+    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
-def to_parquet(stream: DataFrame, path: str, checkpoint: str, interval: str | None = None):
-    """An append-only stream into files, exactly once by the checkpoint."""
-    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+def polled(values: DataFrame, folder: str, name: str, key: str = "name", value: str = "value", at: str = "at", interval: str | None = "2 minutes") -> StreamingQuery:
+    """A source that is asked again and again: each batch of (key, value, at) adds to the file table ``name`` the rows that differ from the last known value of their key.
+
+    The last values stand in ``name``-state, a folder for each batch, so a batch that runs again starts from the same ones.
+    """
+    spark = values.sparkSession
+    state = f"{folder}/{name}-state"
+
+    def step(rows: DataFrame, batch: int) -> None:
+        known = f"{state}/{batch - 1}"
+        own = Window.partitionBy(key).orderBy(F.col("__old").desc(), at, value)
+        rows = rows.select(key, value, at)
+        if folder_exists(spark, known):
+            before = spark.read.schema(rows.schema).parquet(known)
+            rows = before.withColumn("__old", F.lit(True)).unionByName(rows.withColumn("__old", F.lit(False)))
+        else:
+            rows = rows.withColumn("__old", F.lit(False))
+        seen = rows.withColumn("__before", F.lag(F.struct(value)).over(own)).persist()
+        changed = seen.where(~F.col("__old") & (F.col("__before").isNull() | ~F.col(f"__before.{value}").eqNullSafe(F.col(value)))).select(key, value, at)
+        changed.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
+        latest = seen.groupBy(key).agg(F.max_by(F.struct(value, at), F.struct((~F.col("__old")).alias("new"), at, value)).alias("r"))
+        latest.select(key, "r.*").write.mode("overwrite").parquet(f"{state}/{batch}")
+        seen.unpersist()
+
+    writer = values.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/{name}-checkpoint")
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
