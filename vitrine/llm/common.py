@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 from urllib.parse import unquote, urlsplit
 
@@ -14,25 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrine.session import shared_dir
+
 #: The six ASCII white space characters, as a regular expression class and as plain characters.
 SPACE = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one is made."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        if app not in _own_dirs:
-            _own_dirs[app] = tempfile.mkdtemp(prefix="vitrine-")
-            atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
-        base = f"file://{_own_dirs[app]}"
-    return f"{base.rstrip('/')}/vitrine-{uuid.uuid4().hex}"
-
-
 def posix_path(uri: str) -> str:
     """The plain path of a ``file:`` URI; memory-mapped stores need a shared folder that is mounted as one."""
     parts = urlsplit(uri)

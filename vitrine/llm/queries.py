@@ -143,12 +143,13 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents are inserted; those of low quality are revised, their hyphens parting words; those labelled toxic are taken down, in a batch that is sent twice."""
     documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    counted = staged(token_counts.counted(documents), "counted")
+    parted = F.replace("text", F.lit("-"), F.lit(" "))
+    counted = staged(documents.select("doc_id", "source", "lang", token_counts.counts(F.col("text")).alias("counts"), token_counts.counts(parted).alias("parted")), "counted")
     low, toxic = (labels.where(rule).select("doc_id").distinct() for rule in ("quality = 0 AND toxic = 0", "toxic = 1"))
     rollup = token_counts.Rollup(spark)
     rollup.commit("0001-insert", token_counts.deltas(counted))
-    parted = documents.join(low, "doc_id", "left_semi").withColumn("text", F.replace("text", F.lit("-"), F.lit(" ")))
-    rollup.commit("0002-revise", token_counts.revised(counted.join(low, "doc_id", "left_semi"), token_counts.counted(parted)))
+    old = counted.join(low, "doc_id", "left_semi")
+    rollup.commit("0002-revise", token_counts.revised(old, old.withColumn("counts", F.col("parted"))))
     rollup.compact()
     taken_down = token_counts.deltas(counted.join(toxic, "doc_id", "left_semi"), -1)
     rollup.commit("0003-take-down", taken_down)

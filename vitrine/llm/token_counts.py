@@ -59,10 +59,14 @@ def bpe(path: str, pattern: str) -> Callable[[Column], Column]:
     return count
 
 
+def counts(text: Column, tokenizers: dict[str, Callable[[Column], Column]] | None = None) -> Column:
+    """An array of a text's token counts by tokenizer."""
+    return F.array(*[F.struct(F.lit(name).alias("tokenizer"), count(text).alias("tokens")) for name, count in (tokenizers or TOKENIZERS).items()])
+
+
 def counted(documents: DataFrame, tokenizers: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """doc_id, source, lang and an array of token counts by tokenizer: rows without text, to be joined with what is known of the documents."""
-    counts = F.array(*[F.struct(F.lit(name).alias("tokenizer"), count(F.col("text")).alias("tokens")) for name, count in (tokenizers or TOKENIZERS).items()])
-    return documents.select("doc_id", "source", "lang", counts.alias("counts"))
+    return documents.select("doc_id", "source", "lang", counts(F.col("text"), tokenizers).alias("counts"))
 
 
 def deltas(rows: DataFrame, sign: int = 1) -> DataFrame:
