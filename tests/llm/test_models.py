@@ -121,12 +121,16 @@ def test_decontamination_odd_documents(spark):
     assert decontamination.contaminated(no_documents(spark), bench).count() == 0 and decontamination.contaminated(docs, bench.where("false")).count() == 0
 
 
-def brute_model(train):
+def brute_model(train, order, keep_from):
     tokens = lambda x: (x or "").lower().split() + ["</s>"]
     texts = [tokens(x) for x in train]
     count = Counter(w for x in texts for w in x)
-    pairs = Counter(p for x in texts for p in zip(["<s>"] + x, x))
-    before = Counter(w for _, w in pairs)
+    grams = lambda x, k: zip(*((["<s>"] * k + x)[j + 1 :] for j in range(k)))
+    a = {order: Counter(g for x in texts for g in grams(x, order))}
+    for k in range(order - 1, 0, -1):
+        a[k] = Counter()
+        for g, c in a[k + 1].items():
+            a[k][g[1:]] += c if g[1] == "<s>" else 1
 
     def discounts(c):
         n = [0, *(sum(v == k for v in c.values()) for k in (1, 2, 3, 4))]
@@ -134,53 +138,69 @@ def brute_model(train):
         r = lambda a, b: a / b if b else 0.0
         return [0, *(min(max(x, 0.05), k - 0.05) for k, x in zip((1, 2, 3), (1 - 2 * y * r(n[2], n[1]), 2 - 3 * y * r(n[3], n[2]), 3 - 4 * y * r(n[4], n[3]))))]
 
-    d, low = discounts(pairs), discounts(before)
-    total, gamma = Counter(), Counter()
-    for (a, _), c in pairs.items():
-        total[a] += c
-        gamma[a] += d[min(c, 3)]
-    n1 = len(pairs)
-    g1 = sum(low[min(c, 3)] for c in before.values()) / n1
-
-    def p(a, b):
-        p1 = max(before[b] - low[min(before[b], 3)], 0) / n1 + g1 / (len(count) + 1)
-        return p1 if not total[a] else max(pairs[a, b] - d[min(pairs[a, b], 3)], 0) / total[a] + gamma[a] / total[a] * p1
-
-    return tokens, count, p
-
-
-def test_language_model_by_brute_force(spark):
+    d = {k: discounts(c) for k, c in a.items()}
+    total, left = Counter(), Counter()
+    for k, counts in a.items():
+        for g, c in counts.items():
+            total[k, g[:-1]] += c
+            left[k, g[:-1]] += d[k][min(c, 3)] if k < order or c >= keep_from else c
+
+    def p(g):
+        k = len(g)
+        if k == 0:
+            return 1 / (len(count) + 1)
+        context = k, g[:-1]
+        if not total[context]:
+            return p(g[1:])
+        c = a[k][g] if k < order or a[k][g] >= keep_from else 0
+        return max(c - d[k][min(c, 3)], 0) / total[context] + left[context] / total[context] * p(g[1:])
+
+    return tokens, count, grams, p
+
+
+@pytest.mark.parametrize("order, keep_from, options", [(2, 1, {}), (3, 2, {}), (3, 1, {"grams_per_part": 700, "hot": 40, "chars_per_part": 4000}), (4, 2, {"grams_per_part": 2000, "hot": 5})])
+def test_language_model_by_brute_force(spark, order, keep_from, options):
+    """Also with many ranges and with the words of most texts hot; counts above a byte are in."""
     rnd = random.Random(11)
     texts = [" ".join(f"W{min(int(rnd.paretovariate(0.7)), 300)}" for _ in range(rnd.randrange(40))) for _ in range(300)] + [None, "", "never seen"]
-    train = texts[:200] + [None]
-    tokens, count, p = brute_model(train)
+    texts[7] = "so so " * 400
+    train = texts[:200] + [None, texts[3], texts[3]]
+    tokens, count, grams, p = brute_model(train, order, keep_from)
     n, v = sum(count.values()), len(count)
-    model = ngram_lm.train(spark.createDataFrame([(t,) for t in train], "text string").repartition(3))
-    model.hot = 50  # as if one word had a third of all pairs: the stores below are built for the given value
-    rows = ngram_lm.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ngram_lm.train(spark.createDataFrame([(t,) for t in train], "text string").repartition(3))).collect()
-    assert model.words.tokens == n and model.words.total == v
+    model = ngram_lm.train(spark.createDataFrame([(t,) for t in train], "text string").repartition(3), order=order, keep_from=keep_from, **options)
+    rows = ngram_lm.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert model.words.tokens == n and model.words.total == v and len(rows) == len(texts)
     for r in rows:
         x = tokens(texts[r["doc_id"]])
         assert r["n_tokens"] == len(x) and r["n_known"] == sum(w in count for w in x)
         assert math.isclose(r["base_score"], sum(math.log10((count[w] + 1) / (n + v + 1)) for w in x), rel_tol=1e-9)
-        assert math.isclose(r["score"], sum(math.log10(p(a, b)) for a, b in zip(["<s>"] + x, x)), rel_tol=1e-9)
-    assert math.isclose(sum(p("w1", w) for w in count) + p("w1", "unknown"), 1, rel_tol=1e-9)
+        assert math.isclose(r["score"], sum(math.log10(p(g)) for g in grams(x, order)), rel_tol=1e-9), r
+    for context in (("w1", "w2"), ("w2", "w9"), ("<s>", "<s>"), ("so", "so")):
+        g = ("<s>", *context)[-(order - 1) :]
+        assert math.isclose(sum(p((*g, w)) for w in count) + p((*g, "unknown")), 1, rel_tol=1e-9)
 
 
 def test_packing_round_trip():
-    keys = np.unique(np.random.Generator(np.random.PCG64(1)).integers(0, 2**63, 1000, dtype=np.uint64))
-    kind, part, n, data = ngram_lm._pack(0, 3, keys, np.arange(len(keys)))
-    got = ngram_lm._unpack(n, data, 1)
-    assert (got[0] == keys).all() and (got[1] == np.arange(len(keys))).all() and (kind, part) == (0, 3)
+    rnd = np.random.Generator(np.random.PCG64(1))
+    keys = np.unique(rnd.integers(0, 2**63, 1000, dtype=np.uint64))
+    for values in (np.arange(len(keys)), np.full(len(keys), 2**40), np.zeros(len(keys))):
+        kind, part, n, data = ngram_lm._pack(0, 3, keys, values.astype(np.uint64))
+        got = ngram_lm._unpack(n, data, 2)
+        assert (got[0] == keys).all() and (got[1] == values).all() and (kind, part) == (0, 3)
+    small, at, values = ngram_lm._small(np.array([0, 254, 255, 2**40]))
+    assert small.tolist() == [0, 254, 255, 255] and at.tolist() == [2, 3] and values.tolist() == [255, 2**40]
 
 
 def test_language_model_odd_documents(spark):
     docs = odd_documents(spark)
-    rows = ngram_lm.scored(docs, ngram_lm.train(docs)).collect()
+    model = ngram_lm.train(docs)
+    rows = ngram_lm.scored(docs, model).collect()
     assert len(rows) == 12 and {r["doc_id"]: r["n_tokens"] for r in rows}[1] == 1 and all(r["score"] < 0 for r in rows)
     rows = ngram_lm.scored(docs, ngram_lm.train(no_documents(spark))).collect()
-    assert len(rows) == 12 and all(r["score"] is None for r in rows)
-    assert ngram_lm.scored(no_documents(spark), ngram_lm.train(docs)).count() == 0
+    assert len(rows) == 12 and all(r["score"] == r["base_score"] == 0 for r in rows)
+    assert ngram_lm.scored(no_documents(spark), model).count() == 0
+    with pytest.raises(ValueError):
+        ngram_lm.train(docs, order=6)
 
 
 def brute_segments(scores):

@@ -1,22 +1,27 @@
-"""An interpolated modified Kneser-Ney bigram model, counted in Spark and stored as sorted hash arrays.
-
-Words are 64-bit hashes (A-Z lower-cased); every text ends in an end token. Counting runs in three
-shuffles: tasks count their own words, word pairs and pair statistics with sorted arrays and send
-them, packed, to ranges of the hash space, where tasks merge them one by one and write the arrays.
-Stores live in the shared folder, which must be mounted on every machine: sorted word hashes and
-counts, sorted pair keys and counts, and by word the statistics of its continuations. Workers map
+"""An interpolated modified Kneser-Ney n-gram model, counted in Spark and stored as sorted hash arrays.
+
+Words are 64-bit hashes (A-Z lower-cased) and get ids by their place among the sorted hashes; every text ends in an end token, and a
+start token stands for all places before it. A stage counts the words. The next ones go from the highest
+order down: tasks count their own n-grams and send them, packed and sorted, to ranges of the context's
+hash; there they are merged range by range, so a task holds one range at a time; the range's files are written, and what
+it adds to the next lower order goes on. Stores live in the shared folder, which must be mounted on every machine: sorted
+hashes of n-grams and of contexts, their counts in one byte each with a list of those that need more. Workers map
 them into memory, so that machines hold one copy of the pages they use and nothing is broadcast.
 Files are written under a name of their own and renamed, so a task that runs again does no harm.
 
-p(w | v) = max(c(vw) - D(c(vw)), 0) / c(v.) + g(v) p1(w), with g(v) = sum of D_i N_i(v.) / c(v.);
-p1(w) = max(n(.w) - D'(n(.w)), 0) / n(..) + g1 / (V + 1), where n(.w) is the number of distinct words
-before w. D1, D2, D3+ come from counts of counts. An unknown word has no count and shares g1 / (V + 1);
-an unknown v gives p1.
+p(w | c) = max(a(cw) - D(a(cw)), 0) / a(c.) + g(c) p(w | c'), c' being c without its first word, with g(c) = sum of D_i N_i(c.) / a(c.);
+a is the count for the highest order and for n-grams that begin with the start token, and else the number of different words
+before it. At the end, p(w) = max(a(w) - D(a(w)), 0) / a(.) + g / (V + 1). D1, D2, D3+ of each order come from its counts of counts.
+An unknown word has no count and shares g / (V + 1); an unknown context gives p(w | c').
+
+``keep_from``: n-grams of the highest order with a lower count count for everything else, but are not stored: they have no
+count of their own when texts are scored, and g(c) holds their share (2 for orders above 2, where most are singletons; 1 keeps all).
 
-Hot words: pairs go to a range by their first word, those of a word with more than ``hot`` tokens by
-the whole pair, and statistics of a word merge as sums, so no task gathers one word's pairs.
+Hot contexts: n-grams go to a range by their context; those of a context whose words all occur more than ``hot`` times go
+by the whole n-gram, and the statistics of their contexts merge as sums, so no range gathers one context's n-grams. Ranges
+grow in number with the corpus, the tasks that work through them only up to ``TASKS``. Counts are 64-bit whole numbers.
 
-Cases: null and empty texts hold the end token alone; with no training row all scores are null; a
+Cases: null and empty texts hold the end token alone; with no training row every probability is 1 / (V + 1) = 1, so all scores are 0; a
 null doc_id is never held out; repeated rows count each time; other columns are not read.
 """
 
@@ -35,57 +40,73 @@ from pyspark.sql import functions as F
 from vitrine.llm.common import doc_slices, mixed_bits, posix_path, shared_dir, small_batches, word_hashes
 
 SLICE = 2_000_000
-#: no word's hash: the end of a text, and the first context
+#: most tasks of a stage; each works through its ranges one after another
+TASKS = 8192
+#: n-grams a task holds before it sends them
+HELD = 3_000_000
+#: no word's hash: the end of a text
 END = np.uint64(0xFFFFFFFFFFFFFFFF)
 PACKED = "kind int, part int, n long, data binary"
 _NAMES = ["kind", "part", "n", "data"]
-_WORDS, _STATS, _PAIR_STATS, _TOTALS = 0, 1, 2, 3
+_GRAMS, _HOT, _TOTALS = 0, 1, 2
 
 
-# ---- packing and merging sorted arrays ----------------------------------------------------------
+# ---- packing and merging arrays -----------------------------------------------------------------
 
 
-def _pack(kind: int, part: int, keys: np.ndarray, *values: np.ndarray) -> tuple:
-    """A row of sorted keys, as differences, and their values."""
-    gaps = np.diff(keys, prepend=keys.dtype.type(0))
-    return kind, part, len(keys), zlib.compress(b"".join([gaps.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), *(np.ascontiguousarray(v.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for v in values)]), 1)
+def _pack(kind: int, part: int, *columns: np.ndarray) -> tuple:
+    """A row of columns of whole numbers, the first one in order and written as differences; each has as many bytes a number as it needs."""
+    n, widths, out = len(columns[0]), [], []
+    for k, column in enumerate(columns):
+        column = column.astype(np.uint64)
+        column = np.diff(column, prepend=np.uint64(0)) if k == 0 else column
+        width = max(1, (int(column.max()).bit_length() + 7) // 8) if n else 1
+        widths.append(width)
+        out.append(np.ascontiguousarray(column.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+    return kind, part, n, bytes(widths) + zlib.compress(b"".join(out), 1)
 
 
-def _unpack(n: int, data: bytes, values: int) -> list[np.ndarray]:
-    raw = np.frombuffer(zlib.decompress(data), dtype=np.uint8)
-    gaps = np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<u8").ravel()
-    out = [np.cumsum(gaps, dtype=np.uint64)]
-    for k in range(values):
-        at = 8 * n + 4 * n * k
-        out.append(np.ascontiguousarray(raw[at : at + 4 * n].reshape(4, n).T).view("<u4").ravel().astype(np.int64))
+def _unpack(n: int, data: bytes, columns: int) -> list[np.ndarray]:
+    raw, at, out = np.frombuffer(zlib.decompress(data[columns:]), dtype=np.uint8), 0, []
+    for k, width in enumerate(data[:columns]):
+        column = np.zeros((n, 8), dtype=np.uint8)
+        column[:, :width] = raw[at : at + n * width].reshape(width, n).T
+        column = column.view("<u8").ravel()
+        out.append(np.cumsum(column, dtype=np.uint64) if k == 0 else column)
+        at += n * width
     return out
 
 
-def _summed(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
-    """Distinct keys in order, with the sums of their values."""
-    if not len(keys):
-        return [keys, *values]
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return [keys[starts], *(np.add.reduceat(v[order], starts) for v in values)]
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts) of equal keys, the first one most significant."""
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    new = np.zeros(len(order), dtype=bool)
+    new[:1] = True
+    for key in keys:
+        new[1:] |= key[order[1:]] != key[order[:-1]]
+    return order, np.flatnonzero(new)
 
 
 class _Gather:
-    """Sums of keyed values that come in pieces; pieces merge once they outgrow what is merged."""
+    """Columns under a 64-bit key, the last of which are summed; pieces merge once they outgrow what is merged."""
 
-    def __init__(self, values: int) -> None:
-        self.held, self.pieces, self.size = [np.zeros(0, dtype=np.uint64), *(np.zeros(0, dtype=np.int64) for _ in range(values))], [], 0
+    def __init__(self, fixed: int, summed: int) -> None:
+        self.fixed, self.size = fixed, 0
+        self.held = [np.zeros(0, dtype=np.uint64) for _ in range(1 + fixed + summed)]
+        self.pieces: list[list[np.ndarray]] = []
 
-    def add(self, arrays: list[np.ndarray]) -> None:
-        self.pieces.append(arrays)
-        self.size += len(arrays[0])
+    def add(self, key: np.ndarray, *columns: np.ndarray) -> None:
+        self.pieces.append([key, *columns])
+        self.size += len(key)
         if self.size > max(500_000, len(self.held[0])):
             self.merge()
 
     def merge(self) -> list[np.ndarray]:
         if self.pieces:
-            self.held = _summed(*(np.concatenate(x) for x in zip(self.held, *self.pieces)))
+            key, *columns = (np.concatenate(x) for x in zip(self.held, *self.pieces))
+            order, starts = _runs(key)
+            first = order[starts]
+            self.held = [key[first], *(c[first] for c in columns[: self.fixed]), *(np.add.reduceat(c[order], starts) if len(starts) else c for c in columns[self.fixed :])]
             self.pieces, self.size = [], 0
         return self.held
 
@@ -104,10 +125,36 @@ def _load(path: str, k: int, dtype: str) -> np.ndarray:
     return np.memmap(name, dtype=dtype, mode="r") if os.path.exists(name) and os.path.getsize(name) else np.zeros(0, dtype=dtype)
 
 
+def _small(values: np.ndarray) -> list[np.ndarray]:
+    """Counts as bytes, 255 standing for more; where those are, and what they are."""
+    more = np.flatnonzero(values >= 255)
+    return [np.minimum(values, 255).astype(np.uint8), more.astype("<i8"), values[more].astype("<i8")]
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=_NAMES)
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[dict]]]:
+    """(part, its rows) of rows in the order of their part; the rows of one have to be read before the next is asked for."""
+    rows = (row for batch in batches for row in batch.to_pylist())
+    ahead = next(rows, None)
+
+    def own(part: int) -> Iterator[dict]:
+        nonlocal ahead
+        while ahead is not None and ahead["part"] == part:
+            row, ahead = ahead, next(rows, None)
+            yield row
+
+    while ahead is not None:
+        part = ahead["part"]
+        yield part, own(part)
+
+
+def _dealt(packed: DataFrame, parts: int) -> DataFrame:
+    return packed.repartition(min(parts, TASKS), "part").sortWithinPartitions("part")
+
+
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     """Token hashes of a slice of texts, each text closed by END."""
     for batch in doc_slices(batches, SLICE):
@@ -121,14 +168,40 @@ def _split(keys: np.ndarray, bits: int) -> np.ndarray:
     return np.searchsorted(keys, np.arange(1, 2**bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, dtype=np.int64)
 
 
+def _longer(context: np.ndarray | None, word: np.ndarray) -> np.ndarray:
+    """The hash of a context and one more word."""
+    word = word.astype(np.uint64) + np.uint64(1)
+    return mixed_bits(word if context is None else context * np.uint64(0x9E3779B97F4A7C15) + word)
+
+
+def _hashed(columns: list[np.ndarray]) -> np.ndarray:
+    out = None
+    for column in columns:
+        out = _longer(out, column)
+    return out
+
+
+def _columns(ids: np.ndarray, ends: np.ndarray, order: int, start: int) -> list[np.ndarray]:
+    """The n-grams of a stream of closed texts as columns of ids; ``start`` stands before each text."""
+    begins = np.concatenate([[0], np.flatnonzero(ends)[:-1] + 1]) if len(ids) else np.zeros(0, dtype=np.int64)
+    place = np.arange(len(ids)) - np.repeat(begins, np.diff(np.append(begins, len(ids))))
+    out = [ids]
+    for back in range(1, order):
+        column = np.full(len(ids), start, dtype=ids.dtype)
+        inside = np.flatnonzero(place >= back)
+        column[inside] = ids[inside - back]
+        out.insert(0, column)
+    return out
+
+
 # ---- stores -------------------------------------------------------------------------------------
 
 
 class Words:
-    """The vocabulary: id = place in the sorted hashes; the context of a text's first word has id V."""
+    """The vocabulary: id = place in the sorted hashes; the start token has id V."""
 
-    def __init__(self, path: str, sizes: np.ndarray, tokens: int) -> None:
-        self.path, self.sizes, self.tokens = path, sizes, tokens
+    def __init__(self, path: str, sizes: np.ndarray, tokens: int, documents: int) -> None:
+        self.path, self.sizes, self.tokens, self.documents = path, sizes, tokens, documents
         self.starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         self.bits = int(len(sizes)).bit_length() - 1
         self._open: dict[tuple[str, int, int], np.ndarray] = {}
@@ -151,36 +224,41 @@ class Words:
         ids, counts = np.full(len(hashes), -1, dtype=np.int64), np.zeros(len(hashes), dtype=np.int64)
         edges = [0, *_split(hashes, self.bits), len(hashes)]
         for part, (a, b) in enumerate(zip(edges, edges[1:])):
-            keys = self.array("words", part, 0, "<u8")
-            if a < b and len(keys):
+            keys = self.array("words", part, 0, "<u8") if a < b else ()
+            if len(keys):
                 at = np.minimum(np.searchsorted(keys, hashes[a:b]), len(keys) - 1)
                 ok = keys[at] == hashes[a:b]
                 ids[a:b][ok] = at[ok] + self.starts[part]
                 counts[a:b][ok] = self.array("words", part, 1, "<i8")[at[ok]]
         return ids, counts
 
-    def by_id(self, ids: np.ndarray, columns: int) -> np.ndarray:
-        """The statistics of sorted ids: (columns, len(ids))."""
-        out = np.zeros((columns, len(ids)), dtype=np.int64)
-        edges = np.searchsorted(ids, self.starts)
-        edges[-1] = len(ids)  # the first context belongs to the last range
-        for part, (a, b) in enumerate(zip(edges, edges[1:])):
-            keys = self.array("stats", part, 0, "<u8")
-            if a < b and len(keys):
-                at = np.minimum(np.searchsorted(keys, ids[a:b].astype(np.uint64)), len(keys) - 1)
-                ok = keys[at] == ids[a:b].astype(np.uint64)
-                for c in range(columns):
-                    out[c, a:b][ok] = self.array("stats", part, c + 1, "<i8")[at[ok]]
+    def of(self, name: str, k: int, ids: np.ndarray) -> np.ndarray:
+        """What stands under ids (V and -1 have nothing) in arrays by word."""
+        distinct, inverse = np.unique(ids.astype(np.int64), return_inverse=True)
+        out = np.zeros(len(distinct), dtype=np.int64)
+        edges = np.searchsorted(distinct, self.starts)
+        for part in np.flatnonzero(np.diff(edges)):
+            a, b = edges[part], edges[part + 1]
+            values = self.array(name, int(part), k, "<i8")
+            if len(values):
+                out[a:b] = values[distinct[a:b] - self.starts[part]]
+        return out[inverse]
+
+    def hot(self, context: list[np.ndarray], least: int) -> np.ndarray:
+        """Whether all words of a context occur more than ``least`` times."""
+        out = np.ones(len(context[0]), dtype=bool)
+        for ids in context:
+            out &= np.where(ids.astype(np.int64) == self.total, self.documents, self.of("words", 1, ids)) > least
         return out
 
 
-def _pair_part(first: np.ndarray, pair: np.ndarray, count: np.ndarray, hot: int, parts: int) -> np.ndarray:
-    """The range of each pair: by its first word, or by the whole pair if that word is hot."""
-    return (mixed_bits(np.where(count > hot, pair, first.astype(np.uint64))) % np.uint64(parts)).astype(np.int64)
+def _parts(gram: np.ndarray, context: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
+    """The range of each n-gram: by its context, or by the whole n-gram if that is hot."""
+    return (np.where(hot, gram, context) % np.uint64(parts)).astype(np.int64)
 
 
 def _discounts(n: np.ndarray) -> np.ndarray:
-    """D1, D2, D3+ from how many keys have counts 1 to 4; at least a little is taken where a count of counts is missing."""
+    """0, D1, D2, D3+ from how many keys have counts 1 to 4; at least a little is taken where a count of counts is missing."""
     n1, n2, n3, n4 = (float(x) for x in n)
     y = n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.5
     ratio = lambda a, b: a / b if b else 0.0
@@ -189,64 +267,66 @@ def _discounts(n: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, words: Words, pairs: str, parts: int, hot: int, discounts: np.ndarray, low: np.ndarray, low_total: int, low_gamma: float, documents: int) -> None:
-        self.words, self.pairs, self.parts, self.hot = words, pairs, parts, hot
-        self.discounts, self.low, self.low_total, self.low_gamma, self.documents = discounts, low, low_total, low_gamma, documents
-        self._open: dict[tuple[int, int], np.ndarray] = {}
-
-    def __getstate__(self) -> dict:
-        return {**self.__dict__, "_open": {}}
-
-    def _pairs(self, part: int, k: int) -> np.ndarray:
-        if (part, k) not in self._open:
-            self._open[part, k] = _load(f"{self.pairs}/pairs-{part}", k, "<u8" if k == 0 else "<i4")
-        return self._open[part, k]
+    def __init__(self, words: Words, order: int, keep_from: int, parts: int, hot: int, discounts: dict[int, np.ndarray], low_total: int, low_gamma: float) -> None:
+        self.words, self.order, self.keep_from, self.parts, self.hot = words, order, keep_from, parts, hot
+        self.discounts, self.low_total, self.low_gamma = discounts, low_total, low_gamma
+
+    def _found(self, name: str, keys: np.ndarray, part: np.ndarray, columns: int) -> np.ndarray:
+        """(columns, len(keys)) counts under hashes in the files ``name`` of their ranges; 0 where there are none."""
+        out = np.zeros((columns, len(keys)), dtype=np.int64)
+        order = np.lexsort((keys, part))
+        edges = np.searchsorted(part[order], np.arange(self.parts + 1))
+        for k in np.flatnonzero(np.diff(edges)):
+            own, mine = self.words.array(name, int(k), 0, "<u8"), order[edges[k] : edges[k + 1]]
+            if not len(own):
+                continue
+            at = np.minimum(np.searchsorted(own, keys[mine]), len(own) - 1)
+            ok = own[at] == keys[mine]
+            mine, at = mine[ok], at[ok]
+            for c in range(columns):
+                values = self.words.array(name, int(k), 1 + 3 * c, "|u1")[at].astype(np.int64)
+                many = np.flatnonzero(values == 255)
+                if len(many):
+                    where = np.searchsorted(self.words.array(name, int(k), 2 + 3 * c, "<i8"), at[many])
+                    values[many] = self.words.array(name, int(k), 3 + 3 * c, "<i8")[where]
+                out[c, mine] = values
+        return out
 
     def score(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(known, base, log10 p) of every token of a stream of closed texts."""
         w = self.words
         distinct, inverse = np.unique(hashes, return_inverse=True)
         ids, counts = w.ids(distinct)
-        known = counts > 0
         base = np.log10((counts + 1) / (w.tokens + w.total + 1))
-        # lower order and what each word as a context leaves to it
-        order = np.argsort(ids, kind="stable")
-        real = order[np.searchsorted(ids[order], 0) :]
-        stats = np.zeros((5, len(distinct)), dtype=np.int64)
-        stats[:, real] = w.by_id(ids[real], 5)
-        before, total, ones, twos, more = stats
-        uniform = self.low_gamma / (w.total + 1)
-        p1 = np.maximum(before - self.low[np.minimum(before, 3)], 0) / max(1, self.low_total) + uniform
-        first = w.by_id(np.array([w.total]), 5)[:, 0]
-        total, gamma_top = total.astype(float), self.discounts[1] * ones + self.discounts[2] * twos + self.discounts[3] * more
-        gamma = np.where(total > 0, gamma_top / np.maximum(total, 1), 1.0)
-        # the context of each token: the word before it, or the start of a text
-        start = np.concatenate([[True], hashes[:-1] == END])
-        previous = np.concatenate([[0], inverse[:-1]])
-        context = np.where(start, w.total, ids[previous])
-        context_total = np.where(start, first[1], total[previous])
-        first_gamma = (self.discounts[1:] * first[2:5]).sum() / first[1] if first[1] else 1.0
-        context_gamma = np.where(start, first_gamma, gamma[previous])
-        context_count = np.where(start, self.documents, counts[previous])
-        word = ids[inverse]
-        p = context_gamma * p1[inverse]
-        seen = np.flatnonzero((context >= 0) & (word >= 0))
-        key = (context[seen].astype(np.uint64) << np.uint64(32)) | word[seen].astype(np.uint64)
-        pair, at, back = np.unique(key, return_index=True, return_inverse=True)
-        n = np.zeros(len(pair), dtype=np.int64)
-        part = _pair_part(context[seen][at], pair, context_count[seen][at], self.hot, self.parts)
-        grouped = np.argsort(part, kind="stable")  # keys stay sorted within a range
-        edges = np.searchsorted(part[grouped], np.arange(self.parts + 1))
-        for k in np.flatnonzero(np.diff(edges)):
-            mine = grouped[edges[k] : edges[k + 1]]
-            keys = self._pairs(int(k), 0)
-            if len(keys):
-                where = np.minimum(np.searchsorted(keys, pair[mine]), len(keys) - 1)
-                ok = keys[where] == pair[mine]
-                n[mine[ok]] = self._pairs(int(k), 1)[where[ok]]
-        n = n[back]
-        p[seen] += np.maximum(n - self.discounts[np.minimum(n, 3)], 0) / np.maximum(context_total[seen], 1)
-        return known[inverse], base[inverse], np.log10(p)
+        before, low = w.of("before", 0, ids), self.discounts[1]
+        p = (np.maximum(before - low[np.minimum(before, 3)], 0) / max(1, self.low_total) + self.low_gamma / (w.total + 1))[inverse]
+        columns = _columns(ids[inverse], hashes == END, self.order, w.total)
+        often = np.append(counts, w.documents) > self.hot
+        frequent = _columns(inverse, hashes == END, self.order, len(distinct))
+        for k in range(2, self.order + 1):
+            context = columns[self.order - k : -1]
+            seen = np.flatnonzero(np.logical_and.reduce([c >= 0 for c in context]))
+            hot = np.logical_and.reduce([often[c[seen]] for c in frequent[self.order - k : -1]])
+            key = _hashed([c[seen] for c in context])
+            one, back = np.unique(key, return_inverse=True)
+            is_hot = np.zeros(len(one), dtype=bool)
+            is_hot[back] = hot
+            stats = np.zeros((4, len(one)), dtype=np.int64)
+            for name, which in ((f"contexts{k}", np.flatnonzero(~is_hot)), (f"hot{k}", np.flatnonzero(is_hot))):
+                if len(which):
+                    stats[:, which] = self._found(name, one[which], (one[which] % np.uint64(self.parts)).astype(np.int64), 4)
+            total, n1, n2, n3 = stats
+            d = self.discounts[k]
+            top = (1.0 if k == self.order and self.keep_from > 1 else d[1]) * n1 + d[2] * n2 + d[3] * n3
+            gamma = np.where(total > 0, top / np.maximum(total, 1), 1.0)
+            p[seen] *= gamma[back]
+            # words after contexts that are there
+            pair = np.flatnonzero((total[back] > 0) & (columns[-1][seen] >= 0))
+            at = seen[pair]
+            gram = _longer(key[pair], columns[-1][at])
+            (n,) = self._found(f"grams{k}", gram, _parts(gram, key[pair], hot[pair], self.parts), 1)
+            p[at] += np.maximum(n - d[np.minimum(n, 3)], 0) / total[back[pair]]
+        return (counts > 0)[inverse], base[inverse], np.log10(p)
 
 
 # ---- building -----------------------------------------------------------------------------------
@@ -256,145 +336,176 @@ def _power_of_two(x: float) -> int:
     return 1 << max(0, int(np.ceil(np.log2(max(1.0, x)))))
 
 
-def count_words(texts: DataFrame, path: str, chars: int) -> tuple[Words, int]:
-    """The vocabulary store of ``texts`` and the number of texts."""
-    parts = _power_of_two(chars / 32e6)
+def count_words(texts: DataFrame, path: str, chars: int, chars_per_part: int = 32_000_000) -> Words:
+    """The vocabulary store of ``texts``."""
+    parts = _power_of_two(chars / chars_per_part)
     bits = parts.bit_length() - 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Gather(1)
+        held = _Gather(0, 1)
         for stream in _streams(batches):
-            held.add(list(np.unique(stream, return_counts=True)))
-            if len(held.held[0]) > 4_000_000:
+            held.add(*np.unique(stream, return_counts=True))
+            if len(held.held[0]) > HELD:
                 yield from send(held.merge())
-                held = _Gather(1)
+                held = _Gather(0, 1)
         yield from send(held.merge())
 
     def send(merged: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         edges = [0, *_split(merged[0], bits), len(merged[0])]
         for part, (a, b) in enumerate(zip(edges, edges[1:])):
             if a < b:
-                yield _rows([_pack(_WORDS, part, merged[0][a:b], merged[1][a:b])])
+                yield _rows([_pack(_GRAMS, part, merged[0][a:b], merged[1][a:b])])
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, _Gather] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                held.setdefault(row["part"], _Gather(1)).add(_unpack(row["n"], row["data"], 1))
-        for part, gathered in held.items():
+        for part, rows in _groups(batches):
+            gathered = _Gather(0, 1)
+            for row in rows:
+                gathered.add(*_unpack(row["n"], row["data"], 2))
             keys, counts = gathered.merge()
             _save(f"{path}/words-{part}", keys.astype("<u8"), counts.astype("<i8"))
-            ends = int(counts[keys == END].sum())
-            yield _rows([(_TOTALS, part, len(keys), np.array([counts.sum(), ends], dtype="<i8").tobytes())])
+            yield _rows([(_TOTALS, part, len(keys), np.array([counts.sum(), counts[keys == END].sum()], dtype="<i8").tobytes())])
 
-    packed = texts.mapInArrow(count, PACKED).repartition(parts, "part").mapInArrow(store, PACKED)
     sizes, tokens, documents = np.zeros(parts, dtype=np.int64), 0, 0
-    for row in packed.collect():  # a row for each range
+    for row in _dealt(texts.mapInArrow(count, PACKED), parts).mapInArrow(store, PACKED).collect():  # a row for each range
         sizes[row["part"]] = row["n"]
         n, ends = np.frombuffer(row["data"], dtype="<i8")
         tokens, documents = tokens + int(n), documents + int(ends)
-    if int(sizes.sum()) >= 2**32 - 1:
-        raise ValueError("the vocabulary has more words than 32-bit ids")
-    return Words(path, sizes, tokens), documents
+    return Words(path, sizes, tokens, documents)
 
 
-def count_pairs(texts: DataFrame, words: Words, documents: int, path: str, pairs_per_part: int = 2_000_000) -> Model:
-    """The pair store and the words' statistics: a :class:`Model`."""
-    parts = max(1, -(-words.tokens // pairs_per_part))
-    hot = max(1000, words.tokens // (4 * parts))
+def count_grams(texts: DataFrame, words: Words, order: int, keep_from: int, grams_per_part: int, hot: int | None) -> Model:
+    """The stores of all orders above one and what stands before each word: a :class:`Model`."""
+    parts = max(1, -(-words.tokens // grams_per_part))
+    hot = hot if hot is not None else max(1000, grams_per_part // 4)
+    path = words.path
+
+    def sent(columns: list[np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Distinct n-grams, packed by range; words (n-grams of one) by their own."""
+        if len(columns) == 1:
+            part = np.searchsorted(words.starts, columns[0].astype(np.int64), "right") - 1
+        else:
+            context = _hashed(columns[:-1])
+            part = _parts(_longer(context, columns[-1]), context, words.hot(columns[:-1], hot), parts)
+        place = np.lexsort((*columns[1:2], columns[0], part))
+        edges = np.flatnonzero(np.diff(part[place], prepend=-1, append=-1))
+        for a, b in zip(edges, edges[1:]):
+            mine = place[a:b]
+            yield _rows([_pack(_GRAMS, int(part[mine[0]]), *(c[mine] for c in columns), n[mine])])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Gather(1)
+        held = _Gather(order, 1)
         for stream in _streams(batches):
             distinct, inverse = np.unique(stream, return_inverse=True)
-            ids = words.ids(distinct)[0][inverse].astype(np.uint64)
-            before = np.concatenate([[words.total], ids[:-1]]).astype(np.uint64)
-            before[1:][stream[:-1] == END] = words.total
-            held.add(list(np.unique(before << np.uint64(32) | ids, return_counts=True)))
-            if len(held.held[0]) > 4_000_000:
-                yield from send(held.merge())
-                held = _Gather(1)
-        yield from send(held.merge())
-
-    def contexts(first: np.ndarray) -> np.ndarray:
-        """Counts of sorted first words."""
-        distinct, inverse = np.unique(first, return_inverse=True)
-        counts = np.full(len(distinct), documents, dtype=np.int64)
-        edges = np.searchsorted(distinct, words.starts)
-        for part, (a, b) in enumerate(zip(edges, edges[1:])):
-            if a < b:
-                counts[a:b] = words.array("words", part, 1, "<i8")[distinct[a:b] - words.starts[part]]
-        return counts[inverse]
-
-    def send(merged: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        keys, n = merged
-        first = (keys >> np.uint64(32)).astype(np.int64)
-        part = _pair_part(first, keys, contexts(first), hot, parts)
-        order = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[order], np.arange(parts + 1))
-        for k in np.flatnonzero(np.diff(edges)):
-            mine = order[edges[k] : edges[k + 1]]
-            yield _rows([_pack(_WORDS, int(k), keys[mine], n[mine])])
-
-    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, _Gather] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                held.setdefault(row["part"], _Gather(1)).add(_unpack(row["n"], row["data"], 1))
-        for part in sorted(held):
-            keys, n = held.pop(part).merge()
-            _save(f"{path}/pairs-{part}", keys.astype("<u8"), np.minimum(n, 2**31 - 1).astype("<i4"))
-            first, last = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
-            yield _rows([(_TOTALS, 0, 4, np.array([(n == k).sum() for k in (1, 2, 3, 4)], dtype="<i8").tobytes())])
-            # each word's distinct words before it; each context's total and counts of counts
-            before = _summed(last, np.ones(len(last), dtype=np.int64))
-            after = _summed(first, n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n >= 3).astype(np.int64))
-            for kind, arrays in ((_STATS, before), (_PAIR_STATS, after)):
-                edges = np.searchsorted(arrays[0], words.starts.astype(np.uint64))
-                edges[-1] = len(arrays[0])
-                for p, (a, b) in enumerate(zip(edges, edges[1:])):
-                    if a < b:
-                        yield _rows([_pack(kind, p, *(x[a:b] for x in arrays))])
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, _Gather] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
+            columns = _columns(words.ids(distinct)[0][inverse].astype(np.uint64), stream == END, order, words.total)
+            held.add(_hashed(columns), *columns, np.ones(len(stream), dtype=np.uint64))
+            if len(held.held[0]) > HELD:
+                _, *columns, n = held.merge()
+                held = _Gather(order, 1)
+                yield from sent(columns, n)
+        _, *columns, n = held.merge()
+        yield from sent(columns, n)
+
+    def merged(k: int):
+        """Works through the ranges of order ``k``: writes its files and sends on what it adds to the next lower order."""
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, rows in _groups(batches):
+                pieces, stats = [], _Gather(0, 4)
+                for row in rows:
+                    if row["kind"] == _TOTALS:
+                        yield _rows([(_TOTALS, 0, row["n"], row["data"])])
+                    elif row["kind"] == _HOT:
+                        stats.add(*_unpack(row["n"], row["data"], 5))
+                    else:
+                        pieces.append(_unpack(row["n"], row["data"], k + 1))
+                yield from hot_stored(k + 1, part, stats)
+                if pieces:
+                    *columns, n = (np.concatenate(x) for x in zip(*pieces))
+                    del pieces
+                    yield from stored(k, part, columns, n)
+
+        return work
+
+    def hot_stored(k: int, part: int, stats: _Gather) -> Iterator[pa.RecordBatch]:
+        key, *values = stats.merge()
+        if len(key):
+            _save(f"{path}/hot{k}-{part}", key.astype("<u8"), *(x for v in values for x in _small(v.astype(np.int64))))
+        return iter(())
+
+    def stored(k: int, part: int, columns: list[np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        context = _hashed(columns[:-1])
+        place, starts = _runs(context, columns[-1])
+        n = np.add.reduceat(n[place], starts).astype(np.int64)
+        first = place[starts]
+        columns, context = [c[first] for c in columns], context[first]
+        yield _rows([(_TOTALS, 0, k, np.array([*((n == i).sum() for i in (1, 2, 3, 4)), 0, 0], dtype="<i8").tobytes())])
+        is_hot = words.hot(columns[:-1], hot)
+        least = keep_from if k == order else 1
+        kept = np.flatnonzero(n >= least)
+        gram = _longer(context[kept], columns[-1][kept])
+        by_hash = np.argsort(gram)
+        _save(f"{path}/grams{k}-{part}", gram[by_hash].astype("<u8"), *_small(n[kept][by_hash]))
+        begins = np.flatnonzero(np.diff(context, prepend=~context[:1]))  # contexts stand together and in order
+        stats = np.stack([np.add.reduceat(x.astype(np.int64), begins) for x in (n, n == 1, n == 2, n >= 3)])
+        some = np.add.reduceat((n >= least).astype(np.int64), begins) > 0
+        cold = np.flatnonzero(~is_hot[begins] & some)
+        _save(f"{path}/contexts{k}-{part}", context[begins][cold].astype("<u8"), *(x for v in stats for x in _small(v[cold])))
+        warm = np.flatnonzero(is_hot[begins])
+        if len(warm):
+            key, values = context[begins][warm], stats[:, warm]
+            to = (key % np.uint64(parts)).astype(np.int64)
+            by_part = np.lexsort((key, to))
+            edges = np.flatnonzero(np.diff(to[by_part], prepend=-1, append=-1))
+            for a, b in zip(edges, edges[1:]):
+                mine = by_part[a:b]
+                yield _rows([_pack(_HOT, int(to[mine[0]]), key[mine], *(v[mine] for v in values))])
+        # what stands before the rest of each n-gram; after the start token the count itself
+        rest = columns[1:]
+        adds = np.where(rest[0].astype(np.int64) == words.total, n, 1).astype(np.uint64)
+        gathered = _Gather(k - 1, 1)
+        gathered.add(_hashed(rest), *rest, adds)
+        _, *rest, adds = gathered.merge()
+        yield from sent(rest, adds)
+
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _groups(batches):
+            before, stats = None, _Gather(0, 4)
+            for row in rows:
                 if row["kind"] == _TOTALS:
                     yield _rows([(_TOTALS, 0, row["n"], row["data"])])
-                    continue
-                got = _unpack(row["n"], row["data"], 1 if row["kind"] == _STATS else 4)
-                none = np.zeros(len(got[0]), dtype=np.int64)
-                held.setdefault(row["part"], _Gather(5)).add([got[0], got[1], none, none, none, none] if row["kind"] == _STATS else [got[0], none, *got[1:]])
-        for part, gathered in held.items():
-            keys, *values = gathered.merge()
-            _save(f"{words.path}/stats-{part}", keys.astype("<u8"), *(v.astype("<i8") for v in values))
-            before = values[0]
-            yield _rows([(_STATS, part, 4, np.array([*((before == k).sum() for k in (1, 2, 3, 4)), (before >= 3).sum(), before.sum()], dtype="<i8").tobytes())])
-
-    stats = texts.mapInArrow(count, PACKED).repartition(parts, "part").mapInArrow(store, PACKED)
-    settled = stats.repartition(len(words.sizes), "part").mapInArrow(settle, PACKED)
-    pair_counts, low = np.zeros(4, dtype=np.int64), np.zeros(6, dtype=np.int64)
-    for row in settled.where("n > 0").collect():  # a row for each range of words or pairs
-        values = np.frombuffer(row["data"], dtype="<i8")
-        if row["kind"] == _TOTALS:
-            pair_counts += values
-        else:
-            low += values
-    low_discounts = _discounts(low[:4])
-    gamma = float(low_discounts[1] * low[0] + low_discounts[2] * low[1] + low_discounts[3] * low[4]) / max(1, int(low[5]))
-    return Model(words, path, parts, hot, _discounts(pair_counts), low_discounts, int(low[5]), gamma, documents)
-
-
-def train(texts: DataFrame) -> Model:
+                elif row["kind"] == _HOT:
+                    stats.add(*_unpack(row["n"], row["data"], 5))
+                else:
+                    before = np.zeros(words.sizes[part], dtype=np.int64) if before is None else before
+                    ids, n = _unpack(row["n"], row["data"], 2)
+                    np.add.at(before, ids.astype(np.int64) - words.starts[part], n.astype(np.int64))
+            yield from hot_stored(2, part, stats)
+            if before is not None:
+                _save(f"{path}/before-{part}", before.astype("<i8"))
+                yield _rows([(_TOTALS, 0, 1, np.array([*((before == i).sum() for i in (1, 2, 3, 4)), (before >= 3).sum(), before.sum()], dtype="<i8").tobytes())])
+
+    packed = texts.mapInArrow(count, PACKED)
+    for k in range(order, 1, -1):
+        packed = _dealt(packed, parts).mapInArrow(merged(k), PACKED)
+    totals = {k: np.zeros(6, dtype=np.int64) for k in range(1, order + 1)}
+    for row in _dealt(packed, max(parts, len(words.sizes))).mapInArrow(settled, PACKED).groupBy("n", "data").count().collect() if order > 1 else ():  # at most a row for each range and order
+        totals[row["n"]] += np.frombuffer(row["data"], dtype="<i8") * row["count"]
+    discounts = {k: _discounts(n[:4]) for k, n in totals.items()}
+    low, d = totals[1], discounts[1]
+    gamma = float(d[1] * low[0] + d[2] * low[1] + d[3] * low[4]) / int(low[5]) if low[5] else 1.0
+    return Model(words, order, keep_from, parts, hot, discounts, int(low[5]), gamma)
+
+
+def train(texts: DataFrame, order: int = 3, keep_from: int | None = None, grams_per_part: int = 2_000_000, hot: int | None = None, chars_per_part: int = 32_000_000) -> Model:
     """A model of the column ``text``; its stores are below the session's shared folder."""
+    if not 2 <= order <= 5:
+        raise ValueError("the order is 2 to 5")
     spark = texts.sparkSession
     small_batches(spark)
-    path = posix_path(shared_dir(spark))
     texts = texts.select("text")
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    words, documents = count_words(texts, path, int(chars))
-    return count_pairs(texts, words, documents, path)
+    words = count_words(texts, posix_path(shared_dir(spark)), int(chars), chars_per_part)
+    return count_grams(texts, words, order, keep_from or (2 if order > 2 else 1), grams_per_part, hot)
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:
@@ -408,10 +519,9 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
             (stream,) = _streams(iter([batch]))
             ends = np.flatnonzero(stream == END)
             starts = np.concatenate([[0], ends[:-1] + 1])
-            known, base, logs = m.score(stream) if m.documents else (np.zeros(len(stream)), np.full(len(stream), np.nan), np.full(len(stream), np.nan))
-            sums = [np.add.reduceat(np.asarray(x, dtype=float), starts) if len(starts) else np.zeros(0) for x in (known, base, logs)]
+            sums = [np.add.reduceat(np.asarray(x, dtype=float), starts) if len(ends) else np.zeros(0) for x in m.score(stream)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index("doc_id")), pa.array(ends - starts + 1, pa.int64()), pa.array(sums[0].astype(np.int64)), *(pa.array(x, from_pandas=True) for x in sums[1:])],
+                [batch.column(batch.schema.get_field_index("doc_id")), pa.array(ends - starts[: len(ends)] + 1, pa.int64()), pa.array(sums[0].astype(np.int64)), *(pa.array(x) for x in sums[1:])],
                 names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
             )
 
