@@ -5,7 +5,9 @@ import os
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.edge import no_documents, odd_documents
 from vitrine.llm import jaccard_join, line_dedup, substring_dedup
@@ -50,8 +52,24 @@ def test_lines_by_brute_force(spark, keep_first, broadcast_keys):
 
 def test_full_filters_only_add_suspects(spark):
     docs = spark.createDataFrame(list(enumerate(lined_texts())), "doc_id long, text string").repartition(3)
-    counts = lambda bits: sorted(map(tuple, line_dedup.repeated_keys(docs, 10, 1, bits, 10).collect()))
-    assert counts(2**16) == counts(2**20)
+    counts = lambda bits: sorted(map(tuple, line_dedup.repeated_keys(docs, 10, 1, bits).collect()))
+    assert counts(2**8) == counts(2**20) != []
+
+
+def test_filters_grow_with_the_lines(spark):
+    """Some 1 % of the lines of a corpus without repeats are suspects, whatever its size."""
+    lines = 60_000
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(lines // 600)), lambda i: F.concat_ws("-", "id", i)), "\n").alias("text"))
+    log_bits = (line_dedup.BITS_A_LINE * lines - 1).bit_length()
+    assert np.unpackbits(line_dedup.build_filter(docs, 1, log_bits)).mean() < 0.1
+    assert line_dedup.repeated_keys(docs, 2).count() == 0
+
+
+def test_lines_of_rows_without_ids(spark):
+    docs = spark.createDataFrame([(None, "a\nb"), (None, "a"), (-1, "b"), (-1, "b"), (3, "b")], "doc_id long, text string")
+    for broadcast_keys in (1000, 0):
+        rows = line_dedup.drop_repeated_lines(docs, 2, keep_first=True, broadcast_keys=broadcast_keys).collect()
+        assert sorted((str(r["doc_id"]), r["__text"]) for r in rows) == [("-1", "b"), ("-1", "b"), ("3", ""), ("None", "a"), ("None", "a")]
 
 
 @pytest.mark.parametrize("broadcast_keys", [1000, 0])

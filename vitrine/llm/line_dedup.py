@@ -1,18 +1,20 @@
 """Line dedup: two Bloom filters find suspected repeats, only those shuffle for an exact count.
 
 A line's key is the line without ASCII white space at both ends and with A-Z lower-cased. Pass one
-sets, per task, a once-seen filter A and a twice-seen filter B; two tasks merge by
-``B = B1 | B2 | (A1 & A2)``, ``A = A1 | A2``. A key whose bits are all set in B *may* be in two
+sets a once-seen filter A and a twice-seen filter B: tasks send the places of their own keys' bits, packed, to slices of
+the filters, where two tasks merge by ``B = B1 | B2 | (A1 & A2)``, ``A = A1 | A2``. A key whose bits are all set in B *may* be in two
 documents; one that lacks a bit is in one only and never leaves its task. Pass two sends the
 suspects' 128-bit digests to an exact document count. Pass three drops lines.
 
-The filters have a fixed upper size (``max_bits``): what is broadcast is bounded, a fuller filter
-only makes more suspects. The confirmed keys are broadcast while they are below
+The filters have ``BITS_A_LINE`` bits for each line of the corpus, which are counted first, and a key sets ``HASHES`` of
+them. They end at ``max_bits``, so what is broadcast is at most 128 MB: beyond some 90 million lines a fuller filter
+makes more suspects, in the end a digest for every line, and nothing is lost. The confirmed keys are broadcast while they are below
 ``broadcast_keys``; above that their documents get them by a join on the digest and then on the row.
 
 Cases: a null or empty text is one empty line (kept); the empty key counts only if ``min_chars`` is
 0; a key repeated within one document counts once; an empty table gives an empty result; repeated
-rows (same ``doc_id``) are documents of their own; other columns pass through untouched, whatever
+rows (same ``doc_id``) are documents of their own; with ``keep_first`` rows that share the first document's
+``doc_id`` keep the line each, and so does every row where none has a ``doc_id``; other columns pass through untouched, whatever
 their names, but columns named as the results are replaced.
 """
 
@@ -30,11 +32,19 @@ from pyspark.sql import functions as F
 
 from vitrine.llm.common import small_batches, staged
 
-#: bytes.strip() and bytes.lower() take exactly ASCII's white space and A-Z.
-FILTER_SLICES = 16
+BITS_A_LINE = 12
+#: bits a key sets in a filter
+HASHES = 3
+#: bits of a slice of the filters, as a power of two; small filters have 16 slices
+SLICE_BITS = 24
+#: keys a task holds before it sends their places
+HELD = 2_000_000
+#: stands for no doc_id
+NO_DOC = -(2**63)
 
 
 def line_keys(text: bytes) -> list[bytes]:
+    """The key of each line; bytes.strip() and bytes.lower() take exactly ASCII's white space and A-Z."""
     return [line.strip().lower() for line in text.split(b"\n")]
 
 
@@ -44,8 +54,9 @@ def _digests(keys: list[bytes]) -> np.ndarray:
 
 
 def _bits(digests: np.ndarray, log_bits: int) -> np.ndarray:
-    """(n, 2) bit positions: one from each half."""
-    return (digests >> np.uint64(64 - log_bits)).astype(np.int64)
+    """(n, HASHES) bit places of each digest."""
+    step = digests[:, 1] | np.uint64(1)
+    return np.stack([((digests[:, 0] + np.uint64(i) * step) >> np.uint64(64 - log_bits)).astype(np.int64) for i in range(HASHES)], axis=1)
 
 
 def _counted_keys(text: bytes | None, min_chars: int) -> list[bytes]:
@@ -60,69 +71,72 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
 
 
+def _packed(places: np.ndarray) -> bytes:
+    """Places in order, as differences."""
+    return zlib.compress(np.diff(places, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel(), dtype=np.int64)
+
+
 def build_filter(documents: DataFrame, min_chars: int, log_bits: int) -> np.ndarray:
-    """The twice-seen filter over all documents as a boolean array of ``2 ** log_bits``."""
-    per_slice = 2**log_bits // FILTER_SLICES
+    """The twice-seen filter over all documents, eight bits a byte."""
+    slices = max(16, 2 ** (log_bits - SLICE_BITS))
+    per_slice = 2**log_bits // slices
+
+    def send(digests: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, n = np.unique(np.concatenate(digests).view("V16").ravel(), return_counts=True)
+        bits = _bits(keys.view("<u8").reshape(-1, 2), log_bits)
+        once, twice = np.unique(bits), np.unique(bits[n > 1])
+        edges = np.arange(slices + 1) * per_slice
+        a, b = np.searchsorted(once, edges), np.searchsorted(twice, edges)
+        own = [i for i in range(slices) if a[i] < a[i + 1]]
+        parts = [[_packed(x[at[i] : at[i + 1]] - i * per_slice) for i in own] for x, at in ((once, a), (twice, b))]
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(parts[0], pa.binary()), pa.array(parts[1], pa.binary())], names=["slice", "once", "twice"])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(2**log_bits, dtype=bool), np.zeros(2**log_bits, dtype=bool)
+        digests, held = [], 0
         for batch in batches:
             keys = [k for t in _texts(batch) for k in _counted_keys(t, min_chars)]
-            if not keys:
-                continue
-            digests = _digests(keys)
-            new, n = np.unique(digests.view("V16").ravel(), return_counts=True)
-            new = new.view("<u8").reshape(-1, 2)
-            bits = _bits(new, log_bits)
-            # a key is seen twice if it repeats in this batch or if all its bits were set before
-            seen = (n > 1) | once[bits].all(axis=1)
-            once[bits] = True
-            twice[bits[seen]] = True
-        for i in range(FILTER_SLICES):
-            part = slice(i * per_slice, (i + 1) * per_slice)
-            if once[part].any():
-                yield _filter_row(i, once[part], twice[part])
+            if keys:
+                digests.append(_digests(keys))
+                held += len(keys)
+            if held > HELD:
+                yield from send(digests)
+                digests, held = [], 0
+        if held:
+            yield from send(digests)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                once, twice = (np.unpackbits(np.frombuffer(zlib.decompress(row[k]), dtype=np.uint8)).astype(bool) for k in ("once", "twice"))
-                if row["slice"] in held:
-                    a, b = held[row["slice"]]
-                    b |= twice | (a & once)
-                    a |= once
-                else:
-                    held[row["slice"]] = [once, twice]
-        for i, (a, b) in held.items():
-            yield _filter_row(i, a, b)
-
-    schema = "slice int, once binary, twice binary"
-    parts = documents.select("text").mapInArrow(mark, schema).repartition(FILTER_SLICES, "slice").mapInArrow(merge, schema)
-    out = np.zeros(2**log_bits, dtype=bool)
-    for row in parts.select("slice", "twice").collect():  # at most 2 ** log_bits bits in all
-        out[row["slice"] * per_slice : (row["slice"] + 1) * per_slice] = np.unpackbits(np.frombuffer(zlib.decompress(row["twice"]), dtype=np.uint8)).astype(bool)
+                a, b = held.setdefault(row["slice"], (np.zeros(per_slice, dtype=bool), np.zeros(per_slice, dtype=bool)))
+                once = _unpacked(row["once"])
+                b[once[a[once]]] = True
+                b[_unpacked(row["twice"])] = True
+                a[once] = True
+        for i, (_, b) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(np.packbits(b).tobytes(), 1)], pa.binary())], names=["slice", "twice"])
+
+    parts = documents.select("text").mapInArrow(mark, "slice int, once binary, twice binary").repartition(slices, "slice").mapInArrow(merge, "slice int, twice binary")
+    out = np.zeros(2**log_bits // 8, dtype=np.uint8)
+    for row in parts.toLocalIterator():  # at most 2 ** log_bits bits in all
+        out[row["slice"] * per_slice // 8 : (row["slice"] + 1) * per_slice // 8] = np.frombuffer(zlib.decompress(row["twice"]), dtype=np.uint8)
     return out
 
 
-def _filter_row(i: int, once: np.ndarray, twice: np.ndarray) -> pa.RecordBatch:
-    pack = lambda x: zlib.compress(np.packbits(x).tobytes(), 1)
-    return pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "once": pa.array([pack(once)], pa.binary()), "twice": pa.array([pack(twice)], pa.binary())})
-
-
-def repeated_keys(documents: DataFrame, min_docs: int = 10, min_chars: int = 1, max_bits: int = 2**26, expected_lines: int | None = None) -> DataFrame:
-    """Digest halves, document count and first document of every key found in ``min_docs`` documents or more.
-
-    ``expected_lines`` sizes the filters at eight bits a line, up to ``max_bits``.
-    """
+def repeated_keys(documents: DataFrame, min_docs: int = 10, min_chars: int = 1, max_bits: int = 2**30) -> DataFrame:
+    """Digest halves, document count and first document of every key found in ``min_docs`` documents or more."""
     spark = documents.sparkSession
     small_batches(spark)
-    wanted = 8 * (expected_lines or max_bits)
-    log_bits = int(min(max_bits, max(2**16, wanted)) - 1).bit_length()
-    packed = spark.sparkContext.broadcast(np.packbits(build_filter(documents, min_chars, log_bits)))
+    lines = documents.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0
+    log_bits = int(min(max_bits, max(2**16, BITS_A_LINE * int(lines))) - 1).bit_length()
+    packed = spark.sparkContext.broadcast(build_filter(documents, min_chars, log_bits))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice = np.unpackbits(packed.value).astype(bool)
+        twice = packed.value
         for batch in batches:
             keys, ids = [], []
             for doc_id, text in zip(batch.column(batch.schema.get_field_index("doc_id")).to_pylist(), _texts(batch)):
@@ -132,7 +146,8 @@ def repeated_keys(documents: DataFrame, min_docs: int = 10, min_chars: int = 1,
             if not keys:
                 continue
             digests = _digests(keys)
-            hit = twice[_bits(digests, log_bits)].all(axis=1)
+            bits = _bits(digests, log_bits)
+            hit = (twice[bits >> 3] >> (7 - (bits & 7)) & 1).all(axis=1)
             halves = digests[hit].astype("<u8").view("<i8")
             yield pa.RecordBatch.from_pydict({"h1": pa.array(halves[:, 0]), "h2": pa.array(halves[:, 1]), "doc_id": pa.array([d for d, x in zip(ids, hit) if x], pa.int64())})
 
@@ -162,7 +177,7 @@ def _rewritten(documents: DataFrame, drops: Iterator, keep_first: bool, extra: s
                     if keep_first:
                         seen: set[bytes] = set()
                         for i in np.flatnonzero(hit):
-                            if doc_id is not None and first[i] == doc_id and keys[i] not in seen:
+                            if keys[i] not in seen and first[i] == (NO_DOC if doc_id is None else doc_id):
                                 hit[i] = False
                             seen.add(keys[i])
                     body = b"\n".join(x for x, h in zip(lines, hit) if not h)
@@ -181,7 +196,7 @@ def _rewritten(documents: DataFrame, drops: Iterator, keep_first: bool, extra: s
     return documents.mapInArrow(rewrite, f"{schema}, {extra}")
 
 
-def drop_repeated_lines(documents: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, broadcast_keys: int = 2_000_000, max_bits: int = 2**26) -> DataFrame:
+def drop_repeated_lines(documents: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, broadcast_keys: int = 2_000_000, max_bits: int = 2**30) -> DataFrame:
     """Every document without the lines whose key is in ``min_docs`` documents or more.
 
     With ``keep_first`` the first line of such a key in its first document (lowest ``doc_id``)
@@ -192,10 +207,10 @@ def drop_repeated_lines(documents: DataFrame, min_docs: int = 10, min_chars: int
     keys = staged(repeated_keys(documents, min_docs, min_chars, max_bits), "line_keys")
     extra = "`__text` string, `__n_lines` long, `__n_dropped` long, `__sha256` string"
     if keys.limit(broadcast_keys + 1).count() <= broadcast_keys:
-        rows = keys.select("h1", "h2", "first_doc").toPandas()  # at most broadcast_keys rows of 24 bytes
+        rows = keys.select("h1", "h2", F.coalesce("first_doc", F.lit(NO_DOC)).alias("first_doc")).toPandas()  # at most broadcast_keys rows of 24 bytes
         table = np.ascontiguousarray(rows[["h1", "h2"]].to_numpy(dtype="<i8")).view("<u8")
         order = np.lexsort((table[:, 1], table[:, 0]))
-        first = rows["first_doc"].fillna(-1).to_numpy(dtype="int64")[order]
+        first = rows["first_doc"].to_numpy(dtype="int64")[order]
         shared = spark.sparkContext.broadcast((table[order], first))
 
         def drops(batch: pa.RecordBatch):
@@ -208,7 +223,7 @@ def drop_repeated_lines(documents: DataFrame, min_docs: int = 10, min_chars: int
 
 def _lookup(keys: list[bytes], table: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which keys are in the sorted digest table, and their first documents."""
-    hit, firsts = np.zeros(len(keys), dtype=bool), np.full(len(keys), -1, dtype="int64")
+    hit, firsts = np.zeros(len(keys), dtype=bool), np.full(len(keys), NO_DOC, dtype="int64")
     if keys and len(table):
         digests = _digests(keys)
         at = np.minimum(np.searchsorted(table[:, 0], digests[:, 0]), len(table) - 1)
@@ -245,10 +260,10 @@ def _with_own_keys(documents: DataFrame, keys: DataFrame, min_chars: int) -> Dat
 def _own_keys_test(batch: pa.RecordBatch):
     tables = []
     for entries in batch.column(batch.schema.get_field_index("__drop")).to_pylist():
-        tables.append({np.array([e["h1"], e["h2"]], dtype="<i8").tobytes(): -1 if e["first_doc"] is None else e["first_doc"] for e in entries or []})
+        tables.append({np.array([e["h1"], e["h2"]], dtype="<i8").tobytes(): NO_DOC if e["first_doc"] is None else e["first_doc"] for e in entries or []})
 
     def test(keys: list[bytes], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found = [tables[r].get(xxhash.xxh3_128_digest(k)) for k, r in zip(keys, rows)]
-        return np.array([f is not None for f in found], dtype=bool), np.array([-1 if f is None else f for f in found], dtype="int64")
+        return np.array([f is not None for f in found], dtype=bool), np.array([NO_DOC if f is None else f for f in found], dtype="int64")
 
     return test

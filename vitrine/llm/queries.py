@@ -38,19 +38,19 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 WITH lines AS (
-  SELECT doc_id, i, l, lower_key FROM (
-    SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS l,
+  SELECT r, doc_id, i, l, lower_key FROM (
+    SELECT r, doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS l,
            translate(trim(unnest(ls), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_key
-    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
+    FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
 ), gone AS (
-  SELECT lower_key FROM lines WHERE length(lower_key) >= 1 GROUP BY lower_key HAVING count(DISTINCT doc_id) >= 10
+  SELECT lower_key FROM lines WHERE length(lower_key) >= 1 GROUP BY lower_key HAVING count(DISTINCT r) >= 10
 ), marked AS (
-  SELECT doc_id, i, l, lower_key IN (SELECT lower_key FROM gone) AS dropped FROM lines
+  SELECT r, doc_id, i, l, lower_key IN (SELECT lower_key FROM gone) AS dropped FROM lines
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
        sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY r, doc_id
 """
 
 
