@@ -13,7 +13,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vitrine.session import table
 
+
+
+def _values(name: str, parts: list[str]) -> str:
+    """A numbered list of texts as a table (k, part)."""
+    return f"(VALUES {', '.join(f'({k}, {chr(39)}{part}{chr(39)})' for k, part in enumerate(parts))}) AS {name}(k, part)"
+
+
+#: Parts that addresses are put together from: ordinary ones, and one for each rule that gates or rewrites them.
+HOSTS = ["https://x.example", "http://www.shop.example:8080", "https://192.168.1.4", "https://172.20.0.9", "https://8.8.4.4", "https://localhost", "ftp://files.example", "https://www.bhphoto.com", "https://m.media-amazon.com", "https://psref.lenovo.com", "https://i.dell.com", "https://sub.localhost", "https://dlcdnwebimgs.asus.com"]
+PATHS = [
+    "", "/", "/a/photo.jpg", "/img/site-LOGO.bmp", "/a/w500", "/a/w640/big", "/a/h299", "/a/W300/", "/a/b.PDF", "/c/d.docx", "/thumbs/c.jpg", "/x_small.webp", "/icons/i.png", "/header/h.avif", "/manual/read", "/support/drivers/x", "/avatar/me.jpeg", "/e.svg",
+    "/images/images500x500/p.JPG", "/images/images150x150/p.jpg", "/I/81abc._AC_SX300_.jpg", "/I/81abc._AC_SL1500_.png", "/is/image/dell/front", "/gain/12//w184", "/video/clip.jpg", "/a/spin/1.jpg", "/data/certificate.html", "/social/f.png", "/z/pixel.gif",
+]
+QUERIES = ["", "?x=1", "?width=640&id=7", "?wid=90&hei=64&scl=2", "?q=80&w=1200#top", "#frag", "?fit=crop"]
+CANDIDATES = [
+    "/p/a.jpg", "//cdn.example/b.png", "c.webp", "https://o.example/d.jpg?a=1&amp;b=2", " /e.jpg ", "#zoom", "data:image/png;base64,xx", "BLOB:x", "", "https://j.example/f.jpg", "/Logo.png", "/thumb/g.jpg", "/tracking/h.gif", "../up/i.jpg", "HTTP://u.example/K.JPG", "/photo/l.jpg#x",
+]
+
 BOUND: dict[str, str] = {
+    "addresses": f"""
+        SELECT page_id, url AS page, concat(h.part, p.part, q.part) AS address FROM {{pages}}
+        JOIN {_values("h", HOSTS)} ON h.k = page_id % {len(HOSTS)} JOIN {_values("p", PATHS)} ON p.k = page_id % {len(PATHS)} JOIN {_values("q", QUERIES)} ON q.k = page_id % {len(QUERIES)}""",
+    "candidates": f"SELECT page_id, url AS page, c.part AS candidate FROM {{pages}} JOIN {_values('c', CANDIDATES)} ON c.k = page_id % {len(CANDIDATES)}",
     "products": """
         SELECT p_partkey AS id, CAST(p_size % 5 AS BIGINT) AS category_id, CAST(substring(p_brand, 7) AS BIGINT) AS brand_id, p_type AS product_type,
                CASE WHEN p_size <= 40 THEN 'published' ELSE 'draft' END AS status, lower(p_name) AS slug, p_name AS title, p_type AS model, p_brand AS description,

@@ -10,6 +10,7 @@ from vitrine.functions import numbers as N
 from vitrine.functions import payloads as P
 from vitrine.functions import text as T
 from vitrine.functions import urls as U
+from vitrine.plans.binding import bound, with_bound
 from vitrine.registry import query
 from vitrine.session import table
 
@@ -127,11 +128,19 @@ def clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").where(~F.col("html").rlike(r"\[[^\]]+\]\([^)]+\)")).select("page_id", F.length(T.clean(F.col("html"))).cast("long").alias("n"))
 
 
-@query("reasoning_texts", "SELECT doc_id, doc_id % 2 = 0 AS reasoning FROM documents")
+#: Sentences, and whether they speak of the search.
+_SAID = [
+    ("This is the Closest  match we have", True), ("a light laptop with a bright screen", False), ("closest neighbour of the match", False), ("not confirmed by any shop", True), ("НЕ Подтвержден: цена", True), ("Цена по запросу", True), ("подтвержден", False), ("According\nto the page", True),
+    ("an accord to all", False), ("made by AI", True), ("a main aim", False), ("uncertainties remain", True), ("certain", False), ("Cena není uvedena", True), ("cena je uvedena", False), ("sources indicate so", True), ("open source", False), ("search result", True), ("research results", True), ("price is not available", True), ("priceless", False),
+]
+
+
+@query("reasoning_texts", f"SELECT doc_id, {'[' + ', '.join(str(t).lower() for _, t in _SAID) + ']'}[doc_id % {len(_SAID)} + 1] AS reasoning FROM documents WHERE NOT regexp_matches(lower(text), 'match|found|source|search|mismatch|uncertaint|zdroj|nalezen|according|network|price|product|confirm|request|(^|[^a-zà-ÿ])ai([^a-zà-ÿ]|$)')")
 def reasoning_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every second document gets a sentence about the search instead of its text."""
-    said = F.when(F.col("doc_id") % 2 == 0, "НЕ Подтвержден: Closest  match").otherwise("Plain product words")
-    return table(spark, sf_dir, "documents").select("doc_id", T.has_reasoning(said).alias("reasoning"))
+    """Sentences on the search and harmless ones, within the documents' own texts."""
+    plain = table(spark, sf_dir, "documents").where(~F.lower("text").rlike("match|found|source|search|mismatch|uncertaint|zdroj|nalezen|according|network|price|product|confirm|request|(^|[^a-zà-ÿ])ai([^a-zà-ÿ]|$)"))
+    said = F.element_at(F.array(*[F.lit(x) for x, _ in _SAID]), (F.col("doc_id") % len(_SAID) + 1).cast("int"))
+    return plain.select("doc_id", T.has_reasoning(F.concat(F.col("text"), F.lit(" "), said, F.lit(". "), F.col("text"))).alias("reasoning"))
 
 
 @query("technical_descriptions", """SELECT p_partkey, p_name || '.' || CASE WHEN contains(lower(p_name), lower(p_brand)) THEN '' ELSE ' Model: ' || p_brand || '. Color: red.' END || ' Specifications: Size: ' || p_size || '; Type: ' || p_type || '.' AS description FROM part WHERE regexp_full_match(p_name, '[a-z ]+')""")
@@ -204,6 +213,7 @@ def content_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- addresses ---------------------------------------------------------------------------------
 
 _HOST = "regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '^.*?www\\.', '')"
+_HOST_OF, _PATH_OF = "lower(regexp_extract(address, '^[A-Za-z]+://([^/:?#]+)', 1))", "regexp_extract(address, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1)"
 
 
 @query("url_host", f"SELECT page_id, {_HOST} AS host, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS origin, lower(regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '\\.([^./]+)$', 1)) AS extension FROM pages")
@@ -212,43 +222,62 @@ def url_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", U.host(u).alias("host"), U.origin(u).alias("origin"), U.extension(u).alias("extension"))
 
 
-@query("url_absolute", """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://a.example/x' WHEN 1 THEN regexp_extract(url, '^([a-z]+):', 1) || '://b.example/y' WHEN 2 THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/root.jpg' ELSE regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || regexp_replace(CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) END, '[^/]*$', '') || 'near.png' END AS url FROM pages""")
+@query("url_absolute", with_bound("""
+    , c AS (SELECT page_id, candidate AS c, regexp_extract(page, '^([a-z]+)://', 1) AS scheme, regexp_extract(page, '^([a-z]+://[^/?#]+)', 1) AS root, regexp_replace(regexp_extract(page, '^[a-z]+://[^/?#]+([^?#]*)', 1), '[^/]*$', '') AS folder FROM candidates)
+    SELECT page_id, CASE WHEN lower(left(c, 7)) = 'http://' OR lower(left(c, 8)) = 'https://' THEN c WHEN left(c, 2) = '//' THEN scheme || ':' || c WHEN left(c, 1) = '/' THEN root || c ELSE root || CASE WHEN folder = '' THEN '/' ELSE folder END || c END AS url FROM c""", "candidates"))
 def url_absolute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.col("page_id") % 4
-    c = F.when(m == 0, "https://a.example/x").when(m == 1, "//b.example/y").when(m == 2, "/root.jpg").otherwise("near.png")
-    return table(spark, sf_dir, "pages").select("page_id", U.absolute(c, F.col("url")).alias("url"))
+    return bound(spark, sf_dir, "candidates").select("page_id", U.absolute(F.col("candidate"), F.col("page")).alias("url"))
 
 
-@query("url_normalize", r"""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://dlcdnwebimgs.asus.com/gain/' || page_id || '//w800' WHEN 1 THEN 'https://m.media-amazon.com/images/I/' || page_id || '.jpg' ELSE 'https://i.dell.com/is/image/' || page_id || '?fmt=png&wid=1500&hei=1500' END AS url,
-    CASE WHEN page_id % 2 = 0 THEN 'https://www.amazon.de/dp/B0' || lpad(CAST(page_id AS VARCHAR), 8, '0') ELSE url END AS page FROM pages""")
+@query("url_normalize", with_bound(f"""
+    , a AS (SELECT page_id, address AS u, {_HOST_OF} AS host, {_PATH_OF} AS path, p_name, lpad(CAST(page_id * 7919 % 100000 AS VARCHAR), 8, '0') AS code FROM addresses JOIN part ON p_partkey = page_id + 1)
+    SELECT page_id, CASE WHEN contains(host, 'dlcdnwebimgs.asus.com') THEN regexp_replace(u, '//w(48|64|96|184)([?]|$)', '//w800', 'g') WHEN ends_with(host, '.media-amazon.com') THEN regexp_replace(u, '[.]_[^/]+([.](jpe?g|png|webp)($|[?]))', '\\1', 'gi')
+           WHEN contains(lower(path), '/is/image/') THEN regexp_replace(regexp_replace(u, '([?&](wid|hei))=[0-9]+', '\\1=1500', 'gi'), '[?&]scl=[0-9]+', '', 'gi') ELSE u END AS url,
+           CASE page_id % 3 WHEN 0 THEN 'https://www.amazon.de/dp/B0' || code WHEN 1 THEN 'https://amazonia.example.com/dp/b0' || code ELSE 'https://www.amazon.co.uk/gp/b0' || code END AS page FROM a""", "addresses"))
 def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, s = F.col("page_id") % 3, F.col("page_id").cast("string")
-    given = F.when(k == 0, F.concat(F.lit(" https://dlcdnwebimgs.asus.com/gain/"), s, F.lit("//w184"))).when(k == 1, F.concat(F.lit("https://m.media-amazon.com/images/I/"), s, F.lit("._AC_SX300_.jpg"))).otherwise(F.concat(F.lit("https://i.dell.com/is/image/"), s, F.lit("?fmt=png&wid=90&hei=64&scl=2")))
-    page = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("https://www.amazon.de/Some-Name/dp/b0"), F.lpad(s, 8, "0"), F.lit("/ref=sr_1?x=1"))).otherwise(F.col("url"))
-    return table(spark, sf_dir, "pages").select("page_id", U.upgraded(given).alias("url"), U.canonical_page(page).alias("page"))
-
-
-@query("url_asset_key", r"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'bh:' || page_id || '.jpg' WHEN 1 THEN 'amazon:/images/i/' || page_id || '.jpg' WHEN 2 THEN 'dynamic-image:i.dell.com/is/image/' || page_id ELSE 'https://x.example/p.jpg?id=' || page_id END AS asset, CASE page_id % 4 WHEN 0 THEN 500 WHEN 1 THEN 300 WHEN 2 THEN 0 ELSE 640 END AS quality FROM pages""")
+    rows = bound(spark, sf_dir, "addresses").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("page_id") + 1)
+    code = F.lpad((F.col("page_id") * 7919 % 100000).cast("string"), 8, "0")
+    k = F.col("page_id") % 3
+    page = F.when(k == 0, F.concat(F.lit("https://www.amazon.de/"), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("/dp/b0"), code, F.lit("/ref=sr_1?x=1"))).when(k == 1, F.concat(F.lit("https://amazonia.example.com/dp/b0"), code)).otherwise(F.concat(F.lit("https://www.amazon.co.uk/gp/b0"), code))
+    return rows.select("page_id", U.upgraded(F.col("address")).alias("url"), U.canonical_page(page).alias("page"))
+
+
+@query("url_asset_key", with_bound(f"""
+    , a AS (SELECT page_id, address AS u, {_HOST_OF} AS host, {_PATH_OF} AS path, regexp_extract(address, '[?]([^#]*)', 1) AS query FROM addresses),
+    n AS (SELECT *, coalesce(TRY_CAST(nullif(regexp_extract(path, 'images([0-9]+)x', 1), '') AS INT), 0) AS a1, coalesce(TRY_CAST(nullif(regexp_extract('&' || query, '&(?:width|w)=([0-9]+)', 1), '') AS INT), 0) AS a2, coalesce(TRY_CAST(nullif(regexp_extract(path, '[.]_(?:AC_)?S[LXY]([0-9]+)', 1), '') AS INT), 0) AS a3 FROM a)
+    SELECT page_id, CASE WHEN ends_with(host, 'bhphoto.com') THEN 'bh:' || lower(regexp_extract(path, '([^/]*)$', 1)) WHEN ends_with(host, 'media-amazon.com') THEN 'amazon:' || lower(regexp_replace(path, '[.]_[^/]+([.][^./]+)$', '\\1'))
+           WHEN contains(path, '/is/image/') THEN 'dynamic-image:' || host || lower(path) ELSE replace(replace(replace(replace(u, '?width=640&id=7', '?id=7'), '?q=80&w=1200', ''), '?fit=crop', ''), '?#', '#') END AS asset, greatest(a1, a2, a3) AS quality FROM n""", "addresses"))
 def url_asset_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, s = F.col("page_id") % 4, F.col("page_id").cast("string")
-    u = (F.when(k == 0, F.concat(F.lit("https://www.bhphoto.com/images/images500x500/"), s, F.lit(".JPG"))).when(k == 1, F.concat(F.lit("https://m.media-amazon.com/images/I/"), s, F.lit("._AC_SX300_.jpg")))
-         .when(k == 2, F.concat(F.lit("https://i.dell.com/is/image/"), s, F.lit("?wid=90#a"))).otherwise(F.concat(F.lit("https://x.example/p.jpg?width=640&id="), s, F.lit("&q=80"))))
-    return table(spark, sf_dir, "pages").select("page_id", U.asset_key(u).alias("asset"), U.quality_score(u).alias("quality"))
+    return bound(spark, sf_dir, "addresses").select("page_id", U.asset_key(F.col("address")).alias("asset"), U.quality_score(F.col("address")).alias("quality"))
 
 
-@query("url_gates", """SELECT page_id, page_id % 5 = 0 AS junk, page_id % 5 IN (1, 3) AS catalog_image, page_id % 5 = 2 AS document, page_id % 5 NOT IN (2, 4) AS html_source, page_id % 5 <> 3 AS public, CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'https://x.example/a/w640' END AS unused FROM pages""".replace(", CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'https://x.example/a/w640' END AS unused", ""))
+@query("url_gates", with_bound(f"""
+    , a AS (SELECT page_id, lower(address) AS low, {_HOST_OF} AS host, lower({_PATH_OF}) AS path FROM addresses)
+    SELECT page_id, regexp_matches(low, 'logo|favicon|sprite|placeholder|thumb|/small/|_small|tracking|pixel[.]|[.]svg|/header/|/icons/|/w48|/w64|/w96|/w184|avatar|icon-|/icon/|/flags/|locale-flag|/blogs/|banner') AS junk,
+           NOT regexp_matches(low, 'logo|favicon|sprite|placeholder|[.]svg|/header/|/icons/|/w48|/w64|/w96|/w184') AND (regexp_matches(low, '[.](jpe?g|png|webp|avif)([?]|$)') OR regexp_matches(low, '/[wh]([3-9][0-9][0-9])([?/]|$)') OR regexp_matches(low, '/[wh][3-9][0-9]{{3,}}([?/]|$)')) AS catalog_image,
+           regexp_matches(path, '[.](pdf|docx?|xlsx?|pptx?|zip|rar|7z|csv|xml|json)$') AS document,
+           NOT regexp_matches(path, '[.](pdf|docx?|xlsx?|csv|zip)$') AND NOT regexp_matches(host, 'psref[.]lenovo[.]com|energystar[.]gov|support[.]lenovo[.]com') AND NOT regexp_matches(low, '/support/|/drivers/|/manual|spec[.]pdf|datasheet|certificate') AS html_source,
+           starts_with(low, 'http') AND NOT regexp_matches(host, '^(.*[.])?localhost$') AND NOT regexp_matches(host, '^(10|127|0)[.]|^192[.]168[.]|^172[.](1[6-9]|2[0-9]|3[01])[.]') AS public FROM a""", "addresses"))
 def url_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("page_id") % 5
-    u = F.when(k == 0, "https://x.example/img/site-LOGO.bmp").when(k == 1, "https://x.example/a/w500").when(k == 2, "https://x.example/a/b.PDF?x=1").when(k == 3, "http://192.168.1.4/photo.jpg").otherwise("https://psref.lenovo.com/a")
-    return table(spark, sf_dir, "pages").select("page_id", U.is_junk(u).alias("junk"), U.is_catalog_image(u).alias("catalog_image"), U.is_document(u).alias("document"), U.is_html_source(u).alias("html_source"), U.is_public(u).alias("public"))
+    u = F.col("address")
+    return bound(spark, sf_dir, "addresses").select("page_id", U.is_junk(u).alias("junk"), U.is_catalog_image(u).alias("catalog_image"), U.is_document(u).alias("document"), U.is_html_source(u).alias("html_source"), U.is_public(u).alias("public"))
 
 
-@query("url_candidates", r"""SELECT page_id, CASE page_id % 4 WHEN 1 THEN 'https://x.example/a.jpg?a=1&b=2' WHEN 3 THEN 'https://cdn.example/pic.webp' END AS page_image, CASE page_id % 4 WHEN 1 THEN 'https://x.example/a.jpg?a=1&b=2' WHEN 3 THEN 'https://cdn.example/pic.webp' WHEN 2 THEN 'https://x.example/thumbs/c.jpg' END AS browser_image FROM pages""")
+@query("url_candidates", with_bound(r"""
+    , c AS (SELECT page_id, trim(replace(replace(candidate, '\\/', '/'), '&amp;', '&')) AS c, regexp_extract(page, '^([a-z]+)://', 1) AS scheme, regexp_extract(page, '^([a-z]+://[^/?#]+)', 1) AS root, regexp_replace(regexp_extract(page, '^[a-z]+://[^/?#]+([^?#]*)', 1), '[^/]*$', '') AS folder FROM candidates),
+    w AS (SELECT page_id, c, CASE WHEN regexp_matches(c, '^(?i)https?://') THEN c WHEN starts_with(c, '//') THEN scheme || ':' || c WHEN starts_with(c, '/') THEN root || c ELSE root || CASE WHEN folder = '' THEN '/' ELSE folder END || c END AS whole FROM c)
+    SELECT page_id, CASE WHEN c <> '' AND NOT regexp_matches(lower(c), '^(#|data:|blob:)|logo|favicon|sprite|placeholder|thumb|/small/|_small|tracking|pixel[.]') THEN whole END AS page_image FROM w""".replace("\\\\/", "\\/"), "candidates"))
 def url_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("page_id") % 4
-    c = F.when(k == 0, "data:image/png;base64,poster").when(k == 1, " https://x.example/a.jpg?a=1&amp;b=2").when(k == 2, "https://x.example/thumbs/c.jpg").otherwise("https://cdn.example/pic.webp")
-    base = F.lit("https://x.example/")
-    return table(spark, sf_dir, "pages").select("page_id", U.image_candidate(c, base).alias("page_image"), F.when(k != 0, U.browser_candidate(F.trim(c), base)).alias("browser_image"))
+    return bound(spark, sf_dir, "candidates").select("page_id", U.image_candidate(F.col("candidate"), F.col("page")).alias("page_image"))
+
+
+@query("browser_candidates", with_bound(f"""
+    , a AS (SELECT page_id, {_HOST_OF} AS host, CASE WHEN ends_with({_HOST_OF}, 'bhphoto.com') THEN replace(replace(address, '/multiple_images/thumbnails/', '/multiple_images/images500x500/'), '/images/smallimages/', '/images/images500x500/') ELSE address END AS u FROM addresses),
+    b AS (SELECT *, coalesce(TRY_CAST(nullif(regexp_extract(u, '(?i)images([0-9]+)x[0-9]+', 1), '') AS INT), 0) AS size FROM a)
+    SELECT page_id, CASE WHEN NOT size BETWEEN 1 AND 199 AND NOT regexp_matches(lower(u), '[.](svg|gif|ico|pdf|html?|json|xml)($|[?#])') AND NOT regexp_matches(lower(u), '(^|[/_.?&=-])(video|poster|spin|360(view|degree)?)([/_.?&=-]|$)')
+           AND NOT regexp_matches(lower(u), 'logo|icon|sprite|badge|avatar|tracking|pixel|oldiemessage|/images/fb/|favicon|social') THEN u END AS image FROM b WHERE starts_with(u, 'http')""", "addresses"))
+def browser_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bound(spark, sf_dir, "addresses").where("address LIKE 'http%'").select("page_id", U.browser_candidate(F.col("address"), F.col("page")).alias("image"))
 
 
 @query("address_ranges", """SELECT s_suppkey, s_suppkey % 256 IN (0, 10, 127) OR (s_suppkey % 256 = 172 AND s_suppkey % 40 BETWEEN 16 AND 31) OR s_suppkey % 256 >= 224 OR (s_suppkey % 256 = 192 AND s_suppkey % 40 = 0) OR (s_suppkey % 256 = 198 AND s_suppkey % 40 IN (18, 19)) AS blocked FROM supplier""")
@@ -279,12 +308,17 @@ def page_access_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", U.is_access_gate(body).alias("gate"), U.access_signal(F.when(k % 5 == 0, 403).otherwise(200), small).alias("signal"))
 
 
-@query("page_kind", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN false ELSE true END AS is_html FROM pages")
+_BODIES = ["%PDF-1.7", "  <!DOCTYPE html><p>", "hello", "<HTML lang=en>", "[1, 2]", "<head><title>x", "\n\t<body class=a>", "<htmlx>"]
+_KINDS = ["text/html", "TEXT/HTML; charset=utf-8", "image/png", "", "application/octet-stream", "text/plain", "application/xhtml+xml"]
+
+
+@query("page_kind", f"""
+    WITH b AS (SELECT page_id, lower({_sql_list(_BODIES)}[page_id % 8 + 1]) AS body, lower({_sql_list(_KINDS)}[page_id % 7 + 1]) AS kind FROM pages)
+    SELECT page_id, CASE WHEN left(body, 5) = '%pdf-' OR left(body, 1) = '[' THEN false WHEN contains(kind, 'text/html') OR contains(kind, 'xhtml') THEN true WHEN kind = 'image/png' THEN false
+           ELSE regexp_matches(body, '^[ \\t\\n]*<(!doctype html|html[ >]|head[ >]|body[ >])') END AS is_html FROM b""")
 def page_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("page_id") % 4
-    body = F.when(k == 0, "%PDF-1.7").when(k == 3, F.lit("\n <!DOCTYPE html><p>")).otherwise("hello")
-    kind = F.when(k == 0, "text/html").when(k == 1, "text/html; charset=utf-8").when(k == 2, "image/png").otherwise("")
-    return table(spark, sf_dir, "pages").select("page_id", U.is_html_body(body, kind).alias("is_html"))
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("page_id") % len(values) + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", U.is_html_body(pick(_BODIES), pick(_KINDS)).alias("is_html"))
 
 
 @query("page_gallery")
@@ -294,19 +328,28 @@ def page_gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.gallery(pages)
 
 
-@query("srcset_order", "SELECT page_id, ['https://x.example/' || page_id || '-3.jpg', 'b.jpg', 'a.jpg'] AS urls FROM pages")
+@query("srcset_order", """SELECT page_id, list_reverse(list_transform(range(page_id % 5 + 1), lambda i: url || '/' || i || '.jpg')) AS urls FROM pages""")
 def srcset_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", U.srcset_urls(F.concat(F.lit("a.jpg 1x, b.jpg 2x, , https://x.example/"), F.col("page_id").cast("string"), F.lit("-3.jpg 900w"))).alias("urls"))
+    """A srcset of one to five sizes of the page's own picture, with gaps and odd spaces."""
+    sizes = F.transform(F.sequence(F.lit(0), (F.col("page_id") % 5).cast("int")), lambda i: F.concat(F.lit(" "), F.col("url"), F.lit("/"), i.cast("string"), F.lit(".jpg  "), ((i + 1) * 300).cast("string"), F.lit("w ")))
+    return table(spark, sf_dir, "pages").select("page_id", U.srcset_urls(F.concat(F.lit(","), F.array_join(sizes, ","), F.lit(", ,"))).alias("urls"))
 
 
-@query("script_images", "SELECT page_id, ['https://cdn.example/' || page_id || '.jpg?v=1', 'https://cdn.example/b.webp'] AS urls, ['bg.png'] AS backgrounds, 12.5 AS price, [3] AS at, [12] AS of FROM pages".replace("12.5 AS price", "CAST(12.5 AS DOUBLE) AS price").replace("[3] AS at, [12] AS of", "3 AS shown, 12 AS of_all"))
+@query("script_images", with_bound(f"""
+    , p AS (SELECT page_id, address, CASE WHEN regexp_matches(address, '^(?i)https?://') AND NOT regexp_matches(lower(address), 'logo|favicon|sprite|placeholder|tracking|pixel[.]') THEN regexp_extract(address, '(?i)^https?://.+?[.](?:jpe?g|png|webp|avif)(?:[?].*)?') ELSE '' END AS u FROM addresses)
+    SELECT page_id, CASE WHEN u = '' THEN ['https://cdn.example/b.webp'] ELSE [u, 'https://cdn.example/b.webp'] END AS urls, CASE page_id % 3 WHEN 0 THEN [page_id || '.png'] WHEN 1 THEN []::VARCHAR[] ELSE ['x' || page_id || '.jpg', 'y.png'] END AS backgrounds,
+           CASE WHEN page_id % 2 = 0 THEN page_id + 0.5 END::DOUBLE AS price, CAST(page_id % 9 + 1 AS INT) AS shown, CAST(page_id % 9 + 3 AS INT) AS of_all FROM p""", "addresses"))
 def script_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("page_id").cast("string")
-    script = F.concat(F.lit('{"u":"https:\\/\\/cdn.example\\/'), s, F.lit('.jpg?v=1","v":"https://cdn.example/b.webp","w":"https://cdn.example/b.webp","l":"https://cdn.example/logo.png"}'))
-    counts = T.of_counts(F.lit("Image 3 of 12"))
-    return table(spark, sf_dir, "pages").select(
-        "page_id", U.script_image_urls(script).alias("urls"), U.background_urls(F.lit("background: url('bg.png') no-repeat")).alias("backgrounds"),
-        T.price_after_label(F.lit("<div>Input</div>\n <div class='x'>$12.5</div>"), "Input").alias("price"), counts[0]["at"].alias("shown"), counts[0]["of"].alias("of_all"))
+    """Scripts with the page's address twice, once with escaped slashes, and a second picture; styles, prices and counts by page."""
+    k = F.col("page_id")
+    s = k.cast("string")
+    escaped = F.replace(F.col("address"), F.lit("/"), F.lit("\\/"))
+    script = F.concat(F.lit('{"u":"'), escaped, F.lit('","v":"https://cdn.example/b.webp","w":"'), F.col("address"), F.lit('","l":"https://cdn.example/logo.png"}'))
+    style = F.when(k % 3 == 0, F.concat(F.lit("background: url('"), s, F.lit(".png') no-repeat"))).when(k % 3 == 1, "color: red").otherwise(F.concat(F.lit("a{background:URL( x"), s, F.lit('.jpg )} b{background-image:url("y.png")}')))
+    counts = T.of_counts(F.concat(F.lit("Image "), (k % 9 + 1).cast("string"), F.when(k % 2 == 0, " of ").otherwise("/"), (k % 9 + 3).cast("string")))
+    price = F.concat(F.lit("<div> "), F.when(k % 2 == 0, "Input").otherwise("Output"), F.lit("</div>\n <div class='x'>$"), s, F.lit(".5</div>"))
+    return bound(spark, sf_dir, "addresses").select(
+        "page_id", U.script_image_urls(script).alias("urls"), U.background_urls(style).alias("backgrounds"), T.price_after_label(price, "Input").alias("price"), counts[0]["at"].alias("shown"), counts[0]["of"].alias("of_all"))
 
 
 @query("sanitized_pages", r"SELECT page_id, left(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script\b.*?</script\s*>|style\b.*?</style\s*>|noscript\b.*?</noscript\s*>|svg\b.*?</svg\s*>)', '', 'g'), '(?i)\son[a-z]+\s*=\s*(?:\"[^\"]*\"|''[^'']*''|[^\s>]+)', '', 'g'), '\s+', ' ', 'g')), 1600) AS markup FROM pages".replace('\\"', '"'))
@@ -314,10 +357,13 @@ def sanitized_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.sanitized_markup(F.col("html")).alias("markup"))
 
 
-@query("safe_selectors", "SELECT s_suppkey, s_suppkey % 4 <> 1 AND s_suppkey % 4 <> 3 AS safe FROM supplier")
+_SELECTORS = [".gallery img", "a[href^=javascript:x]", "#main > img", " ", "iframe.video", "img[data-src]", "xpath=//img", "div.Script", "a[href^=https://x]", "p.description", "IFRAME", "ul li:nth-child(2)", "file:///etc", ".framed", ""]
+
+
+@query("safe_selectors", f"""SELECT s_suppkey, trim(x) <> '' AND NOT regexp_matches(lower(x), 'javascript:|https?:|file:|xpath|script([^a-z0-9_]|$)|iframe([^a-z0-9_]|$)') AS safe FROM (SELECT s_suppkey, {_sql_list(_SELECTORS)}[s_suppkey % {len(_SELECTORS)} + 1] AS x FROM supplier)""")
 def safe_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("s_suppkey") % 4
-    return table(spark, sf_dir, "supplier").select("s_suppkey", U.is_safe_selector(F.when(k == 0, ".gallery img").when(k == 1, "a[href^='javascript:x']").when(k == 2, "#main > img").otherwise(" ")).alias("safe"))
+    selector = F.element_at(F.array(*map(F.lit, _SELECTORS)), (F.col("s_suppkey") % len(_SELECTORS) + 1).cast("int"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", U.is_safe_selector(selector).alias("safe"))
 
 
 @query("draft_payloads", """SELECT p_partkey, p_name AS title, 1.0 AS confidence, 2 AS n_specs, ['https://shop.example/' || p_partkey, 'https://a.example/x'] AS urls, ['retailer', 'web'] AS types FROM part""".replace("1.0 AS confidence", "CAST(1 AS DOUBLE) AS confidence"))
@@ -332,27 +378,49 @@ def draft_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", "d.title", "d.confidence", F.size("d.specifications").alias("n_specs"), F.transform("d.sources", lambda x: x["url"]).alias("urls"), F.transform("d.sources", lambda x: x["type"]).alias("types"))
 
 
-@query("payload_lists", """SELECT s_suppkey, [5, s_suppkey] AS ids, [7, s_suppkey] AS messages, ['a', 'b'] AS spellings, 'x' AS first, [2, 3] AS tail, s_suppkey % 2 = 0 AS permutation FROM supplier WHERE s_suppkey NOT IN (0, 5, 7)""")
+@query("payload_lists", """
+    WITH s AS (SELECT s_suppkey, s_suppkey % 5 AS a, s_suppkey % 3 AS b, s_suppkey % 12 AS n FROM supplier)
+    SELECT s_suppkey, (SELECT coalesce(list(v ORDER BY i), []) FROM (SELECT v, min(i) AS i FROM (VALUES (a, 1), (s_suppkey, 2), (b, 3)) t(v, i) WHERE v > 0 GROUP BY v)) AS ids, CASE WHEN a = s_suppkey THEN [a] ELSE [a, s_suppkey] END AS messages,
+           CASE WHEN b = 0 THEN ['x' || a] ELSE ['x' || a, 'X' || (a + b)] END AS spellings, CASE WHEN n = 0 THEN NULL ELSE 'w1' END AS first, list_transform(range(greatest(0, n - 2), n), lambda i: 'w' || (i + 1)) AS tail, b <> 2 AS permutation FROM s""")
 def payload_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("s_suppkey")
-    s = k.cast("string")
+    """Lists whose members, repeats and lengths follow the supplier's number."""
     from vitrine.operators.windows import is_permutation
 
-    return table(spark, sf_dir, "supplier").where("s_suppkey NOT IN (0, 5, 7)").select(
-        "s_suppkey", P.positive_ids(F.array(F.lit("5"), F.lit("-1"), s, F.lit("x"), F.lit("5"))).alias("ids"), P.message_ids(F.concat(F.lit('{"message":{"message_id": 7,"r":{"message_id":'), s, F.lit("}},\"message_id\":7}"))).alias("messages"),
-        P.distinct_ci(F.array(F.lit("a"), F.lit("A"), F.lit("b"))).alias("spellings"), P.first_where(F.array(F.lit("no"), F.lit("x"), F.lit("xx")), lambda x: x.startswith("x")).alias("first"), P.last(F.array(F.lit(1), F.lit(2), F.lit(3)), 2).alias("tail"),
-        is_permutation(F.when(k % 2 == 0, F.array(F.lit(2), F.lit(3), F.lit(1))).otherwise(F.array(F.lit(2), F.lit(2), F.lit(1))), F.lit(3)).alias("permutation"))
+    k = F.col("s_suppkey")
+    a, b, n = k % 5, k % 3, (k % 12).cast("int")
+    word = F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("w"), i.cast("string"))))
+    text_of = lambda c: c.cast("string")
+    return table(spark, sf_dir, "supplier").select(
+        "s_suppkey", P.positive_ids(F.array(text_of(a), F.lit("-1"), text_of(k), F.lit("x"), text_of(b), text_of(a))).alias("ids"),
+        P.message_ids(F.concat(F.lit('{"message":{"message_id": '), text_of(a), F.lit(',"r":{"message_id":'), text_of(k), F.lit('}},"message_id":'), text_of(a), F.lit("}"))).alias("messages"),
+        P.distinct_ci(F.array(F.concat(F.lit("x"), text_of(a)), F.concat(F.lit("X"), text_of(a + b)), F.concat(F.lit("X"), text_of(a)))).alias("spellings"), P.first_where(word, lambda x: x.startswith("w")).alias("first"), P.last(word, 2).alias("tail"),
+        is_permutation(F.when(b == 0, F.array(F.lit(2), F.lit(3), F.lit(1))).when(b == 1, F.array(F.lit(1), F.lit(2), F.lit(3))).otherwise(F.array(F.lit(2), F.lit(2), F.lit(1))), F.lit(3)).alias("permutation"))
 
 
-@query("discovered_urls", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN ['https://p.example/1.jpg', 'https://p.example/2.jpg'] ELSE ['https://f.example/f.jpg'] END AS urls FROM supplier")
+@query("discovered_urls", """
+    WITH s AS (SELECT s_suppkey, list_transform(range(s_suppkey % 4), lambda i: ['https://p' || i || '.example/' || s_suppkey % 7 || '.jpg', 'nonsense ' || i, 'https://p.example/' || (s_suppkey + i) % 3 || '.jpg']) AS paired, ['https://f.example/' || s_suppkey || '.jpg', 'x'] AS flat FROM supplier)
+    SELECT s_suppkey, CASE WHEN len(paired) = 0 THEN [flat[1]] ELSE (SELECT list(u ORDER BY i) FROM (SELECT u, min(i) AS i FROM (SELECT unnest(flatten(paired)) AS u, unnest(range(len(flatten(paired)))) AS i) WHERE starts_with(u, 'https://') GROUP BY u)) END AS urls FROM s""")
 def discovered_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paired = '{"sources":[{"page_url":"https://p.example","image_urls":["https://p.example/1.jpg","x"]},{"page_url":"https://q.example","image_urls":["https://p.example/2.jpg","https://p.example/1.jpg"]}],"image_urls":["https://f.example/f.jpg"]}'
-    flat = '{"sources":[],"image_urls":["https://f.example/f.jpg"]}'
-    return table(spark, sf_dir, "supplier").select("s_suppkey", P.discovered_urls(P.parsed(F.when(F.col("s_suppkey") % 2 == 0, paired).otherwise(flat), "discovery")).alias("urls"))
-
-
-@query("cleaned_recipes", "SELECT s_suppkey, ['.a', 'img.b'] AS collect, 40 AS clicks, 100 AS wait, ['data-src'] AS attributes FROM supplier")
+    """Discoveries with none to three pages, each with three picture addresses, one of them no address and one shared."""
+    k = F.col("s_suppkey")
+    pages = F.when(k % 4 == 0, F.array().cast("array<struct<page_url:string,image_urls:array<string>>>")).otherwise(F.transform(F.sequence(F.lit(0), (k % 4).cast("int") - 1), lambda i: F.struct(
+        F.concat(F.lit("https://p"), i.cast("string"), F.lit(".example")).alias("page_url"),
+        F.array(F.concat(F.lit("https://p"), i.cast("string"), F.lit(".example/"), (k % 7).cast("string"), F.lit(".jpg")), F.concat(F.lit("nonsense "), i.cast("string")), F.concat(F.lit("https://p.example/"), ((k + i) % 3).cast("string"), F.lit(".jpg"))).alias("image_urls"))))
+    body = F.to_json(F.struct(pages.alias("sources"), F.array(F.concat(F.lit("https://f.example/"), k.cast("string"), F.lit(".jpg")), F.lit("x")).alias("image_urls")))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", P.discovered_urls(P.parsed(body, "discovery")).alias("urls"))
+
+
+@query("cleaned_recipes", f"""
+    WITH s AS (SELECT s_suppkey, list_transform(range(s_suppkey % 30), lambda i: ' ' || {_sql_list(_SELECTORS)}[(s_suppkey + i) % {len(_SELECTORS)} + 1]) AS asked FROM supplier),
+    u AS (SELECT s_suppkey, trim(unnest(asked)) AS x, unnest(range(len(asked))) AS i FROM s),
+    d AS (SELECT s_suppkey, x, min(i) AS i FROM u WHERE x <> '' AND NOT regexp_matches(lower(x), 'javascript:|https?:|file:|xpath|script([^a-z0-9_]|$)|iframe([^a-z0-9_]|$)') GROUP BY s_suppkey, x)
+    SELECT s.s_suppkey, coalesce((SELECT list(x ORDER BY i) FROM d WHERE d.s_suppkey = s.s_suppkey), []) AS collect, CAST(least(40, greatest(0, s.s_suppkey - 20)) AS INT) AS clicks, CAST(CASE WHEN s.s_suppkey % 3 = 0 THEN 500 ELSE least(5000, greatest(100, s.s_suppkey * 70)) END AS INT) AS wait, CASE WHEN s.s_suppkey % 2 = 0 THEN ['data-src', 'data-' || s.s_suppkey] ELSE ['data-src'] END AS attributes FROM s""")
 def cleaned_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = '{"collect_selectors":[" .a","img.b",".a","<script>"],"attributes":["DATA-src","data-src"],"max_clicks":900,"wait_ms":1}'
-    r = P.cleaned_recipe(P.parsed(F.lit(body), "recipe"))
+    """Recipes with up to 29 selectors, safe and unsafe, repeated; numbers below, within and above their bounds."""
+    k = F.col("s_suppkey")
+    known = F.array(*map(F.lit, _SELECTORS))
+    asked = F.when(k % 30 == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), (k % 30).cast("int") - 1), lambda i: F.concat(F.lit(" "), F.element_at(known, ((k + i) % len(_SELECTORS) + 1).cast("int")))))
+    attributes = F.array(F.lit("DATA-src"), F.when(k % 2 == 0, F.concat(F.lit("Data-"), k.cast("string"))).otherwise("data-SRC"), F.lit("data-src"))
+    body = F.to_json(F.struct(asked.alias("collect_selectors"), attributes.alias("attributes"), (k - 20).cast("int").alias("max_clicks"), F.when(k % 3 != 0, (k * 70).cast("int")).alias("wait_ms")))
+    r = P.cleaned_recipe(P.parsed(body, "recipe"))
     return table(spark, sf_dir, "supplier").select("s_suppkey", r["collect_selectors"].alias("collect"), r["max_clicks"].alias("clicks"), r["wait_ms"].alias("wait"), r["attributes"].alias("attributes"))
