@@ -98,10 +98,16 @@ def image_search_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- attributes --------------------------------------------------------------------------------
 
 
-@query("attribute_keys", f"SELECT p_partkey, {_rules('l', T.ATTRIBUTE_RULES, _slug('l', '_'))} AS key FROM (SELECT p_partkey, lower(CASE p_size % 6 WHEN 0 THEN 'CPU model' WHEN 1 THEN 'Frame rate' WHEN 2 THEN 'Screen size' WHEN 3 THEN 'Экран' WHEN 4 THEN p_type ELSE 'Battery life (h)' END) AS l FROM part)")
+#: Labels of specifications with the key they stand for; null where the label itself gives it.
+_LABELS = [
+    ("CPU model", "cpu"), ("Frame rate", "ram"), ("Screen size", "screen_size"), ("Экран", "display"), ("Battery life (h)", None), ("Graphics memory", "gpu"), ("Системная память: оперативная", "ram"), ("SSD", "storage"), ("Refresh rate of the screen", "refresh_rate"), ("Диагональ экрана", "screen_size"),
+    ("Видеокарта", "gpu"), ("Частота", "refresh_rate"), ("Процессор", "cpu"), ("Weight", None), ("Video processor", "cpu"), ("Накопитель", "storage"), ("Touch display", "display"), ("Ports & slots", None),
+]
+
+
+@query("attribute_keys", f"""SELECT p_partkey, coalesce(m.key, {_slug("lower(m.label || ' ' || p_size)", "_")}) AS key FROM part JOIN (VALUES {', '.join(f"({k}, '{label}', {'NULL' if key is None else chr(39) + key + chr(39)})" for k, (label, key) in enumerate(_LABELS))}) m(k, label, key) ON m.k = p_partkey % {len(_LABELS)}""")
 def attribute_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("p_size") % 6
-    label = F.when(s == 0, "CPU model").when(s == 1, "Frame rate").when(s == 2, "Screen size").when(s == 3, "Экран").when(s == 4, F.col("p_type")).otherwise("Battery life (h)")
+    label = F.concat_ws(" ", F.element_at(F.array(*[F.lit(x) for x, _ in _LABELS]), (F.col("p_partkey") % len(_LABELS) + 1).cast("int")), F.col("p_size").cast("string"))
     return table(spark, sf_dir, "part").select("p_partkey", T.canonical_attribute_key(label).alias("key"))
 
 
@@ -156,13 +162,18 @@ def redact_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.redact(F.concat(F.lit("key sk-"), F.col("doc_id").cast("string"), F.lit("_x "), F.col("text"))).alias("message"))
 
 
-_MESSAGES = ["You exceeded your current quota", "model_not_found: x", "HTTP 401", "Maximum context reached", "Rate limit hit", "Request timed out", "SSL connect error", "Boom"]
+#: Messages of services with their class, whether they are tried again, and the kind of failure.
+_MESSAGES = [
+    ("You exceeded your current quota", "quota", False, "ai_error"), ("Billing hard limit: insufficient_quota", "quota", False, "ai_error"), ("Your credit balance is too low", "quota", False, "ai_error"), ("429 quota exceeded", "quota", False, "ai_rate_limited"),
+    ("model_not_found: x", "unknown_model", False, "ai_error"), ("The model `m` does not exist", "unknown_model", False, "ai_error"), ("No such model", "unknown_model", False, "ai_error"), ("HTTP 401", "credentials", False, "ai_error"), ("Incorrect API key provided", "credentials", False, "ai_error"),
+    ("Unauthorized: connection closed", "credentials", False, "ai_transient"), ("Maximum context reached", "context_length", False, "ai_error"), ("too many tokens: timed out", "context_length", False, "ai_timeout"), ("HTTP 429", "rate_limit", True, "ai_rate_limited"), ("Rate limit hit, timeout", "rate_limit", True, "ai_rate_limited"),
+    ("Request timed out", "timeout", True, "ai_timeout"), ("Gateway TIMEOUT", "timeout", True, "ai_timeout"), ("SSL handshake", "network", True, "ai_error"), ("Connection reset by peer", "network", True, "ai_transient"), ("Could not resolve host", "network", True, "ai_error"), ("Temporarily overloaded", "other", False, "ai_transient"), ("Boom", "other", False, "ai_error"),
+]
 
 
-@query("classify_errors", f"""SELECT event_id, {_rules("m", [(n, w) for n, _, w in T.ERROR_RULES], "'other'")} AS class, {_rules("m", [(n, w) for n, _, w in T.ERROR_RULES], "'other'")} IN ('rate_limit', 'timeout', 'network') AS retryable, {_rules("m", T.FAILURE_KINDS, "'ai_error'")} AS kind
-    FROM (SELECT event_id, lower({_sql_list(_MESSAGES)}[event_id % 8 + 1]) AS m FROM events)""")
+@query("classify_errors", f"""SELECT event_id, m.class, m.retryable, m.kind FROM events JOIN (VALUES {', '.join(f"({k}, '{c}', {str(r).lower()}, '{kind}')" for k, (_, c, r, kind) in enumerate(_MESSAGES))}) m(k, class, retryable, kind) ON m.k = event_id % {len(_MESSAGES)}""")
 def classify_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    message = F.array(*map(F.lit, _MESSAGES))[(F.col("event_id") % 8).cast("int")]
+    message = F.concat_ws(" ", F.element_at(F.array(*[F.lit(m) for m, *_ in _MESSAGES]), (F.col("event_id") % len(_MESSAGES) + 1).cast("int")), F.lit("for user"), (F.col("user_id") % 100).cast("string"))
     return table(spark, sf_dir, "events").select("event_id", T.classify_error(message).alias("c"), T.failure_kind(message).alias("kind")).select("event_id", "c.class", "c.retryable", "kind")
 
 
