@@ -332,10 +332,17 @@ def page_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", U.is_html_body(pick(_BODIES), pick(_KINDS)).alias("is_html"))
 
 
-@query("page_gallery")
+@query("page_gallery", """
+    WITH p AS (SELECT DISTINCT url, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS root, range(length(url) % 3 + 1) AS n, length(url) % 2 = 0 AS meta, length(url) % 5 = 0 AS sets FROM pages),
+    l AS (SELECT url, root, list_transform(n, lambda i: '/z' || i || '.jpg') || list_transform(n, lambda i: '/s' || i || '.jpg') || CASE WHEN meta THEN ['/og.webp'] ELSE [] END || ['/o.jpg'] || CASE WHEN sets THEN ['/t2.jpg', '/t1.jpg'] ELSE [] END AS images FROM p)
+    SELECT url, CAST(unnest(range(1, len(images) + 1)) AS INT) AS pos, root || unnest(images) AS image FROM l""")
 def page_gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pictures of every page that was given a gallery; parsed by the table function (no SQL form)."""
-    pages = table(spark, sf_dir, "pages").select("url", F.concat(F.lit('<div class="Product-Gallery"><img src="/a.jpg" data-zoom-image="/z/'), F.col("page_id").cast("string"), F.lit('.jpg"></div><img src="/logo.png">'), F.col("html")).alias("body"))
+    """Pictures of every page before which stands a gallery of one to three pictures, some with a meta tag or a srcset, and pictures outside it; large pictures come first."""
+    k = F.length("url")
+    pictures = F.array_join(F.transform(F.sequence(F.lit(0), k % 3), lambda i: F.concat(F.lit('<img src="/s'), i.cast("string"), F.lit('.jpg" data-zoom-image="/z'), i.cast("string"), F.lit('.jpg">'))), "")
+    meta = F.when(k % 2 == 0, '<meta property="og:image" content="/og.webp">').otherwise("")
+    sets = F.when(k % 5 == 0, '<picture><source srcset="/t1.jpg 1x, /t2.jpg 2x"></picture>').otherwise("")
+    pages = table(spark, sf_dir, "pages").select("url", F.concat(meta, F.lit('<div class="Product-Gallery">'), pictures, sets, F.lit('</div><img data-src="/o.jpg" src="/logo.png">'), F.col("html")).alias("body"))
     return H.gallery(pages)
 
 
