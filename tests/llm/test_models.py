@@ -313,6 +313,89 @@ def test_each_stage_takes_effect(spark, corpus):
     assert kept[4][1] <= kept[3][1] and {"mix_copy", "mix_shard", "mix_order"} <= set(docs.columns)
 
 
+def closest(pattern, text):
+    """The least number of edits between ``pattern`` and a stretch of ``text``."""
+    codes = np.array([ord(c) for c in text])
+    place = np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, dtype=int)
+    for c in pattern:
+        new = row + 1
+        new[1:] = np.minimum(new[1:], row[:-1] + (codes != ord(c)))
+        row = np.minimum.accumulate(new - place) + place
+    return row.min()
+
+
+def test_stages_by_brute_force(spark, corpus):
+    """Each stage against a plain version of itself, on what its predecessor kept."""
+    folder, toxic = corpus
+    stages = dict(corpus_pipeline.STAGES)
+    read = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").first()["text"]
+    before = read(docs)
+    docs = stages["toxicity"](spark, docs, folder).cache()
+    after = read(docs)
+    assert after == {i: t for i, t in before.items() if not toxic[i]}
+
+    before, seen = after, Counter()
+    for t in before.values():
+        seen.update({x.strip().lower() for x in t.split("\n")} - {""})
+    docs = stages["line dedup"](spark, docs, folder).cache()
+    after, met, want = read(docs), set(), {}
+    for i, t in sorted(before.items()):
+        lines = []
+        for x in t.split("\n"):
+            key = x.strip().lower()
+            if seen[key] < 10 or key not in met:
+                lines.append(x)
+            met.add(key)
+        want[i] = "\n".join(lines)
+    assert after == want and any(after[i] != before[i] for i in after)
+
+    before = after
+    docs = stages["n-gram Jaccard join"](spark, docs, folder).cache()
+    after = read(docs)
+    sets = {i: {tuple(t.lower().split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in before.items()}
+    near = {i: {j for j in sets if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])} for i in sets}
+    classes = {i: i for i in sets}
+    for _ in sets:
+        classes = {i: min(classes[j] for j in near[i]) for i in sets}
+    assert after == {i: t for i, t in before.items() if classes[i] == i} and len(after) < len(before)
+
+    before = after
+    docs = stages["benchmark decontamination"](spark, docs, folder).cache()
+    after = read(docs)
+    plain = lambda t: " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split())
+    pattern = plain(item)
+    assert after == {i: t for i, t in before.items() if closest(pattern, plain(t)) > int(0.1 * len(pattern))} and len(after) < len(before)
+
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    copies = Counter(r["doc_id"] for r in stages["mixing"](spark, docs, folder).collect())
+    size, taken = Counter(), Counter()
+    for i, t in after.items():
+        size[source[i]] += len(t.split())
+        taken[source[i]] += len(t.split()) * copies[i]
+    share = 1.5 * sum(size.values()) / 8
+    targets = {s: min(2 * size[s], share * w) for s, w in zip(sorted(size), (5, 2, 1))}
+    rest = 1.5 * sum(size.values()) - sum(targets.values())  # of the sources at their caps, shared again by weight
+    low = [s for s in sorted(size) if targets[s] < 2 * size[s]]
+    weights = dict(zip(sorted(size), (5, 2, 1)))
+    targets = {s: t + (rest * weights[s] / sum(weights[x] for x in low) if s in low else 0) for s, t in targets.items()}
+    assert all(abs(taken[s] - min(t, 2 * size[s])) <= 100 for s, t in targets.items()) and max(copies.values()) <= 2
+
+
+@pytest.mark.parametrize("name, kept", [("toxicity", None), ("line dedup", 12), ("n-gram Jaccard join", 9), ("benchmark decontamination", 12), ("mixing", None)])
+def test_stages_on_odd_and_empty_documents(spark, corpus, name, kept):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    for docs in (odd_documents(spark), no_documents(spark)):
+        out = stage(spark, docs, corpus[0])
+        rows = out.collect()
+        if name != "mixing":
+            assert out.columns == docs.columns and len(rows) <= docs.count()
+        if kept and docs.count():
+            assert len(rows) == kept, [r["doc_id"] for r in rows]
+
+
 def test_pipeline_query(spark, corpus):
     assert llm_queries.queries()["pipeline"](spark, corpus[0]).count() > 0
     assert corpus_pipeline.ORACLE_SQL is None
