@@ -45,7 +45,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("line dedup", dedup_lines), ("n-gram Jaccard join", dedup_documents), ("benchmark decontamination", decontaminate), ("mixing", mix)]
 
-#: The toxicity model and the chosen-path join have no SQL form; tests compare each stage with a brute-force version.
+#: The toxicity model and the chosen-path join have no SQL form; tests compare each stage with a plain version of it.
 ORACLE_SQL = None
 
 
