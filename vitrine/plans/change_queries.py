@@ -119,13 +119,14 @@ def hash_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hashes(spark, sf_dir).select("id", N.hamming(back, zero).cast("long").alias("ones"))
 
 
-@query("near_dup_greedy", f"""WITH RECURSIVE {_BITS}, g AS (SELECT id, bits, id % 25 AS owner, row_number() OVER (PARTITION BY id % 25 ORDER BY id) AS n FROM h),
+@query("near_dup_greedy", f"""WITH RECURSIVE {_BITS}, g AS (SELECT id, bits, id // 20 AS owner, row_number() OVER (PARTITION BY id // 20 ORDER BY id) AS n FROM h),
     f AS (SELECT owner, n, [id] AS kept, [bits] AS seen FROM g WHERE n = 1 UNION ALL
       SELECT g.owner, g.n, CASE WHEN near THEN f.kept ELSE list_append(f.kept, g.id) END, CASE WHEN near THEN f.seen ELSE list_append(f.seen, g.bits) END
       FROM (SELECT f.owner, f.n, f.kept, f.seen, len(list_filter(f.seen, lambda s: list_sum([CASE WHEN s[i] <> x.bits[i] THEN 1 ELSE 0 END for i in range(1, 65)]) <= 24)) > 0 AS near FROM f JOIN g x ON x.owner = f.owner AND x.n = f.n + 1) f JOIN g ON g.owner = f.owner AND g.n = f.n + 1)
     SELECT owner, unnest(kept) AS pos FROM f WHERE n = (SELECT max(n) FROM g WHERE g.owner = f.owner)""")
 def near_dup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    images = _hashes(spark, sf_dir).select((F.col("id") % 25).alias("owner"), F.col("id").alias("pos"), "high", "low")
+    """Pictures in products of twenty, as many as a draft has at most."""
+    images = _hashes(spark, sf_dir).select(F.floor(F.col("id") / 20).alias("owner"), F.col("id").alias("pos"), "high", "low")
     return X.without_near_duplicates(images, "owner", None, 24).select("owner", "pos")
 
 
@@ -152,12 +153,12 @@ _REVIEWS = """r AS (SELECT doc_id, quality = 1 AS publishable, toxic = 0 AS colo
       FROM documents JOIN labels USING (doc_id)), ok AS (SELECT * FROM r WHERE publishable AND color_match AND kind = 'product' AND score >= 60 AND (exact_match OR supported))"""
 
 
-@query("review_acceptance", f"WITH {_REVIEWS} SELECT doc_id, CAST(row_number() OVER (ORDER BY CASE WHEN view = 'front' THEN 1 ELSE 0 END DESC, exact_match DESC, supported DESC, score DESC, doc_id) AS INT) AS place, CAST(row_number() OVER (ORDER BY gallery_rank, score DESC, doc_id) AS INT) AS gallery_place FROM ok")
+@query("review_acceptance", f"WITH {_REVIEWS} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id // 20 ORDER BY CASE WHEN view = 'front' THEN 1 ELSE 0 END DESC, exact_match DESC, supported DESC, score DESC, doc_id) AS INT) AS place, CAST(row_number() OVER (PARTITION BY doc_id // 20 ORDER BY gallery_rank, score DESC, doc_id) AS INT) AS gallery_place FROM ok")
 def review_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     ok = _reviews(spark, sf_dir).where(X.accepted(F.lit(True), F.col("supported")))
-    one = Window.partitionBy(F.lit(1))  # the reviews of one batch of pictures
+    one = Window.partitionBy(F.floor(F.col("doc_id") / 20))  # the reviews of one batch of pictures
     return ok.select("doc_id", F.row_number().over(one.orderBy(*X.review_order())).alias("place"), F.row_number().over(one.orderBy(*X.gallery_order())).alias("gallery_place"))
 
 
