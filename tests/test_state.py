@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vitrine.operators import catalog, merge, usage
 from vitrine.operators import selection as X
 from vitrine.operators import windows as W
+from vitrine.session import clear_shared, folder_exists, shared_dir
 from vitrine.sources import readers, sinks
 from vitrine.streaming import intake, state
 
@@ -132,3 +133,9 @@ def test_two_trees_in_one_session(spark):
     nodes = lambda name: spark.createDataFrame([(1, None, name), (2, 1, "leaf")], "id long, parent_id long, name string")
     one, two = catalog.tree_depths(spark, nodes("one")), catalog.tree_depths(spark, nodes("two"))
     assert sorted(r["path"] for r in one.collect()) == ["one", "one / leaf"] and sorted(r["path"] for r in two.collect()) == ["two", "two / leaf"]
+
+
+def test_shared_folders_are_cleared(spark):
+    folder = shared_dir(spark)
+    spark.range(3).write.parquet(f"{folder}/t")
+    assert folder_exists(spark, folder) and clear_shared(spark) >= 1 and not folder_exists(spark, folder) and clear_shared(spark) == 0

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 
 
 def session(app: str = "vitrine", master: str | None = None, **conf: str) -> SparkSession:
@@ -36,7 +37,18 @@ def shared_dir(spark: SparkSession) -> str:
             _own_dirs[app] = tempfile.mkdtemp(prefix="vitrine-")
             atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
         base = f"file://{_own_dirs[app]}"
-    return f"{base.rstrip('/')}/vitrine-{uuid.uuid4().hex}"
+    made = f"{base.rstrip('/')}/vitrine-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(made)
+    return made
+
+
+def clear_shared(spark: SparkSession) -> int:
+    """Delete the folders that :func:`shared_dir` gave this application, once nothing reads the tables staged there; how many there were."""
+    made = _made.pop(spark.sparkContext.applicationId, [])
+    for path in made:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(made)
 
 
 def folder_exists(spark: SparkSession, path: str) -> bool:
