@@ -327,7 +327,8 @@ def test_small_groups_lean_on_their_language(spark):
 
 
 def test_verdicts_keep_one_occurrence_above_a_fence_of_zero(spark):
-    text = lambda lines, extra: "\n".join([f"{a}{b} line of its own" for a in "abcdefghij"[:lines] for b in "klm"] + extra)
-    docs = [(i, text(10, []), "en", "s") for i in range(200)] + [(300, text(10, ["ak line of its own"] * 3), "en", "s"), (301, text(10, ["ak line of its own"] * 4), "en", "s")]
+    line = lambda a, b: " ".join(f"{a}{b}{x}" for x in "vwxyz")
+    text = lambda again: "\n".join([line(a, b) for a in "abcdefghij" for b in "klm"] + [line("a", "k")] * again)
+    docs = [(i, text(0), "en", "s") for i in range(200)] + [(300, text(3), "en", "s"), (301, text(4), "en", "s")]
     beyond = {r["doc_id"]: r["beyond"] for r in quality.judged(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
     assert "dup_lines" not in beyond[300] and "dup_lines" in beyond[301] and beyond[0] == []
