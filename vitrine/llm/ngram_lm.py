@@ -43,7 +43,7 @@ SLICE = 2_000_000
 #: most tasks of a stage; each works through its ranges one after another
 TASKS = 8192
 #: n-grams a task holds before it sends them
-HELD = 3_000_000
+HELD = 1_500_000
 #: no word's hash: the end of a text
 END = np.uint64(0xFFFFFFFFFFFFFFFF)
 PACKED = "kind int, part int, n long, data binary"
@@ -496,7 +496,7 @@ def count_grams(texts: DataFrame, words: Words, order: int, keep_from: int, gram
     return Model(words, order, keep_from, parts, hot, discounts, int(low[5]), gamma)
 
 
-def train(texts: DataFrame, order: int = 3, keep_from: int | None = None, grams_per_part: int = 2_000_000, hot: int | None = None, chars_per_part: int = 32_000_000) -> Model:
+def train(texts: DataFrame, order: int = 3, keep_from: int | None = None, grams_per_part: int = 1_000_000, hot: int | None = None, chars_per_part: int = 32_000_000) -> Model:
     """A model of the column ``text``; its stores are below the session's shared folder."""
     if not 2 <= order <= 5:
         raise ValueError("the order is 2 to 5")
