@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import decontamination, jaccard_join, licences, line_dedup, mixing, ngram_lm, quality, substring_dedup, token_counts, toxicity
+from vitrine.llm import clustering, decontamination, importance, jaccard_join, licences, line_dedup, mixing, ngram_lm, quality, substring_dedup, token_counts, toxicity
 from vitrine.llm.common import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,13 +167,67 @@ SELECT source, lang, 'pieces-1' AS tokenizer, sum(n)::BIGINT AS docs, sum(n * pi
 """
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.col("imp_features").alias("n_features"), F.col("imp_weight").alias("weight"), F.col("imp_score").alias("score"), F.col("imp_rank").alias("rank"))
+
+
+OP11_SQL = r"""
+WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps),
+t AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents
+      UNION ALL SELECT -row_number() OVER (), NULL, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+w AS (SELECT r, doc_id, list_filter(string_split_regex(x, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda v: v <> '') AS w FROM t),
+f AS (SELECT r, unnest(w) AS f FROM w UNION ALL SELECT r, unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) FROM w WHERE len(w) >= 2),
+n AS (SELECT r, f, count(*) AS n FROM f GROUP BY ALL),
+h AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM n)),
+b AS (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(x) // 2 + 1), lambda i: ('0x' || substr(x, 2 * i - 1, 2))::BIGINT)),
+             lambda c, y: xor(steps[xor(c, y) % 256 + 1], c >> 8)), 4294967295) % 10000 AS bucket FROM h, crc),
+m AS (SELECT r, bucket, sum(n)::BIGINT AS n FROM n JOIN b USING (f) GROUP BY ALL),
+c AS (SELECT bucket, coalesce(sum(n) FILTER (r > 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (r < 0), 0)::DOUBLE AS t FROM m GROUP BY bucket),
+a AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM c),
+g AS (SELECT bucket, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::BIGINT AS gain FROM c, a),
+d AS (SELECT r, sum(n)::BIGINT AS n_features, floor(sum(n * gain)::DOUBLE / sum(n))::BIGINT AS weight FROM m JOIN g USING (bucket) WHERE r > 0 GROUP BY r),
+s AS (SELECT r, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+      FROM w LEFT JOIN d USING (r) WHERE r > 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_words >= 20) AS n_all FROM s)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 25 * n_all // 100 THEN place END AS rank FROM o
+"""
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clustered(_table(spark, sf_dir, "embeddings"))
+
+
+def _op12_sql(k: int = 40, rounds: int = 5) -> str:
+    """Plain rounds over all pairs of a vector and a centroid, one step of the query for each round."""
+    near = """SELECT r, c.cluster, list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS distance
+                 FROM p, c{0} c QUALIFY row_number() OVER (PARTITION BY r ORDER BY distance, c.cluster) = 1"""
+    steps = "".join(
+        f"""a{i} AS ({near.format(i)}),
+    m{i} AS (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY d) AS v
+             FROM (SELECT cluster, d, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT cluster, unnest(range(64)) AS d, unnest(v) AS x FROM a{i} JOIN p USING (r)) GROUP BY cluster, d) GROUP BY cluster),
+    c{i + 1} AS (SELECT cluster, coalesce(m{i}.v, c{i}.v) AS v FROM c{i} LEFT JOIN m{i} USING (cluster)),
+    """
+        for i in range(rounds)
+    )
+    return f"""
+    WITH p AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+               WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+    c0 AS (SELECT (row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), v) - 1)::INTEGER AS cluster, v FROM p QUALIFY cluster < {k}),
+    {steps}a AS ({near.format(rounds)})
+    SELECT vec_id, cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+    FROM a JOIN p USING (r) JOIN c{rounds} c USING (cluster)"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_mix_sources": op1_mix_sources, "op2_quality_rules": op2_quality_rules, "op3_decontamination": op3_decontamination, "op4_licence_scan": op4_licence_scan, "op5_lm_scoring": op5_lm_scoring, "op6_toxicity": op6_toxicity,
         "op7_substring_dedup": op7_substring_dedup, "op8_token_counts": op8_token_counts,
-        "op9_line_dedup": op9_line_dedup, "op10_jaccard_join": op10_jaccard_join, "pipeline": pipeline,
+        "op9_line_dedup": op9_line_dedup, "op10_jaccard_join": op10_jaccard_join,
+        "op11_importance_resampling": op11_importance_resampling, "op12_centroid_clustering": op12_centroid_clustering, "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL, "op4_licence_scan": _op4_sql(), "op8_token_counts": OP8_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op4_licence_scan": _op4_sql(), "op8_token_counts": OP8_SQL, "op9_line_dedup": OP9_SQL, "op11_importance_resampling": OP11_SQL, "op12_centroid_clustering": _op12_sql()}
