@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import clustering, decontamination, importance, jaccard_join, licences, line_dedup, mixing, ngram_lm, quality, substring_dedup, token_counts, toxicity
+from vitrine.llm import clustering, decontamination, importance, jaccard_join, licences, line_dedup, mixing, ngram_lm, privacy, quality, substring_dedup, token_counts, toxicity
 from vitrine.llm.common import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -220,12 +220,18 @@ def _op12_sql(k: int = 40, rounds: int = 5) -> str:
     FROM a JOIN p USING (r) JOIN c{rounds} c USING (cluster)"""
 
 
+def op13_private_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, every = privacy.span_text()
+    found = privacy.spans(_table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", *[F.col(f"pii_n_{k}").alias(f"n_{k}") for k in privacy.KINDS], F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_mix_sources": op1_mix_sources, "op2_quality_rules": op2_quality_rules, "op3_decontamination": op3_decontamination, "op4_licence_scan": op4_licence_scan, "op5_lm_scoring": op5_lm_scoring, "op6_toxicity": op6_toxicity,
         "op7_substring_dedup": op7_substring_dedup, "op8_token_counts": op8_token_counts,
         "op9_line_dedup": op9_line_dedup, "op10_jaccard_join": op10_jaccard_join,
-        "op11_importance_resampling": op11_importance_resampling, "op12_centroid_clustering": op12_centroid_clustering, "pipeline": pipeline,
+        "op11_importance_resampling": op11_importance_resampling, "op12_centroid_clustering": op12_centroid_clustering, "op13_private_terms": op13_private_terms, "pipeline": pipeline,
     }
 
 
