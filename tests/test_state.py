@@ -101,17 +101,46 @@ def test_streams_go_on_where_they_ended(spark, tmp_path):
     assert intake.available_now(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/none*"), "e", "append", f"{tmp_path}/e").count() == 0
 
 
-def test_cooldown_by_brute_force(spark):
+def passed(times, cooldown):
+    out = []
+    for t in sorted(set(times)):
+        if not out or t >= out[-1] + cooldown:
+            out.append(t)
+    return out
+
+
+def test_cooldown_by_brute_force(spark, monkeypatch):
+    """Keys with many times, few, one and none; a null key; repeated times; gaps of many cells and blocks of cells."""
     rnd = random.Random(3)
-    events = [(k, float(t)) for k in "ab" for t in sorted(rnd.sample(range(10_000), 400))]
-    want = []
-    for key in "ab":
-        last = None
-        for k, t in events:
-            if k == key and (last is None or t - last >= 37):
-                want.append((k, t))
-                last = t
-    assert sorted(map(tuple, W.with_cooldown(spark.createDataFrame(events, "k string, at double"), "k", "at", 37).collect())) == want
+    monkeypatch.setattr(W, "CELLS", 4)
+    events = [("a", float(t)) for t in rnd.sample(range(10_000), 400)] + [("b", t / 8) for t in rnd.sample(range(2_000), 300)] + [("c", 5.0)] * 3 + [(None, float(x)) for x in (-90, -53, 0, 36, 37, 5_000_000)] + [("d", None), ("a", None)]
+    found = W.with_cooldown(spark.createDataFrame(events, "k string, at double"), "k", "at", 37)
+    want = [(k, t) for k in ("a", "b", "c", None) for t in passed([t for x, t in events if x == k and t is not None], 37)]
+    key = lambda r: (r[0] or "", r[1])
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(want, key=key) and found.columns == ["k", "seconds"]
+    every = W.with_cooldown(spark.createDataFrame(events, "k string, at double"), "k", "at", 0)
+    assert every.count() == len({e for e in events if e[1] is not None})
+    assert W.with_cooldown(spark.createDataFrame([], "k string, at double"), "k", "at", 37).collect() == []
+
+
+def test_cooldown_of_one_key_spreads_over_tasks(spark, monkeypatch):
+    rnd = random.Random(4)
+    times = [rnd.randrange(400_000) / 4 for _ in range(20_000)]
+    events = spark.createDataFrame([("k", t) for t in times], "k string, at double").repartition(4)
+    assert sorted(r.seconds for r in W.with_cooldown(events, "k", "at", 10).collect()) == passed(times, 10)
+    monkeypatch.setattr(W, "CELLS", 64)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    pointers = W.cooldown_pointers(spark.range(0, 4000, numPartitions=4).select(F.lit("k").alias("k"), F.col("id").cast("double").alias("t")), 10)
+    sizes = [r["count"] for r in pointers.groupBy(F.spark_partition_id()).count().collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 3990 and max(sizes) < 2000
+
+
+def test_running_totals_by_brute_force(spark):
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["a", "b", None]), i * 3, rnd.randrange(2)) for i in range(500)]
+    found = W.running_total(spark.createDataFrame(rows, "k string, at long, v long"), "k", "at", F.col("v"), "total", F.floor(F.col("at") / 50))
+    assert {r["at"]: r["total"] for r in found.collect()} == {at: sum(v for k, t, v in rows if k == key and t <= at) for key, at, _ in rows}
 
 
 def test_batches_jobs_reports_and_rejections(spark, tmp_path):

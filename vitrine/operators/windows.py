@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions.numbers import backoff_minutes, is_disabled
+from vitrine.session import stored
 
 
 def latest_per(rows: DataFrame, keys: list[str], order: str = "id") -> DataFrame:
@@ -116,34 +115,70 @@ def changes(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFra
     return rows.withColumn("__p", F.lag(value).over(w)).withColumn("__n", F.row_number().over(w)).where((F.col("__n") == 1) | ~F.col(value).eqNullSafe(F.col("__p"))).drop("__p", "__n")
 
 
-def with_cooldown(events: DataFrame, key: str, seconds: str, cooldown: float) -> DataFrame:
-    """Events of each key that are let through: the first, then the first after ``cooldown`` seconds from the last let through.
+#: Cells of one block: what a window runs over at most when it looks for the next cell that holds anything.
+CELLS = 1024
+
+
+def running_total(rows: DataFrame, key: str, at: str, value: Column, name: str, cell: Column) -> DataFrame:
+    """``rows`` with the sum of ``value`` up to and with their ``at`` as column ``name``.
 
-    Which event passes depends on those before it, so each key's ordered times are stepped through once, by a
-    binary search from one that passes to the next; the array of a key holds its times, not its rows. Keys with more
-    events than an array holds go through the streaming form.
+    ``cell`` numbers stretches of ``at`` in its order. Sums run within the cells of a key, and then over the cells' totals, so a
+    key with very many rows does not meet in one task.
     """
+    celled = rows.withColumn("__cell", cell)
+    totals = celled.groupBy(key, "__cell").agg(F.sum(value).alias("__total"))
+    before = Window.partitionBy(key).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(F.col(key).alias("__k"), F.col("__cell").alias("__c"), F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__before"))
+    inside = F.sum(value).over(Window.partitionBy(key, "__cell").orderBy(at))
+    joined = celled.withColumn(name, inside).join(offsets, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__cell") == F.col("__c")))
+    return joined.withColumn(name, F.col(name) + F.col("__before")).select(*rows.columns, name)
 
-    @F.pandas_udf("array<double>")
-    def passing(times: pd.Series) -> pd.Series:
-        def step(t: np.ndarray) -> list[float]:
-            out, at = [], 0
-            while at < len(t):
-                out.append(float(t[at]))
-                at = max(at + 1, int(np.searchsorted(t, t[at] + cooldown)))
-            return out
 
-        return times.map(step)
+def cooldown_pointers(times: DataFrame, cooldown: float) -> DataFrame:
+    """(k, t, n): for each distinct time t of a key the first one n at or after t + ``cooldown``, where there is one.
+
+    Times lie in cells as long as the cooldown. The next one is looked for in the cell of t + cooldown, then among the cells after
+    it, block by block; no window runs over a whole key's times.
+    """
+    probe = F.col("t") + cooldown
+    cell = lambda c: F.floor(c / cooldown)
+    events = times.select("k", cell(F.col("t")).alias("c"), "t", F.lit(None).cast("double").alias("asks"))
+    probes = times.select("k", cell(probe).alias("c"), probe.alias("t"), F.col("t").alias("asks"))
+    both = events.unionAll(probes)
+    is_event = F.col("asks").isNull()
+    onwards = Window.partitionBy("k", "c").orderBy("t", is_event.cast("int")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    here = both.withColumn("here", F.min(F.when(is_event, F.col("t"))).over(onwards)).where(~is_event).select("k", "c", F.col("asks").alias("t"), "here")
+    cells = both.groupBy("k", "c").agg(F.min(F.when(is_event, F.col("t"))).alias("first")).withColumn("block", F.floor(F.col("c") / CELLS))
+    after = lambda *keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
+    later = cells.groupBy("k", "block").agg(F.min("first").alias("first")).withColumn("later", F.min("first").over(after("k", order="block"))).select("k", "block", "later")
+    following = cells.withColumn("soon", F.min("first").over(after("k", "block", order="c"))).join(later, ["k", "block"]).select("k", "c", F.coalesce("soon", "later").alias("follows"))
+    return here.join(following, ["k", "c"]).select("k", "t", F.coalesce("here", "follows").alias("n")).where("n IS NOT NULL")
 
-    times = events.groupBy(key).agg(F.array_sort(F.collect_set(F.col(seconds).cast("double"))).alias("__t"))
-    return times.select(key, F.explode(passing("__t")).alias("seconds"))
+
+def with_cooldown(events: DataFrame, key: str, seconds: str, cooldown: float) -> DataFrame:
+    """(key, seconds): the distinct times of each key that are let through: the first, then the first at or after ``cooldown`` seconds from the last let through.
+
+    Which time passes depends on those before it, so every time points to the one that would pass next, and the pointers are
+    doubled: after step k each reaches 2^k further, and those reached from the first times are marked. The steps are joins on (key, time), so one
+    key spreads over all tasks; their number is the logarithm of the longest chain. A null key is a key of its own; null times never pass.
+    """
+    named = F.struct(F.col(key).alias("key"))
+    times = stored(events.where(F.col(seconds).isNotNull()).select(named.alias("k"), F.col(seconds).cast("double").alias("t")).distinct(), "times")
+    reached = times.groupBy("k").agg(F.min("t").alias("t")) if cooldown > 0 else times
+    pointers = stored(cooldown_pointers(times, float(cooldown)), "pointers") if cooldown > 0 else times.where("false").withColumn("n", F.col("t"))
+    while not pointers.isEmpty():
+        step = pointers.select("k", F.col("t").alias("at"), "n")
+        jumped = reached.join(step.withColumnRenamed("at", "t"), ["k", "t"]).select("k", F.col("n").alias("t"))
+        reached = stored(reached.unionByName(jumped), "reached")
+        further = step.withColumnRenamed("n", "t").join(pointers, ["k", "t"]).select("k", F.col("at").alias("t"), "n")
+        pointers = stored(further, "pointers")
+    return reached.select(F.col("k.key").alias(key), F.col("t").alias("seconds"))
 
 
 def queue_alerts(checks: DataFrame, key: str, threshold: int = 180, cooldown: int = 900) -> DataFrame:
     """Alerts of health checks (key, at seconds, oldest_waiting seconds or null): waiting over the threshold, once a cooldown; draining the queue ends the cooldown."""
-    w = Window.partitionBy(key).orderBy("at")
-    spell = F.sum(F.col("oldest_waiting").isNull().cast("int")).over(w)
-    stuck = checks.withColumn("spell", spell).where(F.col("oldest_waiting").isNotNull() & (F.col("at") - F.col("oldest_waiting") >= threshold))
+    drained = F.col("oldest_waiting").isNull().cast("long")
+    stuck = running_total(checks, key, "at", drained, "spell", F.floor(F.col("at") / (CELLS * cooldown))).where(F.col("oldest_waiting").isNotNull() & (F.col("at") - F.col("oldest_waiting") >= threshold))
     passed = with_cooldown(stuck.select(F.struct(key, "spell").alias("k"), "at"), "k", "at", cooldown)
     return passed.select(f"k.{key}", F.col("seconds").cast("long").alias("at"))
 

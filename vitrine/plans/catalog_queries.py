@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +11,11 @@ from vitrine.functions import text as T
 from vitrine.operators import catalog as C
 from vitrine.operators import merge as M
 from vitrine.operators import search as S
+from vitrine.operators import text_index as I
 from vitrine.operators import windows as W
 from vitrine.plans.binding import bound, with_bound
 from vitrine.registry import query
-from vitrine.session import table
+from vitrine.session import shared_dir, table
 
 VISIBLE = "status = 'published' AND is_active"
 
@@ -75,6 +78,35 @@ query("catalog_code_search", with_bound(f"""
       OR EXISTS (SELECT 1 FROM variants v JOIN attribute_values a ON a.product_variant_id = v.id WHERE v.product_id = p.id AND contains(lower(a.value), 'sku-12')))""", *_F))(_filter(C.CatalogQuery(search="SKU-12")))
 
 
+_TERMS = ["#3", "SKU-12", "Ring", "ga", "r", "8 GB", "l b", "%", "no such thing", ""]
+_LINES = """lines AS (SELECT id AS owner, unnest([title, model, description]) AS text FROM products UNION ALL SELECT p.id, b.name FROM products p JOIN brands b ON b.id = p.brand_id UNION ALL SELECT product_id, unnest([sku, mpn, gtin]) FROM variants
+      UNION ALL SELECT v.product_id, a.value FROM attribute_values a JOIN variants v ON v.id = a.product_variant_id)"""
+
+
+@query("search_indexed", with_bound(f""", {_LINES}
+    SELECT DISTINCT term, owner AS id FROM lines JOIN (VALUES {", ".join(f"('{t}')" for t in _TERMS)}) t(term) ON contains(lower(text), lower(term))""", *_F))
+def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products that the catalogue's search finds for terms of any length, by the gram index."""
+    products, brands, _, variants, values, _ = _all(spark, sf_dir, *_F)
+    index = I.TextIndex(spark, shared_dir(spark)).add(I.catalog_lines(products, brands, variants, values))
+    found = [index.containing(t).select(F.lit(t).alias("term"), F.col("owner").alias("id")) for t in _TERMS]
+    return reduce(DataFrame.unionByName, found)
+
+
+_SENTENCES = {"ring sku-1": ["ring", "sku-1"], "Memory N 4": ["Memory", "N", "4"], "asia size": ["asia", "size"], "none at all": ["none", "at", "all"]}
+
+
+@query("search_all_indexed", with_bound(f""", {_LINES}, every AS (SELECT * FROM lines UNION ALL SELECT p.id, c.name FROM products p JOIN categories c ON c.id = p.category_id UNION ALL SELECT product_id, unnest([name, color]) FROM variants
+      UNION ALL SELECT v.product_id, unnest([d.key, d.label]) FROM attribute_values a JOIN attribute_definitions d ON d.id = a.attribute_definition_id JOIN variants v ON v.id = a.product_variant_id
+      UNION ALL SELECT a.product_id, unnest([a.value, d.key, d.label]) FROM attribute_values a JOIN attribute_definitions d ON d.id = a.attribute_definition_id WHERE a.product_id IS NOT NULL),
+    terms AS (SELECT query, unnest(terms) AS term, len(terms) AS n FROM (VALUES {", ".join(f"('{q}', {t})" for q, t in _SENTENCES.items())}) t(query, terms))
+    SELECT query, owner AS id FROM (SELECT DISTINCT query, term, n, owner FROM every JOIN terms ON contains(lower(text), lower(term))) GROUP BY query, owner, n HAVING count(*) = n""", *_F))
+def search_all_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products that have every term of a query in one of the fields that the chat bot searches, by the gram index."""
+    index = I.TextIndex(spark, shared_dir(spark)).add(I.chat_lines(*_all(spark, sf_dir, *_F)))
+    return reduce(DataFrame.unionByName, [index.with_all(terms).select(F.lit(q).alias("query"), F.col("owner").alias("id")) for q, terms in _SENTENCES.items()])
+
+
 @query("catalog_filter_any_variant", with_bound("""
     SELECT id FROM products p WHERE EXISTS (SELECT 1 FROM variants v WHERE v.product_id = p.id AND contains(lower(color), 'a')) AND EXISTS (SELECT 1 FROM variants v WHERE v.product_id = p.id AND price >= 40000)
       AND EXISTS (SELECT 1 FROM variants v JOIN attribute_values a ON a.product_variant_id = v.id WHERE v.product_id = p.id AND a.attribute_definition_id = 1 AND numeric_value >= 45) ORDER BY id DESC LIMIT 10""", *_F))

@@ -42,6 +42,13 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: cuts its lineage and survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def clear_shared(spark: SparkSession) -> int:
     """Delete the folders that :func:`shared_dir` gave this application, once nothing reads the tables staged there; how many there were."""
     made = _made.pop(spark.sparkContext.applicationId, [])
