@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from vitrine.operators import catalog, merge, usage
@@ -109,10 +110,12 @@ def passed(times, cooldown):
     return out
 
 
-def test_cooldown_by_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("in_array", [0, 200, 10_000])
+def test_cooldown_by_brute_force(spark, monkeypatch, in_array):
     """Keys with many times, few, one and none; a null key; repeated times; gaps of many cells and blocks of cells."""
     rnd = random.Random(3)
     monkeypatch.setattr(W, "CELLS", 4)
+    monkeypatch.setattr(W, "IN_ARRAY", in_array)
     events = [("a", float(t)) for t in rnd.sample(range(10_000), 400)] + [("b", t / 8) for t in rnd.sample(range(2_000), 300)] + [("c", 5.0)] * 3 + [(None, float(x)) for x in (-90, -53, 0, 36, 37, 5_000_000)] + [("d", None), ("a", None)]
     found = W.with_cooldown(spark.createDataFrame(events, "k string, at double"), "k", "at", 37)
     want = [(k, t) for k in ("a", "b", "c", None) for t in passed([t for x, t in events if x == k and t is not None], 37)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,24 +157,60 @@ def cooldown_pointers(times: DataFrame, cooldown: float) -> DataFrame:
     return here.join(following, ["k", "c"]).select("k", "t", F.coalesce("here", "follows").alias("n")).where("n IS NOT NULL")
 
 
+#: Distinct times of a key that are stepped through in one array; keys with more are spread over tasks.
+IN_ARRAY = 10_000
+
+
 def with_cooldown(events: DataFrame, key: str, seconds: str, cooldown: float) -> DataFrame:
     """(key, seconds): the distinct times of each key that are let through: the first, then the first at or after ``cooldown`` seconds from the last let through.
 
-    Which time passes depends on those before it, so every time points to the one that would pass next, and the pointers are
-    doubled: after step k each reaches 2^k further, and those reached from the first times are marked. The steps are joins on (key, time), so one
-    key spreads over all tasks; their number is the logarithm of the longest chain. A null key is a key of its own; null times never pass.
+    Which time passes depends on those before it. A key with up to ``IN_ARRAY`` distinct times is stepped through in an array, by a
+    binary search from one that passes to the next. The times of larger keys go through :func:`marked_by_doubling`. A null key is a key of its
+    own; null times never pass.
     """
     named = F.struct(F.col(key).alias("key"))
     times = stored(events.where(F.col(seconds).isNotNull()).select(named.alias("k"), F.col(seconds).cast("double").alias("t")).distinct(), "times")
-    reached = times.groupBy("k").agg(F.min("t").alias("t")) if cooldown > 0 else times
-    pointers = stored(cooldown_pointers(times, float(cooldown)), "pointers") if cooldown > 0 else times.where("false").withColumn("n", F.col("t"))
+    out = lambda rows: rows.select(F.col("k.key").alias(key), F.col("t").alias("seconds"))
+    if cooldown <= 0:
+        return out(times)
+    large = stored(times.groupBy("k").count().where(F.col("count") > IN_ARRAY).select("k"), "large")
+    if large.isEmpty():
+        return out(_stepped(times, cooldown))
+    small, spread = times.join(large, "k", "left_anti"), stored(times.join(large, "k", "left_semi"), "spread")
+    return out(_stepped(small, cooldown).unionByName(marked_by_doubling(spread, cooldown)))
+
+
+def _stepped(times: DataFrame, cooldown: float) -> DataFrame:
+    @F.pandas_udf("array<double>")
+    def passing(arrays: pd.Series) -> pd.Series:
+        def step(t: np.ndarray) -> list[float]:
+            out, at = [], 0
+            while at < len(t):
+                out.append(float(t[at]))
+                at = max(at + 1, int(np.searchsorted(t, t[at] + cooldown)))
+            return out
+
+        return arrays.map(step)
+
+    return times.groupBy("k").agg(F.array_sort(F.collect_list("t")).alias("t")).select("k", F.explode(passing("t")).alias("t"))
+
+
+def marked_by_doubling(times: DataFrame, cooldown: float) -> DataFrame:
+    """(k, t): the times that pass, of distinct ones.
+
+    Every time points to the one that would pass next, and the pointers are doubled: after step i each reaches 2^i further, and the times
+    reached from the first one of a key are marked. The steps are joins on (k, t), so one key spreads over all tasks; their number is
+    the logarithm of the longest chain.
+    """
+    reached = times.groupBy("k").agg(F.min("t").alias("t"))
+    pointers = stored(cooldown_pointers(times, cooldown), "pointers")
     while not pointers.isEmpty():
         step = pointers.select("k", F.col("t").alias("at"), "n")
         jumped = reached.join(step.withColumnRenamed("at", "t"), ["k", "t"]).select("k", F.col("n").alias("t"))
         reached = stored(reached.unionByName(jumped), "reached")
         further = step.withColumnRenamed("n", "t").join(pointers, ["k", "t"]).select("k", F.col("at").alias("t"), "n")
         pointers = stored(further, "pointers")
-    return reached.select(F.col("k.key").alias(key), F.col("t").alias("seconds"))
+    return reached
 
 
 def queue_alerts(checks: DataFrame, key: str, threshold: int = 180, cooldown: int = 900) -> DataFrame:

@@ -13,7 +13,7 @@ from vitrine.plans.binding import bound, with_bound
 from vitrine.registry import query
 from vitrine.session import shared_dir, table
 from vitrine.sources import readers, sinks
-from vitrine.streaming import intake, state
+from vitrine.streaming import intake, state, timers
 
 # ---- sources and writers -----------------------------------------------------------------------
 
@@ -117,9 +117,12 @@ def stream_throttled_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intake.available_now(state.throttled(edits), "edits", "append")
 
 
-@query("stream_requests_once", """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id * 7 AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+_REQUESTS_ONCE = """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id * 7 AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
     r AS (SELECT key, n, t, t AS last FROM e WHERE n = 1 UNION ALL SELECT e.key, e.n, e.t, CASE WHEN e.t - r.last >= 720 THEN e.t ELSE r.last END FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1)
-    SELECT key, t AS at FROM r WHERE t = last""")
+    SELECT key, t AS at FROM r WHERE t = last"""
+
+
+@query("stream_requests_once", _REQUESTS_ONCE)
 def stream_requests_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of each user, of which a flag lets one pass in twelve minutes."""
     requests = intake.events_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("key"), (F.col("event_id") * 7).alias("at"))
@@ -133,3 +136,34 @@ def stream_conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of a chat for each user; the number of turns starts over when the model changes."""
     events = intake.events_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("chat_id"), F.col("event_id").alias("id"), F.col("event_type").alias("model"))
     return intake.available_now(state.conversation_models(events), "turns", "append")
+
+
+@query("stream_requests_expiring", _REQUESTS_ONCE)
+def stream_requests_expiring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same requests, by flags that timers take down."""
+    requests = intake.events_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("key"), (F.col("event_id") * 7).alias("at"))
+    return timers.worked_through(timers.requests_once(requests), "requests")
+
+
+@query("stream_results_kept", "SELECT user_id || '-' || event_type AS idempotency_key, min(event_id) AS id, count(*) AS n, count(*) - 1 AS repeated FROM events GROUP BY ALL")
+def stream_results_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations of each user and kind run once while the result is kept."""
+    rows = intake.events_stream(spark, sf_dir).select(F.concat_ws("-", F.col("user_id").cast("string"), "event_type").alias("idempotency_key"), F.col("event_id").alias("id"), F.lit("done").alias("result"))
+    done = timers.worked_through(timers.executed_once(rows), "kept", timers=False)
+    return done.groupBy("idempotency_key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.count_if("repeated").alias("repeated"))
+
+
+@query("stream_leases", """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS id, event_id * 3 AS t, least(10 + (event_id * 37) % 900, 600) AS s, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+    r AS (SELECT key, id, n, t AS asked_at, t AS granted_at, t + s AS released_at FROM e WHERE n = 1 UNION ALL
+      SELECT e.key, e.id, e.n, e.t, greatest(e.t, r.released_at), greatest(e.t, r.released_at) + e.s FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1)
+    SELECT key, id, asked_at, granted_at, released_at, granted_at > asked_at AS busy FROM r""")
+def stream_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event is a job of its user, who has one at a time; a last job of another user, days later, lets all leases end."""
+    jobs = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), (F.col("event_id") * 3).alias("at"), (10 + F.col("event_id") * 37 % 900).alias("seconds"))
+    folder, out = shared_dir(spark), shared_dir(spark)
+    stream = lambda: timers.leases(spark.readStream.schema(jobs.schema).parquet(folder), 600)
+    jobs.write.parquet(folder)
+    timers.worked_through(stream(), "leases", out)
+    last = jobs.agg(F.lit("last").alias("key"), F.lit(-1).cast("long").alias("id"), (F.max("at") + F.sum("seconds")).alias("at"), F.lit(0).cast("long").alias("seconds"))
+    last.write.mode("append").parquet(folder)
+    return timers.worked_through(stream(), "leases", out).where("key <> 'last'")
