@@ -23,10 +23,10 @@ shuffle; units whose digest is unique end there. The join that marks later occur
 equi-join whose hot partitions adaptive execution splits. Texts are joined once to the places where
 runs end, for the words around them.
 
-Cases: null and empty texts have no units; documents without a doc_id are neither searched nor cut; a
-passage within one document that repeats there is a repeat too, its first occurrence staying whole where the two
-overlap; equal documents keep the first whole; repeated rows (same doc_id) share their places, so
-one of them is kept only as a whole with the other; an empty table gives an empty result; other
+Cases: null and empty texts have no units; different texts of one doc_id, and texts without one, are documents of their own (see
+:func:`numbered`), those without an id coming last; a passage within one document that repeats there is a repeat too, its first occurrence staying whole where the two
+overlap; equal documents keep the first whole; rows equal in id and text
+share their places, so one of them is kept only as a whole with the other; an empty table gives an empty result; other
 columns are not read by ``repeats`` and pass through ``without_repeats``.
 """
 
@@ -141,11 +141,8 @@ def surroundings(documents: DataFrame, places: DataFrame, reach: int) -> DataFra
     return found
 
 
-def repeats(documents: DataFrame, min_words: int = 30, unit: int = 20, min_line_words: int | None = None) -> DataFrame:
-    """(doc_id, start, end, n_words, first_doc): every repeated passage to remove, in code point offsets.
-
-    ``first_doc`` is the lowest document that keeps one of the passage's units. ``min_line_words`` is ``min_words`` unless given.
-    """
+def _repeats(documents: DataFrame, min_words: int = 30, unit: int = 20, min_line_words: int | None = None) -> DataFrame:
+    """The passages of documents whose ``doc_id`` is never null and never that of two different texts."""
     unit = min(unit, min_words)
     reach = min_words - unit + 1
     table = unit_table(documents, unit, reach, max(1, min_line_words or min_words))
@@ -187,9 +184,48 @@ def repeats(documents: DataFrame, min_words: int = 30, unit: int = 20, min_line_
     return passages.where((F.col("n_words") >= min_words) | F.col("line")).select("doc_id", "start", "end", "n_words", "first_doc")
 
 
+def numbered(documents: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(documents, None) as they are if every row has an id and no id has two different texts; else the documents with numbers for ids, and (doc_id, text_hash, number).
+
+    Numbers follow the ids, those of one id the texts' digests, and rows without an id come last. They come from a range sort, so no
+    id has to fit into one task; the texts are joined to their numbers once.
+    """
+    digest = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
+    texts = staged(documents.select(F.col("doc_id").cast("long").alias("doc_id"), digest).distinct(), "text_digests")
+    if texts.where("doc_id IS NULL").isEmpty() and texts.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return documents, None
+    order = [F.asc_nulls_last("doc_id"), F.col("text_hash")]
+    numbers = staged(texts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("number", F.monotonically_increasing_id()), "text_numbers")
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("n.doc_id")) & (F.xxhash64(F.coalesce("d.text", F.lit(""))) == F.col("n.text_hash"))
+    joined = documents.alias("d").join(numbers.alias("n"), same)
+    return staged(joined.select(*[F.col("n.number").alias("doc_id") if c == "doc_id" else F.col(f"d.`{c}`") for c in documents.columns], F.col("n.number").alias("__number"), F.col("d.doc_id").alias("__doc_id")), "numbered"), numbers
+
+
+def repeats(documents: DataFrame, min_words: int = 30, unit: int = 20, min_line_words: int | None = None) -> DataFrame:
+    """(doc_id, start, end, n_words, first_doc): every repeated passage to remove, in code point offsets.
+
+    ``first_doc`` is the lowest document that keeps one of the passage's units. ``min_line_words`` is ``min_words`` unless given.
+    Different texts under one id are different documents, each with its own passages; so are those without an id, which come
+    after all others. Rows equal in id and text are one document.
+    """
+    known, numbers = numbered(documents)
+    found = _repeats(known, min_words, unit, min_line_words)
+    if numbers is None:
+        return found
+    name = lambda key: numbers.select(F.col("number").alias(key), F.col("doc_id").alias(f"__{key}"))
+    named = found.join(name("doc_id"), "doc_id").join(name("first_doc"), "first_doc")
+    return named.select(F.col("__doc_id").alias("doc_id"), "start", "end", "n_words", F.col("__first_doc").alias("first_doc"))
+
+
 def without_repeats(documents: DataFrame, **options) -> DataFrame:
     """``documents`` with the repeated passages cut out of ``text``."""
-    spans = repeats(documents, **options).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans"))
+    known, numbers = numbered(documents)
+    cut = _without(known, _repeats(known, **options))
+    return cut if numbers is None else cut.withColumn("doc_id", F.col("__doc_id")).select(*documents.columns)
+
+
+def _without(documents: DataFrame, passages: DataFrame) -> DataFrame:
+    spans = passages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans"))
     joined = documents.join(spans, documents["doc_id"] == spans["doc_id"], "left").drop(spans["doc_id"])
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     rest = lambda at: F.substring(F.col("text"), at + 1, F.length("text"))
