@@ -283,12 +283,13 @@ def test_units_by_brute_force(spark, seed):
         if rnd.random() < 0.4:
             lines.insert(rnd.randrange(len(lines) + 1), f"{word()} {rnd.choice(passages)} {word()}")
         texts[doc] = rnd.choice(["\n", "\n\n", " \n\t"]).join(x.upper() if rnd.random() < 0.2 else x for x in lines)
-    texts[40] = texts[7]
-    rows = [*texts.items(), (40, texts[7]), (None, texts[7]), (50, None), (51, "")]
+    last = 10**6  # a row without an id comes after all others
+    texts[40] = texts[last] = texts[7]
+    rows = [*((None if i == last else i, t) for i, t in texts.items()), (40, texts[7]), (50, None), (51, "")]
     unit, least, line_words = 4, 6, 3
     found = substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string"), min_words=least, unit=unit, min_line_words=line_words).collect()
     gone = defaultdict(set)
-    for r in found:
+    for r in ({**r.asDict(), "doc_id": last if r.doc_id is None else r.doc_id} for r in found):
         before, inside = texts[r["doc_id"]][: r["start"]].split(), texts[r["doc_id"]][r["start"] : r["end"]].split()
         assert len(inside) == r["n_words"] and r["first_doc"] <= r["doc_id"]
         gone[r["doc_id"]] |= set(range(len(before), len(before) + len(inside)))
