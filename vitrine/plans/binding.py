@@ -66,9 +66,11 @@ BOUND: dict[str, str] = {
                CASE WHEN event_type = 'error' AND user_id % 3 = 0 THEN CAST(NULL AS VARCHAR(99)) ELSE concat('{{"prompt_tokens":', CAST(user_id * 10 AS VARCHAR(20)), ',"cache_read_input_tokens":', CAST(event_id % 50 AS VARCHAR(20)), ',"output_tokens":', CAST(event_id % 7 AS VARCHAR(20)), '}}') END AS usage,
                concat('prompt ', CAST(event_id % 4 AS VARCHAR(20))) AS prompt, ts AS created_at FROM {events}""",
     "ai_models": """
-        SELECT 'openai' AS provider, 'view' AS model, CAST(2.5 AS DECIMAL(12,6)) AS input_per_million, CAST(0.25 AS DECIMAL(12,6)) AS cached_input_per_million, CAST(15 AS DECIMAL(12,6)) AS output_per_million
-        UNION ALL SELECT 'openai', 'click', CAST(0.5 AS DECIMAL(12,6)), CAST(0.05 AS DECIMAL(12,6)), CAST(1.5 AS DECIMAL(12,6)) UNION ALL SELECT 'other', 'purchase', CAST(3 AS DECIMAL(12,6)), CAST(0.3 AS DECIMAL(12,6)), CAST(9 AS DECIMAL(12,6))
-        UNION ALL SELECT 'other', 'error', CAST(1 AS DECIMAL(12,6)), CAST(NULL AS DECIMAL(12,6)), CAST(2 AS DECIMAL(12,6))""",
+        SELECT CASE WHEN event_type IN ('view', 'click') THEN 'openai' ELSE 'other' END AS provider, event_type AS model,
+               CAST(CASE event_type WHEN 'view' THEN 2.5 WHEN 'click' THEN 0.5 WHEN 'purchase' THEN 3 ELSE 1 END AS DECIMAL(12,6)) AS input_per_million,
+               CAST(CASE event_type WHEN 'view' THEN 0.25 WHEN 'click' THEN 0.05 WHEN 'purchase' THEN 0.3 END AS DECIMAL(12,6)) AS cached_input_per_million,
+               CAST(CASE event_type WHEN 'view' THEN 15 WHEN 'click' THEN 1.5 WHEN 'purchase' THEN 9 ELSE 2 END AS DECIMAL(12,6)) AS output_per_million
+        FROM (SELECT DISTINCT event_type FROM {events} WHERE event_type IN ('view', 'click', 'purchase', 'error')) kinds""",
     "attempts": """
         SELECT event_id AS id, concat('s', CAST(user_id AS VARCHAR(20)), '.shop.example') AS domain, CASE WHEN event_type IN ('view', 'click') THEN 'extracted' WHEN event_type = 'purchase' THEN 'accepted' WHEN event_type = 'error' THEN 'failed' ELSE 'none' END AS outcome,
                CAST(event_id % 6 AS BIGINT) AS images, CASE WHEN event_type <> 'error' THEN CAST(NULL AS VARCHAR(30)) WHEN event_id % 3 = 0 THEN 'access_gate' WHEN event_id % 3 = 1 THEN 'browser_timeout' ELSE 'recipe_mismatch' END AS kind, ts AS at FROM {events}""",

@@ -332,10 +332,13 @@ def page_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", U.is_html_body(pick(_BODIES), pick(_KINDS)).alias("is_html"))
 
 
-@query("page_gallery", """
+PAGE_GALLERY_SQL = """
     WITH p AS (SELECT DISTINCT url, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS root, range(length(url) % 3 + 1) AS n, length(url) % 2 = 0 AS meta, length(url) % 5 = 0 AS sets FROM pages),
     l AS (SELECT url, root, list_transform(n, lambda i: '/z' || i || '.jpg') || list_transform(n, lambda i: '/s' || i || '.jpg') || CASE WHEN meta THEN ['/og.webp'] ELSE [] END || ['/o.jpg'] || CASE WHEN sets THEN ['/t2.jpg', '/t1.jpg'] ELSE [] END AS images FROM p)
-    SELECT url, CAST(unnest(range(1, len(images) + 1)) AS INT) AS pos, root || unnest(images) AS image FROM l""")
+    SELECT url, CAST(unnest(range(1, len(images) + 1)) AS INT) AS pos, root || unnest(images) AS image FROM l"""
+
+
+@query("page_gallery", PAGE_GALLERY_SQL)
 def page_gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pictures of every page before which stands a gallery of one to three pictures, some with a meta tag or a srcset, and pictures outside it; large pictures come first."""
     k = F.length("url")

@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from vitrine.plans import catalog_queries, change_queries, source_queries, text_queries, usage_queries  # noqa: F401
+    from vitrine.plans import catalog_queries, change_queries, reference_queries, source_queries, text_queries, usage_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
