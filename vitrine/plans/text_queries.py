@@ -87,12 +87,12 @@ def identity_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", T.identity_supported(tokens, F.concat(F.lit("https://shop.example/"), tail)).alias("supported"))
 
 
-@query("image_search_relevance", """SELECT p_partkey, len(list_filter(list_distinct(string_split(p_name, ' ')), lambda t: contains(' ' || p_name || ' vs ' || p_type || ' ', t))) * 10 - 30 AS score, 1 AS n_queries FROM part WHERE regexp_full_match(p_name, '[a-z ]+')""".replace("contains(' ' || p_name || ' vs ' || p_type || ' ', t)", "length(t) >= 2"))
+@query("image_search_relevance", """SELECT p_partkey, len(list_filter(list_distinct(string_split(p_name, ' ')), lambda t: contains(' ' || p_name || ' vs ' || p_type || ' ', t))) * 10 - 30 AS score, 1 AS n_queries FROM part""".replace("contains(' ' || p_name || ' vs ' || p_type || ' ', t)", "length(t) >= 2"))
 def image_search_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.col("p_name")
     tokens = T.identity_tokens(name, least=2, generic=T.IMAGE_STOP_WORDS)
     title = F.concat(name, F.lit(" vs "), F.lower("p_type"))
-    return table(spark, sf_dir, "part").where(name.rlike("^[a-z ]+$")).select("p_partkey", T.relevance_score(title, tokens).alias("score"), F.size(T.image_queries(F.lit(""), F.upper(name), name)).alias("n_queries"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.relevance_score(title, tokens).alias("score"), F.size(T.image_queries(F.lit(""), F.upper(name), name)).alias("n_queries"))
 
 
 # ---- attributes --------------------------------------------------------------------------------
@@ -129,9 +129,9 @@ def normalized_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- cleaning, errors, captions ----------------------------------------------------------------
 
 
-@query("clean_texts", r"""SELECT page_id, length(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '**', ''), '__', ''), '`', ''), '###', ''), '##', ''), '[ \t]+', ' ', 'g'), '(?:\r\n|\n|\r){3,}', chr(10) || chr(10), 'g'), ' ')) AS n FROM pages WHERE NOT regexp_matches(html, '\[[^\]]+\]\([^)]+\)')""")
+@query("clean_texts", r"""SELECT page_id, length(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '**', ''), '__', ''), '`', ''), '###', ''), '##', ''), '[ \t]+', ' ', 'g'), '(?:\r\n|\n|\r){3,}', chr(10) || chr(10), 'g'), ' ')) AS n FROM pages""")
 def clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").where(~F.col("html").rlike(r"\[[^\]]+\]\([^)]+\)")).select("page_id", F.length(T.clean(F.col("html"))).cast("long").alias("n"))
+    return table(spark, sf_dir, "pages").select("page_id", F.length(T.clean(F.col("html"))).cast("long").alias("n"))
 
 
 #: Sentences, and whether they speak of the search.
@@ -141,20 +141,30 @@ _SAID = [
 ]
 
 
-@query("reasoning_texts", f"SELECT doc_id, {'[' + ', '.join(str(t).lower() for _, t in _SAID) + ']'}[doc_id % {len(_SAID)} + 1] AS reasoning FROM documents WHERE NOT regexp_matches(lower(text), 'match|found|source|search|mismatch|uncertaint|zdroj|nalezen|according|network|price|product|confirm|request|(^|[^a-zà-ÿ])ai([^a-zà-ÿ]|$)')")
+#: The same phrases as the engine's pattern, one by one, as they stand in a lower-case text with single blanks.
+_PHRASES = [
+    *(f"closest {a}{b}" for a in ("", "current ") for b in ("match", "product")), "family level match", "family-level match", "family match", "match for", "requested product", "user request", "search result", "search found", "product found", "exact sku",
+    "not confirmed", "could not confirm", "could not verify", "confidence score", "mismatch", "uncertaint", *(f"source{s} {v}" for s in ("", "s") for v in ("show", "indicate", "list")),
+    *(f"{o} {p} {v}" for o in ("official", "manufacturer", "retailer") for p in ("site", "page", "pages", "source", "sources") for v in ("confirm", "show", "list", "indicate")), "according to", "neural network",
+    *(f"price {i}{n}{w}" for i in ("", "is ") for n in ("", "not ") for w in ("available", "provided")), "по запрос", "ближайш", "найден", "совпаден", "источник", "не подтвержден", "уверенност", "несоответств", "за запит", "знайден", "джерел", "невідповід",
+    "cena není uvedena", "nalezen", "zdroj",
+]
+
+
+@query("reasoning_texts", f"""SELECT doc_id, len(list_filter([{', '.join(f"'{x}'" for x in _PHRASES)}], lambda x: contains(t, x))) > 0 OR regexp_matches(t, '(^|[^\\pL\\pN_])ai([^\\pL\\pN_]|$)') AS reasoning
+    FROM (SELECT doc_id, regexp_replace(lower(text || ' ' || said || '. ' || text), '[\\s\\pZ]+', ' ', 'g') AS t FROM documents JOIN (VALUES {', '.join(f"({k}, '{x}')" for k, (x, _) in enumerate(_SAID))}) s(k, said) ON k = doc_id % {len(_SAID)})""")
 def reasoning_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences on the search and harmless ones, within the documents' own texts."""
-    plain = table(spark, sf_dir, "documents").where(~F.lower("text").rlike("match|found|source|search|mismatch|uncertaint|zdroj|nalezen|according|network|price|product|confirm|request|(^|[^a-zà-ÿ])ai([^a-zà-ÿ]|$)"))
     said = F.element_at(F.array(*[F.lit(x) for x, _ in _SAID]), (F.col("doc_id") % len(_SAID) + 1).cast("int"))
-    return plain.select("doc_id", T.has_reasoning(F.concat(F.col("text"), F.lit(" "), said, F.lit(". "), F.col("text"))).alias("reasoning"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.has_reasoning(F.concat(F.col("text"), F.lit(" "), said, F.lit(". "), F.col("text"))).alias("reasoning"))
 
 
-@query("technical_descriptions", """SELECT p_partkey, p_name || '.' || CASE WHEN contains(lower(p_name), lower(p_brand)) THEN '' ELSE ' Model: ' || p_brand || '. Color: red.' END || ' Specifications: Size: ' || p_size || '; Type: ' || p_type || '.' AS description FROM part WHERE regexp_full_match(p_name, '[a-z ]+')""")
+@query("technical_descriptions", """SELECT p_partkey, p_name || '.' || CASE WHEN contains(lower(p_name), lower(p_brand)) THEN '' ELSE ' Model: ' || p_brand || '. Color: red.' END || ' Specifications: Size: ' || p_size || '; Type: ' || p_type || '.' AS description FROM part""")
 def technical_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = lambda key, name, value: F.struct(F.lit(key).alias("key"), F.lit(name).cast("string").alias("name"), value.alias("value"))
     specs = F.array(spec("size", "Size", F.col("p_size").cast("string")), spec("type", "Type", F.col("p_type")), spec("type", "Type", F.col("p_type")), spec("none", "None", F.lit(" ")))
     routed = T.routed_description(F.col("p_name"), F.col("p_brand"), F.lit("red"), specs, F.lit("Sources show the closest match"), F.lit(None).cast("string"))
-    return table(spark, sf_dir, "part").where(F.col("p_name").rlike("^[a-z ]+$")).select("p_partkey", routed["description"].alias("description"))
+    return table(spark, sf_dir, "part").select("p_partkey", routed["description"].alias("description"))
 
 
 @query("redact_errors", "SELECT doc_id, left(regexp_replace('key sk-' || doc_id || '_x ' || text, '(sk-[A-Za-z0-9_-]+)', '[redacted]', 'g'), 500) AS message FROM documents")
