@@ -1,17 +1,20 @@
-"""Queries over references, exclusions and polled readings."""
+"""Queries over references, exclusions, polled readings, requests and programs."""
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.operators import references as R
+from vitrine.operators import requests as Q
 from vitrine.operators.exclusions import Exclusions
 from vitrine.plans.change_queries import _BITS, _hashes
 from vitrine.plans.text_queries import PAGE_GALLERY_SQL, page_gallery
 from vitrine.registry import query
 from vitrine.session import folder_exists, shared_dir, table
-from vitrine.sources import polling
+from vitrine.sources import polling, readers
 from vitrine.streaming import intake
 
 # ---- polling -----------------------------------------------------------------------------------
@@ -117,3 +120,53 @@ def gallery_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, seen = R.with_diagnostics(
         page_gallery(spark, sf_dir), "galleries", candidates=F.count(F.lit(1)), pages=F.count_if(F.col("pos") == 1), meta_candidates=F.count_if(F.col("image").endswith(".webp")), longest=F.max("pos"))
     return seen.withColumn("kept", F.lit(rows.count()))
+
+
+# ---- requests ----------------------------------------------------------------------------------
+
+_REQUESTS = """r AS (SELECT p_partkey, repeat(p_name, p_size) AS search, list_transform(range(p_size + 2), lambda i: p_brand || i) AS brands, [repeat('x', CAST(p_partkey % 170 AS INT))] AS ram,
+      CASE p_partkey % 6 WHEN 0 THEN '-5' WHEN 1 THEN 'abc' WHEN 2 THEN '12.5' WHEN 3 THEN '' WHEN 4 THEN '1e3' END AS min_price, CASE p_partkey % 5 WHEN 0 THEN 'newest' WHEN 1 THEN 'price_asc' WHEN 2 THEN 'best' ELSE '' END AS sort,
+      CASE p_partkey % 7 WHEN 0 THEN '0' WHEN 1 THEN '2' WHEN 2 THEN '1.5' WHEN 3 THEN 'x' END AS page, CAST(p_partkey % 60 AS VARCHAR) AS per_page FROM part)"""
+
+
+@query("requests_judged", f"""WITH {_REQUESTS}, j AS (SELECT *, list_filter([
+      CASE WHEN length(search) > 120 THEN 'search: longer than 120' END, CASE WHEN len(brands) > 50 THEN 'brands: more than 50' END, CASE WHEN length(ram[1]) > 160 THEN 'attributes: item longer than 160' END,
+      CASE min_price WHEN 'abc' THEN 'min_price: not a number' WHEN '-5' THEN 'min_price: below 0' END, CASE WHEN sort = 'best' THEN 'sort: unknown' END,
+      CASE page WHEN '0' THEN 'page: below 1' WHEN '1.5' THEN 'page: not a whole number' WHEN 'x' THEN 'page: not a whole number' END, CASE WHEN p_partkey % 60 = 0 THEN 'per_page: below 1' WHEN p_partkey % 60 > 50 THEN 'per_page: above 50' END], lambda x: x IS NOT NULL) AS e FROM r)
+    SELECT p_partkey, array_to_string(e, '; ') AS errors, CASE WHEN len(e) = 0 THEN coalesce(nullif(sort, ''), 'newest') END AS sort, CASE WHEN len(e) = 0 THEN coalesce(CAST(page AS INT), 1) END AS page, CASE WHEN len(e) = 0 THEN len(brands) END AS n_brands,
+      concat_ws('&', CASE WHEN p_partkey % 170 > 0 THEN 'attributes.ram[]=' || ram[1] END, array_to_string(list_transform(brands, lambda b: 'brands[]=' || replace(b, '#', '%23')), '&'), CASE WHEN min_price <> '' THEN 'min_price=' || min_price END, CASE WHEN page IS NOT NULL THEN 'page=' || page END,
+        CASE WHEN per_page <> '12' THEN 'per_page=' || per_page END, 'search=' || replace(search, ' ', '+'), CASE WHEN sort NOT IN ('', 'newest') THEN 'sort=' || sort END) AS link FROM j""")
+def requests_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with long searches and lists, and numbers, orders and pages of all kinds."""
+    k, one = F.col("p_partkey"), lambda c: F.array(c.cast("string"))
+    price = F.when(k % 6 == 0, "-5").when(k % 6 == 1, "abc").when(k % 6 == 2, "12.5").when(k % 6 == 3, " ").when(k % 6 == 4, "1e3")
+    sort = F.when(k % 5 == 0, "newest").when(k % 5 == 1, "price_asc").when(k % 5 == 2, "best").otherwise("")
+    page = F.when(k % 7 == 0, "0").when(k % 7 == 1, "2").when(k % 7 == 2, "1.5").when(k % 7 == 3, "x")
+    brands = F.transform(F.sequence(F.lit(0), F.col("p_size") + 1), lambda i: F.concat("p_brand", i.cast("string")))
+    parameters = F.create_map(
+        F.lit("search"), one(F.repeat("p_name", F.col("p_size"))), F.lit("brands"), brands, F.lit("attributes.ram"), one(F.repeat(F.lit("x"), (k % 170).cast("int"))), F.lit("min_price"), one(price), F.lit("sort"), one(sort), F.lit("page"), one(page),
+        F.lit("per_page"), one(k % 60), F.lit("category"), F.array().cast("array<string>"))
+    judged = Q.judged(table(spark, sf_dir, "part").select("p_partkey", parameters.alias("parameters")))
+    return judged.select("p_partkey", F.array_join("errors", "; ").alias("errors"), "echo.sort", "echo.page", F.size("echo.brands").alias("n_brands"), "link")
+
+
+@query("seeded_regions", "SELECT r_name AS name, 'region ' || r_regionkey AS comment, false AS seeded FROM region UNION ALL SELECT * FROM (VALUES ('ARCTIC', 'seed', true), ('OCEANIA', NULL, true)) v")
+def seeded_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seed rows, of which those whose name is there already change nothing."""
+    kept = table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.concat(F.lit("region "), F.col("r_regionkey").cast("string")).alias("comment"), F.lit(False).alias("seeded"))
+    seeds = readers.literal_rows(spark, "name string, comment string, seeded boolean", ("ARCTIC", "seed", True), ("OCEANIA", None, True), ("ASIA", "seed", True))
+    return kept.unionByName(seeds.join(kept, "name", "left_anti"))
+
+
+# ---- programs ----------------------------------------------------------------------------------
+
+#: Answers each line with the numbers of characters and links of the page in it.
+_COUNTING = "import json, sys\nfor line in sys.stdin:\n    page = json.loads(line)\n    print(json.dumps({'page_id': page['page_id'], 'chars': len(page['html']), 'links': page['html'].count('<a ')}), flush=True)"
+
+
+@query("pages_by_program", "SELECT page_id, length(html) AS chars, (length(html) - length(replace(html, '<a ', ''))) // 3 AS links, NULL::VARCHAR AS error FROM pages")
+def pages_by_program(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page goes through a program that a task keeps running."""
+    tasks = table(spark, sf_dir, "pages").select(F.to_json(F.struct("page_id", "html")).alias("payload"))
+    answers = readers.from_program(tasks, [sys.executable, "-c", _COUNTING])
+    return answers.select(F.from_json("output", "page_id long, chars long, links long").alias("a"), "error").select("a.*", "error")

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import json
+import os
+import select
+import subprocess
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -86,8 +90,6 @@ def from_script(tasks: DataFrame, command: list[str], column: str = "payload", t
     """(payload, output, error): a program run for each row, its input as JSON on stdin, its answer as JSON on stdout."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import subprocess
-
         for frame in frames:
             outputs, errors = [], []
             for payload in frame[column]:
@@ -104,5 +106,75 @@ def from_script(tasks: DataFrame, command: list[str], column: str = "payload", t
     return tasks.select(column).mapInPandas(run, "payload string, output string, error string")
 
 
+class _Program:
+    """A running program that answers each line of JSON on its stdin with one on its stdout."""
+
+    def __init__(self, command: list[str]) -> None:
+        self.process = subprocess.Popen(command, stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
+        for pipe in (self.process.stdin, self.process.stdout):
+            os.set_blocking(pipe.fileno(), False)
+
+    def ask(self, line: bytes, timeout: float) -> bytes:
+        """The answer to a line; TimeoutError or EOFError if there is none."""
+        source, sink, until = self.process.stdout.fileno(), self.process.stdin.fileno(), time.monotonic() + timeout
+        rest, answer = memoryview(line + b"\n"), bytearray()
+        while not answer.endswith(b"\n"):
+            left = until - time.monotonic()
+            readable, writable, _ = select.select([source], [sink] if rest else [], [], max(0.0, left))
+            if not readable and not writable:
+                raise TimeoutError
+            if writable:
+                rest = rest[os.write(sink, rest[:65_536]) :]
+            if readable:
+                part = os.read(source, 1 << 20)
+                if not part:
+                    raise EOFError
+                answer += part
+        return bytes(answer[:-1])
+
+    def end(self) -> None:
+        self.process.kill()
+        self.process.communicate()
+
+
+def from_program(tasks: DataFrame, command: list[str], column: str = "payload", timeout: float = 90) -> DataFrame:
+    """(payload, output, error): each JSON payload as a line to a program that runs as long as its task, and the line of JSON it answers with.
+
+    A payload without an answer in ``timeout`` seconds, one at which the program ends or says something that is not JSON, and one that is not
+    JSON itself are rows with an error; the program is started anew for the next row, so they cost only themselves. Null payloads are errors too.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        program: _Program | None = None
+        try:
+            for frame in frames:
+                outputs: list[str | None] = []
+                errors: list[str | None] = []
+                for payload in frame[column]:
+                    output = error = None
+                    try:
+                        line = json.dumps(json.loads(payload)).encode()
+                    except (ValueError, TypeError):
+                        error = "payload is not JSON"
+                    else:
+                        try:
+                            program = program or _Program(command)
+                            output = program.ask(line, timeout).decode()
+                            json.loads(output)
+                        except (TimeoutError, EOFError, ValueError, OSError) as failed:
+                            output, error = None, {TimeoutError: "timeout", EOFError: "ended"}.get(type(failed), "answer is not JSON" if isinstance(failed, ValueError) else type(failed).__name__)
+                            if program:
+                                program.end()
+                            program = None
+                    outputs.append(output)
+                    errors.append(error)
+                yield pd.DataFrame({"payload": frame[column], "output": outputs, "error": errors}, dtype=object)
+        finally:
+            if program:
+                program.end()
+
+    return tasks.select(column).mapInPandas(run, "payload string, output string, error string")
+
+
 def literal_rows(spark: SparkSession, schema: str, *rows: tuple) -> DataFrame:
     return spark.createDataFrame(list(rows), schema)
