@@ -315,23 +315,27 @@ def distinct_facet(rows: DataFrame, owner: str, *keys: str) -> DataFrame:
 
 
 def facets(products: DataFrame, brands: DataFrame, categories: DataFrame, variants: DataFrame, values: DataFrame, definitions: DataFrame) -> DataFrame:
-    """(facet, key, label, count): all facets of the catalogue in one frame; they do not depend on the page's filters."""
+    """(facet, key, label, count): all facets of the catalogue in one frame; they do not depend on the page's filters.
+
+    Products are read once for their four facets, variants once for colours and prices and once more for attributes.
+    """
     shown = products.where(visible())
     ids = shown.select(F.col("id").alias("product_id"))
     live = active_variants(variants).join(ids, "product_id", "left_semi")
-    tag = lambda rows, name, key, label: rows.select(F.lit(name).alias("facet"), F.col(key).cast("string").alias("key"), F.col(label).cast("string").alias("label"), "count")
-    category = count_facet(shown.select("category_id"), categories.where("is_active").select(F.col("id").alias("category_id"), "name"), "category_id", "name")
-    brand = count_facet(shown.select("brand_id"), brands.where("is_active").select(F.col("id").alias("brand_id"), "name"), "brand_id", "name")
-    country = distinct_facet(shown.join(brands.where("country IS NOT NULL AND country <> ''").select(F.col("id").alias("brand_id"), "country"), "brand_id"), "id", "country")
-    kind = shown.groupBy("product_type").agg(F.count(F.lit(1)).alias("count"))
-    color = distinct_facet(live.where("color IS NOT NULL AND color <> ''"), "product_id", "color")
+    owned = shown.select("category_id", "brand_id", "product_type").join(categories.where("is_active").select(F.col("id").alias("category_id"), F.col("name").alias("category"), F.lit(True).alias("listed")), "category_id", "left").join(
+        brands.select(F.col("id").alias("brand_id"), F.col("name").alias("brand"), F.nullif("country", F.lit("")).alias("country"), "is_active"), "brand_id", "left")
+    entry = lambda name, key, label, there: F.when(there, F.struct(F.lit(name).alias("facet"), key.cast("string").alias("key"), label.cast("string").alias("label")))
+    c = F.col
+    entries = F.array(
+        entry("category", c("category_id"), c("category"), c("listed")), entry("brand", c("brand_id"), c("brand"), c("is_active")), entry("country", c("country"), c("country"), c("country").isNotNull()),
+        entry("type", c("product_type"), c("product_type"), F.lit(True)))
+    of_products = owned.select(F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e")).groupBy("e.facet", "e.key", "e.label").agg(F.count(F.lit(1)).alias("count"))
+    by_color = live.groupBy("color", "product_id").agg(F.min("price").alias("low"), F.max("price").alias("high"), F.count(F.lit(1)).alias("n"))
+    colors = by_color.groupBy("color").agg(F.count(F.lit(1)).alias("count"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
+    of_colors = colors.where("color <> ''").select(F.lit("color").alias("facet"), c("color").alias("key"), c("color").alias("label"), "count")
+    of_prices = colors.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.coalesce(F.sum("n"), F.lit(0)).alias("count")).select(F.lit("price").alias("facet"), c("low").cast("string").alias("key"), c("high").cast("string").alias("label"), "count")
     attribute = distinct_facet(values.join(live.select(F.col("id").alias("product_variant_id"), F.col("product_id").alias("__product")), "product_variant_id").join(definitions.where("is_filterable").select(F.col("id").alias("attribute_definition_id"), F.col("key").alias("attribute")), "attribute_definition_id"), "__product", "attribute", "value", "normalized_value")
-    price = live.agg(F.min("price").alias("low"), F.max("price").alias("high"), F.count(F.lit(1)).alias("count"))
-    parts = [
-        tag(category, "category", "category_id", "label"), tag(brand, "brand", "brand_id", "label"), tag(country, "country", "country", "country"), tag(kind, "type", "product_type", "product_type"),
-        tag(color, "color", "color", "color"), attribute.select(F.concat(F.lit("attribute:"), "attribute").alias("facet"), F.col("normalized_value").alias("key"), F.col("value").alias("label"), "count"),
-        price.select(F.lit("price").alias("facet"), F.col("low").cast("string").alias("key"), F.col("high").cast("string").alias("label"), "count"),
-    ]
+    parts = [of_products, of_colors, of_prices, attribute.select(F.concat(F.lit("attribute:"), "attribute").alias("facet"), F.col("normalized_value").alias("key"), F.col("value").alias("label"), "count")]
     return reduce(DataFrame.unionByName, parts)
 
 

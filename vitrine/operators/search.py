@@ -8,6 +8,7 @@ built by aggregation once, instead of eight existence joins per term.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,16 +46,21 @@ def search_documents(products: DataFrame, brands: DataFrame, categories: DataFra
     return out.select("id", F.lower(F.concat_ws("\n", "title", "model", "description", "__brand", "__category", "lines")).alias("document"))
 
 
-def _any_variant(products: DataFrame, variants: DataFrame, condition: Column) -> DataFrame:
-    return products.join(variants.where(condition).select(F.col("product_id").alias("id")), "id", "left_semi")
+def _meeting_all(products: DataFrame, rows: DataFrame, conditions: list[Column]) -> DataFrame:
+    """Products that for each condition have one of ``rows`` (owner, ...) that meets it, not the same one for all: one pass over the rows."""
+    if not conditions:
+        return products
+    flags = [F.max(F.coalesce(c, F.lit(False))).alias(f"__f{i}") for i, c in enumerate(conditions)]
+    owners = rows.where(reduce(lambda a, b: a | b, conditions)).groupBy("owner").agg(*flags).where(reduce(lambda a, b: a & b, [F.col(f"__f{i}") for i in range(len(conditions))]))
+    return products.join(owners.select(F.col("owner").alias("id")), "id", "left_semi")
 
 
-def _any_attribute(products: DataFrame, variants: DataFrame, values: DataFrame, definitions: DataFrame, key: str, condition: Column) -> DataFrame:
-    own = values.where(condition).join(definitions.where(F.col("key") == key).select(F.col("id").alias("attribute_definition_id")), "attribute_definition_id", "left_semi")
-    holders = own.where("product_id IS NOT NULL").select(F.col("product_id").alias("id")).unionByName(
-        variants.join(own.select(F.col("product_variant_id").alias("id")), "id", "left_semi").select(F.col("product_id").alias("id"))
-    )
-    return products.join(holders, "id", "left_semi")
+def _attribute_rows(variants: DataFrame, values: DataFrame, definitions: DataFrame, keys: list[str]) -> DataFrame:
+    """(owner, key, value, numeric_value): the values of some attributes, of products and of their variants."""
+    own = values.join(definitions.where(F.col("key").isin(keys)).select(F.col("id").alias("attribute_definition_id"), "key"), "attribute_definition_id")
+    by_variant = own.join(variants.select(F.col("id").alias("product_variant_id"), F.col("product_id").alias("owner")), "product_variant_id")
+    columns = ["owner", "key", "value", "numeric_value"]
+    return own.where("product_id IS NOT NULL").withColumnRenamed("product_id", "owner").select(*columns).unionByName(by_variant.select(*columns))
 
 
 def found(spark, products: DataFrame, brands: DataFrame, categories: DataFrame, variants: DataFrame, values: DataFrame, definitions: DataFrame, q: SearchQuery) -> DataFrame:
@@ -68,17 +74,14 @@ def found(spark, products: DataFrame, brands: DataFrame, categories: DataFrame,
         out = out.where(F.col("product_type") == kind)
     if q.brand:
         out = out.join(brands.where(T.contains_ci(F.col("name"), F.lit(q.brand))).select(F.col("id").alias("brand_id")), "brand_id", "left_semi")
-    for key, wanted in (("cpu", q.cpu), ("gpu", q.gpu)):
-        if wanted:
-            out = _any_attribute(out, variants, values, definitions, key, T.contains_ci(F.col("value"), F.lit(wanted)))
-    if q.color:
-        out = _any_variant(out, variants, T.contains_ci(F.col("color"), F.lit(q.color)))
-    for bound, low in ((ram_min, True), (ram_max, False)):
-        if bound is not None:
-            out = _any_attribute(out, variants, values, definitions, "ram", F.col("numeric_value") >= bound if low else F.col("numeric_value") <= bound)
-    for bound, low in ((q.price_min, True), (q.price_max, False)):
-        if bound is not None:
-            out = _any_variant(out, variants, F.col("price") >= bound if low else F.col("price") <= bound)
+    attributes = [("ram", F.col("numeric_value") >= ram_min) if ram_min is not None else None, ("ram", F.col("numeric_value") <= ram_max) if ram_max is not None else None]
+    attributes += [(key, T.contains_ci(F.col("value"), F.lit(wanted))) if wanted else None for key, wanted in (("cpu", q.cpu), ("gpu", q.gpu))]
+    asked = [x for x in attributes if x]
+    if asked:
+        keys = sorted({key for key, _ in asked})
+        out = _meeting_all(out, _attribute_rows(variants, values, definitions, keys), [(F.col("key") == key) & rule for key, rule in asked])
+    bounds = [T.contains_ci(F.col("color"), F.lit(q.color)) if q.color else None, F.col("price") >= q.price_min if q.price_min is not None else None, F.col("price") <= q.price_max if q.price_max is not None else None]
+    out = _meeting_all(out, variants.withColumnRenamed("product_id", "owner"), [b for b in bounds if b is not None])
     if not specific and named["terms"]:
         documents = search_documents(out, brands, categories, variants, values, definitions).where(T.all_terms_in(F.col("document"), F.array(*map(F.lit, named["terms"]))))
         out = out.join(documents.select("id"), "id", "left_semi")
