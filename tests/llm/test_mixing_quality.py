@@ -231,7 +231,7 @@ def commented(text, mark):
 
 def test_licence_rules(spark):
     cases = [
-        (MIT, {"MIT"}), (APACHE, {"Apache-2.0"}), (BSD, {"BSD-2-Clause"}), (BSD + ENDORSE, {"BSD-2-Clause", "BSD-3-Clause"}), (ISC, {"ISC"}), (GPL, {"GPL-3.0-or-later"}),
+        (MIT, {"MIT"}), (APACHE, {"Apache-2.0"}), (BSD, {"BSD-2-Clause"}), (BSD + ENDORSE, {"BSD-3-Clause"}), (BSD + ENDORSE + "\n\nAnother part:\n" + BSD, {"BSD-3-Clause", "BSD-2-Clause"}), (ISC, {"ISC"}), (GPL, {"GPL-3.0-or-later"}),
         (GPL.replace("version 3", "version 2"), {"GPL-2.0-or-later"}), (GPL.replace("General", "Lesser General"), {"LGPL-3.0-or-later"}), (GPL.replace("General", "Affero General"), {"AGPL-3.0-or-later"}),
         ("Text. Licensed under CC BY-NC 4.0. More!", {"CC-BY-NC-4.0"}), ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", {"CC-BY-SA-4.0"}),
         ("code\nReleased under the\nMIT License.", {"MIT"}), ("// SPDX-License-Identifier: BSD-3-Clause\nint main;", {"BSD-3-Clause"}), ("a b c the permission of the software", set()), ("Licensed under the Apache Licence", set()),
@@ -245,6 +245,23 @@ def test_licence_rules(spark):
     assert licences.scan(odd_documents(spark)).count() == 0 and licences.scan(no_documents(spark)).count() == 0
 
 
+def test_licence_tags_references_and_denials(spark):
+    """Texts with the licences that a reader finds in them, written apart from the tables."""
+    tag = "// SPDX-License-Identifier: "
+    cases = [
+        (tag + "MIT-0", {"MIT-0"}), (tag + "BSD-3-Clause-Clear", {"BSD-3-Clause-Clear"}), (tag + "GPL-2.0-or-later", {"GPL-2.0-or-later"}), (tag + "GPL-2.0", {"GPL-2.0-only"}), (tag + "GPL-2.0+", {"GPL-2.0-or-later"}), (tag + "Zlib", {"Zlib"}), (tag + "Unlicense", {"Unlicense"}),
+        (tag + "Apache-2.0 OR MIT", {"Apache-2.0", "MIT"}), (tag + "(MIT AND (LGPL-2.1-only OR BSD-3-Clause))", {"MIT", "LGPL-2.1-only", "BSD-3-Clause"}), (tag + "GPL-2.0-only WITH Linux-syscall-note", {"GPL-2.0-only"}), ("/* spdx-license-identifier: mit */", {"MIT"}),
+        (tag + "MIT-Unknown", set()), (tag + "LicenseRef-Own", set()), (tag + "CC-BY-SA-4.0\nMIT", {"CC-BY-SA-4.0"}), (tag + "MIT\n# SPDX-License-Identifier: ISC", {"MIT", "ISC"}),
+        ("It is licensed under the GNU General Public License, version 3 or later.", {"GPL-3.0-or-later"}), ("Distributed under the GPLv2 (or any later version)", {"GPL-2.0-or-later"}), ("Released under the GNU General Public License, version 3", {"GPL-3.0-only"}),
+        ("This is not licensed under the MIT License.", set()), ("Not released under the MIT license, but licensed under the ISC License", {"ISC"}), ("Licensed under MIT", {"MIT"}),
+        ("Licensed under either of Apache License, Version 2.0 or MIT license at your option", {"Apache-2.0", "MIT"}),
+    ]
+    found = licences.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()
+    for i, (text, want) in enumerate(cases):
+        assert {r["licence"] for r in found if r["doc_id"] == i} == want, text
+    assert len({tuple(r) for r in found}) == len(found)
+
+
 def test_licence_tables_can_be_replaced(spark):
     docs = spark.createDataFrame([(1, "our copyright line one. And, our\nsecond licence line!"), (2, "our second licence line; our copyright line one")], "doc_id long, text string")
     known = spark.createDataFrame([("one", "our copyright line one"), ("two", "our second licence line"), ("whole", "our second licence line of all")], "id string, sentence string")

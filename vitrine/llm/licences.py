@@ -5,7 +5,11 @@ lines and takes away comment marks, quotes and punctuation. Known licence senten
 as word sequences, so neither a copyright line nor an address or a project's name beside a
 sentence hides it; each maps to its identifier. The identifiers of a document, in order and without
 what is unknown between them, are matched against ordered rules: a rule applies where its
-identifiers follow one another. Where two known sentences begin at one word, the longer one counts.
+identifiers follow one another, unless only within those of a longer rule that applies there. Where two known
+sentences begin at one word, the longer one counts; a reference behind "not" is a sentence of its own, which no rule asks for.
+
+SPDX tags are read apart from the words, as whole expressions: each identifier in one counts if it is known, old forms by
+their present name, and an unknown one, such as a longer form of a known one, does not.
 
 The tables of sentences and rules are DataFrames (``sentences_table``, ``rules_table``), of at most
 ``MOST`` rows together: they become part of the plan, so the whole scan is one pass without a
@@ -120,11 +124,42 @@ NAMES: dict[str, list[str]] = {
     "MPL-2.0": ["the Mozilla Public License 2.0", "the Mozilla Public License, version 2.0"],
     "EPL-2.0": ["the Eclipse Public License 2.0"],
 }
+#: What follows a name that stands for the later versions too.
+LATER = ["or later", "or any later version", "or (at your option) any later version"]
+#: Names without an article, and how two licences are offered at once.
+BARE = {"MIT": ["MIT", "either MIT license"], "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0", "either of Apache License, Version 2.0", "either the Apache License, Version 2.0"], "BSD-3-Clause": ["BSD-3-Clause"], "BSD-2-Clause": ["BSD-2-Clause"], "ISC": ["ISC"], "MPL-2.0": ["MPL 2.0"]}
+OFFERED = {"MIT": ["or MIT license", "or the MIT license"], "Apache-2.0": ["or Apache License, Version 2.0", "or the Apache License, Version 2.0"]}
+#: Identifiers of the common licences, as SPDX writes them.
+SPDX = """
+    0BSD AFL-3.0 Apache-1.0 Apache-1.1 Apache-2.0 Artistic-1.0 Artistic-2.0 Beerware BlueOak-1.0.0 BSD-1-Clause BSD-2-Clause BSD-2-Clause-Patent BSD-3-Clause BSD-3-Clause-Clear BSD-3-Clause-LBNL BSD-4-Clause BSL-1.0
+    CC0-1.0 CDDL-1.0 CDDL-1.1 CDLA-Permissive-2.0 CECILL-2.1 CPL-1.0 curl ECL-2.0 EFL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 FTL HPND ICU IJG ISC JSON libpng-2.0 libtiff LPPL-1.3c MIT MIT-0 MIT-CMU
+    MPL-1.0 MPL-1.1 MPL-2.0 MS-PL MS-RL MulanPSL-2.0 NCSA NTP ODbL-1.0 OFL-1.1 OpenSSL OSL-3.0 PHP-3.01 PostgreSQL PSF-2.0 Python-2.0 Ruby Unicode-3.0 Unicode-DFS-2016 Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1
+""".split()
+#: Licences with versions of which later ones may be allowed.
+FAMILIES = {"GPL": ["1.0", "2.0", "3.0"], "LGPL": ["2.0", "2.1", "3.0"], "AGPL": ["1.0", "3.0"], "GFDL": ["1.1", "1.2", "1.3"]}
 #: The parts of Creative Commons licences.
 COMMONS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
 VERBS = ("licensed", "released", "distributed", "available")
 
 
+#: An expression behind a tag, up to what can't belong to it.
+_ID = r"\(*[A-Za-z0-9][A-Za-z0-9.+-]*\)*"
+TAG = rf"(?i:SPDX-License-Identifier)[ \t]*:[ \t]*({_ID}(?:[ \t]+(?:AND|OR|WITH|and|or|with)[ \t]+{_ID})*)"
+#: What parts the identifiers of an expression; exceptions go with their licence.
+BETWEEN = r"[ \t]+(?:WITH|with)[ \t]+[^ \t]+|[ \t]+(?:AND|OR|and|or)[ \t]+"
+
+
+def identifiers() -> dict[str, str]:
+    """Lower-case SPDX identifiers with their present form; of those that are out of date the one that took their place."""
+    known = {name.lower(): name for name in [*SPDX, *(f"CC-{parts}-{version}" for parts in COMMONS for version in ("1.0", "2.0", "2.5", "3.0", "4.0"))]}
+    for family, versions in FAMILIES.items():
+        for version in versions:
+            plain = f"{family}-{version}"
+            for form, present in (("", "-only"), ("-only", "-only"), ("+", "-or-later"), ("-or-later", "-or-later")):
+                known[f"{plain}{form}".lower()] = f"{plain}{present}"
+    return known
+
+
 def normal(sentence: str) -> str:
     """A sentence as texts are normalised."""
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
@@ -133,16 +168,23 @@ def normal(sentence: str) -> str:
 def references() -> tuple[dict[str, str], list[tuple[str, str, list[str]]]]:
     """Sentences that refer to a licence by a verb and its name, or by its identifier, and a rule for each."""
     named = {licence: list(names) for licence, names in NAMES.items()}
+    for licence, names in NAMES.items():
+        if licence.endswith("-only"):
+            named[licence.replace("-only", "-or-later")] = [f"{name} {later}" for name in names for later in LATER]
+    for licence, names in BARE.items():
+        named[licence] = named[licence] + names
     for parts, long in COMMONS.items():
         for version in ("3.0", "4.0"):
             named[f"CC-{parts}-{version}"] = [f"CC {parts} {version}", f"a Creative Commons {long} {version} {'International' if version == '4.0' else 'Unported'} License"]
     sentences, rules = {}, []
     for licence, names in named.items():
-        texts = [f"{verb} under {name}" for name in names for verb in VERBS if any(m in f"{verb} {name}".lower() for m in MARKS)] + [f"SPDX-License-Identifier: {licence}"]
-        for k, text in enumerate(texts, 1):
+        texts = [f"{verb} under {name}" for name in names for verb in VERBS] + OFFERED.get(licence, [])
+        for k, text in enumerate((t for t in texts if any(m in t.lower() for m in MARKS)), 1):
             key = f"{licence.lower()}-reference-{k}"
             sentences[key] = text
             rules.append((key, licence, [key]))
+            if text.startswith(VERBS):
+                sentences[f"not-{key}"] = f"not {text}"
     return sentences, rules
 
 
@@ -185,7 +227,8 @@ def scan(documents: DataFrame, sentences: DataFrame | None = None, rules: DataFr
     """(doc_id, licence, rule, sentence_ids): a row for each rule that a document's sentences match.
 
     ``sentences`` (id, sentence) and ``rules`` (rule, licence, ids) replace the tables known here.
-    ``sentence_ids`` are the document's identifiers in order, joined by a comma.
+    ``sentence_ids`` are the document's identifiers in order, joined by a comma. Identifiers in SPDX tags are rows of the rule
+    ``spdx-tag``, each once for a document.
     """
     spark = documents.sparkSession
     known = {normal(r["sentence"]): r["id"] for r in (sentences if sentences is not None else sentences_table(spark)).orderBy("id").limit(MOST + 1).collect()}
@@ -197,8 +240,17 @@ def scan(documents: DataFrame, sentences: DataFrame | None = None, rules: DataFr
         raise ValueError(f"sentences without any of {MARKS}: {unmarked}" if unmarked else "no sentences or no rules")
     ids = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     marked = documents.select("doc_id", "text").where(F.lower("text").rlike("|".join(MARKS)))
-    found = marked.select("doc_id", F.regexp_extract_all(normalised(F.col("text")), F.lit(any_of(list(known))), F.lit(0)).alias("s")).where(F.size("s") > 0)
-    named = found.select("doc_id", F.array_join(F.transform("s", lambda s: F.element_at(ids, F.btrim(s))), ",").alias("sentence_ids"))
+    present = F.create_map(*[F.lit(x) for pair in identifiers().items() for x in pair])
+    expressions = F.regexp_extract_all("text", F.lit(TAG), F.lit(1))
+    tags = F.flatten(F.transform(expressions, lambda e: F.split(F.lower(F.translate(e, "()", "")), BETWEEN)))
+    tagged = F.array_distinct(F.filter(F.transform(tags, lambda t: F.try_element_at(present, F.btrim(t))), lambda x: x.isNotNull()))
+    found = marked.select("doc_id", F.regexp_extract_all(normalised(F.col("text")), F.lit(any_of(list(known))), F.lit(0)).alias("s"), tagged.alias("tagged")).where("size(s) > 0 OR size(tagged) > 0")
+    named = found.select("doc_id", "tagged", F.array_join(F.transform("s", lambda s: F.element_at(ids, F.btrim(s))), ",").alias("sentence_ids"))
     table = F.array(*[F.struct(F.lit(r["rule"]).alias("rule"), F.lit(r["licence"]).alias("licence"), F.lit(f",{','.join(r['ids'])},").alias("seq")) for r in own_rules])
-    hits = F.filter(table, lambda r: F.contains(F.concat(F.lit(","), F.col("sentence_ids"), F.lit(",")), r["seq"]))
-    return named.select("doc_id", "sentence_ids", F.explode(hits).alias("r")).select("doc_id", "r.licence", "r.rule", "sentence_ids")
+    listed = F.concat(F.lit(","), F.col("sentence_ids"), F.lit(","))
+    hits = named.withColumn("hits", F.filter(table, lambda r: F.contains(listed, r["seq"])))
+    # a rule within a longer one counts where it stands outside of that one too
+    within = lambda r: F.exists("hits", lambda o: (F.length(o["seq"]) > F.length(r["seq"])) & F.contains(o["seq"], r["seq"]) & ~F.contains(F.replace(listed, o["seq"], F.lit(",;,")), r["seq"]))
+    own = F.transform(F.filter("hits", lambda r: ~within(r)), lambda r: F.struct(r["licence"].alias("licence"), r["rule"].alias("rule")))
+    by_tag = F.transform("tagged", lambda t: F.struct(t.alias("licence"), F.lit("spdx-tag").alias("rule")))
+    return hits.select("doc_id", "sentence_ids", F.explode(F.concat(own, by_tag)).alias("r")).select("doc_id", "r.licence", "r.rule", "sentence_ids")

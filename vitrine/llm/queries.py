@@ -112,11 +112,17 @@ def _op4_sql() -> str:
     return f"""
     WITH known AS (SELECT name, ' ' || replace(sentence, ' ', '  ') || ' ' AS sentence FROM (VALUES {quoted}) v(name, sentence)), rules(rule, licence, seq) AS (VALUES {listed}),
     plain AS (SELECT row_number() OVER () AS r, doc_id, replace(' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ', '  ') AS t FROM documents),
-    parts AS (SELECT r, doc_id, name, length(sentence) AS n, string_split(t, sentence) AS p FROM plain JOIN known ON contains(t, sentence)),
-    hits AS (SELECT r, doc_id, name, n, list_sum(list_transform(p[:i], lambda x: length(x))) + (i - 1) * n AS place FROM (SELECT *, unnest(range(1, len(p))) AS i FROM parts)),
+    pieces AS (SELECT r, doc_id, name, length(sentence) AS n, string_split(t, sentence) AS p FROM plain JOIN known ON contains(t, sentence)),
+    hits AS (SELECT r, doc_id, name, n, list_sum(list_transform(p[:i], lambda x: length(x))) + (i - 1) * n AS place FROM (SELECT *, unnest(range(1, len(p))) AS i FROM pieces)),
     own AS (SELECT * FROM hits h WHERE NOT EXISTS (SELECT 1 FROM hits o WHERE o.r = h.r AND o.place <= h.place AND o.place + o.n >= h.place + h.n AND o.n > h.n)),
-    ids AS (SELECT r, doc_id, string_agg(name, ',' ORDER BY place) AS sentence_ids FROM own GROUP BY r, doc_id)
-    SELECT doc_id, licence, rule, sentence_ids FROM ids JOIN rules ON contains(',' || sentence_ids || ',', seq)"""
+    ids AS (SELECT r, doc_id, string_agg(name, ',' ORDER BY place) AS sentence_ids FROM own GROUP BY r, doc_id),
+    met AS (SELECT r, doc_id, licence, rule, sentence_ids, seq FROM ids JOIN rules ON contains(',' || sentence_ids || ',', seq)),
+    alone AS (SELECT r, doc_id, licence, rule, sentence_ids FROM met m WHERE NOT EXISTS (SELECT 1 FROM met o WHERE o.r = m.r AND length(o.seq) > length(m.seq) AND contains(o.seq, m.seq) AND NOT contains(replace(',' || m.sentence_ids || ',', o.seq, ',;,'), m.seq))),
+    spdx(given, licence) AS (VALUES {", ".join(f"('{given}', '{licence}')" for given, licence in licences.identifiers().items())}),
+    tags AS (SELECT r, doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{licences.TAG}', 1)) AS expression FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)),
+    parts AS (SELECT r, doc_id, unnest(string_split_regex(lower(translate(expression, '()', '')), '{licences.BETWEEN}')) AS given FROM tags)
+    SELECT doc_id, licence, rule, sentence_ids FROM alone
+    UNION ALL SELECT DISTINCT ON (r, licence) p.doc_id, licence, 'spdx-tag', coalesce(sentence_ids, '') FROM parts p JOIN spdx USING (given) LEFT JOIN ids USING (r)"""
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
