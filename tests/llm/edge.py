@@ -14,3 +14,10 @@ def odd_documents(spark):
 
 def no_documents(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+def shared_ids(spark, parts=3):
+    """Different texts under one id, equal rows, and rows without an id, some of them equal."""
+    words = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(6)]
+    rows = [(0, words[0]), (1, words[0] + " " + words[1]), (1, words[2]), (1, words[2]), (1, None), (None, words[0]), (None, words[3]), (None, words[3]), (2, words[3] + "\nshared line of all"), (3, "shared line of all"), (3, "shared line of all\nand more")]
+    return spark.createDataFrame([(i, t, "en", "ab"[len(t or "") % 2], len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(parts)
