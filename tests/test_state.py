@@ -146,6 +146,15 @@ def test_running_totals_by_brute_force(spark):
     assert {r["at"]: r["total"] for r in found.collect()} == {at: sum(v for k, t, v in rows if k == key and t <= at) for key, at, _ in rows}
 
 
+def test_numbers_in_order_by_brute_force(spark):
+    rnd = random.Random(6)
+    rows = [(i, rnd.choice([None, *range(40)]), "x") for i in range(3_000)]
+    found = W.numbered_in_order(spark.createDataFrame(rows, "id long, v int, rank string").repartition(5), [F.desc_nulls_last("v"), F.col("id")], "n").collect()
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert {r.id: r.n for r in found} == {r[0]: n for n, r in enumerate(want, 1)} and len(found) == 3_000 and found[0].rank == "x"
+    assert W.numbered_in_order(spark.createDataFrame([], "id long"), [F.col("id")]).columns == ["id", "rank"]
+
+
 def test_batches_jobs_reports_and_rejections(spark, tmp_path):
     rows = spark.createDataFrame([(1, "voice", 0, None, 5, 5), (2, "media", 0, None, 5, 5)], "id long, queue string, attempts int, reserved_at long, available_at long, created_at long")
     for batch in (0, 0, 1):

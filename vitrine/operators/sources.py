@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions.numbers import measured_score, source_score
 from vitrine.functions.urls import host
+from vitrine.operators.windows import numbered_in_order
 
 
 def statistics(attempts: DataFrame, key: str = "domain") -> DataFrame:
@@ -58,9 +59,11 @@ def scored(candidates: DataFrame, stats: DataFrame, recipes: DataFrame) -> DataF
 
 
 def ranked(candidates: DataFrame, stats: DataFrame, recipes: DataFrame, *keys: str) -> DataFrame:
-    """Candidates without blocked ones, best score first, input order among equals: ``rank`` within ``keys``."""
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col("score").desc(), "pos")
-    return scored(unblocked(candidates, recipes), stats, recipes).withColumn("rank", F.row_number().over(w))
+    """Candidates without blocked ones, best score first, input order among equals: ``rank`` within ``keys``, or over all without any."""
+    rows, order = scored(unblocked(candidates, recipes), stats, recipes), [F.col("score").desc(), F.col("pos")]
+    if not keys:
+        return numbered_in_order(rows, order)
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
 def primary_first(sources: DataFrame, primary: str, *keys: str) -> DataFrame:

@@ -117,6 +117,20 @@ def changes(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFra
     return rows.withColumn("__p", F.lag(value).over(w)).withColumn("__n", F.row_number().over(w)).where((F.col("__n") == 1) | ~F.col(value).eqNullSafe(F.col("__p"))).drop("__p", "__n")
 
 
+def numbered_in_order(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """``rows`` with their number 1, 2, 3... in ``order`` over the whole table, by a range sort over all tasks.
+
+    The sorted rows are written once, each with its place in its partition; a partition's first number is the count of rows in those
+    before it, one small row each. Rows equal in ``order`` are numbered in a fixed but arbitrary order, and meet in one partition.
+    """
+    placed = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "in_order")
+    part = F.shiftright("__at", 33)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(part.alias("__part")).count().select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))  # a row for each partition
+    joined = placed.withColumn("__part", part).join(F.broadcast(counts), "__part")
+    return joined.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1).select(*rows.columns, name)
+
+
 #: Cells of one block: what a window runs over at most when it looks for the next cell that holds anything.
 CELLS = 1024
 

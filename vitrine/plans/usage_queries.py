@@ -109,17 +109,26 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("WITH " + _CANDIDATES.replace("FROM customer", "FROM {customer}") + " SELECT * FROM candidates", customer=table(spark, sf_dir, "customer"))
 
 
-@query("source_rank", with_bound(f""", {_STATS}, {_RECIPES}, {_CANDIDATES},
+_RANKED = with_bound(f""", {_STATS}, {_RECIPES}, {_CANDIDATES},
     one AS (SELECT c.*, regexp_extract(url, 'https://www\\.([^/]+)', 1) AS host FROM candidates c),
     scored AS (SELECT o.*, CASE WHEN r.source_blocked OR r.status = 'disabled' THEN -1000000 WHEN coalesce(s.score, 0) <> 0 THEN s.score WHEN r.status = 'active' AND r.success_count > 0 THEN CAST(50000 + round((r.success_count + 1) / (r.success_count + r.failure_count + 2) * 5000) + least(500, r.success_count) AS BIGINT)
         WHEN r.failure_count > 0 THEN -least(10000, r.failure_count) ELSE 0 END AS score, coalesce(r.source_blocked, false) AS blocked
       FROM one o LEFT JOIN (SELECT domain, {_SCORE} AS score FROM stats) s ON s.domain = o.host LEFT JOIN recipes r ON r.domain = o.host)
-    SELECT draft, pos, score, row_number() OVER (PARTITION BY draft ORDER BY score DESC, pos) AS rank FROM scored WHERE NOT blocked""", "attempts"))
+    """, "attempts")
+
+
+@query("source_rank", _RANKED + "SELECT draft, pos, score, row_number() OVER (PARTITION BY draft ORDER BY score DESC, pos) AS rank FROM scored WHERE NOT blocked")
 def source_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = S.statistics(bound(spark, sf_dir, "attempts"))
     return S.ranked(_candidates(spark, sf_dir), stats, _recipes(spark, sf_dir), "draft").select("draft", "pos", "score", "rank")
 
 
+@query("source_rank_overall", _RANKED + "SELECT pos, score, row_number() OVER (ORDER BY score DESC, pos) AS rank FROM scored WHERE NOT blocked")
+def source_rank_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of all drafts in one order."""
+    return S.ranked(_candidates(spark, sf_dir), S.statistics(bound(spark, sf_dir, "attempts")), _recipes(spark, sf_dir)).select("pos", "score", "rank")
+
+
 @query("source_primary_first", f"WITH {_CANDIDATES} SELECT draft, pos, row_number() OVER (PARTITION BY draft ORDER BY CASE WHEN url LIKE '%00' THEN 0 ELSE 1 END, pos) AS rank FROM candidates".replace("CASE WHEN url LIKE '%00' THEN 0 ELSE 1 END", "CASE WHEN url = (SELECT max(url) FROM candidates) THEN 0 ELSE 1 END"))
 def source_primary_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _candidates(spark, sf_dir)
