@@ -180,6 +180,18 @@ def test_language_model_by_brute_force(spark, order, keep_from, options):
         assert math.isclose(sum(p((*g, w)) for w in count) + p((*g, "unknown")), 1, rel_tol=1e-9)
 
 
+def test_few_files_are_mapped_at_a_time(tmp_path):
+    """A store of thousands of ranges: every array is right, and old mappings are closed."""
+    n = 5_000
+    for k in range(n):
+        ngram_lm._save(f"{tmp_path}/words-{k}", np.arange(k, k + 3, dtype="<u8"))
+    words = ngram_lm.Words(str(tmp_path), np.full(n, 3, dtype=np.int64), 3 * n, n)
+    mapped = lambda: sum(str(tmp_path) in line for line in open("/proc/self/maps"))
+    for k in [*range(n), *range(0, n, 7)]:
+        assert list(words.array("words", k, 0, "<u8")) == [k, k + 1, k + 2]
+    assert 0 < mapped() < 1_000 and len(words._open) <= ngram_lm.MAPPINGS
+
+
 def test_packing_round_trip():
     rnd = np.random.Generator(np.random.PCG64(1))
     keys = np.unique(rnd.integers(0, 2**63, 1000, dtype=np.uint64))

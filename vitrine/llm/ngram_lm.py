@@ -30,6 +30,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zlib
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,6 +121,10 @@ def _save(path: str, *arrays: np.ndarray) -> None:
         os.replace(f.name, f"{path}.{k}")
 
 
+#: Files that a worker keeps mapped at a time, those used last; systems allow some 65,000.
+MAPPINGS = 900
+
+
 def _load(path: str, k: int, dtype: str) -> np.ndarray:
     name = f"{path}.{k}"
     return np.memmap(name, dtype=dtype, mode="r") if os.path.exists(name) and os.path.getsize(name) else np.zeros(0, dtype=dtype)
@@ -204,10 +209,10 @@ class Words:
         self.path, self.sizes, self.tokens, self.documents = path, sizes, tokens, documents
         self.starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         self.bits = int(len(sizes)).bit_length() - 1
-        self._open: dict[tuple[str, int, int], np.ndarray] = {}
+        self._open: OrderedDict[tuple[str, int, int], np.ndarray] = OrderedDict()
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "_open": {}}
+        return {**self.__dict__, "_open": OrderedDict()}
 
     @property
     def total(self) -> int:
@@ -217,6 +222,9 @@ class Words:
         key = (name, part, k)
         if key not in self._open:
             self._open[key] = _load(f"{self.path}/{name}-{part}", k, dtype)
+            if len(self._open) > MAPPINGS:
+                self._open.popitem(last=False)  # its pages stay in the system's cache
+        self._open.move_to_end(key)
         return self._open[key]
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
