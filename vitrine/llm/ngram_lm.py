@@ -265,6 +265,13 @@ def _parts(gram: np.ndarray, context: np.ndarray, hot: np.ndarray, parts: int) -
     return (np.where(hot, gram, context) % np.uint64(parts)).astype(np.int64)
 
 
+def _by_part(keys: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """The order of keys by range and within a range by key; ranges are small numbers, which are dealt out instead of compared."""
+    order = np.argsort(keys)
+    small = part[order].astype(np.uint16 if not len(part) or part.max() < 1 << 16 else np.int64)
+    return order[np.argsort(small, kind="stable")]
+
+
 def _discounts(n: np.ndarray) -> np.ndarray:
     """0, D1, D2, D3+ from how many keys have counts 1 to 4; at least a little is taken where a count of counts is missing."""
     n1, n2, n3, n4 = (float(x) for x in n)
@@ -282,7 +289,7 @@ class Model:
     def _found(self, name: str, keys: np.ndarray, part: np.ndarray, columns: int) -> np.ndarray:
         """(columns, len(keys)) counts under hashes in the files ``name`` of their ranges; 0 where there are none."""
         out = np.zeros((columns, len(keys)), dtype=np.int64)
-        order = np.lexsort((keys, part))
+        order = _by_part(keys, part)
         edges = np.searchsorted(part[order], np.arange(self.parts + 1))
         for k in np.flatnonzero(np.diff(edges)):
             own, mine = self.words.array(name, int(k), 0, "<u8"), order[edges[k] : edges[k + 1]]
@@ -394,7 +401,10 @@ def count_grams(texts: DataFrame, words: Words, order: int, keep_from: int, gram
         else:
             context = _hashed(columns[:-1])
             part = _parts(_longer(context, columns[-1]), context, words.hot(columns[:-1], hot), parts)
-        place = np.lexsort((*columns[1:2], columns[0], part))
+        if len(columns) > 1 and words.total < 1 << 32:  # two words make one key
+            place = _by_part(columns[0] << np.uint64(32) | columns[1], part)
+        else:
+            place = _by_part(columns[0], part) if len(columns) == 1 else np.lexsort((columns[1], columns[0], part))
         edges = np.flatnonzero(np.diff(part[place], prepend=-1, append=-1))
         for a, b in zip(edges, edges[1:]):
             mine = place[a:b]
@@ -462,7 +472,7 @@ def count_grams(texts: DataFrame, words: Words, order: int, keep_from: int, gram
         if len(warm):
             key, values = context[begins][warm], stats[:, warm]
             to = (key % np.uint64(parts)).astype(np.int64)
-            by_part = np.lexsort((key, to))
+            by_part = _by_part(key, to)
             edges = np.flatnonzero(np.diff(to[by_part], prepend=-1, append=-1))
             for a, b in zip(edges, edges[1:]):
                 mine = by_part[a:b]
