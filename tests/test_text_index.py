@@ -2,6 +2,9 @@
 
 import random
 
+import pyarrow as pa
+
+from vitrine.operators import text_index
 from vitrine.operators.text_index import TextIndex
 
 
@@ -53,3 +56,32 @@ def test_only_folders_of_candidates_are_read(spark, tmp_path):
 def test_empty_index(spark, tmp_path):
     index = TextIndex(spark, f"{tmp_path}/i").add(spark.createDataFrame([], "owner long, text string"))
     assert found(index, "abc") == found(index, "a") == found(index, "") == []
+
+
+def test_grams_are_gathered_in_pieces(spark, tmp_path, monkeypatch):
+    rnd = random.Random(2)
+    texts = ["".join(chr(rnd.choice([97, 98, 0x20AC, 0x1F600, 0xC0])) for _ in range(rnd.randrange(9))) for _ in range(500)] + ["ab" * 3_000]
+    owners = sorted(rnd.choice([-5_000, -1, 0, 4_095, 4_096, 1 << 60]) + rnd.randrange(3) for _ in texts)
+    wanted = {(g, o) for o, t in zip(owners, texts) for n in (1, 2, 3) for g in (t[i : i + n] for i in range(len(t) - n + 1))}
+    rows = pa.RecordBatch.from_arrays([pa.array(owners), pa.array(texts)], ["owner", "text"])
+    for most in (1, 64, 1 << 20):
+        monkeypatch.setattr(text_index, "SIGNS", most)
+        posted = [r for b in text_index._posted(iter([rows.slice(0, 100), rows.slice(100)])) for r in b.to_pylist()]
+        assert {(r["gram"], r["block"] * 4096 + p) for r in posted for p in r["owners"]} == wanted
+        assert all(r["owners"] == sorted(set(r["owners"])) and 0 <= r["owners"][0] and r["owners"][-1] < 4096 for r in posted)
+
+
+def test_lines_of_variants_are_told_apart_first(spark):
+    of = lambda rows, schema: spark.createDataFrame(rows, schema)
+    products = of([(1, "T", "M", "D", 7, 3)], "id long, title string, model string, description string, brand_id long, category_id long")
+    variants = of([(i, 1, "plain", "red", f"s{i}", None, None) for i in range(40)], "id long, product_id long, name string, color string, sku string, mpn string, gtin string")
+    values = of([(1, None, i, "8 GB") for i in range(40)] + [(2, 1, None, "9")], "attribute_definition_id long, product_id long, product_variant_id long, value string")
+    lines = text_index.chat_lines(products, of([(7, "B")], "id long, name string"), of([(3, "C")], "id long, name string"), variants, values, of([(1, "ram", "Memory"), (2, "size", "Size")], "id long, key string, label string"))
+    found = [r.text for r in lines.where("text IS NOT NULL").collect()]
+    assert set(found) == {"T", "M", "D", "B", "C", "plain", "red", "8 GB", "9", "ram", "Memory", "size", "Size"} | {f"s{i}" for i in range(40)}
+    assert [found.count(w) for w in ("plain", "red", "ram", "Memory")] == [1, 1, 1, 1]
+
+
+def test_a_gram_is_found_without_the_texts(spark, tmp_path):
+    index = text_index.TextIndex(spark, f"{tmp_path}/i", folders=4).add(spark.createDataFrame([(1, "abc"), (2, "bcd")], "owner long, text string"))
+    assert "texts/" not in index.containing("BC")._jdf.queryExecution().executedPlan().toString() and found(index, "BC") == [1, 2]

@@ -1,10 +1,10 @@
 """An inverted index of character grams for substring search, on files in a shared folder.
 
 A text has as grams all its runs of three characters, and those of one and two for the terms that are shorter. A
-posting row holds a gram, a block of ``BLOCK`` owner ids and the ids of that block that have the gram, so a
-gram that everything has is spread over many rows. Postings and gram counts lie in folders by the gram's
+posting row holds a gram, a block of ``BLOCK`` owner ids and the places in that block of owners that have the gram, so a
+gram that everything has is spread over many rows; a gram and a block may have several. Grams are gathered block by block, from texts in order of their owners. Postings and gram counts lie in folders by the gram's
 hash, texts in folders by their owner's id: a search reads the folders of the rarest grams of a term, and of
-the texts only the folders where a candidate is. Candidates are then compared with the term itself.
+the texts only the folders where a candidate is. Candidates are then compared with the term itself, unless it is a gram.
 
 Texts are added in named batches; a batch that is sent again replaces itself. All batches are searched together. Owners whose
 texts change are to be built into a new index.
@@ -12,26 +12,75 @@ texts change are to be built into a new index.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 from zlib import crc32
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.session import stored
 
-#: Owner ids of one posting row at most.
-BLOCK = 4096
+#: Owner ids of one posting row at most, a power of two.
+BLOCK_BITS = 12
+BLOCK = 1 << BLOCK_BITS
 #: Length of the long grams.
 GRAM = 3
-
-
-def grams(text: Column, n: int) -> Column:
-    """The distinct runs of ``n`` characters of a text."""
-    chars = F.split(text, "")
-    starts = F.sequence(F.lit(1), F.greatest(F.size(chars) - n + 1, F.lit(1)))
-    runs = F.transform(starts, lambda i: F.array_join(F.slice(chars, i, n), ""))
-    return F.when(F.char_length(text) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+#: Bytes of a batch whose grams are gathered at a time; a longer text is gathered alone.
+SIGNS = 1 << 21
+
+
+def postings_of(owners: np.ndarray, texts: list[str]) -> Iterator[pa.RecordBatch]:
+    """(gram, block, owners) of some texts, each of an owner; the owners of a posting row by their places in its block."""
+    known, own = np.unique(owners, return_inverse=True)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    signs = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    used = np.zeros(0x110000, bool)
+    used[signs] = True
+    letters = np.flatnonzero(used)
+    if len(letters) ** GRAM * len(known) >= 1 << 62 and len(texts) > 1:  # a gram and its owner would not fit one number
+        half = len(texts) // 2
+        yield from postings_of(owners[:half], texts[:half])
+        yield from postings_of(owners[half:], texts[half:])
+        return
+    signs = (np.cumsum(used) - 1)[signs]
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(signs))  # signs from here to the end of the text
+    owner = np.repeat(own, sizes)
+    for n in range(1, GRAM + 1):
+        starts = np.flatnonzero(left >= n)
+        pairs = reduce(lambda code, i: code * len(letters) + signs[starts + i], range(n), np.zeros(len(starts), np.int64)) * len(known) + owner[starts]
+        pairs.sort()
+        pairs = pairs[np.diff(pairs, prepend=-1) != 0]
+        code, owner_of = np.divmod(pairs, max(1, len(known)))
+        block, place = np.divmod(known[owner_of], BLOCK)
+        rows = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(block, prepend=0) != 0))
+        names, of = np.unique(code[rows], return_inverse=True)
+        grams = pa.array(["".join(chr(letters[c // len(letters) ** (n - 1 - i) % len(letters)]) for i in range(n)) for c in names.tolist()], pa.string())
+        lists = pa.ListArray.from_arrays(pa.array(np.append(rows, len(pairs)), pa.int32()), pa.array(place, pa.int16()))
+        yield pa.RecordBatch.from_arrays([grams.take(pa.array(of)), pa.array(block[rows], pa.int64()), lists], ["gram", "block", "owners"])
+
+
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Posting rows of texts that come in order of their owners, about ``SIGNS`` bytes of text at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            held.append(batch)
+        if not held or (batch is not None and sum(b.nbytes for b in held) < SIGNS):
+            continue
+        rows, held = pa.Table.from_batches(held), []
+        owners = rows.column("owner").to_numpy()
+        texts = rows.column("text").cast(pa.large_binary())
+        ends, start = np.cumsum(pc.binary_length(texts).to_numpy()), 0
+        while start < len(owners):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SIGNS, "right")))
+            part = [text.decode("utf-8", "replace") for text in texts.slice(start, stop - start).to_pylist()]
+            yield from postings_of(owners[start:stop], part)
+            start = stop
 
 
 def lowered(spark: SparkSession, term: str) -> str:
@@ -47,19 +96,19 @@ class TextIndex:
 
     def add(self, texts: DataFrame, batch: str = "0001") -> TextIndex:
         """Index a batch of (owner, text); null owners and texts are left out."""
-        lines = stored(texts.where("owner IS NOT NULL AND text IS NOT NULL").select(F.col("owner").cast("long").alias("owner"), F.lower("text").alias("text")).distinct(), "lines")
         place = F.pmod("owner", F.lit(self.folders)).cast("int").alias("folder")
-        lines.select("*", place).repartition("folder").sortWithinPartitions("folder", "owner").write.mode("overwrite").partitionBy("folder").parquet(f"{self.path}/texts/batch={batch}")
-        every = F.flatten(F.array(*[grams(F.col("text"), n) for n in range(1, GRAM + 1)]))
-        found = lines.select("owner", F.explode(every).alias("gram"))
-        block = F.floor(F.col("owner") / BLOCK)
-        postings = found.groupBy("gram", block.alias("block")).agg(F.array_sort(F.collect_set("owner")).alias("owners"))
+        lines = texts.where("owner IS NOT NULL AND text IS NOT NULL").select(F.col("owner").cast("long").alias("owner"), F.lower("text").alias("text"))
+        path = f"{self.path}/texts/batch={batch}"
+        lines.select("*", place).repartition("folder").distinct().sortWithinPartitions("folder", "owner").write.mode("overwrite").partitionBy("folder").parquet(path)
+        written = self.spark.read.schema("owner long, text string, folder int").parquet(path)
+        blocks = written.select("owner", "text", F.shiftright("owner", BLOCK_BITS).alias("block")).hint("rebalance", F.col("block")).sortWithinPartitions("owner")
+        postings = blocks.select("owner", "text").mapInArrow(_posted, "gram string, block long, owners array<short>")
         bucket = F.pmod(F.crc32("gram"), F.lit(self.folders)).cast("int").alias("folder")
-        postings.select("*", F.size("owners").alias("n"), bucket).repartition("folder", "gram").sortWithinPartitions("folder", "gram", "block").write.mode("overwrite").partitionBy("folder").parquet(f"{self.path}/postings/batch={batch}")
+        postings.select("*", F.size("owners").alias("n"), bucket).repartition("folder").sortWithinPartitions("folder", "gram", "block").write.mode("overwrite").partitionBy("folder").parquet(f"{self.path}/postings/batch={batch}")
         return self
 
     def _postings(self, wanted: list[str]) -> DataFrame:
-        table = self.spark.read.schema("gram string, block long, owners array<long>, n int, batch string, folder int").parquet(f"{self.path}/postings")
+        table = self.spark.read.schema("gram string, block long, owners array<short>, n int, batch string, folder int").parquet(f"{self.path}/postings")
         return table.where(F.col("folder").isin(sorted({crc32(g.encode()) % self.folders for g in wanted})) & F.col("gram").isin(wanted))
 
     def candidates(self, term: str) -> DataFrame:
@@ -73,7 +122,7 @@ class TextIndex:
         per_gram = self._postings(rarest).groupBy("block", "gram").agg(F.flatten(F.collect_list("owners")).alias("owners"))
         blocks = per_gram.groupBy("block").agg(F.collect_list("owners").alias("lists")).where(F.size("lists") == len(rarest))
         common = F.aggregate("lists", F.element_at("lists", 1), lambda a, b: F.array_intersect(a, b))
-        return blocks.select(F.explode(F.array_distinct(common)).alias("owner"))
+        return blocks.select("block", F.explode(F.array_distinct(common)).alias("place")).select((F.col("block") * BLOCK + F.col("place")).alias("owner"))
 
     def texts_of(self, owners: DataFrame) -> DataFrame:
         """(owner, text) of some owners, from the folders where any of them is."""
@@ -86,6 +135,8 @@ class TextIndex:
         term = lowered(self.spark, term)
         if not term:
             return self.spark.read.schema("owner long").parquet(f"{self.path}/texts").select("owner").distinct()
+        if len(term) <= GRAM:
+            return self.candidates(term)  # a gram itself: its postings are the answer
         candidates = stored(self.candidates(term), "candidates")
         return self.texts_of(candidates).where(F.contains("text", F.lit(term))).select("owner").distinct()
 
@@ -94,20 +145,33 @@ class TextIndex:
         return reduce(lambda a, b: a.join(b, "owner", "left_semi"), [self.containing(t) for t in terms or [""]])
 
 
-def catalog_lines(products: DataFrame, brands: DataFrame, variants: DataFrame, values: DataFrame) -> DataFrame:
-    """(owner, text): what the catalogue page searches: title, model, description, brand, and codes and attribute values of the variants."""
+def _own_lines(products: DataFrame, brands: DataFrame, variants: DataFrame) -> DataFrame:
+    """(owner, text): title, model, description and brand of products, and codes of their variants."""
     named = products.join(brands.select(F.col("id").alias("brand_id"), F.col("name").alias("__brand")), "brand_id", "left")
     own = named.select(F.col("id").alias("owner"), F.explode(F.array("title", "model", "description", "__brand")).alias("text"))
-    codes = variants.select(F.col("product_id").alias("owner"), F.explode(F.array("sku", "mpn", "gtin")).alias("text"))
-    by_variant = values.join(variants.select(F.col("id").alias("product_variant_id"), F.col("product_id").alias("owner")), "product_variant_id").select("owner", F.col("value").alias("text"))
-    return own.unionAll(codes).unionAll(by_variant)
+    return own.unionAll(variants.select(F.col("product_id").alias("owner"), F.explode(F.array("sku", "mpn", "gtin")).alias("text")))
+
+
+def _variant_values(variants: DataFrame, values: DataFrame) -> DataFrame:
+    """(owner, attribute_definition_id, value) of the variants of products."""
+    of = variants.select(F.col("id").alias("product_variant_id"), F.col("product_id").alias("owner"))
+    return values.join(of, "product_variant_id").select("owner", "attribute_definition_id", "value")
+
+
+def catalog_lines(products: DataFrame, brands: DataFrame, variants: DataFrame, values: DataFrame) -> DataFrame:
+    """(owner, text): what the catalogue page searches: title, model, description, brand, and codes and attribute values of the variants."""
+    return _own_lines(products, brands, variants).unionAll(_variant_values(variants, values).select("owner", F.col("value").alias("text")))
 
 
 def chat_lines(products: DataFrame, brands: DataFrame, categories: DataFrame, variants: DataFrame, values: DataFrame, definitions: DataFrame) -> DataFrame:
-    """(owner, text): what the chat bot searches: besides those the category, names and colours of variants, keys and labels of attributes, and the product's own attributes."""
+    """(owner, text): what the chat bot searches: besides those the category, names and colours of variants, keys and labels of attributes, and the product's own attributes.
+
+    Names, colours, keys and labels are told apart before they become lines, so that a product has each of them once and not for every variant.
+    """
     category = products.join(categories.select(F.col("id").alias("category_id"), F.col("name").alias("text")), "category_id").select(F.col("id").alias("owner"), "text")
-    more = variants.select(F.col("product_id").alias("owner"), F.explode(F.array("name", "color")).alias("text"))
-    named = values.join(definitions.select(F.col("id").alias("attribute_definition_id"), "key", "label"), "attribute_definition_id", "left")
-    by_variant = named.join(variants.select(F.col("id").alias("product_variant_id"), F.col("product_id").alias("__owner")), "product_variant_id").select(F.col("__owner").alias("owner"), F.explode(F.array("key", "label")).alias("text"))
-    by_product = named.where("product_id IS NOT NULL").select(F.col("product_id").alias("owner"), F.explode(F.array("value", "key", "label")).alias("text"))
-    return reduce(DataFrame.unionAll, [catalog_lines(products, brands, variants, values), category, more, by_variant, by_product])
+    more = variants.select(F.col("product_id").alias("owner"), "name", "color").distinct().select("owner", F.explode(F.array("name", "color")).alias("text"))
+    by_product = values.where("product_id IS NOT NULL").select(F.col("product_id").alias("owner"), "attribute_definition_id", "value")
+    every = stored(_variant_values(variants, values).unionAll(by_product), "values")
+    named = every.select("owner", "attribute_definition_id").distinct().join(definitions.select(F.col("id").alias("attribute_definition_id"), "key", "label"), "attribute_definition_id")
+    words = named.select("owner", F.explode(F.array("key", "label")).alias("text"))
+    return reduce(DataFrame.unionAll, [_own_lines(products, brands, variants), every.select("owner", F.col("value").alias("text")), category, more, words])
