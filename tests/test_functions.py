@@ -96,3 +96,22 @@ def test_json_fields_keep_the_rest(spark):
     out = value(spark, P.with_fields(lit('{"max_clicks": 3, "wait_ms": 700}'), "recipe", max_clicks=lit(5)))
     assert '"max_clicks":5' in out and '"wait_ms":700' in out
     assert value(spark, P.parsed(lit("nonsense"), "recipe")["max_clicks"]) is None
+
+
+def test_letters_are_translated_at_once(spark):
+    from vitrine.functions import text as T
+
+    every = "".join(T._CYRILLIC) + T._MARKED + "Щъёь ß x9"
+    plain = "".join(dict(zip(T._MARKED, T._PLAIN), **T._CYRILLIC).get(c, c) for c in every.lower())
+    rows = spark.createDataFrame([(every,)], "t string").select(T.to_ascii(F.col("t")).alias("t"))
+    assert rows.first()[0] == plain
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("replace(") <= sum(len(v) > 1 for v in T._CYRILLIC.values()) + 1
+
+
+def test_a_draft_is_parsed_once_a_row(spark):
+    import __spark_entry__ as engine
+
+    plan = engine.queries()["draft_payloads"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and "RepartitionByExpression [p_partkey" in plan
+    plan = engine.queries()["approved_values"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [id" in plan

@@ -40,6 +40,11 @@ def positive_ids(values: Column, most: int = 100) -> Column:
     return F.slice(F.array_distinct(F.filter(numbers, lambda x: x.isNotNull() & (x > 0))), 1, most)
 
 
+def bound_once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, although ``use`` names it several times or within lambdas."""
+    return F.transform(F.array(value), use)[0]
+
+
 def first_where(values: Column, test: Callable[[Column], Column]) -> Column:
     return F.try_element_at(F.filter(values, test), F.lit(1))
 
@@ -98,9 +103,8 @@ def normalized_sources(sources: Column, primary: Column, most: int = 20) -> Colu
         T.clip(F.coalesce(F.nullif(F.trim(s["title"]), F.lit("")), s["url"]), 255).alias("title"), canonical_page(F.trim(s["url"])).alias("url"),
         F.when(s["type"].isin(VOCABULARIES["source_type"]), s["type"]).otherwise("web").alias("type"),
         F.slice(F.array_distinct(F.filter(F.coalesce(s["image_urls"], F.array().cast("array<string>")), is_http_url)), 1, 10).alias("image_urls")))
-    good = F.filter(cleaned, lambda s: is_http_url(s["url"]))
-    main = canonical_page(F.trim(primary))
-    ordered = F.concat(F.filter(good, lambda s: s["url"] == main), F.filter(good, lambda s: ~s["url"].eqNullSafe(main)))
+    both = F.struct(F.filter(cleaned, lambda s: is_http_url(s["url"])).alias("good"), canonical_page(F.trim(primary)).alias("main"))
+    ordered = bound_once(both, lambda b: F.concat(F.filter(b["good"], lambda s: s["url"] == b["main"]), F.filter(b["good"], lambda s: ~s["url"].eqNullSafe(b["main"]))))
     return F.slice(distinct_by(ordered, lambda s: s["url"], _SOURCE), 1, most)
 
 

@@ -404,9 +404,10 @@ def draft_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat(
         F.lit('{"title":" '), F.col("p_name"), F.lit(' ","specifications":[{"key":"A B","value":"1"},{"name":"C","value":"2"},{"key":"d","value":" "}],"sources":[{"url":"https://a.example/x","type":"blog"},{"url":"nonsense"},{"url":"https://shop.example/'), s,
         F.lit('","type":"retailer","title":"Shop"},{"url":"https://a.example/x","type":"web"}],"primary_source_url":"https://shop.example/'), s, F.lit('","confidence":1.5}'))
-    d = P.normalized_draft(F.from_json(body, schema))
-    rows = table(spark, sf_dir, "part").select("p_partkey", d.alias("d"))
-    return rows.select("p_partkey", "d.title", "d.confidence", F.size("d.specifications").alias("n_specs"), F.transform("d.sources", lambda x: x["url"]).alias("urls"), F.transform("d.sources", lambda x: x["type"]).alias("types"))
+    dealt = table(spark, sf_dir, "part").select("p_partkey", "p_name").repartition("p_partkey")  # a small file is one task however much work its rows are
+    drafts = dealt.select("p_partkey", F.from_json(body, schema).alias("draft")).select("p_partkey", P.normalized_draft(F.col("draft")).alias("d"))
+    rows = drafts.select("p_partkey", "d.title", "d.confidence", F.size("d.specifications").alias("n_specs"), F.col("d.sources").alias("sources"))
+    return rows.select("p_partkey", "title", "confidence", "n_specs", F.transform("sources", lambda x: x["url"]).alias("urls"), F.transform("sources", lambda x: x["type"]).alias("types"))
 
 
 @query("payload_lists", """
