@@ -73,6 +73,9 @@ _CYRILLIC = {
     "э": "e", "ю": "yu", "я": "ya", "ß": "ss", "æ": "ae", "œ": "oe",
 }
 assert len(_MARKED) == len(_PLAIN)
+#: Letters that become one letter or none are translated in one step.
+_SINGLE = "".join(x for x, plain in _CYRILLIC.items() if len(plain) == 1)
+_DROPPED = "".join(x for x, plain in _CYRILLIC.items() if not plain)
 
 
 # ---- basics ------------------------------------------------------------------------------------
@@ -130,9 +133,10 @@ def clip(c: Column, n: int) -> Column:
 
 def to_ascii(c: Column) -> Column:
     """Lower-case ASCII: Latin marks off, Cyrillic by letter, other signs dropped."""
-    out = F.translate(F.lower(text(c)), _MARKED, _PLAIN)
+    out = F.translate(F.lower(text(c)), _MARKED + _SINGLE + _DROPPED, _PLAIN + "".join(_CYRILLIC[x] for x in _SINGLE))
     for letter, plain in _CYRILLIC.items():
-        out = F.replace(out, F.lit(letter), F.lit(plain))
+        if len(plain) > 1:
+            out = F.replace(out, F.lit(letter), F.lit(plain))
     return F.regexp_replace(out, r"[^\x00-\x7F]", "")
 
 

@@ -116,7 +116,8 @@ def draft_types(drafts: DataFrame) -> DataFrame:
 
 def approved(drafts: DataFrame, categories: DataFrame, now: Column) -> dict[str, DataFrame]:
     """The rows that approved drafts become: products, variants, attribute definitions and values, sources and brands, each with its natural key."""
-    d = draft_types(drafts).withColumn("canonical_key", N.identity_key(F.col("brand"), F.col("model"), F.col("title")))
+    dealt = drafts.repartition("id")  # a small file is one task however much work its rows are
+    d = draft_types(dealt).withColumn("canonical_key", N.identity_key(F.col("brand"), F.col("model"), F.col("title")))
     d = d.withColumn("__text", T.routed_description(F.col("title"), F.col("model"), F.col("color"), F.col("specifications"), F.col("description"), F.col("research_notes")))
     known = categories.select(F.col("slug").alias("category"), F.col("id").alias("__own"))
     fallback = categories.select(F.col("slug").alias("fallback_category"), F.col("id").alias("__fallback"))
