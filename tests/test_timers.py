@@ -87,3 +87,36 @@ def test_leases_by_brute_force(spark, tmp_path):
     own = sorted((r[3], r[4]) for r in found if r[0] == "a")
     assert all(a[1] <= b[0] for a, b in zip(own, own[1:]))  # never two at once
     assert {r.key["key"] for r in state_rows(spark, tmp_path, "leases", "until")} <= {"end"}
+
+
+class _Calls:
+    """A handle that counts the calls on the state."""
+
+    def __init__(self):
+        self.value, self.calls = None, []
+
+    def __getattr__(self, name):
+        return lambda *args: self.calls.append((name, *args))
+
+    def getValueState(self, *_):  # noqa: N802  name of the interface
+        return self
+
+    def get(self):
+        return self.value
+
+    def exists(self):
+        return self.value is not None
+
+    def update(self, value):
+        self.value = value
+
+
+def test_only_the_last_flag_of_a_batch_is_written():
+    handle, flag = _Calls(), timers._Flag(720)
+    flag.init(handle)
+    rows = lambda *times: [r["at"] for r in flag.handleInputRows(("a",), [{"at": t} for t in times], None)]
+    assert rows(5_000, 0, 100, 720, 1_439) == [0, 720, 5_000]
+    assert handle.calls == [("registerTimer", 5_721_000)] and handle.value == (5_720,)
+    assert rows(5_719) == [] and len(handle.calls) == 1
+    assert rows(5_720, 7_000) == [5_720, 7_000]
+    assert handle.calls[1:] == [("deleteTimer", 5_721_000), ("registerTimer", 7_721_000)]

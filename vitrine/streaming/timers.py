@@ -61,19 +61,21 @@ class _Flag(StatefulProcessor):
         self.until = handle.getValueState("until", "until long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803  names of the interface
-        known = self.until.get() if self.until.exists() else None
-        until = known[0] if known else None
+        known = self.until.get()
+        before = until = known[0] if known else None
         for at in sorted(r["at"] for r in rows):
             if until is None or at >= until:
-                if until is not None:
-                    self.handle.deleteTimer(_ms(until))
                 until = at + self.seconds
-                self.handle.registerTimer(_ms(until))
                 yield Row(key=key[0], at=at)
-        self.until.update((until,))
+        if until != before:  # each call on the state is a round trip: the last flag alone is written, not every one of the batch
+            if before is not None:
+                self.handle.deleteTimer(_ms(before))
+            self.handle.registerTimer(_ms(until))
+            self.until.update((until,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        if self.until.exists() and _ms(self.until.get()[0]) <= expiredTimerInfo.getExpiryTimeInMs():
+        known = self.until.get()
+        if known and _ms(known[0]) <= expiredTimerInfo.getExpiryTimeInMs():
             self.until.clear()
         return iter(())
 
