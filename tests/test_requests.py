@@ -3,6 +3,7 @@
 import json
 import sys
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from vitrine.operators import requests as Q
@@ -73,3 +74,11 @@ def test_a_program_answers_lines_and_is_restarted(spark):
     gone = readers.from_program(rows.limit(1), ["/no/such/program"]).collect()
     assert gone[0].output is None and gone[0].error == "FileNotFoundError"
     assert readers.from_program(rows.where(F.lit(False)), ["/no/such/program"]).collect() == []
+
+
+def test_payloads_are_answered_in_slices(spark):
+    rows = pa.RecordBatch.from_arrays([pa.array(["x" * 10, None, "y" * 30, "z", "z", ""])], ["payload"])
+    assert [s.num_rows for s in readers._slices(rows, 12)] == [2, 1, 3] and [s.num_rows for s in readers._slices(rows)] == [6]
+    assert [s.num_rows for s in readers._slices(rows.slice(2), 1)] == [1, 1, 2] and list(readers._slices(rows.slice(6))) == []
+    plan = readers.from_program(spark.createDataFrame([("{}",)], "payload string"), ["cat"])._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan

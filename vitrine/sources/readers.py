@@ -10,6 +10,8 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -106,6 +108,18 @@ def from_script(tasks: DataFrame, command: list[str], column: str = "payload", t
     return tasks.select(column).mapInPandas(run, "payload string, output string, error string")
 
 
+def _slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices whose first column holds ``most`` bytes or is one row."""
+    start, held = 0, 0
+    for i, size in enumerate(pc.binary_length(batch.column(0)).to_pylist()):
+        if i > start and held + (size or 0) > most:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size or 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 class _Program:
     """A running program that answers each line of JSON on its stdin with one on its stdout."""
 
@@ -142,15 +156,16 @@ def from_program(tasks: DataFrame, command: list[str], column: str = "payload",
 
     A payload without an answer in ``timeout`` seconds, one at which the program ends or says something that is not JSON, and one that is not
     JSON itself are rows with an error; the program is started anew for the next row, so they cost only themselves. Null payloads are errors too.
+    Answers are given back every few megabytes of payloads, so a worker holds Python texts of one row and answers of one slice.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         program: _Program | None = None
         try:
-            for frame in frames:
+            for payloads in (rows.column(0) for batch in batches for rows in _slices(batch)):
                 outputs: list[str | None] = []
                 errors: list[str | None] = []
-                for payload in frame[column]:
+                for payload in (p.as_py() for p in payloads):
                     output = error = None
                     try:
                         line = json.dumps(json.loads(payload)).encode()
@@ -168,12 +183,12 @@ def from_program(tasks: DataFrame, command: list[str], column: str = "payload",
                             program = None
                     outputs.append(output)
                     errors.append(error)
-                yield pd.DataFrame({"payload": frame[column], "output": outputs, "error": errors}, dtype=object)
+                yield pa.RecordBatch.from_arrays([payloads, pa.array(outputs, pa.string()), pa.array(errors, pa.string())], ["payload", "output", "error"])
         finally:
             if program:
                 program.end()
 
-    return tasks.select(column).mapInPandas(run, "payload string, output string, error string")
+    return tasks.select(column).mapInArrow(run, "payload string, output string, error string")
 
 
 def literal_rows(spark: SparkSession, schema: str, *rows: tuple) -> DataFrame:
