@@ -180,3 +180,11 @@ def test_shared_folders_are_cleared(spark):
     folder = shared_dir(spark)
     spark.range(3).write.parquet(f"{folder}/t")
     assert folder_exists(spark, folder) and clear_shared(spark) >= 1 and not folder_exists(spark, folder) and clear_shared(spark) == 0
+
+
+def test_the_first_operation_is_found_without_sorting():
+    import pandas as pd
+
+    frame = lambda *rows: pd.DataFrame(rows, columns=["id", "result"])
+    assert state._first_of(iter([frame((5, "e"), (3, "c"), (3, "d")), frame(), frame((3, "x"), (9, "y"))])) == ((3, "c"), 5)
+    assert state._first_of(iter([frame((5, "e")), frame((1, "a"))])) == ((1, "a"), 2) and state._first_of(iter([frame()])) == (None, 0)

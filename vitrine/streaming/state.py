@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -23,17 +24,29 @@ def _ordered(frames: Iterator[pd.DataFrame], *columns: str) -> pd.DataFrame:
     return pd.concat(rows).sort_values(list(columns), kind="stable") if rows else pd.DataFrame(columns=list(columns))
 
 
+def _first_of(frames: Iterator[pd.DataFrame]) -> tuple[tuple[int, str] | None, int]:
+    """The (id, result) with the least id, the first of equal ones, and the number of rows; nothing is gathered or sorted."""
+    first, n = None, 0
+    for frame in frames:
+        ids = frame["id"].to_numpy()
+        n += len(ids)
+        if len(ids) and (first is None or ids.min() < first[0]):
+            at = ids.argmin()
+            first = (int(ids[at]), str(frame["result"].iat[at]))
+    return first, n
+
+
 def executed_once(operations: DataFrame) -> DataFrame:
     """(idempotency_key, id, result, repeated): the first operation of a key runs, later ones get its result."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _ordered(frames, "id")
-        if rows.empty:
-            return
         known = state.get if state.exists else None
-        repeated = [known is not None] + [True] * (len(rows) - 1)
+        first, n = _first_of(frames)
+        if not n:
+            return
+        repeated = np.ones(n, bool)
         if known is None:
-            known = (int(rows["id"].iloc[0]), str(rows["result"].iloc[0]))
+            known, repeated[0] = first, False
             state.update(known)
         yield pd.DataFrame({"idempotency_key": key[0], "id": known[0], "result": known[1], "repeated": repeated})
 
