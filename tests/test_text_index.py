@@ -85,3 +85,29 @@ def test_lines_of_variants_are_told_apart_first(spark):
 def test_a_gram_is_found_without_the_texts(spark, tmp_path):
     index = text_index.TextIndex(spark, f"{tmp_path}/i", folders=4).add(spark.createDataFrame([(1, "abc"), (2, "bcd")], "owner long, text string"))
     assert "texts/" not in index.containing("BC")._jdf.queryExecution().executedPlan().toString() and found(index, "BC") == [1, 2]
+
+
+def test_an_owner_has_its_lines_in_one_text(spark, tmp_path):
+    rows = [(o, f"SKU-{o * k} Ring") for o in range(50) for k in range(40)] * 2 + [(60, "ΟΔΟΣ"), (60, "ΑΒ"), (61, "x\0y"), (61, "z"), (62, "x"), (62, "y"), (63, None), (64, "")]
+    index = text_index.TextIndex(spark, f"{tmp_path}/i", folders=4).add(spark.createDataFrame(rows, "owner long, text string"))
+    kept = spark.read.parquet(f"{tmp_path}/i/texts").groupBy().agg({"*": "count", "lines": "sum"}).first()
+    assert kept[0] < 100 and kept[1] == len({r for r in rows if r[1] is not None})  # a row for an owner and a slice, not for a line
+    for term in ("sku-1521 ring", "ΟΔΟΣ", "ΣΑ", "Σ\0Α", "ring\0sku-", "x\0y", "yz", "\0", "z", "x", "", "ngsku"):
+        assert found(index, term) == sorted(brute(rows, term)), term
+    lines = index.texts_of(spark.createDataFrame([(61,), (62,), (64,)], "owner long"))
+    assert sorted(map(tuple, lines.collect())) == [(61, "x\0y"), (61, "z"), (62, "x"), (62, "y"), (64, "")]
+
+
+def test_several_texts_a_row_in_small_slices(monkeypatch):
+    rnd = random.Random(3)
+    texts = [[rnd.choice(["a", "b", "é\0", "", None, "a b"]) for _ in range(rnd.randrange(1, 5))] for _ in range(300)]
+    owners = sorted(rnd.randrange(-9, 9) for _ in texts)
+    listed = [any("\0" in (t or "") for t in row) for row in texts]
+    texts = [row if any(t is not None for t in row) else ["a"] for row in texts]
+    rows = pa.RecordBatch.from_arrays([pa.array(owners), pa.array([None if x else "\0".join(t for t in row if t is not None) for x, row in zip(listed, texts)]), pa.array([row if x else [] for x, row in zip(listed, texts)], pa.list_(pa.string()))], ["owner", "text", "texts"])
+    wanted = {(o, t) for o, row in zip(owners, texts) for t in row if t is not None}
+    for most in (1, 1 << 20):
+        monkeypatch.setattr(text_index, "LINES", most)
+        packed = [r for b in text_index._packed(iter([rows.slice(i, 7) for i in range(0, 300, 7)])) for r in b.to_pylist()]
+        assert {(r["owner"], t) for r in packed for t in (r["text"].split("\0") if r["lines"] > 1 else [r["text"]])} == wanted
+        assert all(r["text"].count("\0") == r["lines"] - 1 for r in packed if r["lines"] > 1)

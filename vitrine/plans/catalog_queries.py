@@ -88,7 +88,7 @@ _LINES = """lines AS (SELECT id AS owner, unnest([title, model, description]) AS
 def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products that the catalogue's search finds for terms of any length, by the gram index."""
     products, brands, _, variants, values, _ = _all(spark, sf_dir, *_F)
-    index = I.TextIndex(spark, shared_dir(spark)).add(I.catalog_lines(products, brands, variants, values))
+    index = I.TextIndex(spark, shared_dir(spark)).add(I.catalog_texts(products, brands, variants, values))
     found = [index.containing(t).select(F.lit(t).alias("term"), F.col("owner").alias("id")) for t in _TERMS]
     return reduce(DataFrame.unionByName, found)
 
@@ -103,7 +103,7 @@ _SENTENCES = {"ring sku-1": ["ring", "sku-1"], "Memory N 4": ["Memory", "N", "4"
     SELECT query, owner AS id FROM (SELECT DISTINCT query, term, n, owner FROM every JOIN terms ON contains(lower(text), lower(term))) GROUP BY query, owner, n HAVING count(*) = n""", *_F))
 def search_all_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products that have every term of a query in one of the fields that the chat bot searches, by the gram index."""
-    index = I.TextIndex(spark, shared_dir(spark)).add(I.chat_lines(*_all(spark, sf_dir, *_F)))
+    index = I.TextIndex(spark, shared_dir(spark)).add(I.chat_texts(*_all(spark, sf_dir, *_F)))
     return reduce(DataFrame.unionByName, [index.with_all(terms).select(F.lit(q).alias("query"), F.col("owner").alias("id")) for q, terms in _SENTENCES.items()])
 
 
