@@ -6,12 +6,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.edge import no_documents, odd_documents
-from vitrine.llm import decontamination, ngram_lm, toxicity
+from vitrine.llm import common, decontamination, ngram_lm, toxicity
 from vitrine.llm import queries as llm_queries
 
 
@@ -192,6 +193,58 @@ def test_few_files_are_mapped_at_a_time(tmp_path):
     assert 0 < mapped() < 1_000 and len(words._open) <= ngram_lm.MAPPINGS
 
 
+def test_scoring_opens_as_many_files_with_many_ranges(spark):
+    rnd = random.Random(5)
+    texts = [" ".join(f"w{min(int(rnd.paretovariate(0.6)), 2000)}" for _ in range(60)) for _ in range(200)] + ["again " * 700]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    stream = next(ngram_lm._streams(iter([pa.RecordBatch.from_pydict({"text": [*texts, "never seen"]})])))
+    found = []
+    for options in ({}, {"grams_per_part": 100, "chars_per_part": 500, "hot": 1000}):
+        model = ngram_lm.train(docs, **options)
+        found.append((model.score(stream), len(model.words._open), model.parts))
+    (few, opened, one), (many, opened_many, parts) = found
+    assert one == 1 and parts > 100 and opened_many <= opened < 25
+    assert all((a == b).all() for a, b in zip(few, many))
+
+
+def test_a_range_is_joined_once(tmp_path):
+    """A task that runs again changes nothing, also after the range's own files are gone."""
+    rnd = np.random.Generator(np.random.PCG64(2))
+    cold, hot = np.split(np.unique(rnd.integers(0, 2**63, 500, dtype=np.uint64) << np.uint64(1))[rnd.permutation(500)], [400])
+    stats = np.sort(rnd.integers(1, 600, (4, 500)), axis=0)[::-1]
+    for name, keys, mine in (("contexts2", np.sort(cold), stats[:, :400]), ("hot2", np.sort(hot), stats[:, 400:])):
+        ngram_lm._save(f"{tmp_path}/{name}-1", keys, *ngram_lm._small_stats(mine))
+    more = int((stats[0] >= 255).sum())
+    store = ngram_lm.Joined(np.array([0, 500]), np.array([0, more]), 4)
+    model = ngram_lm.Model(ngram_lm.Words(str(tmp_path), np.zeros(1, dtype=np.int64), 0, 0), 2, 1, 2, 1, {}, 0, 0.0, {"contexts2": store})
+    for _ in range(2):
+        for part in (0, 1):
+            store.write(str(tmp_path), "contexts2", part, ["contexts2", "hot2"])
+        keys = np.concatenate([np.sort(cold), np.sort(hot), np.sort(cold) + np.uint64(1)])
+        got = model._found("contexts2", keys, np.ones(len(keys), dtype=np.int64))
+        assert (got[:500] == stats.T).all() and not got[500:].any() and not model._found("contexts2", keys, np.zeros(len(keys), dtype=np.int64)).any()
+    assert not [f for f in tmp_path.iterdir() if f.name.startswith("hot2")]
+
+
+def test_order_of_keys():
+    rnd = np.random.Generator(np.random.PCG64(4))
+    for keys in (np.zeros(0), np.zeros(5), rnd.integers(0, 2**63, 5000) * 2, rnd.integers(0, 50, 5000), rnd.integers(0, 9, 5000) + 2**62, -(rnd.integers(0, 4000, 5000) // 7 * 3)):
+        keys = np.asarray(keys).astype(np.uint64)
+        assert (ngram_lm._order(keys) == np.argsort(keys, kind="stable")).all()
+        distinct, inverse = np.unique(keys, return_inverse=True)
+        assert all((a == b).all() for a, b in zip(ngram_lm._distinct(keys), (distinct, inverse)))
+
+
+def test_word_hashes_by_definition():
+    """Words at the edges of rows of bytes, and longer than one, hash as by themselves."""
+    texts = [b"", b"Ab" * 5000 + b" ab", b" " * 4095 + b"z\tq", b"x" * 4096 + b"\n" + b"x" * 4096, bytes(random.Random(1).choice(b"aB \n\xc3\xa9") for _ in range(9000))]
+    plain = lambda word: sum(int(common._VALUES[c]) * pow(int(common._BASE), k, 2**64) for k, c in enumerate(word)) % 2**64
+    hashes, counts = common.word_hashes(texts)
+    words = [t.split() for t in texts]
+    assert counts.tolist() == [len(w) for w in words]
+    assert (hashes == common.mixed_bits(np.array([plain(w) for own in words for w in own], dtype=np.uint64))).all()
+
+
 def test_packing_round_trip():
     rnd = np.random.Generator(np.random.PCG64(1))
     keys = np.unique(rnd.integers(0, 2**63, 1000, dtype=np.uint64))

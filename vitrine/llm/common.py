@@ -70,14 +70,15 @@ _VALUES = np.random.Generator(np.random.PCG64(2021)).integers(1, 2**63, 256, dty
 _VALUES[65:91] = _VALUES[97:123]  # A-Z count as a-z
 _VALUES[_IS_SPACE] = 0
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_powers = np.ones(1, dtype=np.uint64)
+_ROW = 4096
 
 
-def _power_table(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        _powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 1024) - 1, _BASE, dtype=np.uint64)]), dtype=np.uint64)
-    return _powers
+def _powers(base: np.uint64, step: int, n: int) -> np.ndarray:
+    """base^0, base^step, ... of 64 bits."""
+    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, pow(int(base), step, 1 << 64), dtype=np.uint64)]), dtype=np.uint64)
+
+
+_WITHIN, _BACK = _powers(_BASE, 1, _ROW), _powers(np.uint64(pow(int(_BASE), -1, 1 << 64)), 1, _ROW)
 
 
 def mixed_bits(x: np.ndarray) -> np.ndarray:
@@ -105,10 +106,11 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     counts = np.diff(np.searchsorted(starts, offsets))
     if not len(starts):
         return np.zeros(0, dtype=np.uint64), counts
-    word = np.cumsum(begins, dtype=np.int32)
-    word -= 1
-    place = np.arange(len(line), dtype=np.int32) - starts.astype(np.int32)[np.maximum(word, 0)]
-    place[space] = 0
-    place[: starts[0]] = 0
-    values = _VALUES[line] * _power_table(int(place.max()) + 1)[place]
-    return mixed_bits(np.add.reduceat(values, starts)), counts
+    # a byte at place i counts BASE^i in the line, and a word's sum is divided by BASE^start; powers are products of one within a row and the row's
+    rows = -(-len(line) // _ROW)
+    values = np.zeros((rows, _ROW), dtype=np.uint64)
+    np.take(_VALUES, line, out=values.reshape(-1)[: len(line)])
+    values *= _WITHIN
+    values *= _powers(_BASE, _ROW, rows)[:, None]
+    sums = np.add.reduceat(values.reshape(-1), starts) * _BACK[starts % _ROW] * _powers(_BACK[1], _ROW, rows)[starts // _ROW]
+    return mixed_bits(sums), counts

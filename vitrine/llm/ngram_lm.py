@@ -7,7 +7,9 @@ hash; there they are merged range by range, so a task holds one range at a time;
 it adds to the next lower order goes on. Stores live in the shared folder, which must be mounted on every machine: sorted
 hashes of n-grams and of contexts, their counts in one byte each with a list of those that need more. Workers map
 them into memory, so that machines hold one copy of the pages they use and nothing is broadcast.
-Files are written under a name of their own and renamed, so a task that runs again does no harm.
+Files are written under a name of their own and renamed, so a task that runs again does no harm. At the end the ranges' files are put
+one after another into one file for each array, with an index of some eight hashes an entry: texts are scored by a few
+array lookups a token, whatever the number of ranges.
 
 p(w | c) = max(a(cw) - D(a(cw)), 0) / a(c.) + g(c) p(w | c'), c' being c without its first word, with g(c) = sum of D_i N_i(c.) / a(c.);
 a is the count for the highest order and for n-grams that begin with the start token, and else the number of different words
@@ -29,13 +31,12 @@ from __future__ import annotations
 
 import os
 import tempfile
-import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.llm.common import doc_slices, mixed_bits, posix_path, shared_dir, small_batches, word_hashes
@@ -43,13 +44,16 @@ from vitrine.llm.common import doc_slices, mixed_bits, posix_path, shared_dir, s
 SLICE = 2_000_000
 #: most tasks of a stage; each works through its ranges one after another
 TASKS = 8192
-#: n-grams a task holds before it sends them
-HELD = 1_500_000
+#: n-grams a task gathers before it merges them; it sends them once over half as many are distinct
+HELD = 2_000_000
+#: bytes of packed rows that a task sends at a time
+SENT = 1_000_000
 #: no word's hash: the end of a text
 END = np.uint64(0xFFFFFFFFFFFFFFFF)
 PACKED = "kind int, part int, n long, data binary"
 _NAMES = ["kind", "part", "n", "data"]
 _GRAMS, _HOT, _TOTALS = 0, 1, 2
+_ZSTD = pa.Codec("zstd", compression_level=1)
 
 
 # ---- packing and merging arrays -----------------------------------------------------------------
@@ -64,11 +68,11 @@ def _pack(kind: int, part: int, *columns: np.ndarray) -> tuple:
         width = max(1, (int(column.max()).bit_length() + 7) // 8) if n else 1
         widths.append(width)
         out.append(np.ascontiguousarray(column.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
-    return kind, part, n, bytes(widths) + zlib.compress(b"".join(out), 1)
+    return kind, part, n, bytes(widths) + _ZSTD.compress(b"".join(out), asbytes=True)
 
 
 def _unpack(n: int, data: bytes, columns: int) -> list[np.ndarray]:
-    raw, at, out = np.frombuffer(zlib.decompress(data[columns:]), dtype=np.uint8), 0, []
+    raw, at, out = np.frombuffer(_ZSTD.decompress(data[columns:], n * sum(data[:columns])), dtype=np.uint8), 0, []
     for k, width in enumerate(data[:columns]):
         column = np.zeros((n, 8), dtype=np.uint8)
         column[:, :width] = raw[at : at + n * width].reshape(width, n).T
@@ -78,14 +82,39 @@ def _unpack(n: int, data: bytes, columns: int) -> list[np.ndarray]:
     return out
 
 
-def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, starts) of equal keys, the first one most significant."""
-    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
-    new = np.zeros(len(order), dtype=bool)
-    new[:1] = True
-    for key in keys:
-        new[1:] |= key[order[1:]] != key[order[:-1]]
-    return order, np.flatnonzero(new)
+def _order(keys: np.ndarray) -> np.ndarray:
+    """``np.argsort(keys, kind="stable")`` of whole numbers, by one sort of numbers that hold a key's upper bits and its place."""
+    keys = keys.astype(np.uint64, copy=False)
+    bits = len(keys).bit_length()
+    lost = max(0, int(keys.max()).bit_length() + bits - 64) if len(keys) else 0
+    both = np.sort(keys >> np.uint64(lost) << np.uint64(bits) | np.arange(len(keys), dtype=np.uint64))
+    order = (both & np.uint64((1 << bits) - 1)).astype(np.int64)
+    if lost:
+        ranked = keys[order]
+        down = np.flatnonzero(ranked[1:] < ranked[:-1])
+        if len(down):  # the keys that agree in their upper bits there are sorted by the rest
+            upper = ranked >> np.uint64(lost)
+            group = np.cumsum(np.diff(upper, prepend=upper[:1]) != 0)
+            mixed = np.zeros(group[-1] + 1, dtype=bool)
+            mixed[group[down]] = True
+            own = np.flatnonzero(mixed[group])
+            order[own] = order[own][np.argsort(ranked[own], kind="stable")]
+    return order
+
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts) of equal keys."""
+    order = _order(key)
+    ranked = key[order]
+    return order, np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), dtype=bool), ranked[1:] != ranked[:-1]]))
+
+
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``np.unique(key, return_inverse=True)``."""
+    order, starts = _runs(key)
+    inverse = np.empty(len(key), dtype=np.int64)
+    inverse[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key))))
+    return key[order[starts]], inverse
 
 
 class _Gather:
@@ -99,7 +128,7 @@ class _Gather:
     def add(self, key: np.ndarray, *columns: np.ndarray) -> None:
         self.pieces.append([key, *columns])
         self.size += len(key)
-        if self.size > max(500_000, len(self.held[0])):
+        if self.size > max(HELD, len(self.held[0])):
             self.merge()
 
     def merge(self) -> list[np.ndarray]:
@@ -123,11 +152,24 @@ def _save(path: str, *arrays: np.ndarray) -> None:
 
 #: Files that a worker keeps mapped at a time, those used last; systems allow some 65,000.
 MAPPINGS = 900
+#: Instead of a range: the files of all ranges, joined.
+ALL = -1
 
 
 def _load(path: str, k: int, dtype: str) -> np.ndarray:
     name = f"{path}.{k}"
-    return np.memmap(name, dtype=dtype, mode="r") if os.path.exists(name) and os.path.getsize(name) else np.zeros(0, dtype=dtype)
+    return np.memmap(name, dtype=dtype, mode="r").view(np.ndarray) if os.path.exists(name) and os.path.getsize(name) else np.zeros(0, dtype=dtype)
+
+
+def _put(path: str, at: int, array: np.ndarray) -> None:
+    """``array`` from byte ``at`` on in a file that other tasks write elsewhere."""
+    data, done = memoryview(np.ascontiguousarray(array).tobytes()), 0
+    file = os.open(path, os.O_WRONLY | os.O_CREAT, 0o644)
+    try:
+        while done < len(data):
+            done += os.pwrite(file, data[done:], at + done)
+    finally:
+        os.close(file)
 
 
 def _small(values: np.ndarray) -> list[np.ndarray]:
@@ -136,6 +178,12 @@ def _small(values: np.ndarray) -> list[np.ndarray]:
     return [np.minimum(values, 255).astype(np.uint8), more.astype("<i8"), values[more].astype("<i8")]
 
 
+def _small_stats(stats: np.ndarray) -> list[np.ndarray]:
+    """The same for four counts under each key, the first being their largest: the bytes of a key side by side."""
+    more = np.flatnonzero(stats[0] >= 255)
+    return [np.ascontiguousarray(np.minimum(stats, 255).astype(np.uint8).T), more.astype("<i8"), np.ascontiguousarray(stats[:, more].T.astype("<i8"))]
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=_NAMES)
 
@@ -160,6 +208,19 @@ def _dealt(packed: DataFrame, parts: int) -> DataFrame:
     return packed.repartition(min(parts, TASKS), "part").sortWithinPartitions("part")
 
 
+def _batched(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of about ``SENT`` bytes."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[3]) + 100
+        if size > SENT:
+            yield _rows(held)
+            held, size = [], 0
+    if held:
+        yield _rows(held)
+
+
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     """Token hashes of a slice of texts, each text closed by END."""
     for batch in doc_slices(batches, SLICE):
@@ -208,7 +269,6 @@ class Words:
     def __init__(self, path: str, sizes: np.ndarray, tokens: int, documents: int) -> None:
         self.path, self.sizes, self.tokens, self.documents = path, sizes, tokens, documents
         self.starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        self.bits = int(len(sizes)).bit_length() - 1
         self._open: OrderedDict[tuple[str, int, int], np.ndarray] = OrderedDict()
 
     def __getstate__(self) -> dict:
@@ -229,34 +289,27 @@ class Words:
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id or -1, count) of sorted, distinct hashes."""
-        ids, counts = np.full(len(hashes), -1, dtype=np.int64), np.zeros(len(hashes), dtype=np.int64)
-        edges = [0, *_split(hashes, self.bits), len(hashes)]
-        for part, (a, b) in enumerate(zip(edges, edges[1:])):
-            keys = self.array("words", part, 0, "<u8") if a < b else ()
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, hashes[a:b]), len(keys) - 1)
-                ok = keys[at] == hashes[a:b]
-                ids[a:b][ok] = at[ok] + self.starts[part]
-                counts[a:b][ok] = self.array("words", part, 1, "<i8")[at[ok]]
-        return ids, counts
+        keys = self.array("words", ALL, 0, "<u8")
+        if not len(keys):
+            return np.full(len(hashes), -1, dtype=np.int64), np.zeros(len(hashes), dtype=np.int64)
+        ids = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        ids = np.where(keys[ids] == hashes, ids, -1)
+        return ids, self.of("words", 1, ids)
 
     def of(self, name: str, k: int, ids: np.ndarray) -> np.ndarray:
         """What stands under ids (V and -1 have nothing) in arrays by word."""
-        distinct, inverse = np.unique(ids.astype(np.int64), return_inverse=True)
-        out = np.zeros(len(distinct), dtype=np.int64)
-        edges = np.searchsorted(distinct, self.starts)
-        for part in np.flatnonzero(np.diff(edges)):
-            a, b = edges[part], edges[part + 1]
-            values = self.array(name, int(part), k, "<i8")
-            if len(values):
-                out[a:b] = values[distinct[a:b] - self.starts[part]]
-        return out[inverse]
+        ids, values = ids.astype(np.int64), self.array(name, ALL, k, "<i8")
+        if not len(values):
+            return np.zeros(len(ids), dtype=np.int64)
+        return np.where((ids >= 0) & (ids < self.total), values[np.clip(ids, 0, len(values) - 1)], 0)
 
     def hot(self, context: list[np.ndarray], least: int) -> np.ndarray:
         """Whether all words of a context occur more than ``least`` times."""
         out = np.ones(len(context[0]), dtype=bool)
         for ids in context:
-            out &= np.where(ids.astype(np.int64) == self.total, self.documents, self.of("words", 1, ids)) > least
+            mine = np.flatnonzero(out)
+            ids = ids[mine].astype(np.int64)
+            out[mine] = np.where(ids == self.total, self.documents, self.of("words", 1, ids)) > least
         return out
 
 
@@ -267,7 +320,7 @@ def _parts(gram: np.ndarray, context: np.ndarray, hot: np.ndarray, parts: int) -
 
 def _by_part(keys: np.ndarray, part: np.ndarray) -> np.ndarray:
     """The order of keys by range and within a range by key; ranges are small numbers, which are dealt out instead of compared."""
-    order = np.argsort(keys)
+    order = _order(keys)
     small = part[order].astype(np.uint16 if not len(part) or part.max() < 1 << 16 else np.int64)
     return order[np.argsort(small, kind="stable")]
 
@@ -281,68 +334,159 @@ def _discounts(n: np.ndarray) -> np.ndarray:
     return np.array([0.0, *(min(max(x, 0.05), k - 0.05) for k, x in zip((1, 2, 3), d))])
 
 
+class Joined:
+    """Where the ranges of a store lie in its files of all ranges: hashes, their counts, places and values of those that need more than a byte, and the index."""
+
+    def __init__(self, sizes: np.ndarray, more: np.ndarray, width: int) -> None:
+        self.bases, self.more = (np.concatenate([[0], np.cumsum(x)]).astype(np.int64) for x in (sizes, more))
+        #: bytes of counts a hash; the upper bits of a hash that give its entry in the index
+        self.width = width
+        self.bits = max(0, int(np.ceil(np.log2(max(1, self.bases[-1] / len(sizes) / 8)))))
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), dtype=np.int64)
+
+    def write(self, path: str, name: str, part: int, sources: list[str]) -> None:
+        """Put a range into its place. Once that is done the range's own files go; a task that runs again finds it done."""
+        n, more = (int(x[part + 1] - x[part]) for x in (self.bases, self.more))
+        goal, done = f"{path}/{name}-{ALL}", f"{path}/{name}-{part}.done"
+        if self.bases[-1] and not os.path.exists(done):
+            files = [[f"{path}/{x}-{part}.{k}" for k in range(4)] for x in sources if os.path.exists(f"{path}/{x}-{part}.0")]
+            read = [[np.fromfile(f, dtype=t) for f, t in zip(own, ("<u8", "|u1", "<i8", "<i8"))] for own in files]
+            keys, counts, where, values = (np.concatenate([np.zeros(0, dtype=t), *(x[k] for x in read)]) for k, t in enumerate(("<u8", "|u1", "<i8", "<i8")))
+            if (len(keys), len(where)) != (n, more):
+                raise RuntimeError(f"range {part} of {name} is not whole: another run of this task is putting it in place")
+            counts, values = counts.reshape(-1, self.width), values.reshape(-1, self.width)
+            if len(read) > 1:
+                where[len(read[0][2]) :] += len(read[0][0])
+                order = _order(keys)
+                keys, counts, place = keys[order], counts[order], np.empty(n, dtype=np.int64)
+                place[order] = np.arange(n)
+                by_place = np.argsort(place[where])
+                where, values = place[where][by_place], values[by_place]
+            last = part == len(self.bases) - 2
+            _put(f"{goal}.0", int(self.bases[part]) * 8, np.append(keys, np.zeros(int(last), dtype="<u8")))  # one more, that a search may read
+            _put(f"{goal}.1", int(self.bases[part]) * self.width, counts)
+            _put(f"{goal}.2", int(self.more[part]) * 8, where + self.bases[part])
+            _put(f"{goal}.3", int(self.more[part]) * 8 * self.width, values)
+            ends = np.cumsum(np.bincount(self.slots(keys), minlength=1 << self.bits))
+            _put(f"{goal}.4", part * ((1 << self.bits) + 1) * 4, np.concatenate([[0], ends]).astype("<u4"))
+            open(done, "w").close()
+            for f in (f for own in files for f in own):
+                if os.path.exists(f):
+                    os.remove(f)
+
+
+def _each(spark: SparkSession, parts: int, work) -> dict[int, np.ndarray]:
+    """The whole numbers that ``work`` gives for each range, from tasks over the ranges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _batched((_TOTALS, part, 0, np.array(work(part), dtype="<i8").tobytes()) for part in batch.column(0).to_pylist())
+
+    return {r["part"]: np.frombuffer(r["data"], dtype="<i8") for r in spark.range(0, parts, 1, min(-(-parts // 8), TASKS)).mapInArrow(run, PACKED).collect()}  # a row for each range
+
+
+def _joined(spark: SparkSession, path: str, order: int, parts: int) -> dict[str, Joined]:
+    """Joins the ranges' files of all stores above words."""
+    sources = {f"{name}{k}": own for k in range(2, order + 1) for name, own in (("grams", [f"grams{k}"]), ("contexts", [f"contexts{k}", f"hot{k}"]))}
+
+    def sizes(part: int) -> list[int]:
+        size = lambda name, k: os.path.getsize(f) if os.path.exists(f := f"{path}/{name}-{part}.{k}") else 0
+        return [sum(size(x, k) for x in own) // 8 for own in sources.values() for k in (0, 2)]
+
+    found = _each(spark, parts, sizes)
+    table = np.stack([found[part] for part in range(parts)])
+    stores = {name: Joined(table[:, 2 * k], table[:, 2 * k + 1], 1 if name.startswith("grams") else 4) for k, name in enumerate(sources)}
+
+    def write(part: int) -> list[int]:
+        for name, own in sources.items():
+            stores[name].write(path, name, part, own)
+        return []
+
+    _each(spark, parts, write)
+    return stores
+
+
 class Model:
-    def __init__(self, words: Words, order: int, keep_from: int, parts: int, hot: int, discounts: dict[int, np.ndarray], low_total: int, low_gamma: float) -> None:
+    def __init__(self, words: Words, order: int, keep_from: int, parts: int, hot: int, discounts: dict[int, np.ndarray], low_total: int, low_gamma: float, stores: dict[str, Joined]) -> None:
         self.words, self.order, self.keep_from, self.parts, self.hot = words, order, keep_from, parts, hot
-        self.discounts, self.low_total, self.low_gamma = discounts, low_total, low_gamma
-
-    def _found(self, name: str, keys: np.ndarray, part: np.ndarray, columns: int) -> np.ndarray:
-        """(columns, len(keys)) counts under hashes in the files ``name`` of their ranges; 0 where there are none."""
-        out = np.zeros((columns, len(keys)), dtype=np.int64)
-        order = _by_part(keys, part)
-        edges = np.searchsorted(part[order], np.arange(self.parts + 1))
-        for k in np.flatnonzero(np.diff(edges)):
-            own, mine = self.words.array(name, int(k), 0, "<u8"), order[edges[k] : edges[k + 1]]
-            if not len(own):
-                continue
-            at = np.minimum(np.searchsorted(own, keys[mine]), len(own) - 1)
-            ok = own[at] == keys[mine]
-            mine, at = mine[ok], at[ok]
-            for c in range(columns):
-                values = self.words.array(name, int(k), 1 + 3 * c, "|u1")[at].astype(np.int64)
-                many = np.flatnonzero(values == 255)
-                if len(many):
-                    where = np.searchsorted(self.words.array(name, int(k), 2 + 3 * c, "<i8"), at[many])
-                    values[many] = self.words.array(name, int(k), 3 + 3 * c, "<i8")[where]
-                out[c, mine] = values
+        self.discounts, self.low_total, self.low_gamma, self.stores = discounts, low_total, low_gamma, stores
+
+    def _found(self, name: str, keys: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """(len(keys), counts a hash) under hashes of ranges; 0 where there are none."""
+        store, own = self.stores[name], lambda k, dtype: self.words.array(name, ALL, k, dtype)
+        out = np.zeros((len(keys), store.width), dtype=np.int64)
+        if not store.bases[-1]:
+            return out
+        hashes, index = own(0, "<u8"), own(4, "<u4")
+        slot, base = part * ((1 << store.bits) + 1) + store.slots(keys), store.bases[part]
+        low, high = base + index[slot], base + index[slot + 1]
+        # hashes are spread evenly, so the next bits of one tell about where it stands in its entry
+        at = low + ((high - low) * (keys << np.uint64(store.bits) >> np.uint64(56)).astype(np.int64) >> 8)
+        here = hashes[at]
+        ok = (here == keys) & (low < high)
+        for step, off in ((1, here < keys), (-1, here > keys)):
+            left = np.flatnonzero(off & (low < high))
+            place, key, bound = at[left], keys[left], (high if step > 0 else low - 1)[left]
+            while len(left):
+                place = place + step
+                here = hashes[place]  # before the first hash is the last place, which stands for none
+                inside, hit = place != bound, here == key
+                hit &= inside
+                at[left[hit]], ok[left[hit]] = place[hit], True
+                on = np.flatnonzero(inside & (here < key if step > 0 else here > key))
+                left, place, key, bound = left[on], place[on], key[on], bound[on]
+        ok = np.flatnonzero(ok)
+        at = at[ok]
+        values = own(1, "|u1").reshape(-1, store.width)[at].astype(np.int64)
+        many = np.flatnonzero(values[:, 0] == 255)
+        if len(many):
+            values[many] = own(3, "<i8").reshape(-1, store.width)[np.searchsorted(own(2, "<i8"), at[many])]
+        out[ok] = values
         return out
 
     def score(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(known, base, log10 p) of every token of a stream of closed texts."""
         w = self.words
-        distinct, inverse = np.unique(hashes, return_inverse=True)
+        distinct, inverse = _distinct(hashes)
         ids, counts = w.ids(distinct)
         base = np.log10((counts + 1) / (w.tokens + w.total + 1))
         before, low = w.of("before", 0, ids), self.discounts[1]
         p = (np.maximum(before - low[np.minimum(before, 3)], 0) / max(1, self.low_total) + self.low_gamma / (w.total + 1))[inverse]
-        columns = _columns(ids[inverse], hashes == END, self.order, w.total)
         often = np.append(counts, w.documents) > self.hot
         frequent = _columns(inverse, hashes == END, self.order, len(distinct))
+        with_start = np.append(ids, w.total)
+        columns = [with_start[c] for c in frequent]
         for k in range(2, self.order + 1):
             context = columns[self.order - k : -1]
-            seen = np.flatnonzero(np.logical_and.reduce([c >= 0 for c in context]))
-            hot = np.logical_and.reduce([often[c[seen]] for c in frequent[self.order - k : -1]])
-            key = _hashed([c[seen] for c in context])
-            one, back = np.unique(key, return_inverse=True)
-            is_hot = np.zeros(len(one), dtype=bool)
-            is_hot[back] = hot
-            stats = np.zeros((4, len(one)), dtype=np.int64)
-            for name, which in ((f"contexts{k}", np.flatnonzero(~is_hot)), (f"hot{k}", np.flatnonzero(is_hot))):
-                if len(which):
-                    stats[:, which] = self._found(name, one[which], (one[which] % np.uint64(self.parts)).astype(np.int64), 4)
-            total, n1, n2, n3 = stats
-            d = self.discounts[k]
-            top = (1.0 if k == self.order and self.keep_from > 1 else d[1]) * n1 + d[2] * n2 + d[3] * n3
-            gamma = np.where(total > 0, top / np.maximum(total, 1), 1.0)
-            p[seen] *= gamma[back]
+            if k == 2:  # one word: the distinct ones and the start
+                seen, back = np.flatnonzero(context[0] >= 0), frequent[-2]
+                key = _hashed([with_start])
+                stats = self._context(k, key)
+                key, stats = key[back[seen]], stats[:, back[seen]]
+            else:
+                seen = np.flatnonzero(np.logical_and.reduce([c >= 0 for c in context]))
+                key = _hashed([c[seen] for c in context])
+                stats = self._context(k, key)
+            gamma, total = stats
+            p[seen] *= gamma
             # words after contexts that are there
-            pair = np.flatnonzero((total[back] > 0) & (columns[-1][seen] >= 0))
+            pair = np.flatnonzero((total > 0) & (columns[-1][seen] >= 0))
             at = seen[pair]
-            gram = _longer(key[pair], columns[-1][at])
-            (n,) = self._found(f"grams{k}", gram, _parts(gram, key[pair], hot[pair], self.parts), 1)
-            p[at] += np.maximum(n - d[np.minimum(n, 3)], 0) / total[back[pair]]
+            hot = np.logical_and.reduce([often[c[at]] for c in frequent[self.order - k : -1]])
+            gram, d = _longer(key[pair], columns[-1][at]), self.discounts[k]
+            n = self._found(f"grams{k}", gram, _parts(gram, key[pair], hot, self.parts))[:, 0]
+            p[at] += np.maximum(n - d[np.minimum(n, 3)], 0) / total[pair]
         return (counts > 0)[inverse], base[inverse], np.log10(p)
 
+    def _context(self, k: int, key: np.ndarray) -> np.ndarray:
+        """(g, all n-grams) of contexts."""
+        total, n1, n2, n3 = self._found(f"contexts{k}", key, (key % np.uint64(self.parts)).astype(np.int64)).T
+        d = self.discounts[k]
+        top = (1.0 if k == self.order and self.keep_from > 1 else d[1]) * n1 + d[2] * n2 + d[3] * n3
+        return np.stack([np.where(total > 0, top / np.maximum(total, 1), 1.0), total])
+
 
 # ---- building -----------------------------------------------------------------------------------
 
@@ -360,16 +504,14 @@ def count_words(texts: DataFrame, path: str, chars: int, chars_per_part: int = 3
         held = _Gather(0, 1)
         for stream in _streams(batches):
             held.add(*np.unique(stream, return_counts=True))
-            if len(held.held[0]) > HELD:
+            if len(held.held[0]) > HELD // 2:
                 yield from send(held.merge())
                 held = _Gather(0, 1)
         yield from send(held.merge())
 
     def send(merged: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         edges = [0, *_split(merged[0], bits), len(merged[0])]
-        for part, (a, b) in enumerate(zip(edges, edges[1:])):
-            if a < b:
-                yield _rows([_pack(_GRAMS, part, merged[0][a:b], merged[1][a:b])])
+        yield from _batched(_pack(_GRAMS, part, merged[0][a:b], merged[1][a:b]) for part, (a, b) in enumerate(zip(edges, edges[1:])) if a < b)
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _groups(batches):
@@ -385,7 +527,18 @@ def count_words(texts: DataFrame, path: str, chars: int, chars_per_part: int = 3
         sizes[row["part"]] = row["n"]
         n, ends = np.frombuffer(row["data"], dtype="<i8")
         tokens, documents = tokens + int(n), documents + int(ends)
-    return Words(path, sizes, tokens, documents)
+    words = Words(path, sizes, tokens, documents)
+
+    def join(part: int) -> list[int]:
+        own = [(k, f) for k in range(2) if os.path.exists(f := f"{path}/words-{part}.{k}")]
+        for k, f in own:
+            _put(f"{path}/words-{ALL}.{k}", int(words.starts[part]) * 8, np.fromfile(f, dtype="<u8"))
+        for _, f in own:
+            os.remove(f)
+        return []
+
+    _each(texts.sparkSession, parts, join)
+    return words
 
 
 def count_grams(texts: DataFrame, words: Words, order: int, keep_from: int, grams_per_part: int, hot: int | None) -> Model:
@@ -401,22 +554,21 @@ def count_grams(texts: DataFrame, words: Words, order: int, keep_from: int, gram
         else:
             context = _hashed(columns[:-1])
             part = _parts(_longer(context, columns[-1]), context, words.hot(columns[:-1], hot), parts)
-        if len(columns) > 1 and words.total < 1 << 32:  # two words make one key
-            place = _by_part(columns[0] << np.uint64(32) | columns[1], part)
+        if len(columns) > 1 and words.total < (1 << 32) - 1:  # two words make one key
+            place = _by_part(columns[0] * np.uint64(words.total + 1) + columns[1], part)
         else:
             place = _by_part(columns[0], part) if len(columns) == 1 else np.lexsort((columns[1], columns[0], part))
-        edges = np.flatnonzero(np.diff(part[place], prepend=-1, append=-1))
-        for a, b in zip(edges, edges[1:]):
-            mine = place[a:b]
-            yield _rows([_pack(_GRAMS, int(part[mine[0]]), *(c[mine] for c in columns), n[mine])])
+        part, columns, n = part[place], [c[place] for c in columns], n[place]
+        edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
+        yield from _batched(_pack(_GRAMS, int(part[a]), *(c[a:b] for c in columns), n[a:b]) for a, b in zip(edges, edges[1:]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Gather(order, 1)
         for stream in _streams(batches):
-            distinct, inverse = np.unique(stream, return_inverse=True)
+            distinct, inverse = _distinct(stream)
             columns = _columns(words.ids(distinct)[0][inverse].astype(np.uint64), stream == END, order, words.total)
             held.add(_hashed(columns), *columns, np.ones(len(stream), dtype=np.uint64))
-            if len(held.held[0]) > HELD:
+            if len(held.held[0]) > HELD // 2:
                 _, *columns, n = held.merge()
                 held = _Gather(order, 1)
                 yield from sent(columns, n)
@@ -447,36 +599,34 @@ def count_grams(texts: DataFrame, words: Words, order: int, keep_from: int, gram
     def hot_stored(k: int, part: int, stats: _Gather) -> Iterator[pa.RecordBatch]:
         key, *values = stats.merge()
         if len(key):
-            _save(f"{path}/hot{k}-{part}", key.astype("<u8"), *(x for v in values for x in _small(v.astype(np.int64))))
+            _save(f"{path}/hot{k}-{part}", key.astype("<u8"), *_small_stats(np.stack(values).astype(np.int64)))
         return iter(())
 
     def stored(k: int, part: int, columns: list[np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        context = _hashed(columns[:-1])
-        place, starts = _runs(context, columns[-1])
+        gram = _hashed(columns)
+        place, starts = _runs(gram)
         n = np.add.reduceat(n[place], starts).astype(np.int64)
         first = place[starts]
-        columns, context = [c[first] for c in columns], context[first]
+        columns, gram = [c[first] for c in columns], gram[first]
         yield _rows([(_TOTALS, 0, k, np.array([*((n == i).sum() for i in (1, 2, 3, 4)), 0, 0], dtype="<i8").tobytes())])
-        is_hot = words.hot(columns[:-1], hot)
         least = keep_from if k == order else 1
         kept = np.flatnonzero(n >= least)
-        gram = _longer(context[kept], columns[-1][kept])
-        by_hash = np.argsort(gram)
-        _save(f"{path}/grams{k}-{part}", gram[by_hash].astype("<u8"), *_small(n[kept][by_hash]))
-        begins = np.flatnonzero(np.diff(context, prepend=~context[:1]))  # contexts stand together and in order
-        stats = np.stack([np.add.reduceat(x.astype(np.int64), begins) for x in (n, n == 1, n == 2, n >= 3)])
-        some = np.add.reduceat((n >= least).astype(np.int64), begins) > 0
-        cold = np.flatnonzero(~is_hot[begins] & some)
-        _save(f"{path}/contexts{k}-{part}", context[begins][cold].astype("<u8"), *(x for v in stats for x in _small(v[cold])))
-        warm = np.flatnonzero(is_hot[begins])
+        _save(f"{path}/grams{k}-{part}", gram[kept].astype("<u8"), *_small(n[kept]))
+        context = _hashed(columns[:-1])
+        by_context, begins = _runs(context)
+        of_one, heads = n[by_context], by_context[begins]
+        stats = np.stack([np.add.reduceat(x.astype(np.int64), begins) for x in (of_one, of_one == 1, of_one == 2, of_one >= 3)])
+        some = np.add.reduceat((of_one >= least).astype(np.int64), begins) > 0
+        context, is_hot = context[heads], words.hot([c[heads] for c in columns[:-1]], hot)
+        cold = np.flatnonzero(~is_hot & some)
+        _save(f"{path}/contexts{k}-{part}", context[cold].astype("<u8"), *_small_stats(stats[:, cold]))
+        warm = np.flatnonzero(is_hot)
         if len(warm):
-            key, values = context[begins][warm], stats[:, warm]
+            key, values = context[warm], stats[:, warm]
             to = (key % np.uint64(parts)).astype(np.int64)
             by_part = _by_part(key, to)
             edges = np.flatnonzero(np.diff(to[by_part], prepend=-1, append=-1))
-            for a, b in zip(edges, edges[1:]):
-                mine = by_part[a:b]
-                yield _rows([_pack(_HOT, int(to[mine[0]]), key[mine], *(v[mine] for v in values))])
+            yield from _batched(_pack(_HOT, int(to[mine[0]]), key[mine], *(v[mine] for v in values)) for mine in (by_part[a:b] for a, b in zip(edges, edges[1:])))
         # what stands before the rest of each n-gram; after the start token the count itself
         rest = columns[1:]
         adds = np.where(rest[0].astype(np.int64) == words.total, n, 1).astype(np.uint64)
@@ -499,7 +649,7 @@ def count_grams(texts: DataFrame, words: Words, order: int, keep_from: int, gram
                     np.add.at(before, ids.astype(np.int64) - words.starts[part], n.astype(np.int64))
             yield from hot_stored(2, part, stats)
             if before is not None:
-                _save(f"{path}/before-{part}", before.astype("<i8"))
+                _put(f"{path}/before-{ALL}.0", int(words.starts[part]) * 8, before.astype("<i8"))
                 yield _rows([(_TOTALS, 0, 1, np.array([*((before == i).sum() for i in (1, 2, 3, 4)), (before >= 3).sum(), before.sum()], dtype="<i8").tobytes())])
 
     packed = texts.mapInArrow(count, PACKED)
@@ -511,7 +661,7 @@ def count_grams(texts: DataFrame, words: Words, order: int, keep_from: int, gram
     discounts = {k: _discounts(n[:4]) for k, n in totals.items()}
     low, d = totals[1], discounts[1]
     gamma = float(d[1] * low[0] + d[2] * low[1] + d[3] * low[4]) / int(low[5]) if low[5] else 1.0
-    return Model(words, order, keep_from, parts, hot, discounts, int(low[5]), gamma)
+    return Model(words, order, keep_from, parts, hot, discounts, int(low[5]), gamma, _joined(texts.sparkSession, path, order, parts))
 
 
 def train(texts: DataFrame, order: int = 3, keep_from: int | None = None, grams_per_part: int = 2_000_000, hot: int | None = None, chars_per_part: int = 32_000_000) -> Model:
