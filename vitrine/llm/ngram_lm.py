@@ -260,6 +260,32 @@ def _columns(ids: np.ndarray, ends: np.ndarray, order: int, start: int) -> list[
     return out
 
 
+def _index_bits(n: float) -> int:
+    """Upper bits of a hash that part ``n`` of them into entries of some eight."""
+    return max(0, int(np.ceil(np.log2(max(1.0, n / 8)))))
+
+
+def _entries(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), dtype=np.int64)
+
+
+def _placed(hashes: np.ndarray, keys: np.ndarray, low: np.ndarray, high: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether it is there) of each key in its entry of sorted hashes, from ``low`` up to ``high``; one more number follows the hashes."""
+    # hashes are spread evenly, so the bits after the entry's tell about where one stands
+    at = low + ((high - low) * (keys << np.uint64(bits) >> np.uint64(56)).astype(np.int64) >> 8)
+    here, some = hashes[at], low < high
+    for step, off in ((1, here < keys), (-1, here > keys)):
+        left = np.flatnonzero(off & some)
+        place, key, bound = at[left], keys[left], (high if step > 0 else low)[left]
+        while len(left):
+            place = place + step
+            at[left] = place
+            here = hashes[place]  # before the first hash comes the last place, which stands for none
+            on = np.flatnonzero((place < bound) & (here < key) if step > 0 else (place >= bound) & (here > key))
+            left, place, key, bound = left[on], place[on], key[on], bound[on]
+    return at, (hashes[at] == keys) & (at >= low) & (at < high)
+
+
 # ---- stores -------------------------------------------------------------------------------------
 
 
@@ -269,6 +295,7 @@ class Words:
     def __init__(self, path: str, sizes: np.ndarray, tokens: int, documents: int) -> None:
         self.path, self.sizes, self.tokens, self.documents = path, sizes, tokens, documents
         self.starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.bits = max(len(sizes).bit_length() - 1, _index_bits(self.total))
         self._open: OrderedDict[tuple[str, int, int], np.ndarray] = OrderedDict()
 
     def __getstate__(self) -> dict:
@@ -289,13 +316,27 @@ class Words:
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id or -1, count) of sorted, distinct hashes."""
-        keys = self.array("words", ALL, 0, "<u8")
-        if not len(keys):
+        if not self.total:
             return np.full(len(hashes), -1, dtype=np.int64), np.zeros(len(hashes), dtype=np.int64)
-        ids = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-        ids = np.where(keys[ids] == hashes, ids, -1)
+        index, entry = self.array("words", ALL, 2, "<i8"), _entries(hashes, self.bits)
+        ids, ok = _placed(self.array("words", ALL, 0, "<u8"), hashes, index[entry], index[entry + 1], self.bits)
+        ids = np.where(ok, ids, -1)
         return ids, self.of("words", 1, ids)
 
+    def join(self, part: int) -> None:
+        """Put a range into its place in the files of all ranges, and remove its own files; a task that runs again finds it done."""
+        own = [f for k in range(2) if os.path.exists(f := f"{self.path}/words-{part}.{k}")]
+        last, goal, a = part == len(self.sizes) - 1, f"{self.path}/words-{ALL}", int(self.starts[part])
+        entries = 1 << self.bits - (len(self.sizes).bit_length() - 1)
+        if len(own) == 2 or self.total and not self.sizes[part]:
+            keys, counts = (np.fromfile(f, dtype="<u8") for f in own) if own else (np.zeros(0, dtype="<u8"),) * 2
+            starts = np.cumsum(np.append(0, np.bincount(_entries(keys, self.bits) - part * entries, minlength=entries)))
+            _put(f"{goal}.0", a * 8, np.append(keys, np.zeros(int(last), dtype="<u8")))  # one more, that a search may read
+            _put(f"{goal}.1", a * 8, counts)
+            _put(f"{goal}.2", part * entries * 8, (starts[: entries + int(last)] + a).astype("<i8"))
+        for f in own:
+            os.remove(f)
+
     def of(self, name: str, k: int, ids: np.ndarray) -> np.ndarray:
         """What stands under ids (V and -1 have nothing) in arrays by word."""
         ids, values = ids.astype(np.int64), self.array(name, ALL, k, "<i8")
@@ -341,10 +382,7 @@ class Joined:
         self.bases, self.more = (np.concatenate([[0], np.cumsum(x)]).astype(np.int64) for x in (sizes, more))
         #: bytes of counts a hash; the upper bits of a hash that give its entry in the index
         self.width = width
-        self.bits = max(0, int(np.ceil(np.log2(max(1, self.bases[-1] / len(sizes) / 8)))))
-
-    def slots(self, keys: np.ndarray) -> np.ndarray:
-        return (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), dtype=np.int64)
+        self.bits = _index_bits(self.bases[-1] / len(sizes))
 
     def write(self, path: str, name: str, part: int, sources: list[str]) -> None:
         """Put a range into its place. Once that is done the range's own files go; a task that runs again finds it done."""
@@ -369,7 +407,7 @@ class Joined:
             _put(f"{goal}.1", int(self.bases[part]) * self.width, counts)
             _put(f"{goal}.2", int(self.more[part]) * 8, where + self.bases[part])
             _put(f"{goal}.3", int(self.more[part]) * 8 * self.width, values)
-            ends = np.cumsum(np.bincount(self.slots(keys), minlength=1 << self.bits))
+            ends = np.cumsum(np.bincount(_entries(keys, self.bits), minlength=1 << self.bits))
             _put(f"{goal}.4", part * ((1 << self.bits) + 1) * 4, np.concatenate([[0], ends]).astype("<u4"))
             open(done, "w").close()
             for f in (f for own in files for f in own):
@@ -420,23 +458,9 @@ class Model:
         if not store.bases[-1]:
             return out
         hashes, index = own(0, "<u8"), own(4, "<u4")
-        slot, base = part * ((1 << store.bits) + 1) + store.slots(keys), store.bases[part]
+        slot, base = part * ((1 << store.bits) + 1) + _entries(keys, store.bits), store.bases[part]
         low, high = base + index[slot], base + index[slot + 1]
-        # hashes are spread evenly, so the next bits of one tell about where it stands in its entry
-        at = low + ((high - low) * (keys << np.uint64(store.bits) >> np.uint64(56)).astype(np.int64) >> 8)
-        here = hashes[at]
-        ok = (here == keys) & (low < high)
-        for step, off in ((1, here < keys), (-1, here > keys)):
-            left = np.flatnonzero(off & (low < high))
-            place, key, bound = at[left], keys[left], (high if step > 0 else low - 1)[left]
-            while len(left):
-                place = place + step
-                here = hashes[place]  # before the first hash is the last place, which stands for none
-                inside, hit = place != bound, here == key
-                hit &= inside
-                at[left[hit]], ok[left[hit]] = place[hit], True
-                on = np.flatnonzero(inside & (here < key if step > 0 else here > key))
-                left, place, key, bound = left[on], place[on], key[on], bound[on]
+        at, ok = _placed(hashes, keys, low, high, store.bits)
         ok = np.flatnonzero(ok)
         at = at[ok]
         values = own(1, "|u1").reshape(-1, store.width)[at].astype(np.int64)
@@ -530,11 +554,7 @@ def count_words(texts: DataFrame, path: str, chars: int, chars_per_part: int = 3
     words = Words(path, sizes, tokens, documents)
 
     def join(part: int) -> list[int]:
-        own = [(k, f) for k in range(2) if os.path.exists(f := f"{path}/words-{part}.{k}")]
-        for k, f in own:
-            _put(f"{path}/words-{ALL}.{k}", int(words.starts[part]) * 8, np.fromfile(f, dtype="<u8"))
-        for _, f in own:
-            os.remove(f)
+        words.join(part)
         return []
 
     _each(texts.sparkSession, parts, join)
